@@ -68,3 +68,126 @@ def ratio_series(left: pd.Series, right: pd.Series) -> pd.Series:
     if mask.any():
         out[mask] = ratios(left[known], right[known])
     return out
+
+
+def _pair_chunks(starts: np.ndarray, sizes: np.ndarray, most: int = 1_000_000):
+    """Index pairs (i < j) inside contiguous groups, in chunks of bounded size."""
+    first = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, sizes)])
+    follow = np.concatenate([np.arange(n - 1, -1, -1) for n in sizes])
+    done = 0
+    ends = np.cumsum(follow)
+    while done < len(first):
+        base = ends[done - 1] if done else 0
+        stop = max(done + 1, int(np.searchsorted(ends, base + most, side="right")))
+        count = follow[done:stop]
+        left = np.repeat(first[done:stop], count)
+        offset = np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+        yield left, left + 1 + offset
+        done = stop
+
+
+def _popcount(values: np.ndarray) -> np.ndarray:
+    return sum((values >> bit) & 1 for bit in range(16))
+
+
+def _two_best(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values(["grp", "pid", "score", "other"], ascending=[True, True, False, True], kind="stable")
+    return frame[frame.groupby(["grp", "pid"], sort=False).cumcount() < 2]
+
+
+def best_partners(names: int, exacts: int, floor: float):
+    """Arrow-batch operator over rows sorted by (block, tile_a, tile_b).
+
+    Every group is bounded by the tile size. All its pairs are compared here and at most two
+    partners per record and group leave, so pairs never become rows.
+    """
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups = pdf.groupby(["block", "tile_a", "tile_b"], sort=False).ngroup().to_numpy()
+        starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+        sizes = np.diff(np.r_[starts, len(groups)])
+        tile = pdf["tile"].to_numpy()
+        across = (pdf["tile_a"] != pdf["tile_b"]).to_numpy()
+        common = pdf["common"].to_numpy()
+        agree = pdf["agree"].to_numpy()
+        emask = pdf["emask"].to_numpy()
+        nmask = pdf["nmask"].to_numpy()
+        pid = pdf["pid"].to_numpy()
+        copies = pdf["copies"].to_numpy()
+        apart = pdf["apart"].to_numpy()
+        some_apart = pdf["apart"].notna().to_numpy()
+        exact = [pd.factorize(pdf[f"e{k}"])[0] for k in range(exacts)]
+        name = [pd.factorize(pdf[f"n{k}"], use_na_sentinel=True) for k in range(names)]
+        width = [np.array([len(t) for t in texts], dtype=np.int64) for _, texts in name]
+        kept = []
+        for left, right in _pair_chunks(starts, sizes):
+            ok = (emask[left] & emask[right]) == common[left]
+            ok &= ~(across[left] & (tile[left] == tile[right]))
+            left, right = left[ok], right[ok]
+            same = np.zeros(len(left), dtype=np.int64)
+            for k in range(exacts):
+                same |= ((exact[k][left] == exact[k][right]) & (exact[k][left] >= 0)).astype(np.int64) << k
+            ok = same == agree[left]
+            left, right = left[ok], right[ok]
+            both = nmask[left] & nmask[right]
+            parts = _popcount(both) + _popcount(common[left])
+            need = floor * parts - _popcount(agree[left])
+            bound = np.zeros(len(left))
+            for k in range(names):
+                on = ((both >> k) & 1).astype(bool)
+                a, b = width[k][name[k][0][left[on]]], width[k][name[k][0][right[on]]]
+                bound[on] += 2.0 * np.minimum(a, b) / (a + b)
+            ok = (parts > 0) & (bound >= need - 1e-9)
+            for at in np.flatnonzero(ok & some_apart[left]):
+                ok[at] = pid[right[at]] not in apart[left[at]]
+            left, right, both, parts = left[ok], right[ok], both[ok], parts[ok]
+            if not len(left):
+                continue
+            total = _popcount(agree[left]).astype(np.float64)
+            for k in range(names):
+                on = np.flatnonzero((both >> k) & 1)
+                if not len(on):
+                    continue
+                codes, texts = name[k]
+                pairs = codes[left[on]].astype(np.int64) * len(texts) + codes[right[on]]
+                distinct, back = np.unique(pairs, return_inverse=True)
+                score = ratios([texts[p // len(texts)] for p in distinct], [texts[p % len(texts)] for p in distinct])
+                total[on] += score[back]
+            score = total / parts
+            ok = score >= floor - 1e-12
+            left, right, score = left[ok], right[ok], score[ok]
+            if len(left):
+                kept.append(
+                    _two_best(
+                        pd.DataFrame(
+                            {
+                                "grp": np.r_[groups[left], groups[left]],
+                                "pid": np.r_[pid[left], pid[right]],
+                                "other": np.r_[pid[right], pid[left]],
+                                "other_copies": np.r_[copies[right], copies[left]],
+                                "score": np.r_[score, score],
+                            }
+                        )
+                    )
+                )
+        columns = ["pid", "other", "other_copies", "score"]
+        if not kept:
+            return pd.DataFrame({c: [] for c in columns})
+        return _two_best(pd.concat(kept))[columns]
+
+    def run(batches):
+        waiting = None
+        for pdf in batches:
+            if waiting is not None:
+                pdf = pd.concat([waiting, pdf], ignore_index=True)
+            last = pdf.iloc[-1]
+            open_group = (
+                (pdf["block"] == last["block"]) & (pdf["tile_a"] == last["tile_a"]) & (pdf["tile_b"] == last["tile_b"])
+            ).to_numpy()
+            if not open_group.all():
+                yield compare(pdf[~open_group].reset_index(drop=True))
+            waiting = pdf[open_group].reset_index(drop=True)
+        if waiting is not None and len(waiting):
+            yield compare(waiting)
+
+    return run
