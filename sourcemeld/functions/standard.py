@@ -200,51 +200,39 @@ MONTH_WORD = (
     r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?"
     r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
-CLOCK = r"(?:[t ]+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?[ap]m)?)(?: ?(?:z|utc|[+-]\d{2}:?\d{2}))?)?$"
+CLOCK = r"[t ]+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?: ?[ap]m)?) ?(?:z|utc|[+-]\d{2}:?\d{2})?$"
+# Date shapes and their year-first form; "?" marks an open order of day and month.
+DATE_SHAPES = (
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "?$3-$1-$2"),
+    (r"^(\d{1,2})-(\d{1,2})-([0-5]\d|6[0-8])$", "?20$3-$1-$2"),
+    (r"^(\d{1,2})-(\d{1,2})-(\d{2})$", "?19$3-$1-$2"),
+    (rf"^{MONTH_WORD}\.? (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})$", "$3-$1-$2"),
+    (rf"^(\d{{1,2}})(?:st|nd|rd|th)?[ -]{MONTH_WORD}\.?,?[ -](\d{{4}})$", "$3-$2-$1"),
+    (r"-([a-z]{3})[a-z]*-", "-$1-"),
+)
 
 
 def _iso_dates(text: Column, day_first: bool) -> tuple[Column, Column]:
     """Read a date in any of the known shapes: (date, clock text).
 
-    The shape decides the order of the parts, so each value is cast once or twice and no
-    parser is tried in vain. Year-first text is never read day-first.
+    Each shape is rewritten to year-month-day by one replacement, so a value is parsed by a
+    cast and no parser is tried in vain. Year-first text is never read day-first.
     """
-    t = F.lower(F.regexp_replace(squeeze(text), r"(\d)[/.](\d{1,2})[/.](\d)", "$1-$2-$3"))
-    year_first = r"^(\d{4})-(\d{1,2})-(\d{1,2})" + CLOCK
-    year_last = r"^(\d{1,2})-(\d{1,2})-(\d{4})" + CLOCK
-    short_year = r"^(\d{1,2})-(\d{1,2})-(\d{2})" + CLOCK
-    compact = r"^(\d{4})(\d{2})(\d{2})" + CLOCK
-    month_day = rf"^{MONTH_WORD}\.? (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})" + CLOCK
-    day_month = rf"^(\d{{1,2}})(?:st|nd|rd|th)?[ -]{MONTH_WORD}\.?,?[ -](\d{{4}})" + CLOCK
-
-    def date_of(pattern: str, order: str) -> Column:
-        return F.regexp_replace(t, pattern, order).try_cast("date")
-
-    def named(pattern: str, month: int, day: int) -> Column:
-        number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(F.regexp_extract(t, pattern, month), 1, 3))
-        return F.concat_ws("-", F.regexp_extract(t, pattern, 3), number, F.regexp_extract(t, pattern, day)).try_cast("date")
-
-    def either(pattern: str, year: str) -> Column:
-        first, second = (f"{year}-$2-$1", f"{year}-$1-$2") if day_first else (f"{year}-$1-$2", f"{year}-$2-$1")
-        return F.coalesce(date_of(pattern, first), date_of(pattern, second))
-
-    century = F.when(F.regexp_extract(t, short_year, 3).try_cast("int") > 68, either(short_year, "19$3")).otherwise(
-        either(short_year, "20$3")
-    )
-    shapes = [
-        (year_first, date_of(year_first, "$1-$2-$3"), 4),
-        (year_last, either(year_last, "$3"), 4),
-        (month_day, named(month_day, 1, 2), 4),
-        (day_month, named(day_month, 2, 1), 4),
-        (compact, date_of(compact, "$1-$2-$3"), 4),
-        (short_year, century, 4),
-    ]
-    date, clock = F.lit(None).cast("date"), F.lit("")
-    for pattern, parsed, group in reversed(shapes):
-        hit = t.rlike(pattern)
-        date = F.when(hit, parsed).otherwise(date)
-        clock = F.when(hit, F.regexp_extract(t, pattern, group)).otherwise(clock)
-    return date, clock
+    t = F.lower(squeeze(text))
+    s = F.regexp_replace(F.regexp_replace(t, CLOCK, ""), r"(\d)[/.](\d{1,2})[/.](\d)", "$1-$2-$3")
+    for shape, year_first in DATE_SHAPES:
+        s = F.regexp_replace(s, shape, year_first)
+    for number, month in enumerate(MONTHS, start=1):
+        s = F.replace(s, F.lit(f"-{month}-"), F.lit(f"-{number}-"))
+
+    def read(order: str) -> Column:
+        ordered = F.regexp_replace(s, r"^\?(\d{4})-(\d{1,2})-(\d{1,2})$", order)
+        return F.regexp_extract(ordered, r"^(\d{4}-\d{1,2}-\d{1,2})$", 1).try_cast("date")
+
+    day_month, month_day = read("$1-$3-$2"), read("$1-$2-$3")
+    date = F.coalesce(day_month, month_day) if day_first else F.coalesce(month_day, day_month)
+    return date, F.regexp_extract(t, CLOCK, 1)
 
 
 @standardiser("parse_date_auto")
