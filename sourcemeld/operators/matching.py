@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sourcemeld.contract import Contract, Entity, Field
 from sourcemeld.functions.policy import clear_score, types_compatible
 from sourcemeld.functions.similarity import cosine, lexical_score
-from sourcemeld.functions.text import exact_label, label, squeeze, tokens
+from sourcemeld.functions.text import exact_label, label, sql_text, squeeze, tokens
 from sourcemeld.settings import (
     AUTO_MARGIN,
     AUTO_SCORE,
@@ -49,7 +49,7 @@ DISJOINT_FACTOR, NAME_FACTOR, INCOMPATIBLE_FACTOR, ALIGNED_BONUS = 0.15, 0.55, 0
 
 
 def _text_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return F.expr(_sql_array(values))
 
 
 def domains(words: Column) -> Column:
@@ -59,14 +59,20 @@ def domains(words: Column) -> Column:
     )
 
 
-def _field_words(f: Field) -> Column:
-    return tokens(*[F.lit(t) for t in (f.name, f.description, *f.aliases)])
+def _words(*texts: str) -> set[str]:
+    return {w for t in texts for w in t.lower().translate(str.maketrans("_-/", "   ")).split()}
+
+
+def _field_words(f: Field) -> set[str]:
+    return _words(f.name, f.description, *f.aliases)
 
 
 def _name_parts(entity: Entity) -> int:
-    texts = (" ".join((f.name, f.description, *f.aliases)).lower() for f in entity.fields)
-    split_words = (set(t.translate(str.maketrans("_-/", "   ")).split()) for t in texts)
-    return sum(bool(words & set(NAME_PARTS_OF_CONTRACT)) for words in split_words)
+    return sum(bool(_field_words(f) & set(NAME_PARTS_OF_CONTRACT)) for f in entity.fields)
+
+
+def _sql_array(values) -> str:
+    return f"cast(array({', '.join(sql_text(v) for v in values)}) as array<string>)"
 
 
 def contract_labels(contract: Contract) -> Column:
@@ -75,16 +81,12 @@ def contract_labels(contract: Contract) -> Column:
     for i, e in enumerate(contract.entities):
         for k, f in enumerate(e.fields):
             for text in (f.name, *f.aliases):
+                plain = " ".join(text.replace("_", " ").replace("-", " ").split()).lower()
                 rows.append(
-                    F.struct(
-                        F.lit(e.name).alias("entity"),
-                        F.lit(i).alias("entity_ordinal"),
-                        F.lit(f.name).alias("field"),
-                        F.lit(k).alias("field_ordinal"),
-                        label(F.lit(text)).alias("target_label"),
-                    )
+                    f"named_struct('entity', {sql_text(e.name)}, 'entity_ordinal', {i}, 'field', {sql_text(f.name)}, "
+                    f"'field_ordinal', {k}, 'target_label', {sql_text(plain)})"
                 )
-    return F.array(*rows)
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def label_scores(labels: DataFrame, contract: Contract) -> DataFrame:
@@ -263,18 +265,17 @@ def field_facts(contract: Contract) -> Column:
     for e in contract.entities:
         parts = _name_parts(e)
         for f in e.fields:
+            words = _field_words(f)
+            inside = [d for d, vocabulary in DOMAIN_WORDS.items() if words & set(vocabulary)]
+            is_part = parts >= 2 and ("first_name" in f.name or "last_name" in f.name)
+            aliases = [a.replace("_", " ").replace("-", " ").strip().lower() for a in f.aliases]
             rows.append(
-                F.struct(
-                    F.lit(e.name).alias("fact_entity"),
-                    F.lit(f.name).alias("fact_field"),
-                    F.lit(f.data_type).alias("data_type"),
-                    domains(_field_words(f)).alias("field_domains"),
-                    F.lit(parts >= 2 and ("first_name" in f.name or "last_name" in f.name)).alias("is_name_part"),
-                    F.lower(F.translate(F.lit(f.name), "_", " ")).alias("exact_name"),
-                    F.array(*[exact_label(F.lit(a)) for a in f.aliases]).cast("array<string>").alias("exact_aliases"),
-                )
+                f"named_struct('fact_entity', {sql_text(e.name)}, 'fact_field', {sql_text(f.name)}, "
+                f"'data_type', {sql_text(f.data_type)}, 'field_domains', {_sql_array(inside)}, "
+                f"'is_name_part', {str(is_part).lower()}, 'exact_name', {sql_text(f.name.replace('_', ' ').lower())}, "
+                f"'exact_aliases', {_sql_array(aliases)})"
             )
-    return F.array(*rows)
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def adjusted_score(score: Column, query: Column, field_domains: Column, is_name_part: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcemeld.functions.text import filled, strip
+from sourcemeld.functions.text import filled, sql_text
 from sourcemeld.sources.readers import data_columns
 
 SAMPLE_ROWS = 100
@@ -13,22 +13,22 @@ SAMPLES = 5
 
 # Shapes that tell the type of a text.
 INTEGER = r"^[+-]?(0|[1-9][0-9]{0,17})$"
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 DATE = r"^([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}|[A-Za-z]{3,9} [0-9]{1,2},? [0-9]{4}|[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4})"
-CLOCK = r"[T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
-
-
-def value_type(c: Column) -> Column:
-    """Narrowest contract type one text fits; NULL for a missing value."""
-    t = strip(c)
-    return (
-        F.when(~filled(c), F.lit(None))
-        .when(t.rlike(INTEGER), "integer")
-        .when(t.rlike(NUMBER) & ~t.rlike(r"^[+-]?0[0-9]+$"), "number")
-        .when(F.lower(t).isin("true", "false"), "boolean")
-        .when(t.rlike(DATE + "$"), "date")
-        .when(t.rlike(DATE + CLOCK), "datetime")
-        .otherwise("string")
+CLOCK = r"[T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
+
+
+def value_type(name: str) -> Column:
+    """Narrowest contract type one text of a column fits; NULL for a missing value."""
+    raw = f"`{name}`"
+    t = f"regexp_replace({raw}, '(?U)^\\\\s+|\\\\s+$', '')"
+    return F.expr(
+        f"case when {raw} is null or {raw} = '' then null "
+        f"when {t} rlike '{INTEGER}' then 'integer' "
+        f"when {t} rlike '{NUMBER}' and not {t} rlike '^[+-]?0[0-9]+$' then 'number' "
+        f"when lower({t}) in ('true', 'false') then 'boolean' "
+        f"when {t} rlike '{DATE}$' then 'date' "
+        f"when {t} rlike '{DATE}{CLOCK}' then 'datetime' else 'string' end"
     )
 
 
@@ -43,37 +43,31 @@ def column_types(df: DataFrame) -> DataFrame:
     Counts per type are summed map-side; no value leaves its partition.
     """
     names = data_columns(df)
-    kinds = df.select("source_file", *[value_type(F.col(f"`{n}`")).alias(f"k{i}") for i, n in enumerate(names)])
+    kinds = df.select("source_file", *[value_type(n).alias(f"k{i}") for i, n in enumerate(names)])
     types = ("integer", "number", "boolean", "date", "datetime")
     counts = [F.count(F.lit(1)).alias("n_rows")]
     for i in range(len(names)):
         counts.append(F.count(f"k{i}").alias(f"k{i}_filled"))
-        counts += [F.count_if(F.col(f"k{i}") == t).alias(f"k{i}_{t}") for t in types]
+        counts += [F.expr(f"count_if(k{i} = '{t}')").alias(f"k{i}_{t}") for t in types]
     summed = kinds.groupBy("source_file").agg(*counts)
 
-    def inferred(i: int) -> Column:
-        n = F.col(f"k{i}_filled")
+    def inferred(i: int) -> str:
+        k = f"k{i}"
         return (
-            F.when(n == 0, "unknown")
-            .when(F.col(f"k{i}_integer") == n, "integer")
-            .when(F.col(f"k{i}_integer") + F.col(f"k{i}_number") == n, "number")
-            .when(F.col(f"k{i}_boolean") == n, "boolean")
-            .when(F.col(f"k{i}_date") == n, "date")
-            .when(F.col(f"k{i}_date") + F.col(f"k{i}_datetime") == n, "datetime")
-            .otherwise("string")
+            f"case when {k}_filled = 0 then 'unknown' when {k}_integer = {k}_filled then 'integer' "
+            f"when {k}_integer + {k}_number = {k}_filled then 'number' when {k}_boolean = {k}_filled then 'boolean' "
+            f"when {k}_date = {k}_filled then 'date' when {k}_date + {k}_datetime = {k}_filled then 'datetime' "
+            "else 'string' end"
         )
 
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("column"),
-                F.lit(i).alias("ordinal"),
-                inferred(i).alias("inferred_type"),
-                F.col("n_rows").alias("n_rows"),
-                (F.col("n_rows") - F.col(f"k{i}_filled")).alias("n_nulls"),
-            )
+    rows = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('column', {sql_text(n)}, 'ordinal', {i}, 'inferred_type', {inferred(i)}, "
+            f"'n_rows', n_rows, 'n_nulls', n_rows - k{i}_filled)"
             for i, n in enumerate(names)
-        ]
+        )
+        + ")"
     )
     return summed.select("source_file", F.inline(rows))
 

@@ -17,6 +17,8 @@ def build_session(master: str | None = None, app: str = "sourcemeld", **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Call sites are looked up per expression otherwise, which dwarfs planning time.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     builder = SparkSession.builder.appName(app)
     if master:
