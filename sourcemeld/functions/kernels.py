@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 CELLS = 4_000_000
 
@@ -170,24 +171,39 @@ def best_partners(names: int, exacts: int, floor: float):
                         )
                     )
                 )
-        columns = ["pid", "other", "other_copies", "score"]
         if not kept:
-            return pd.DataFrame({c: [] for c in columns})
-        return _two_best(pd.concat(kept))[columns]
+            return None
+        return _two_best(pd.concat(kept))
+
+    def batch(found: pd.DataFrame) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(found["pid"].tolist(), pa.string()),
+                pa.array(found["other"].tolist(), pa.string()),
+                pa.array(found["other_copies"].to_numpy(dtype=np.int64), pa.int64()),
+                pa.array(found["score"].to_numpy(dtype=np.float64), pa.float64()),
+            ],
+            names=["pid", "other", "other_copies", "score"],
+        )
 
     def run(batches):
         waiting = None
-        for pdf in batches:
+        for part in batches:
+            pdf = part.to_pandas()
+            if not len(pdf):
+                continue
             if waiting is not None:
                 pdf = pd.concat([waiting, pdf], ignore_index=True)
             last = pdf.iloc[-1]
             open_group = (
                 (pdf["block"] == last["block"]) & (pdf["tile_a"] == last["tile_a"]) & (pdf["tile_b"] == last["tile_b"])
             ).to_numpy()
-            if not open_group.all():
-                yield compare(pdf[~open_group].reset_index(drop=True))
+            found = None if open_group.all() else compare(pdf[~open_group].reset_index(drop=True))
+            if found is not None:
+                yield batch(found)
             waiting = pdf[open_group].reset_index(drop=True)
-        if waiting is not None and len(waiting):
-            yield compare(waiting)
+        found = None if waiting is None else compare(waiting)
+        if found is not None:
+            yield batch(found)
 
     return run

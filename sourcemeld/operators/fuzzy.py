@@ -196,7 +196,7 @@ def best_candidates(
             tiled.withColumns({"emask": F.col("emask").cast("bigint"), "nmask": F.col("nmask").cast("bigint")})
             .repartition(*group)
             .sortWithinPartitions(*group, "pid")
-            .mapInPandas(
+            .mapInArrow(
                 kernels.best_partners(len(names), len(exacts), floor),
                 "pid string, other string, other_copies bigint, score double",
             )
