@@ -36,46 +36,51 @@ def run_chains(df: DataFrame, chains: list[Chain], skip_missing: bool = False) -
     missing output, not an error.
     """
     kinds = {c.name: TEXT for c in chains}
-    state = df.withColumns(
-        {f"{c.name}__v": c.source.cast("string") for c in chains}
-        | {f"{c.name}__t": F.lit(None).cast("string") for c in chains}
-        | {f"{c.name}__error": F.lit(None).cast("string") for c in chains}
-        | {f"{c.name}__n": F.lit(0) for c in chains}
-    )
-    if skip_missing:
-        state = state.withColumns({f"{c.name}__skip": is_missing(F.col(f"{c.name}__v")) for c in chains})
+    state = df.withColumns({f"{c.name}__v": c.source.cast("string") for c in chains})
     for depth in range(max((len(c.steps) for c in chains), default=0)):
         tried, settled = {}, {}
         for c in (c for c in chains if depth < len(c.steps)):
-            step, n = c.steps[depth], c.name
+            n = c.name
             value = Value(F.col(f"{n}__v"), kinds[n])
-            error_so_far = F.col(f"{n}__error")
-            new, error, kind = _attempt(step, value)
-            if skip_missing:
-                skipped = F.col(f"{n}__skip")
-                error = F.when(~skipped, error)
-                new = F.when(~skipped, new)
-            tried[f"{n}__new"], tried[f"{n}__err"] = new, error
-            failed_now = error_so_far.isNull() & F.col(f"{n}__err").isNotNull()
-            settled[f"{n}__t"] = F.when(failed_now, as_text(value)).otherwise(F.col(f"{n}__t"))
-            settled[f"{n}__error"] = F.coalesce(error_so_far, F.col(f"{n}__err"))
-            fine = error_so_far.isNull() & F.col(f"{n}__err").isNull()
-            settled[f"{n}__n"] = F.col(f"{n}__n") + fine.cast("int")
-            settled[f"{n}__v"] = F.when(fine, F.col(f"{n}__new"))
+            new, error, kind = _attempt(c.steps[depth], value)
+            if skip_missing and error is not None:
+                error = F.when(~is_missing(c.source.cast("string")), error)
+            tried[f"{n}__new"] = new
+            tried[f"{n}__err"] = F.lit(None).cast("string") if error is None else error
+            err = F.col(f"{n}__err")
+            if depth == 0:
+                settled[f"{n}__error"] = err
+                settled[f"{n}__t"] = F.when(err.isNotNull(), as_text(value))
+                settled[f"{n}__n"] = F.when(err.isNull(), 1).otherwise(0)
+                settled[f"{n}__v"] = F.when(err.isNull(), F.col(f"{n}__new"))
+            else:
+                before = F.col(f"{n}__error")
+                fine = before.isNull() & err.isNull()
+                settled[f"{n}__error"] = F.coalesce(before, err)
+                settled[f"{n}__t"] = F.when(before.isNull() & err.isNotNull(), as_text(value)).otherwise(F.col(f"{n}__t"))
+                settled[f"{n}__n"] = F.col(f"{n}__n") + fine.cast("int")
+                settled[f"{n}__v"] = F.when(fine, F.col(f"{n}__new"))
             kinds[n] = kind
-        state = state.withColumns(tried).withColumns(settled).drop(*tried)
+        state = state.withColumns(tried).withColumns(settled)
     final = {}
     for c in chains:
         n = c.name
-        final[f"{n}__value"] = F.coalesce(F.col(f"{n}__t"), as_text(Value(F.col(f"{n}__v"), kinds[n])))
-        names = F.array(*[F.lit(s.operation) for s in c.steps]) if c.steps else F.array().cast("array<string>")
-        final[f"{n}__applied"] = F.slice(names, F.lit(1), F.col(f"{n}__n"))
-    helpers = [f"{c.name}__{part}" for c in chains for part in ("v", "t", "n", "skip")]
+        result = as_text(Value(F.col(f"{n}__v"), kinds[n]))
+        if c.steps:
+            names = F.array(*[F.lit(s.operation) for s in c.steps])
+            final[f"{n}__value"] = F.coalesce(F.col(f"{n}__t"), result)
+            final[f"{n}__applied"] = F.slice(names, F.lit(1), F.col(f"{n}__n"))
+        else:
+            final[f"{n}__value"] = result
+            final[f"{n}__error"] = F.lit(None).cast("string")
+            final[f"{n}__applied"] = F.array().cast("array<string>")
+        if skip_missing:
+            final[f"{n}__value"] = F.when(~is_missing(c.source.cast("string")), final[f"{n}__value"])
+    helpers = [f"{c.name}__{part}" for c in chains for part in ("v", "t", "n", "new", "err")]
     return state.withColumns(final).drop(*helpers)
 
 
-def _attempt(step: Step, value: Value) -> tuple[Column, Column, str]:
-    none = F.lit(None).cast("string")
+def _attempt(step: Step, value: Value) -> tuple[Column, Column | None, str]:
     if step.proposed:
         return value.col, F.lit("new_transformation"), value.kind
     if step.operation not in REGISTRY:
@@ -84,7 +89,7 @@ def _attempt(step: Step, value: Value) -> tuple[Column, Column, str]:
         outcome = standardise(value, step.operation, step.params)
     except StepError as exc:
         return value.col, F.lit(str(exc)), value.kind
-    return outcome.col, none if outcome.error is None else outcome.error, outcome.kind
+    return outcome.col, outcome.error, outcome.kind
 
 
 def error_reason(error: Column) -> Column:

@@ -9,6 +9,7 @@ from sourcemeld.contract import Contract, contract_from_dict, contract_fields
 from sourcemeld.functions.text import exact_label
 from sourcemeld.operators import matching as M
 from sourcemeld.operators.planning import enum_plan, unresolved_reviews
+from sourcemeld.session import Scratch
 from workload.party import table
 
 QUERIES, SQL = {}, {}
@@ -172,14 +173,16 @@ scores as (select query, entity, entity_ordinal, field, field_ordinal, max(score
 
 
 def _scores(spark, sf_dir):
+    """Label scores are small and read by several operators, so they are written once."""
     cat = catalog(spark, sf_dir)
     contract = trade_contract()
-    return cat, contract, M.label_scores(M.distinct_labels(cat), contract)
+    return cat, contract, Scratch(spark).write(M.label_scores(M.distinct_labels(cat), contract), "scores")
 
 
 @query("label_similarity", f"with {SCORES_SQL} select query, entity, field, round(raw_score, 6) as raw_score, exact from scores")
 def label_similarity(spark, sf_dir):
-    _, _, scores = _scores(spark, sf_dir)
+    cat = catalog(spark, sf_dir)
+    scores = M.label_scores(M.distinct_labels(cat), trade_contract())
     return scores.select("query", "entity", "field", F.round("raw_score", 6).alias("raw_score"), "exact")
 
 
@@ -274,7 +277,7 @@ staged as (select *, case when match <> 'similarity' or (score >= 0.86 and margi
 
 def _columns(spark, sf_dir):
     cat, contract, scores = _scores(spark, sf_dir)
-    entities = M.detect_entities(cat, contract, scores)
+    entities = Scratch(spark).write(M.detect_entities(cat, contract, scores), "entities")
     return cat, contract, entities, M.column_candidates(cat, entities, M.match_candidates(scores, contract))
 
 
@@ -371,7 +374,7 @@ def required_coverage(spark, sf_dir):
 def suppressed_reviews(spark, sf_dir):
     """Weak columns as mapping reviews: which of them would be asked, which suppressed."""
     cat, contract, entities, choices = _columns(spark, sf_dir)
-    mapping = M.decide_fields(choices)
+    mapping = Scratch(spark).write(M.decide_fields(choices), "mapping")
     gaps = M.missing_required(mapping, contract_fields(spark, contract), cat, entities)
     weak = mapping.where("decision = 'dropped'").select(
         "entity", "source_file", "source_column", F.lit(None).cast("string").alias("target_field"),
