@@ -61,7 +61,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     current = scratch.write(directed, "edges")
     while not _is_star_forest(current):
         rows = current.count()
-        following = scratch.write(_large_star(_small_star(current, rows), 2 * rows), "edges")
+        hooked = _large_star(_small_star(current, rows), 2 * rows)
+        following = scratch.write(_large_star(hooked, 2 * rows), "edges")
         scratch.drop(current)
         current = following
     children = current.select(F.col("child").alias("node"), F.col("parent").alias("root"))
