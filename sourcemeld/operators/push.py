@@ -80,16 +80,18 @@ def extend_ledger(ledger: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def pushed_status(status: DataFrame, outcomes: DataFrame, rows: int | None = None) -> DataFrame:
     """Record table after a push: PUSHED with the target key, or PUSH_FAILED."""
-    told = outcomes.select("record_id", "outcome", "target_key")
+    told = outcomes.select("record_id", "outcome", F.col("target_key").alias("__key"))
+    before = F.col("target_key") if "target_key" in status.columns else F.lit(None).cast("string")
     return (
         lookup_join(status, told, "record_id", rows)
+        .withColumn("target_key", F.coalesce("__key", before))
         .withColumn(
             "status",
             F.when(F.col("outcome") == "rejected", PUSH_FAILED)
             .when(F.col("outcome").isNotNull(), PUSHED)
             .otherwise(F.col("status")),
         )
-        .drop("outcome")
+        .drop("outcome", "__key")
     )
 
 

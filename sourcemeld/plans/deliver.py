@@ -48,7 +48,7 @@ def _deliver(done: EntityRun, status, pushable, store, run_id, key_fields, rejec
     # Written before the target changes, so that outcomes stay what they were.
     outcomes = scratch.write(push_outcomes(payload, store.ledger(entity), reject), "outcomes")
     store.write(entity, outcomes.where("outcome = 'accepted'"))
-    after = scratch.write(pushed_status(status.drop("target_key"), outcomes), "status")
+    after = scratch.write(pushed_status(status, outcomes), "status")
     failed = after.agg(F.count_if(F.col("status") == PUSH_FAILED).alias("n"))
     run_status = failed.select(delivered_status(F.col("n"))).first()[0]
     if audit is not None:
