@@ -7,8 +7,10 @@ how many exact fields must agree, so records meet in a block per agreeing combin
 that can score without any agreeing exact field meet through rare letters of their names
 (prefix filter). No qualifying pair is missed.
 
-Equal records are collapsed first, so copies cost one row. Big blocks are cut into tiles and
-compared tile by tile; a task sees two tiles at most and returns two partners per record.
+Equal records are collapsed first, so copies cost one row. A big block (a phone number that a
+third of all rows share) is first cut by the rare letters its pairs must have in common, then
+into tiles that are compared pairwise; a task sees two tiles at most and returns two partners
+per record.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from sourcemeld.settings import AMBIGUOUS_MATCH, LIMITS, PAIR_MARGIN, PAIR_REVIE
 # Fields compared by similarity and by equality.
 NAME_FIELDS = ("first_name", "last_name")
 EXACT_FIELDS = ("email", "phone", "date_of_birth")
+# Below this name ratio shared letters say too little to cut a block by them.
+NARROW_FROM = 0.7
 # Fixed value: letters from rare to common.
 RARE_LETTERS = "zqxjkvbpygfwmucldrhsnioate "
 
@@ -43,9 +47,17 @@ def _bits(mask: int) -> int:
     return bin(mask).count("1")
 
 
-def block_plan(masks: list[tuple[int, int]], floor: float = PAIR_REVIEW_SCORE) -> dict[Block, set[tuple[int, int]]]:
+@dataclass
+class Entrants:
+    """Who enters a block kind, and the ratio that at least one name of a qualifying pair has."""
+
+    masks: set[tuple[int, int]]
+    name_ratio: float = 1.0
+
+
+def block_plan(masks: list[tuple[int, int]], floor: float = PAIR_REVIEW_SCORE) -> dict[Block, Entrants]:
     """For each block kind the (exact mask, name mask) combinations that must enter it."""
-    plan: dict[Block, set[tuple[int, int]]] = {}
+    plan: dict[Block, Entrants] = {}
     for left, right in product(masks, masks):
         common, names = left[0] & right[0], _bits(left[1] & right[1])
         parts = names + _bits(common)
@@ -54,7 +66,10 @@ def block_plan(masks: list[tuple[int, int]], floor: float = PAIR_REVIEW_SCORE) -
         agree = common
         while True:
             if (names + _bits(agree)) / parts >= floor - 1e-12:
-                plan.setdefault(Block(common, agree), set()).update((left, right))
+                entrants = plan.setdefault(Block(common, agree), Entrants(set()))
+                entrants.masks.update((left, right))
+                needed = (floor * parts - _bits(agree)) / names if names else 0.0
+                entrants.name_ratio = min(entrants.name_ratio, needed)
             if agree == 0:
                 break
             agree = (agree - 1) & common
@@ -132,25 +147,47 @@ def _placed(keys: Column, spec: Block) -> Column:
     return F.transform(keys, lambda x: F.struct(common.alias("common"), agree.alias("agree"), x.alias("block")))
 
 
-def _block_keys(plan: dict[Block, set[tuple[int, int]]], names: list[str], floor: float) -> Column:
+def _name_keys(names: list[str], ratio: float, tag: str) -> Column:
+    """Letter keys of all filled names."""
+    none = F.array().cast("array<string>")
+    return F.flatten(
+        F.array(*[F.coalesce(_tagged(letter_keys(F.col(f"n{k}"), ratio), f"{tag}:{k}"), none) for k in range(len(names))])
+    )
+
+
+def _narrower(plan: dict[Block, Entrants], names: list[str]) -> Column:
+    """Keys that cut a big block by the letters its pairs must share; blocks that ask little stay whole."""
+    keys = F.array(F.col("block"))
+    for spec, entrants in plan.items():
+        if spec.agree and entrants.name_ratio >= NARROW_FROM:
+            own = F.array_distinct(_name_keys(names, entrants.name_ratio, ""))
+            mine = (F.col("common") == spec.common) & (F.col("agree") == spec.agree)
+            keys = F.when(mine, F.transform(own, lambda x: F.concat_ws("\u0003", F.col("block"), x))).otherwise(keys)
+    return keys
+
+
+def _tiles(keyed: DataFrame, tile_rows: int) -> DataFrame:
+    """(block, tiles) of every block with at least two rows."""
+    return (
+        keyed.groupBy("block")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("block", F.ceil(F.col("n") / tile_rows).cast("int").alias("tiles"))
+    )
+
+
+def _block_keys(plan: dict[Block, Entrants], names: list[str], floor: float) -> Column:
     """Array of (common, agree, block) a profile enters."""
     mask = F.concat_ws(":", "emask", "nmask")
     entries = []
-    for spec, masks in sorted(plan.items(), key=lambda x: (x[0].common, x[0].agree)):
-        enters = mask.isin(*[f"{e}:{n}" for e, n in sorted(masks)])
+    for spec, entrants in sorted(plan.items(), key=lambda x: (x[0].common, x[0].agree)):
+        enters = mask.isin(*[f"{e}:{n}" for e, n in sorted(entrants.masks)])
         agreed = [F.col(f"e{k}") for k in range(16) if spec.agree >> k & 1]
         tag = f"{spec.common}:{spec.agree}"
         if agreed:
             keys = F.array(F.concat_ws("\u0001", F.lit(tag), *agreed))
         else:
-            keys = F.flatten(
-                F.array(
-                    *[
-                        F.coalesce(_tagged(letter_keys(F.col(f"n{k}"), floor), f"{tag}:{k}"), F.array().cast("array<string>"))
-                        for k in range(len(names))
-                    ]
-                )
-            )
+            keys = _name_keys(names, floor, tag)
         empty = F.array().cast("array<struct<common:bigint,agree:bigint,block:string>>")
         entries.append(F.when(enters, _placed(keys, spec)).otherwise(empty))
     return F.flatten(F.array(*entries))
@@ -177,16 +214,15 @@ def best_candidates(
     if plan:
         entered = profiles.select(*carried, F.explode(_block_keys(plan, names, floor)).alias("k")).select(*carried, "k.*")
         keyed = scratch.write(entered.dropDuplicates(["pid", "block"]), "blocks")
-        sizes = (
-            keyed.groupBy("block")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .where("n > 1")
-            .select("block", F.ceil(F.col("n") / tile_rows).cast("int").alias("tiles"))
-        )
+        sizes = scratch.write(_tiles(keyed, tile_rows), "sizes")
+        met = lookup_join(keyed, sizes, "block", keyed.count()).where("tiles is not null")
+        if not sizes.where("tiles > 1").isEmpty():
+            big = met.where("tiles > 1").drop("tiles").withColumn("block", F.explode(_narrower(plan, names)))
+            big = scratch.write(big, "big-blocks")
+            cut = lookup_join(big, _tiles(big, tile_rows), "block", big.count()).where("tiles is not null")
+            met = met.where("tiles = 1").unionByName(cut)
         tiled = (
-            lookup_join(keyed, sizes, "block", keyed.count())
-            .where("tiles is not null")
-            .withColumn("tile", F.pmod(F.xxhash64("pid"), F.col("tiles")).cast("int"))
+            met.withColumn("tile", F.pmod(F.xxhash64("pid"), F.col("tiles")).cast("int"))
             .withColumn("against", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
             .withColumns({"tile_a": F.least("tile", "against"), "tile_b": F.greatest("tile", "against")})
             .drop("tiles", "against")
