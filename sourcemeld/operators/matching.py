@@ -341,8 +341,8 @@ def column_candidates(catalog: DataFrame, entities: DataFrame, candidates: DataF
 def decide_fields(column_choices: DataFrame, proposals: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
     """One row per column: auto, proposed, fallback, override, review or dropped.
 
-    ``proposals`` (entity, source_column, target_field, needs_review) come from outside and
-    count only when they name one of the column's candidates. ``overrides`` (entity,
+    ``proposals`` (entity, source_column, target_field, needs_review, perhaps confidence) come
+    from outside and count only when they name one of the column's candidates. ``overrides`` (entity,
     source_column, target_field) are approved decisions and win with confidence 1.
     """
     keys = ["entity", "source_file", "source_column"]
@@ -358,8 +358,9 @@ def decide_fields(column_choices: DataFrame, proposals: DataFrame | None = None,
     stage = F.when(auto, "auto").when(undecided, "undecided").otherwise("dropped")
     decided = top.withColumn("stage", stage).join(alternatives, keys, "left")
     if proposals is None:
-        decided = decided.withColumn("proposed", F.lit(None).cast("string"))
+        decided = decided.withColumns({"proposed": F.lit(None).cast("string"), "sure": F.lit(None).cast("double")})
     else:
+        sure = F.col("confidence") if "confidence" in proposals.columns else F.lit(None).cast("double")
         valid = (
             proposals.where(~F.coalesce(F.col("needs_review"), F.lit(False)))
             .join(
@@ -367,7 +368,8 @@ def decide_fields(column_choices: DataFrame, proposals: DataFrame | None = None,
                 ["entity", "source_column", "target_field"],
             )
             .groupBy(*keys)
-            .agg(F.min("target_field").alias("proposed"))
+            .agg(F.min(F.struct("target_field", sure.alias("sure"))).alias("told"))
+            .select(*keys, F.col("told.target_field").alias("proposed"), F.col("told.sure").alias("sure"))
         )
         decided = decided.join(valid, keys, "left")
     if overrides is None:
@@ -395,7 +397,10 @@ def decide_fields(column_choices: DataFrame, proposals: DataFrame | None = None,
         "inferred_type",
         target.alias("target_field"),
         F.col("target_field").alias("best_field"),
-        F.when(F.col("decision") == "override", 1.0).otherwise(F.col("score")).alias("confidence"),
+        F.when(F.col("decision") == "override", 1.0)
+        .when(F.col("decision") == "proposed", F.coalesce("sure", "score"))
+        .otherwise(F.col("score"))
+        .alias("confidence"),
         "raw_score",
         F.round("margin", 4).alias("margin"),
         "match",

@@ -45,7 +45,7 @@ DECISION_COLUMNS = {
     "target_field": "string",
     "corrections": "map<string,string>",
     "value_map": "map<string,string>",
-    "operations": "array<string>",
+    "steps": "array<struct<operation:string,params:map<string,string>>>",
     "actor": "string",
     "decided_at": "timestamp_ntz",
 }
@@ -156,9 +156,10 @@ def check_decisions(decisions: DataFrame, queue: DataFrame) -> DataFrame:
         & ~meaningful_text(F.col("source_field"))
         & ~meaningful_map(corrections)
         & ~meaningful_map(answers)
-        & (F.coalesce(F.size("operations"), F.lit(0)) <= 0)
+        & (F.coalesce(F.size("steps"), F.lit(0)) <= 0)
     )
-    blank_operation = F.exists(F.coalesce("operations", _empty("array")), lambda o: ~meaningful_text(o))
+    named = F.coalesce(F.col("steps")["operation"], _empty("array"))
+    blank_operation = F.exists(named, lambda o: ~meaningful_text(o))
     target = F.coalesce("target_field", "context_target")
     mapping_kind = F.col("kind") == AMBIGUOUS_MAPPING
     record_kind = F.col("kind") == INVALID_RECORD
@@ -200,6 +201,23 @@ def open_reviews(queue: DataFrame, accepted: DataFrame) -> DataFrame:
     return queue.join(accepted.select("review_id").distinct(), "review_id", "left_anti")
 
 
+def review_states(earlier: DataFrame, queue: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(review_id, reason_code, state) over two runs: OPEN, RESOLVED or SUPERSEDED.
+
+    A re-run replaces the open reviews; those that do not come back and were not answered are
+    superseded.
+    """
+    known = earlier.select("review_id", "reason_code").unionByName(queue.select("review_id", "reason_code")).distinct()
+    answered = accepted.select("review_id").distinct().withColumn("__answered", F.lit(True))
+    current = queue.select("review_id").distinct().withColumn("__open", F.lit(True))
+    state = F.when(F.col("__answered"), "RESOLVED").when(F.col("__open"), "OPEN").otherwise("SUPERSEDED")
+    return (
+        known.join(answered, "review_id", "left")
+        .join(current, "review_id", "left")
+        .select("review_id", "reason_code", state.alias("state"))
+    )
+
+
 def decision_log(accepted: DataFrame) -> DataFrame:
     """Audit rows of resolved reviews."""
     return accepted.select(
@@ -222,9 +240,9 @@ def mapping_overrides(accepted: DataFrame) -> DataFrame:
 
 
 def step_overrides(accepted: DataFrame) -> DataFrame:
-    """(entity, source_column, operations): the latest approved steps."""
-    usable = accepted.where(filled(F.col("source_field")) & (F.size("operations") > 0))
-    return _latest(usable, ["entity", "source_field"], "operations").withColumnRenamed("source_field", "source_column")
+    """(entity, source_column, steps): the latest approved steps."""
+    usable = accepted.where(filled(F.col("source_field")) & (F.size("steps") > 0))
+    return _latest(usable, ["entity", "source_field"], "steps").withColumnRenamed("source_field", "source_column")
 
 
 def value_answers(accepted: DataFrame) -> DataFrame:

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcemeld.contract import Contract, Entity, contract_fields
-from sourcemeld.functions.steps import Step, run_chains, Chain
-from sourcemeld.functions.text import blank_to_null, label, exact_label
+from sourcemeld.functions.steps import Chain, Step, run_chains
 from sourcemeld.operators import identity, matching, planning, profile, review, survivorship, validation
 from sourcemeld.operators.fuzzy import fuzzy_identity
 from sourcemeld.operators.standardise import Mapped, standardise_source, step_error_rows
@@ -20,10 +19,8 @@ from sourcemeld.settings import (
     AMBIGUOUS_MATCH,
     CONFLICTING_VALUES,
     INVALID_RECORD,
-    LIMITS,
     UNMAPPED_VALUE,
 )
-from sourcemeld.sources.readers import data_columns
 
 
 @dataclass
@@ -58,9 +55,6 @@ class Run:
     by_entity: dict[str, EntityRun] = field(default_factory=dict)
 
 
-AUDIT = "action string, reason string, record_key string, data string"
-
-
 def run(
     spark: SparkSession,
     sources: list[DataFrame],
@@ -176,12 +170,15 @@ def _plan_source(spark, source, name, entity, rows, decisions, scratch, unresolv
     approved, answers = {}, None
     if decisions.accepted is not None:
         mine = decisions.accepted.where(F.col("entity") == entity.name)
-        approved = {r.source_column: r.operations for r in review.step_overrides(mine).collect()}
+        approved = {
+            r.source_column: [Step(s.operation, dict(s.params or {})) for s in r.steps]
+            for r in review.step_overrides(mine).collect()
+        }
         answers = review.value_answers(mine)
     mapped = []
     for r in rows:
         target = entity.field(r.target_field)
-        proposed = [Step(o) for o in approved[r.source_column]] if r.source_column in approved else planning.default_steps(target)
+        proposed = approved.get(r.source_column) or planning.default_steps(target)
         steps = planning.plan_steps(target, facts.get(r.source_column, {}), proposed)
         if not target.enum_values:
             mapped.append(Mapped(r.source_column, r.target_field, tuple(steps)))

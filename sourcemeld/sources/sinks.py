@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourcemeld.contract import Entity
+from sourcemeld.contract import Contract, Entity
 
 
 class TargetStore:
@@ -71,6 +71,10 @@ class TargetStore:
             .select("record_key", "payload.*")
         )
 
+    def listing(self, contract: Contract) -> dict[str, DataFrame]:
+        """The current table of every entity."""
+        return {e.name: self.current(e) for e in contract.entities}
+
     def ledger(self, entity: Entity) -> DataFrame:
         return self.alive(entity).select("idem_key", "record_key").distinct()
 
@@ -95,6 +99,13 @@ class TargetStore:
         return version
 
 
+def save_derived(df: DataFrame, root: str, name: str, run_id: str) -> str:
+    """Write a derived table of a run; running again replaces it, other runs stay."""
+    path = f"{root.rstrip('/')}/{name}/run_id={run_id}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
 AUDIT_SCHEMA = (
     "run_id string, created_at timestamp_ntz, record_id string, actor string, action string, reason string, data string"
 )

@@ -411,7 +411,7 @@ def _decisions(items: DataFrame) -> DataFrame:
         F.when(n == 0, F.lit("closed")).otherwise(F.col("review_id")).alias("review_id"),
         "reason_code", "entity", "record_key", F.lit(None).cast("string").alias("source_field"), F.lit(None).cast("string").alias("target_field"),
         F.create_map(F.when(n == 1, F.lit("balance")).otherwise(field), value).alias("corrections"),
-        F.lit(None).cast("map<string,string>").alias("value_map"), F.lit(None).cast("array<string>").alias("operations"),
+        F.lit(None).cast("map<string,string>").alias("value_map"), F.lit(None).cast(V.DECISION_COLUMNS["steps"]).alias("steps"),
         F.lit("clerk").alias("actor"), F.lit("2024-05-01 10:00:00").cast("timestamp_ntz").alias("decided_at"),
     )
 
@@ -437,6 +437,21 @@ def open_after_decisions(spark, sf_dir):
     return V.open_reviews(queue, accepted).select("review_id", "reason_code")
 
 
+@query(
+    "review_states",
+    with_sql(
+        _DECISION_SQL,
+        """, answered as (select distinct review_id from decided where problem is null)
+        select distinct review_id, reason_code, case when review_id in (select * from answered) then 'RESOLVED' when reason_code = 'invalid_record' then 'OPEN' else 'SUPERSEDED' end as state from items""",
+    ),
+)
+def review_states(spark, sf_dir):
+    """The next run asks only about invalid records; unanswered conflicts of the first are superseded."""
+    queue, checked = _decided(spark, sf_dir)
+    accepted, _ = V.split_decisions(checked)
+    return V.review_states(queue, queue.where("reason_code = 'invalid_record'"), accepted)
+
+
 @query(
     "decision_log",
     with_sql(
@@ -473,7 +488,7 @@ def value_answers(spark, sf_dir):
         F.lit("party").alias("entity"), text.alias("record_key"), F.col("event_type").alias("source_field"), text.alias("target_field"),
         F.lit(None).cast("map<string,string>").alias("corrections"),
         F.create_map(F.concat(F.lit("v"), F.col("user_id") % 10), F.concat(F.lit("t"), "event_id")).alias("value_map"),
-        F.lit(None).cast("array<string>").alias("operations"), F.lit("clerk").alias("actor"), F.lit("2024-05-01 10:00:00").cast("timestamp_ntz").alias("decided_at"),
+        F.lit(None).cast(V.DECISION_COLUMNS["steps"]).alias("steps"), F.lit("clerk").alias("actor"), F.lit("2024-05-01 10:00:00").cast("timestamp_ntz").alias("decided_at"),
     )
     return V.value_answers(d).select("source_column", "value", "target")
 
