@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcemeld.functions.text import blank_to_null, strip
-from sourcemeld.operators.skew import lookup_join
 from sourcemeld.settings import PUSH_FAILED, PUSHED, READY, ROLLED_BACK, TARGET_FAILURE
 
 # Fields that can be the natural key of a target record, in this order.
@@ -78,12 +77,12 @@ def extend_ledger(ledger: DataFrame, accepted: DataFrame) -> DataFrame:
     return ledger.select("idem_key", "record_key").unionByName(accepted.select("idem_key", "record_key"))
 
 
-def pushed_status(status: DataFrame, outcomes: DataFrame, rows: int | None = None) -> DataFrame:
+def pushed_status(status: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Record table after a push: PUSHED with the target key, or PUSH_FAILED."""
     told = outcomes.select("record_id", "outcome", F.col("target_key").alias("__key"))
     before = F.col("target_key") if "target_key" in status.columns else F.lit(None).cast("string")
     return (
-        lookup_join(status, told, "record_id", rows)
+        status.join(told, "record_id", "left")
         .withColumn("target_key", F.coalesce("__key", before))
         .withColumn(
             "status",

@@ -27,10 +27,12 @@ def merge_groups(members: DataFrame, entity: Entity, source_order: list[str] | N
 
     The first filled value in precedence order wins. A conflict is a group whose smallest and
     largest comparison forms differ; it is silent when every source with a value is listed.
+    Ties follow the order of arrival: an ``arrival`` column or ``source_order``, then the id.
     All measures are minima and maxima, so a group of any size is combined map-side.
     """
     rank = source_rank(entity.source_precedence, F.col("source_file"))
-    arrival = source_rank(source_order or (), F.col("source_file"))
+    listed_arrival = source_rank(source_order or (), F.col("source_file"))
+    arrival = F.col("arrival") if "arrival" in members.columns else listed_arrival
     order = F.struct(rank.alias("rank"), arrival.alias("arrival"), F.col("record_id"))
     listed = rank < len(entity.source_precedence)
     ready = members.withColumns({"__order": order, "__listed": listed, "__first": F.struct(arrival, F.col("record_id"))})

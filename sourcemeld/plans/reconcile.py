@@ -12,6 +12,7 @@ from sourcemeld.contract import Contract, Entity, contract_fields
 from sourcemeld.functions.steps import Chain, Step, run_chains
 from sourcemeld.operators import identity, matching, planning, profile, review, survivorship, validation
 from sourcemeld.operators.fuzzy import fuzzy_identity
+from sourcemeld.operators.skew import sized_join
 from sourcemeld.operators.standardise import Mapped, standardise_source, step_error_rows
 from sourcemeld.session import Scratch
 from sourcemeld.settings import (
@@ -71,7 +72,8 @@ def run(
     """
     decisions = decisions or Decisions()
     scratch = Scratch(spark)
-    catalog = scratch.write(reduce(DataFrame.unionByName, [profile.column_types(s) for s in sources]), "catalog")
+    typed = [profile.column_types(s).withColumn("frame", F.lit(i)) for i, s in enumerate(sources)]
+    catalog = scratch.write(reduce(DataFrame.unionByName, typed), "catalog")
     fields = contract_fields(spark, contract)
     scores = scratch.write(matching.label_scores(matching.distinct_labels(catalog), contract), "scores")
     entities = scratch.write(
@@ -125,22 +127,21 @@ def run(
             F.lit(None).cast("string").alias("record_key"), F.to_json("candidates").alias("data"),
         )
     ]
-    held = {r.source_file: r.entity for r in entities.select("source_file", "entity").collect()}
-    chosen: dict[str, list] = {}
-    for r in mapping.where("target_field is not null").orderBy("source_file", "ordinal").collect():
-        chosen.setdefault(r.source_file, []).append(r)
+    shapes = scratch.write(_shapes(catalog, mapping), "shapes")
     unresolved: list[DataFrame] = []
     out = Run(catalog, entities, mapping, None, None, None)
-    for entity in contract.entities:
-        frames = []
-        for source in sources:
-            for name in _files_of(source, held, entity.name):
-                one = source.where(F.col("source_file") == name) if len(_files_of(source, held, None)) > 1 else source
-                mapped = _plan_source(spark, one, name, entity, chosen.get(name, []), decisions, scratch, unresolved)
-                frames.append(standardise_source(one, entity, mapped))
-        if frames:
-            records = scratch.write(reduce(DataFrame.unionByName, frames), f"records-{entity.name}")
-            out.by_entity[entity.name] = _reconcile(records, entity, decisions, scratch, items, audit, list(held), names, exacts)
+    records: dict[str, list[DataFrame]] = {}
+    for shape in _distinct_shapes(catalog, shapes):
+        source, entity = sources[shape.frame], contract.entity(shape.entity)
+        if shape.n_files < shape.all_files:
+            files = shapes.where((F.col("frame") == shape.frame) & (F.col("shape_id") == shape.shape_id))
+            source = sized_join(source, files.select("source_file"), "source_file", shape.n_files, "left_semi")
+        mapped = _plan_source(source, shape.first_file, entity, shape.columns, decisions, scratch, unresolved)
+        frame = standardise_source(source, entity, mapped).withColumn("arrival", F.lit(shape.frame))
+        records.setdefault(entity.name, []).append(frame)
+    for name, frames in records.items():
+        stacked = scratch.write(reduce(DataFrame.unionByName, frames), f"records-{name}")
+        out.by_entity[name] = _reconcile(stacked, contract.entity(name), decisions, scratch, items, audit, names, exacts)
     empty = spark.createDataFrame(
         [], "entity string, source_file string, source_field string, target_field string, unresolved_value string"
     )
@@ -150,17 +151,35 @@ def run(
     return out
 
 
-def _files_of(source: DataFrame, held: dict[str, str | None], entity: str | None) -> list[str]:
-    known = getattr(source, "_source_files", None)
-    if known is None:
-        known = [r.source_file for r in source.select("source_file").distinct().collect()]
-        source._source_files = known
-    return [f for f in known if entity is None or held.get(f) == entity]
+def _shapes(catalog: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(frame, source_file, entity, shape_id, columns): which columns of a file feed which fields.
+
+    Files of one header and mapping share a shape, so a folder of a million files is one plan.
+    """
+    column = F.struct("ordinal", "source_column", "target_field")
+    return (
+        mapping.where("target_field is not null")
+        .join(catalog.select("source_file", "frame").distinct(), "source_file")
+        .groupBy("frame", "source_file", "entity")
+        .agg(F.array_sort(F.collect_list(column)).alias("columns"))
+        .withColumn("shape_id", F.sha2(F.to_json("columns"), 256))
+    )
+
+
+def _distinct_shapes(catalog: DataFrame, shapes: DataFrame) -> list:
+    """Distinct shapes with their number of files; as many as there are headers, not files."""
+    all_files = catalog.groupBy("frame").agg(F.count_distinct("source_file").alias("all_files"))
+    return (
+        shapes.groupBy("frame", "entity", "shape_id")
+        .agg(F.min("columns").alias("columns"), F.min("source_file").alias("first_file"), F.count(F.lit(1)).alias("n_files"))
+        .join(all_files, "frame")
+        .orderBy("frame", "entity", "shape_id")
+        .collect()
+    )
 
 
-def _plan_source(spark, source, name, entity, rows, decisions, scratch, unresolved) -> list[Mapped]:
+def _plan_source(source, name, entity, rows, decisions, scratch, unresolved) -> list[Mapped]:
     """Steps of every mapped column of one source; facts and enum values come from all rows."""
-    rows = [r for r in rows if r.target_field in entity.names]
     needs_facts = [
         r.source_column for r in rows if entity.field(r.target_field).data_type in ("integer", "number", "array")
     ]
@@ -204,7 +223,7 @@ def _plan_source(spark, source, name, entity, rows, decisions, scratch, unresolv
     return mapped
 
 
-def _reconcile(records, entity, decisions, scratch, items, audit, source_order, names, exacts) -> EntityRun:
+def _reconcile(records, entity, decisions, scratch, items, audit, names, exacts) -> EntityRun:
     spark = records.sparkSession
     rows = records.count()
     accepted = decisions.accepted
@@ -247,7 +266,7 @@ def _reconcile(records, entity, decisions, scratch, items, audit, source_order,
             known,
         )
     )
-    merged = survivorship.merge_groups(members, entity, source_order)
+    merged = survivorship.merge_groups(members, entity)
     if accepted is not None:
         corrections = review.field_corrections(accepted)
     else:

@@ -93,10 +93,7 @@ def portal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    frames = [crm(spark, sf_dir), billing(spark, sf_dir), portal(spark, sf_dir)]
-    for frame, name in zip(frames, ("crm.csv", "billing.csv", "portal.csv")):
-        frame._source_files = [name]
-    return frames
+    return [crm(spark, sf_dir), billing(spark, sf_dir), portal(spark, sf_dir)]
 
 
 def _steps(*operations) -> tuple[Step, ...]:

@@ -562,7 +562,7 @@ def upsert_target(spark, sf_dir):
 def _pushed(spark, sf_dir):
     target, ledger = _target(spark, sf_dir)
     ready = _ready(spark, sf_dir)
-    outcomes = P.push_outcomes(ready, ledger, _reject())
+    outcomes = Scratch(spark).write(P.push_outcomes(ready, ledger, _reject()), "outcomes")
     accepted = outcomes.where("outcome = 'accepted'")
     status = P.pushed_status(ready.withColumn("status", F.lit("READY_TO_PUSH")), outcomes)
     return P.upsert(target, accepted, ["name", "nation"]), P.extend_ledger(ledger, accepted), status, outcomes
