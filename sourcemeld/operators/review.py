@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from sourcemeld.functions.text import filled, meaningful_map, meaningful_text, strip
 from sourcemeld.settings import (
     AMBIGUOUS_MAPPING,
+    AMBIGUOUS_MATCH,
     FIELD_LEVEL_REASONS,
     INVALID_RECORD,
     PROPOSER_UNAVAILABLE,
     UNMAPPED_VALUE,
 )
 
+# Answers to "is this record the same as its partner": value_map {partner: verdict}.
+SAME, DIFFERENT = "same", "different"
+
 REVIEW_COLUMNS = {
     "reason_code": "string",
     "entity": "string",
@@ -40,6 +44,7 @@ DECISION_COLUMNS = {
     "review_id": "string",
     "reason_code": "string",
     "entity": "string",
+    "record_id": "string",
     "record_key": "string",
     "source_field": "string",
     "target_field": "string",
@@ -164,6 +169,7 @@ def check_decisions(decisions: DataFrame, queue: DataFrame) -> DataFrame:
     mapping_kind = F.col("kind") == AMBIGUOUS_MAPPING
     record_kind = F.col("kind") == INVALID_RECORD
     value_kind = F.col("kind") == UNMAPPED_VALUE
+    pair_kind = F.col("kind") == AMBIGUOUS_MATCH
     stray_field = (F.size("failing") > 0) & F.exists(F.map_keys(corrections), lambda k: ~F.array_contains("failing", k))
     blank_fix = F.exists(F.map_values(corrections), lambda v: ~meaningful_text(v))
     unanswered = F.exists(
@@ -187,6 +193,8 @@ def check_decisions(decisions: DataFrame, queue: DataFrame) -> DataFrame:
         .when(record_kind & (F.size(corrections) <= 0), "a correction is needed")
         .when(record_kind & stray_field, "field is not failing")
         .when(record_kind & blank_fix, "a correction is empty")
+        .when(pair_kind & ~F.forall(F.map_values(answers), lambda v: v.isin(SAME, DIFFERENT)), "a pair is same or different")
+        .when(pair_kind & F.exists(F.map_keys(answers), lambda k: ~F.array_contains("candidates", k)), "record is not the partner")
         .when(value_kind & (unanswered | (F.size(answers) <= 0)), "a value has no allowed target")
     )
     return d.withColumn("problem", problem).select(*decisions.columns, "problem")
@@ -260,3 +268,11 @@ def field_corrections(accepted: DataFrame) -> DataFrame:
         .select("entity", "record_key", "decided_at", "decision_id", F.explode("corrections").alias("field", "value"))
         .where(filled(F.col("value")))
     )
+
+
+def pair_decisions(accepted: DataFrame, verdict: str) -> DataFrame:
+    """(record_a, record_b) of the latest verdicts on doubtful pairs."""
+    told = accepted.where(F.col("reason_code") == AMBIGUOUS_MATCH).select(
+        F.col("record_id").alias("record_a"), "decided_at", "decision_id", F.explode("value_map").alias("record_b", "verdict")
+    )
+    return _latest(told, ["record_a", "record_b"], "verdict").where(F.col("verdict") == verdict).select("record_a", "record_b")

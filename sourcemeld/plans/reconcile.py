@@ -252,16 +252,17 @@ def _reconcile(records, entity, decisions, scratch, items, audit, names, exacts)
             known,
         )
     )
-    exact = scratch.write(identity.exact_identity(records, entity, scratch, decisions.same, rows), "exact")
+    same, apart = _pairs(decisions, entity)
+    exact = scratch.write(identity.exact_identity(records, entity, scratch, same, rows), "exact")
     alone = records.join(exact.where("method = 'single'").select("record_id"), "record_id", "left_semi")
-    fuzzy, unsure = fuzzy_identity(alone, scratch, names, exacts, decisions.apart)
+    fuzzy, unsure = fuzzy_identity(alone, scratch, names, exacts, apart)
     groups = exact.where("method = 'exact'").unionByName(fuzzy)
     members = scratch.write(records.join(groups, "record_id"), "members")
     items.append(
         review.enrich(
             review.review_items(
                 unsure, reason_code=AMBIGUOUS_MATCH, entity=entity.name, title="Record match requires review",
-                record_id=F.col("record_id"), error=F.col("partner"),
+                record_id=F.col("record_id"), candidates=F.array("partner"),
             ),
             known,
         )
@@ -311,6 +312,18 @@ def _reconcile(records, entity, decisions, scratch, items, audit, names, exacts)
     return EntityRun(entity, records, members, checked, status, corrections)
 
 
+def _pairs(decisions: Decisions, entity: Entity) -> tuple[DataFrame | None, DataFrame | None]:
+    """Pairs that are told to be the same and told to differ."""
+    if decisions.accepted is None:
+        return decisions.same, decisions.apart
+    mine = decisions.accepted.where(F.col("entity") == entity.name)
+    told = []
+    for given, verdict in ((decisions.same, review.SAME), (decisions.apart, review.DIFFERENT)):
+        pairs = review.pair_decisions(mine, verdict)
+        told.append(pairs if given is None else pairs.unionByName(given.select("record_a", "record_b")))
+    return told[0], told[1]
+
+
 def _allowed(entity: Entity):
     choice = F.lit(None).cast("array<string>")
     for f in entity.fields:

@@ -166,6 +166,44 @@ def test_gaps_unmapped_values_and_overrides(spark, tmp_path):
     assert left == {("invalid_record", "E3")}
 
 
+def test_doubtful_pairs_are_settled_by_decisions(spark, tmp_path):
+    head = "Staff ID,First Name,Last Name,Email,Mobile,DOJ,Dept,Status\n"
+    rows = ["E1,Jonathan,Miller,,555,01/02/2020,IT,Active", "E2,Johnathan,Millar,,555,01/02/2020,IT,Active", "E3,Jonatan,Miler,,555,01/02/2020,IT,Active"]
+    (tmp_path / "staff.csv").write_text(head + "\n".join(rows) + "\n")
+    source, contract = [read_csv(spark, str(tmp_path / "staff.csv"))], employee_contract()
+    first = run(spark, source, contract)
+    doubtful = {r.record_key: r for r in V.with_review_id(first.reviews).where("reason_code = 'ambiguous_match'").collect()}
+    assert set(doubtful) == {"E1", "E2", "E3"}
+    ids = {k: r.record_id for k, r in doubtful.items()}
+    queue = V.review_queue(first.reviews)
+
+    def verdict(key, partner, word):
+        return decision(
+            spark, decision_id=f"{key}{partner}", review_id=doubtful[key].review_id, reason_code="ambiguous_match", entity="employee",
+            record_id=ids[key], value_map={partner: word}, actor="clerk",
+        )
+
+    partner = doubtful["E2"].candidates[0]
+    told = verdict("E2", partner, "same").unionByName(verdict("E3", doubtful["E3"].candidates[0], "perhaps")).unionByName(verdict("E1", "nobody", "same"))
+    problems = {r.decision_id: r.problem for r in V.check_decisions(told, queue).collect()}
+    assert sorted(problems.values(), key=str) == [None, "a pair is same or different", "record is not the partner"]
+    accepted, _ = V.split_decisions(V.check_decisions(told, queue))
+    second = run(spark, source, contract, Decisions(accepted=accepted))
+    groups = {r.record_id: r.group_id for r in second.by_entity["employee"].members.collect()}
+    assert groups[ids["E2"]] == groups[partner] and len(set(groups.values())) == 2
+
+
+def test_folder_of_files_is_one_plan(spark, tmp_path):
+    lines = LEGACY.strip().split("\n")
+    folder = tmp_path / "hr"
+    folder.mkdir()
+    (folder / "a.csv").write_text("\n".join([lines[0], *lines[1:3]]) + "\n")
+    (folder / "b.csv").write_text("\n".join([lines[0], *lines[3:]]) + "\n")
+    (tmp_path / "crm.csv").write_text(CRM)
+    done = run(spark, [read_csv(spark, str(folder)), read_csv(spark, str(tmp_path / "crm.csv"))], employee_contract(["a.csv", "b.csv", "crm.csv"]))
+    assert values(done.by_entity["employee"].merged) == GOLDEN
+
+
 def test_large_value_maps_are_joined(spark, tiny_limits):
     entity = employee_contract().entity("employee")
     df = spark.createDataFrame([("f#1", "f", 2, " a "), ("f#2", "f", 3, "zz"), ("f#3", "f", 4, None)], "record_id string, source_file string, source_row_number long, s string")

@@ -409,7 +409,7 @@ def _decisions(items: DataFrame) -> DataFrame:
     return items.select(
         F.concat(F.lit("d-"), "record_key", F.lit("-"), F.coalesce("field", F.lit("record"))).alias("decision_id"),
         F.when(n == 0, F.lit("closed")).otherwise(F.col("review_id")).alias("review_id"),
-        "reason_code", "entity", "record_key", F.lit(None).cast("string").alias("source_field"), F.lit(None).cast("string").alias("target_field"),
+        "reason_code", "entity", "record_id", "record_key", F.lit(None).cast("string").alias("source_field"), F.lit(None).cast("string").alias("target_field"),
         F.create_map(F.when(n == 1, F.lit("balance")).otherwise(field), value).alias("corrections"),
         F.lit(None).cast("map<string,string>").alias("value_map"), F.lit(None).cast(V.DECISION_COLUMNS["steps"]).alias("steps"),
         F.lit("clerk").alias("actor"), F.lit("2024-05-01 10:00:00").cast("timestamp_ntz").alias("decided_at"),
@@ -485,7 +485,7 @@ def value_answers(spark, sf_dir):
     text = F.lit(None).cast("string")
     d = table(spark, sf_dir, "events").select(
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("decision_id"), text.alias("review_id"), F.lit("unmapped_value").alias("reason_code"),
-        F.lit("party").alias("entity"), text.alias("record_key"), F.col("event_type").alias("source_field"), text.alias("target_field"),
+        F.lit("party").alias("entity"), text.alias("record_id"), text.alias("record_key"), F.col("event_type").alias("source_field"), text.alias("target_field"),
         F.lit(None).cast("map<string,string>").alias("corrections"),
         F.create_map(F.concat(F.lit("v"), F.col("user_id") % 10), F.concat(F.lit("t"), "event_id")).alias("value_map"),
         F.lit(None).cast(V.DECISION_COLUMNS["steps"]).alias("steps"), F.lit("clerk").alias("actor"), F.lit("2024-05-01 10:00:00").cast("timestamp_ntz").alias("decided_at"),
