@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sourcemeld.operators.skew import sized_join
+from sourcemeld.session import Scratch
 from sourcemeld.settings import NA_TOKENS
 
 LINEAGE = ("source_file", "source_row_number", "record_id")
@@ -52,10 +54,13 @@ def read_csv(spark: SparkSession, paths: str | list[str], multi_line: bool = Tru
 
     The first data row is row 2. ``multi_line`` keeps quoted line ends together and reads a
     file in one task; switch it off for big files known to have none, which are then split.
-    Row numbers come from one extra counting pass over the splits, not from a shuffle of rows:
-    splits are numbered per file, and a row's place in its split is added. Keep
-    ``spark.sql.files.minPartitionNum`` fixed on clusters that grow while a query runs.
+    Row numbers come from one counting pass over the splits, not from a shuffle of rows: a
+    row's place in its split is added to the rows before that split. The number of splits is
+    counted, so the lookup is broadcast only within the limit. Splits must not change between
+    the passes: their planning is pinned for the session, and a row of an unknown split fails
+    the job instead of getting lost.
     """
+    _pin_splits(spark)
     raw = (
         spark.read.options(header=True, multiLine=multi_line, escape='"', encoding="UTF-8", **options)
         .csv(paths)
@@ -68,21 +73,30 @@ def read_csv(spark: SparkSession, paths: str | list[str], multi_line: bool = Tru
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__place"),
     )
-    blocks = placed.groupBy("__path", "__block").agg(
-        F.count(F.lit(1)).alias("__rows"), F.min("__place").alias("__first")
-    )
     before = Window.partitionBy("__path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        "__path", "__block", (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__shift")
+    shift = F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")
+    blocks = Scratch(spark).write(
+        placed.groupBy("__path", "__block")
+        .agg(F.count(F.lit(1)).alias("__rows"), F.min("__place").alias("__first"))
+        .select("__path", "__block", shift.alias("__shift")),
+        "splits",
     )
-    numbered = placed.join(blocks, ["__path", "__block"]).withColumn(
-        "source_row_number", F.col("__place") + F.col("__shift") + 2
+    known = F.when(F.col("__shift").isNull(), F.raise_error(F.lit("file splits changed while reading")).cast("bigint"))
+    numbered = sized_join(placed, blocks, ["__path", "__block"], blocks.count()).withColumn(
+        "source_row_number", known.otherwise(F.col("__place") + F.col("__shift") + 2)
     )
     return numbered.withColumn("record_id", record_id(F.col("source_file"), F.col("source_row_number"))).drop(
         "__path", "__block", "__place", "__shift"
     )
 
 
+def _pin_splits(spark: SparkSession) -> None:
+    """Fix the parallelism that split planning starts from, unless the session has done so."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+
+
 def read_parquet(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Parquet files as text columns; the format knows its row index, so no pass is needed."""
     paths = [paths] if isinstance(paths, str) else paths
