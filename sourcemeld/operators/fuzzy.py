@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sourcemeld.functions import kernels
 from sourcemeld.functions import similarity as _similarity  # noqa: F401  registers the kernels
 from sourcemeld.functions.text import blank_to_null, match_key
-from sourcemeld.operators.skew import lookup_join
+from sourcemeld.operators.skew import lookup_join, spread
 from sourcemeld.session import Scratch
 from sourcemeld.settings import AMBIGUOUS_MATCH, LIMITS, PAIR_MARGIN, PAIR_REVIEW_SCORE, PAIR_SCORE
 
@@ -229,8 +229,7 @@ def best_candidates(
         )
         group = ["block", "tile_a", "tile_b"]
         found = (
-            tiled.withColumns({"emask": F.col("emask").cast("bigint"), "nmask": F.col("nmask").cast("bigint")})
-            .repartition(*group)
+            spread(tiled.withColumns({"emask": F.col("emask").cast("bigint"), "nmask": F.col("nmask").cast("bigint")}), *group)
             .sortWithinPartitions(*group, "pid")
             .mapInArrow(
                 kernels.best_partners(len(names), len(exacts), floor),

@@ -15,6 +15,7 @@ from sourcemeld.contract import Contract, Entity, Field
 from sourcemeld.functions.policy import clear_score, types_compatible
 from sourcemeld.functions.similarity import cosine, lexical_score
 from sourcemeld.functions.text import exact_label, label, sql_text, squeeze, tokens
+from sourcemeld.operators.skew import spread
 from sourcemeld.settings import (
     AUTO_MARGIN,
     AUTO_SCORE,
@@ -95,7 +96,7 @@ def label_scores(labels: DataFrame, contract: Contract) -> DataFrame:
     ``labels`` has one column ``query`` with distinct labels in ``exact_label`` form.
     """
     pairs = (
-        labels.select("query", squeeze(F.col("query")).alias("query_label"))
+        spread(labels, "query").select("query", squeeze(F.col("query")).alias("query_label"))
         .select("query", "query_label", F.inline(contract_labels(contract)))
     )
     scored = pairs.withColumn("score", lexical_score(F.col("query_label"), F.col("target_label")))
@@ -214,7 +215,7 @@ def detect_entities(
             for i, e in enumerate(contract.entities)
         ]
     )
-    pairs = texts.select("source_file", "text", F.inline(described))
+    pairs = spread(texts, "source_file").select("source_file", "text", F.inline(described))
     pairs = pairs.withColumn("score", lexical_score(label(F.col("text")), label(F.col("description"))))
     if vectors is not None:
         left = vectors.select(F.col("text"), F.col("vector").alias("text_vector"))

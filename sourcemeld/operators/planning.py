@@ -10,6 +10,7 @@ from sourcemeld.functions.similarity import lexical_score
 from sourcemeld.functions.steps import Step
 from sourcemeld.functions.text import filled, label, strip
 from sourcemeld.operators.profile import column_values
+from sourcemeld.operators.skew import spread
 from sourcemeld.settings import FALLBACK_SCORE
 
 # Words that speak for an ACTIVE or INACTIVE target value.
@@ -113,7 +114,7 @@ def enum_plan(
     keys = values.select(strip(F.col("value")).alias("value")).where(filled(F.col("value"))).distinct()
     target, tier = enum_tiers(F.col("value"), allowed, existing)
     cheap = keys.withColumns({"target": target, "tier": tier, "score": F.lit(None).cast("double")})
-    open_values = cheap.where("tier is null").select("value")
+    open_values = spread(cheap.where("tier is null").select("value"), "value")
     options = F.array(*[F.struct(F.lit(a).alias("option"), F.lit(i).alias("place")) for i, a in enumerate(allowed)])
     scored = (
         open_values.select("value", F.inline(options))

@@ -31,3 +31,13 @@ def sized_join(big: DataFrame, lookup: DataFrame, key, lookup_rows: int, how: st
     if lookup_rows <= LIMITS.broadcast_rows:
         lookup = F.broadcast(lookup)
     return big.join(lookup, key, how)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition for work that is large per row, such as text similarity.
+
+    A fixed number of partitions keeps adaptive execution from merging them by their few bytes.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcemeld.contract import Entity
-from sourcemeld.functions.text import conflict_key, filled
+from sourcemeld.functions.text import conflict_key, filled, match_key
 from sourcemeld.operators.identity import record_key
 from sourcemeld.operators.skew import lookup_join
 from sourcemeld.settings import READY, RECONCILED
@@ -143,8 +143,6 @@ def duplicate_values(merged: DataFrame, entity: Entity) -> DataFrame:
 
     Exact identity rules this out except for values brought in by corrections.
     """
-    from sourcemeld.functions.text import match_key
-
     cells = F.array(*[F.struct(F.lit(n).alias("field"), match_key(F.col(n)).alias("value")) for n in entity.unique_fields])
     return (
         merged.select(F.inline(cells))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcemeld.functions.standard import Value, as_text, standardise
+from sourcemeld.functions.standard import Value, standardise
 from sourcemeld.functions.steps import Chain, Step, error_reason, run_chains
 from sourcemeld.functions.text import meaningful_list, meaningful_map, meaningful_text
 from sourcemeld.functions.policy import mapping_decision, step_decision, value_decision
