@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcemeld.llm.bpe_codec import encode
+from sourcemeld.llm.sharding import TABLE_SIZE, fill_table, place
+from sourcemeld.llm.token_counts import count_tokens
 from sourcemeld.llm.vocabulary import load_vocabulary
 
 QUERIES, SQL = {}, {}
@@ -30,6 +32,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op3_token_counts")
+def op3_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = count_tokens(docs, load_vocabulary(COUNT_VOCABULARY))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+# The filled table stands in the SQL as a list; tests hold it against a plain rebuild.
+SHARD_SQL = f"""
+with placed as (
+  select doc_id, (('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15))::bigint % {TABLE_SIZE})::integer as slot from documents
+), filled as (select {fill_table(SHARDS)} as shard_of)
+select doc_id, slot, 'shard-' || lpad(cast(shard_of[slot + 1] as varchar), 3, '0') as shard from placed, filled
+"""
+
+
+@query("op4_sharding", SHARD_SQL)
+def op4_sharding(spark, sf_dir):
+    return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
 @query("op5_bpe_codec")
 def op5_bpe_codec(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
