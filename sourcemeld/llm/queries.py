@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from sourcemeld.llm.bpe_codec import encode
 from sourcemeld.llm.sharding import TABLE_SIZE, fill_table, place
 from sourcemeld.llm.token_counts import count_tokens
+from sourcemeld.llm.url_filter import filter_urls
 from sourcemeld.llm.vocabulary import load_vocabulary
+from sourcemeld.session import Scratch
 
 QUERIES, SQL = {}, {}
 
@@ -65,3 +67,34 @@ def op5_bpe_codec(spark, sf_dir):
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+BLOCKED_HOSTS = [f"{name}.example.{zone}" for name in ("casino-win", "cheap-pills", "free-bets", "spam-farm") for zone in ("com", "net", "org")]
+
+URL_SQL = r"""
+with parts as (
+  select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+  from pages
+), rules(rule_host, rule_path, judged) as (
+  values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), listed(listed_host) as (
+  values ('casino-win.example.com'), ('casino-win.example.net'), ('casino-win.example.org'),
+    ('cheap-pills.example.com'), ('cheap-pills.example.net'), ('cheap-pills.example.org'),
+    ('free-bets.example.com'), ('free-bets.example.net'), ('free-bets.example.org'),
+    ('spam-farm.example.com'), ('spam-farm.example.net'), ('spam-farm.example.org')
+), fitting as (
+  select page_id, rule_host || rule_path as rule, judged,
+    row_number() over (partition by page_id order by length(rule_host || rule_path) desc, length(rule_host) desc) as place
+  from parts join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+)
+select page_id, host, path, rule, coalesce(judged, case when exists (
+    select 1 from listed where host = listed_host or ends_with(host, '.' || listed_host)) then 'block' else 'allow' end) as verdict
+from parts left join (select * from fitting where place = 1) using (page_id)
+"""
+
+
+@query("op7_url_filter", URL_SQL)
+def op7_url_filter(spark, sf_dir):
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS, Scratch(spark), keep=["page_id"])
