@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcemeld.llm.bpe_codec import encode
+from sourcemeld.llm.repeat_removal import remove_repeats, removed_bytes
 from sourcemeld.llm.sharding import TABLE_SIZE, fill_table, place
 from sourcemeld.llm.token_counts import count_tokens
 from sourcemeld.llm.url_filter import filter_urls
@@ -98,3 +99,15 @@ from parts left join (select * from fitting where place = 1) using (page_id)
 @query("op7_url_filter", URL_SQL)
 def op7_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS, Scratch(spark), keep=["page_id"])
+
+
+@query("op8_repeat_removal")
+def op8_repeat_removal(spark, sf_dir):
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark), length=50)
+    return cut.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        removed_bytes(F.col("removed")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
