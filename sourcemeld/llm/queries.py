@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcemeld.llm.bpe_codec import encode
+from sourcemeld.llm.minhash_dedup import components
 from sourcemeld.llm.repeat_removal import remove_repeats, removed_bytes
 from sourcemeld.llm.sharding import TABLE_SIZE, fill_table, place
 from sourcemeld.llm.token_counts import count_tokens
@@ -35,6 +36,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+DUPLICATE_SQL = r"""
+with recursive lowered as (
+  select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents
+), worded as (
+  select doc_id, regexp_extract_all(body, '[^\x20\x09-\x0D]+') as w from lowered
+), shingled as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)]) end as s
+  from worded
+), sets as (
+  select s, min(doc_id) as node from (select doc_id, list_sort(s) as s from shingled) where len(s) > 0 group by s
+), postings as (
+  select node, len(s) as n, unnest(s) as g from sets
+), shared as (
+  select a.node as a, b.node as b, count(*) as common, any_value(a.n + b.n) as total
+  from postings a join postings b on a.g = b.g and a.node < b.node
+  group by a.node, b.node
+), links as (
+  select a, b from shared where 100 * common >= 75 * (total - common)
+), steps(node, root) as (
+  select node, node from sets
+  union
+  select case when l.a = steps.node then l.b else l.a end, root from steps join links l on l.a = steps.node or l.b = steps.node
+), roots as (
+  select node, min(root) as root from steps group by node
+)
+select doc_id, len(shingled.s)::bigint as n_shingles, coalesce(root, doc_id) as component_id, doc_id = coalesce(root, doc_id) as kept
+from shingled left join sets on list_sort(shingled.s) = sets.s left join roots using (node)
+"""
+
+
+@query("op1_near_duplicates", DUPLICATE_SQL)
+def op1_near_duplicates(spark, sf_dir):
+    return components(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
+
+
 @query("op3_token_counts")
 def op3_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
