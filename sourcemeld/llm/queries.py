@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcemeld.llm.bpe_codec import encode
+from sourcemeld.llm.decontaminate import find_leaks
 from sourcemeld.llm.minhash_dedup import components
 from sourcemeld.llm.repeat_removal import remove_repeats, removed_bytes
 from sourcemeld.llm.sharding import TABLE_SIZE, fill_table, place
@@ -148,3 +149,9 @@ def op8_repeat_removal(spark, sf_dir):
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_leaks(docs, table(spark, sf_dir, "benchmark"), Scratch(spark))
