@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sourcemeld.llm.bpe_codec import encode
 from sourcemeld.llm.decontaminate import find_leaks
+from sourcemeld.llm.language_id import held_out, identify, learn
 from sourcemeld.llm.minhash_dedup import components
 from sourcemeld.llm.repeat_removal import remove_repeats, removed_bytes
 from sourcemeld.llm.sharding import TABLE_SIZE, fill_table, place
@@ -155,3 +156,10 @@ def op8_repeat_removal(spark, sf_dir):
 def op9_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_leaks(docs, table(spark, sf_dir, "benchmark"), Scratch(spark))
+
+
+@query("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    predicted = identify(docs.select("doc_id", "text"), learn(docs))
+    return predicted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
