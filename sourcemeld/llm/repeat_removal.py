@@ -71,8 +71,8 @@ def _merged(owner: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 
 def _fragments(batch: pa.RecordBatch, length: int):
-    """Distinct fragments of a slice: (data, starts, lengths, bucket hash, content hash, owners of each, spans that
-    an earlier document of the slice settles)."""
+    """Fragments of a slice that have to be shipped, as (data, starts, lengths, rows, places, smallest hashes), and
+    the spans (row, start, end) that an earlier document of the slice settles."""
     data, offsets = flat_bytes(batch.column("text"))
     docs = batch.column("doc_id")
     known = np.asarray(docs.is_valid())
@@ -81,15 +81,14 @@ def _fragments(batch: pa.RecordBatch, length: int):
         return None
     hashes = SpanHash(data)
     low = _sliding_min(hashes.windows(_ANCHOR), length - _ANCHOR + 1)
-    valid = np.zeros(len(low) + 1, np.int64)
+    edge = np.zeros(len(low) + 1, np.int32)
     long = (np.diff(offsets) >= length) & known
-    np.add.at(valid, offsets[:-1][long], 1)
-    np.add.at(valid, offsets[1:][long] - length + 1, -1)
-    valid = np.cumsum(valid[:-1]) > 0
+    np.add.at(edge, offsets[:-1][long], 1)
+    np.add.at(edge, offsets[1:][long] - length + 1, -1)
+    valid = np.cumsum(edge[:-1], dtype=np.int32) > 0
     fresh = valid.copy()
     fresh[1:] &= ~valid[:-1] | (low[1:] != low[:-1])
-    begins = offsets[:-1][long]
-    fresh[begins] = True
+    fresh[offsets[:-1][long]] = True
     starts = np.flatnonzero(fresh)
     stops = np.flatnonzero(valid & ~np.append(valid[1:], False)) + 1
     limit = np.append(starts[1:], len(low))
@@ -100,17 +99,21 @@ def _fragments(batch: pa.RecordBatch, length: int):
     windows = np.minimum(np.repeat(windows, pieces) - nth * _MOST_WINDOWS, _MOST_WINDOWS)
     lengths = windows + length - 1
     rows = np.searchsorted(offsets, starts, side="right") - 1
+    places = starts - offsets[rows]
     content = hashes.of(starts, starts + lengths)
     order = np.lexsort((ids[rows], content))
-    starts, lengths, rows, content = starts[order], lengths[order], rows[order], content[order]
-    first = np.ones(len(content), bool)
-    first[1:] = content[1:] != content[:-1]
-    group = np.cumsum(first) - 1
-    lead = np.flatnonzero(first)
-    later = ids[rows] > ids[rows[lead]][group]
-    places = starts - offsets[rows]
+    first = np.ones(len(order), bool)
+    first[1:] = content[order][1:] != content[order][:-1]
+    earliest = np.empty(len(order), ids.dtype)
+    earliest[order] = ids[rows][order][np.flatnonzero(first)][np.cumsum(first) - 1]
+    later = ids[rows] > earliest
     done = _merged(rows[later], places[later], places[later] + lengths[later])
-    return data, starts[lead], lengths[lead], low[starts[lead]], content[lead], (group[~later], rows[~later], places[~later]), done, ids
+    own = ~later
+    return (data, starts[own], lengths[own], rows[own], places[own], low[starts[own]]), done
+
+
+def _bucket_of(low: np.ndarray, buckets: int) -> np.ndarray:
+    return ((low >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _split(buckets: int, length: int):
@@ -118,46 +121,50 @@ def _split(buckets: int, length: int):
     schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in text_slices(batches, "text", _SLICE):
             found = _fragments(batch, length)
             if found is None:
                 continue
-            data, starts, lengths, low, content, (group, rows, places), done, ids = found
-            prints = batch.column("print").to_numpy(zero_copy_only=False)
-            bucket = ((low >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            ranks = np.empty(len(starts), np.int64)  # place of a fragment within its bucket
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            ranks[order] = np.arange(len(order)) - edges[bucket[order]]
-            owners = dict(_pack(bucket[group], buckets, [ranks[group], ids[rows], prints[rows], places]))
-            settled = dict(_pack(done[0] % buckets, buckets, [ids[done[0]], prints[done[0]], done[1], done[2]])) if len(done[0]) else {}
+            (data, starts, lengths, rows, places, low), done = found
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            prints = batch.column("print").fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint32)
+
+            def owners(r: np.ndarray) -> list[np.ndarray]:
+                """Ids and prints of the rows and how many entries each has; rows ascend."""
+                own, counts = np.unique(r, return_counts=True)
+                return [np.diff(ids[own], prepend=0), prints[own], counts.astype(np.uint32)]
+
             out = []
-            for b, (s, n, lo, co) in _pack(bucket, buckets, [starts, lengths, low, content]):
-                out.append((b, [_gather(data, s, n), n.astype(np.int16), lo, co, *_ids(owners[b])]))
-            out += [(b, [None, None, None, None, *_ids(x)]) for b, x in settled.items()]
+            for b, (s, n, r, p) in _pack(_bucket_of(low, buckets), buckets, [starts, lengths, rows, places]):
+                out.append((b, [_gather(data, s, n), n.astype(np.uint8), p.astype(np.uint32), np.zeros(0, np.uint32), *owners(r)]))
+            if len(done[0]):
+                for b, (r, s, e) in _pack(done[0] % buckets, buckets, list(done)):
+                    out.append((b, [np.zeros(0, np.uint8), np.zeros(0, np.uint8), s.astype(np.uint32), e.astype(np.uint32), *owners(r)]))
             packed = [press.compress(_dump(x)) for _, x in out]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array(packed, pa.binary())], schema=schema)
 
     return run
 
 
-def _ids(columns: list[np.ndarray]) -> list[np.ndarray]:
-    return [c.astype(np.int64) for c in columns]
+_KINDS = (np.uint8, np.uint8, np.uint32, np.uint32, np.int64, np.uint32, np.uint32)
 
 
-def _dump(columns: list[np.ndarray | None]) -> bytes:
-    parts = [b"" if c is None else c.tobytes() for c in columns]
+def _dump(columns: list[np.ndarray]) -> bytes:
+    """Columns as bytes; the bytes of equal weight of all numbers stand together, which packs better."""
+    parts = [c.view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns]
     return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
 
 
-_KINDS = (np.uint8, np.int16, np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)
-
-
 def _load(packed: bytes) -> list[np.ndarray]:
     sizes = np.frombuffer(packed, np.int64, len(_KINDS))
-    places = np.cumsum(sizes) - sizes + 8 * len(_KINDS)
-    return [np.frombuffer(packed, kind, int(size) // np.dtype(kind).itemsize, int(at)) for kind, size, at in zip(_KINDS, sizes, places)]
+    at, out = 8 * len(_KINDS), []
+    for kind, size in zip(_KINDS, sizes):
+        width = np.dtype(kind).itemsize
+        part = np.frombuffer(packed, np.uint8, int(size), at).reshape(width, -1)
+        out.append(np.ascontiguousarray(part.T).view(kind).ravel())
+        at += int(size)
+    return out
 
 
 def _resolve(length: int):
@@ -165,14 +172,14 @@ def _resolve(length: int):
 
     def run(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        spans, parts, count = [], [], 0
+        spans, parts = [], []
         for value in table.column("packed").to_pylist():
-            data, lengths, low, content, a, b, c, d = _load(unpack.decompress(value))
+            data, lengths, places, ends, ids, prints, counts = _load(unpack.decompress(value))
+            ids, prints = np.repeat(np.cumsum(ids), counts), np.repeat(prints.astype(np.int64), counts)
             if len(lengths):
-                parts.append((data, lengths.astype(np.int64), low, content, a + count, b, c, d))
-                count += len(lengths)
+                parts.append((data, lengths.astype(np.int64), ids, prints, places.astype(np.int64)))
             else:
-                spans.append((a, b, c, d))
+                spans.append((ids, prints, places.astype(np.int64), ends.astype(np.int64)))
         if parts:
             spans += _bucket_spans([np.concatenate(x) for x in zip(*parts)], length)
         ids, prints, starts, ends = [np.concatenate(x) for x in zip(*spans)] if spans else [np.zeros(0, np.int64)] * 4
@@ -189,46 +196,76 @@ def _resolve(length: int):
     return run
 
 
+def _anchors(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each fragment: content hash, smallest hash, and the context hashes (left, right) around its place.
+
+    A window of ``length`` bytes that holds the place has at least half of the other bytes on one side of
+    it, so two fragments with a common window share their left or their right context. Fragments too
+    short on a side, or with several places, get no filter there (context 0).
+    """
+    hashes = SpanHash(data)
+    short = hashes.windows(_ANCHOR)
+    reach = length - _ANCHOR + 1
+    edges = np.stack((begin, begin + reach), axis=1).ravel()
+    low = np.minimum.reduceat(np.append(short, np.full(_ANCHOR, np.uint64(2**64 - 1))), edges)[::2]
+    owner = np.repeat(np.arange(len(begin)), lengths)[: len(short)]
+    hits = np.flatnonzero(short == low[owner])
+    hits = hits[hits + _ANCHOR <= (begin + lengths)[owner[hits]]]
+    where = owner[hits]
+    times = np.bincount(where, minlength=len(begin))
+    place = np.zeros(len(begin), np.int64)
+    place[where] = hits
+    side = (length - _ANCHOR + 1) // 2
+    left_ok, right_ok = place - side >= begin, place + _ANCHOR + side <= begin + lengths
+    stop = len(data)
+    left = hashes.of(np.maximum(place - side, 0), place + _ANCHOR)
+    right = hashes.of(place, np.minimum(place + _ANCHOR + side, stop))
+    several = times > 1
+    left, right = np.where(left_ok, left, 0), np.where(right_ok, right, 0)
+    return hashes.of(begin, begin + lengths), low, np.stack((left, right)), several
+
+
 def _bucket_spans(columns: list[np.ndarray], length: int) -> list[tuple[np.ndarray, ...]]:
-    data, lengths, low, content, fragment, ids, prints, places = columns
+    data, lengths, ids, prints, places = columns
     begin = np.cumsum(lengths) - lengths
-    owner_of = np.zeros(len(lengths), np.int64)
-    owner_of[fragment] = ids  # all owners of a fragment within a slice share the id
-    # Equal fragments of several slices: all but the smallest id are settled.
-    order = np.lexsort((owner_of, content))
+    content, low, context, several = _anchors(data, begin, lengths, length)
+    # Equal fragments of several slices: all but those of the smallest id are settled.
+    order = np.lexsort((ids, content))
     first = np.ones(len(order), bool)
     first[1:] = content[order][1:] != content[order][:-1]
     lead = order[first]
     text = np.empty(len(order), np.int64)  # distinct text of each fragment
     text[order] = np.cumsum(first) - 1
-    settled = owner_of > owner_of[lead][text]
-    hit = settled[fragment]
-    spans = [(ids[hit], prints[hit], places[hit], places[hit] + lengths[fragment[hit]])]
-    # Distinct texts under the same smallest hash: only those with an earlier neighbour can hold repeats.
-    by_low = np.argsort(low[lead], kind="stable")
-    edge = np.ones(len(lead), bool)
-    edge[1:] = low[lead][by_low][1:] != low[lead][by_low][:-1]
-    heads = np.flatnonzero(edge)
-    group = np.empty(len(lead), np.int64)
-    group[by_low] = np.cumsum(edge) - 1
-    earliest = np.minimum.reduceat(owner_of[lead][by_low], heads)
-    streamed = owner_of[lead] > earliest[group]
-    indexed = np.isin(group, group[streamed])
+    hit = ids > ids[lead][text]
+    spans = [(ids[hit], prints[hit], places[hit], places[hit] + lengths[hit])]
+    # Distinct texts can share a window only if they share the smallest hash and a context beside it.
+    near = several[lead].copy()
+    for side in context[:, lead]:
+        seen, inverse, counts = np.unique(side, return_inverse=True, return_counts=True)
+        near |= (counts[inverse] > 1) & (seen[inverse] != 0)
+    group = np.unique(low[lead], return_inverse=True)[1]
+    earliest = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(earliest, group[near], ids[lead][near])
+    with_several = np.bincount(group, weights=several[lead]) > 0
+    near |= with_several[group]
+    np.minimum.at(earliest, group[near], ids[lead][near])
+    streamed = near & (ids[lead] > earliest[group])
+    indexed = near & np.isin(group, group[streamed])
     if not streamed.any():
         return spans
-    index = RunIndex(_gather(data, begin[lead[indexed]], lengths[lead[indexed]]), lengths[lead[indexed]], owner_of[lead[indexed]], length)
+    index = RunIndex(_gather(data, begin[lead[indexed]], lengths[lead[indexed]]), lengths[lead[indexed]], ids[lead[indexed]], length)
     chosen = lead[streamed]
     sizes = lengths[chosen]
     matched, rows = index.matching_statistics(_gather(data, begin[chosen], sizes), sizes)
     pattern = np.repeat(np.arange(len(chosen)), sizes)
     hits = np.flatnonzero(matched >= length)
-    hits = hits[index.smallest_label(rows[hits]) < owner_of[chosen][pattern[hits]]]
+    hits = hits[index.smallest_label(rows[hits]) < ids[chosen][pattern[hits]]]
     at = hits - (np.cumsum(sizes) - sizes)[pattern[hits]]
     which, starts, ends = _merged(pattern[hits], at, at + length)
-    # Spans of a text go to every place of every document that keeps it.
+    # Spans of a text go to every fragment that holds it and is not settled yet.
     text_of = np.full(len(lead), -1, np.int64)
     text_of[streamed] = np.arange(len(chosen))
-    mine = text_of[text[fragment]]
+    mine = text_of[text]
     open_ = np.flatnonzero((mine >= 0) & ~hit)
     edges = np.searchsorted(which, np.arange(len(chosen) + 1))
     many = np.diff(edges)[mine[open_]]
@@ -262,7 +299,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", tex
     rows that share an id never count as earlier than each other. Columns named ``removed`` or
     ``kept`` are replaced. Inside a slice and a bucket, fragments count as equal by 64-bit hashes.
     """
-    narrow = docs.select(docs[id].cast("long").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("print"))
+    narrow = docs.select(docs[id].cast("long").alias("doc_id"), docs[text].alias("text"), F.crc32(docs[text]).alias("print"))
     size = narrow.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(-(-size // BUCKET_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fragments = narrow.mapInArrow(_split(buckets, length), "bucket int, packed binary")
@@ -274,7 +311,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", tex
     key, body = f"__k{keep.index(id)}", f"__k{keep.index(text)}"
     joined = renamed.join(
         spans.hint("shuffle_hash").withColumnsRenamed({"doc_id": "__id", "print": "__print"}),
-        (F.col(key).cast("long") == F.col("__id")) & (F.xxhash64(body) == F.col("__print")),
+        (F.col(key).cast("long") == F.col("__id")) & (F.crc32(body) == F.col("__print")),
         "left",
     )
 
