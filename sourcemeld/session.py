@@ -56,7 +56,13 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(clean, "false")
+        self.spark.conf.set(clean, "true")  # the table stands for the shuffles behind it, which may go
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(clean, before)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._scratch_path = path
         return table
