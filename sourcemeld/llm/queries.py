@@ -10,9 +10,11 @@ from sourcemeld.llm.bpe_codec import encode
 from sourcemeld.llm.decontaminate import find_leaks
 from sourcemeld.llm.language_id import held_out, identify, learn
 from sourcemeld.llm.minhash_dedup import components
+from sourcemeld.llm.quality import fit, measure, score
 from sourcemeld.llm.repeat_removal import remove_repeats, removed_bytes
 from sourcemeld.llm.sharding import TABLE_SIZE, fill_table, place
 from sourcemeld.llm.token_counts import count_tokens
+from sourcemeld.llm.top_k import nearest
 from sourcemeld.llm.url_filter import filter_urls
 from sourcemeld.llm.vocabulary import load_vocabulary
 from sourcemeld.session import Scratch
@@ -163,3 +165,33 @@ def op10_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     predicted = identify(docs.select("doc_id", "text"), learn(docs))
     return predicted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_quality")
+def op6_quality(spark, sf_dir):
+    scratch = Scratch(spark)
+    measured = measure(table(spark, sf_dir, "documents"), scratch)
+    scored = score(measured, fit(measured, table(spark, sf_dir, "labels"), scratch))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+NEAREST_SQL = """
+with whole as (
+  select vec_id, [floor(256 * x::double) for x in embedding] as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len([x for x in embedding if x is not null and isfinite(x)]) = len(embedding)
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+  from whole q join whole c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+)
+select query_id, rank::integer as rank, vec_id, score from ranked where rank <= 5
+"""
+
+
+@query("op2_top_k", NEAREST_SQL)
+def op2_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    usable = vectors.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    whole = usable.select("vec_id", F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("v"))
+    return nearest(whole.where("vec_id % 50 = 0"), whole, k=5)
