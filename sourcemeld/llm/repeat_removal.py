@@ -275,8 +275,8 @@ def _bucket_spans(columns: list[np.ndarray], length: int) -> list[tuple[np.ndarr
     return spans
 
 
-def _cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, list[dict]]:
-    """The bytes outside the spans and the maximal spans."""
+def _cut(text: bytes, spans: list[dict] | None, characters: bool) -> tuple[bytes, list[dict]]:
+    """The bytes outside the spans and the maximal spans, narrowed to whole characters if asked."""
     if not spans:
         return text, []
     merged: list[dict] = []
@@ -285,6 +285,8 @@ def _cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, list[dict]]:
             merged[-1]["end"] = max(merged[-1]["end"], s["end"])
         else:
             merged.append(dict(s))
+    if characters:
+        merged = [s for s in (_narrowed(text, s) for s in merged) if s["start"] < s["end"]]
     kept, at = [], 0
     for s in merged:
         kept.append(text[at : s["start"]])
@@ -292,9 +294,21 @@ def _cut(text: bytes, spans: list[dict] | None) -> tuple[bytes, list[dict]]:
     return b"".join([*kept, text[at:]]), merged
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
+def _narrowed(text: bytes, span: dict) -> dict:
+    start, end = span["start"], span["end"]
+    while start < end and text[start] & 0xC0 == 0x80:  # inside a character
+        start += 1
+    while start < end < len(text) and text[end] & 0xC0 == 0x80:
+        end -= 1
+    return {"start": start, "end": end}
+
+
+def remove_repeats(
+    docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str = "text", length: int = 50, removed: str = "removed", kept: str = "kept", characters: bool = False
+) -> DataFrame:
     """All columns of every row plus ``removed`` (maximal byte spans, in order) and ``kept`` (the other bytes).
 
+    With ``characters`` a span leaves out characters of which it covers a part only, so ``kept`` is valid text.
     Null text counts as empty. A row whose id is null neither loses bytes nor makes others lose any;
     rows that share an id never count as earlier than each other. Columns named ``removed`` or
     ``kept`` are replaced. Inside a slice and a bucket, fragments count as equal by 64-bit hashes.
@@ -306,7 +320,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", tex
     spans = fragments.groupBy("bucket").applyInArrow(_resolve(length), f"doc_id long, print long, spans {_SPANS}")
     spans = scratch.write(spans, "spans")
     spans = spans.groupBy("doc_id", "print").agg(F.flatten(F.collect_list("spans")).alias("__spans"))  # bounded by one text
-    keep = [c for c in docs.columns if c not in ("removed", "kept")]
+    keep = [c for c in docs.columns if c not in (removed, kept)]
     renamed = docs.select(*[docs[c].alias(f"__k{i}") for i, c in enumerate(keep)])
     key, body = f"__k{keep.index(id)}", f"__k{keep.index(text)}"
     joined = renamed.join(
@@ -316,18 +330,18 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", tex
     )
 
     def run(batches):
-        names = [*keep, "removed", "kept"]
+        names = [*keep, removed, kept]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in text_slices(batches, body):
             texts = [b"" if t is None else t.encode() for t in batch.column(body).to_pylist()]
-            cut = [_cut(t, s) for t, s in zip(texts, batch.column("__spans").to_pylist())]
+            cut = [_cut(t, s, characters) for t, s in zip(texts, batch.column("__spans").to_pylist())]
             columns = [batch.column(f"__k{i}") for i in range(len(keep))]
             columns += [pa.array([s for _, s in cut], kind), pa.array([t for t, _ in cut], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = T.StructType([docs.schema[c] for c in keep])
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = schema.add("removed", spans_type).add("kept", T.BinaryType())
+    schema = schema.add(removed, spans_type).add(kept, T.BinaryType())
     return joined.select(*renamed.columns, "__spans").mapInArrow(run, schema)
 
 
