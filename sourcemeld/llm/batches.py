@@ -45,8 +45,8 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(values: np.ndarray) -> np.ndarray:
     """A finaliser that spreads 64-bit values (the one of the SplitMix64 generator)."""
-    z = values.astype(np.uint64, copy=True)
-    z ^= z >> np.uint64(30)
+    z = values >> np.uint64(30)
+    z ^= values
     z *= np.uint64(0xBF58476D1CE4E5B9)
     z ^= z >> np.uint64(27)
     z *= np.uint64(0x94D049BB133111EB)
@@ -64,7 +64,10 @@ class SpanHash:
     def __init__(self, data: np.ndarray) -> None:
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, n), out=self.sums[1:])
+        self.sums[1:] = data
+        self.sums[1:] += np.uint64(1)
+        self.sums[1:] *= _powers(BASE, n)
+        np.cumsum(self.sums, out=self.sums)
         self.down = _powers(BASE_INVERSE, n + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -82,17 +85,16 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept up to twice the usual slice."""
+    """base**0 .. base**(n-1) modulo 2**64, kept for the usual slices."""
     known = _POWERS.get(base)
     if known is None or len(known) < n:
-        size = max(n, SLICE_BYTES + 1)
-        known = np.ones(size, np.uint64)
+        known = np.ones(n, np.uint64)
         done = 1
-        while done < size:
-            step = min(done, size - done)
-            known[done : done + step] = known[:step] * np.uint64(pow(base, done, 1 << 64))
+        while done < n:
+            step = min(done, n - done)
+            np.multiply(known[:step], np.uint64(pow(base, done, 1 << 64)), out=known[done : done + step])
             done += step
-        if size <= 2 * SLICE_BYTES + 2:
+        if n <= SLICE_BYTES + 1:
             _POWERS[base] = known
     return known[:n]
 

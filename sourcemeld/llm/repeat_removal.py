@@ -25,7 +25,7 @@ from sourcemeld.session import Scratch
 
 #: Bytes of text whose fragments share a bucket, on average.
 BUCKET_BYTES = 2 << 20
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _ANCHOR = 12  # bytes of the short strings; they fit ``length`` - 11 times into a window
 _MOST_WINDOWS = 64  # per fragment, so that periodic text makes no long ones
 _SPANS = "array<struct<start:int,end:int>>"
