@@ -25,7 +25,7 @@ from sourcemeld.session import Scratch
 
 #: Bytes of text whose fragments share a bucket, on average.
 BUCKET_BYTES = 2 << 20
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _ANCHOR = 12  # bytes of the short strings; they fit ``length`` - 11 times into a window
 _MOST_WINDOWS = 64  # per fragment, so that periodic text makes no long ones
 _SPANS = "array<struct<start:int,end:int>>"
@@ -228,7 +228,10 @@ def _anchors(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray, length: i
 def _bucket_spans(columns: list[np.ndarray], length: int) -> list[tuple[np.ndarray, ...]]:
     data, lengths, ids, prints, places = columns
     begin = np.cumsum(lengths) - lengths
-    content, low, context, several = _anchors(data, begin, lengths, length)
+    step = np.searchsorted(begin, np.arange(0, len(data), _SLICE))  # hashes of a slice at a time
+    blocks = [(i, j) for i, j in zip(step, np.append(step[1:], len(begin))) if i < j]
+    hashed = [_anchors(data[begin[i] : begin[j - 1] + lengths[j - 1]], begin[i:j] - begin[i], lengths[i:j], length) for i, j in blocks]
+    content, low, context, several = (np.concatenate(x, axis=-1) for x in zip(*hashed))
     # Equal fragments of several slices: all but those of the smallest id are settled.
     order = np.lexsort((ids, content))
     first = np.ones(len(order), bool)
