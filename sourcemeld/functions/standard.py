@@ -57,9 +57,11 @@ def as_text(value: Value) -> Column:
         return c
     if value.kind == DOUBLE:
         whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-        plain = F.regexp_replace(c.try_cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
-        return F.when(whole, c.try_cast("bigint").cast("string")).when(F.abs(c) >= 1e-3, plain).otherwise(
-            c.cast("string")
+        shown = c.cast("string")  # the shortest text that gives the same double
+        plain = F.regexp_replace(shown.try_cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
+        large = shown.try_cast("decimal(38,0)").cast("string")
+        return F.coalesce(
+            F.when(whole, c.try_cast("bigint").cast("string")).when((F.abs(c) >= 1e-3) & (F.abs(c) < 1e15), plain).when(F.abs(c) >= 1e15, large), shown
         )
     if value.kind == ARRAY:
         return F.to_json(c)
@@ -124,7 +126,9 @@ def _number_text(value: Value) -> Column:
 
 def _number_outcome(value: Value, number: Column, kind: str) -> Outcome:
     text = as_text(value)
-    return Outcome(number, kind, F.when(filled(text) & number.isNull(), _message("No number found in", text)))
+    some = F.coalesce(_number_text(value), F.lit("")) != ""
+    problem = F.when(some, _message("Number out of range in", text)).otherwise(_message("No number found in", text))
+    return Outcome(number, kind, F.when(filled(text) & number.isNull(), problem))
 
 
 @standardiser("extract_number")
@@ -148,8 +152,10 @@ def normalize_decimal(value: Value, decimals: int = 2) -> Outcome:
         raise StepError(f"decimals must be a whole number, not {decimals!r}") from exc
     if not -18 <= places <= 18:
         raise StepError("decimals must lie between -18 and 18")
-    exact = _number_text(value).try_cast(f"decimal(38,{max(10, places + 1)})")
-    return _number_outcome(value, F.round(exact, places).cast("double"), DOUBLE)
+    text = _number_text(value)
+    # Rounded once, from as many digits as 38 hold beside the whole part.
+    exact = F.coalesce(*[F.round(text.try_cast(f"decimal(38,{scale})"), places).cast("double") for scale in (30, 25, 20, 10, 0) if scale > places or scale == 0])
+    return _number_outcome(value, exact, DOUBLE)
 
 
 # Date directives and the pattern letters that mean the same.

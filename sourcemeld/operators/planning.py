@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,19 +20,48 @@ ACTIVE_WORDS = ("active", "working", "employed", "current", "currently")
 INACTIVE_WORDS = ("inactive", "left", "terminated", "former", "exited", "resigned", "retired")
 
 
+@dataclass(frozen=True)
+class Need:
+    """What a kind of target asks of its values: one of ``met_by``, and the step that is added where none is there.
+
+    A need with a ``fact`` holds only for columns whose values show it; a need that is ``certain`` shows from
+    the contract alone, so it is proposed before any value is read.
+    """
+
+    met_by: frozenset[str]
+    add: str
+    fact: str | None = None
+    certain: bool = False
+
+
+_NUMERIC = frozenset(("normalize_integer", "normalize_decimal", "extract_number"))
+NEEDS = {
+    "integer": Need(_NUMERIC, "normalize_integer", fact="noisy_number"),
+    "number": Need(_NUMERIC, "normalize_decimal", fact="noisy_number"),
+    "boolean": Need(frozenset(("normalize_boolean", "map_value")), "normalize_boolean"),
+    "date": Need(frozenset(("parse_date", "parse_date_auto")), "parse_date_auto", certain=True),
+    "datetime": Need(frozenset(("parse_date", "parse_date_auto", "parse_datetime_auto")), "parse_datetime_auto", certain=True),
+    "email": Need(frozenset(("normalize_email",)), "normalize_email", certain=True),
+    "phone": Need(frozenset(("normalize_phone",)), "normalize_phone", certain=True),
+    "array": Need(frozenset(("split",)), "split", fact="separator"),
+}
+#: Separators in the order in which they are trusted, and the fact that a column holds them.
+SEPARATORS = {"has_semicolon": ";", "has_comma": ",", "has_pipe": "|"}
+
+
+def need_of(field: Field) -> Need | None:
+    """The need of a field: by its type, or for texts by the kind of address its name speaks of."""
+    if field.data_type != "string":
+        return NEEDS.get(field.data_type)
+    return next((NEEDS[kind] for kind in ("email", "phone") if kind in field.name), None)
+
+
 def default_steps(field: Field) -> list[Step]:
-    """First proposal for a mapped field, from its type and name alone."""
+    """First proposal for a mapped field, from the contract alone."""
     if field.enum_values:
         return [Step("map_value", {"mapping": {}})]
-    if field.data_type == "date":
-        return [Step("parse_date_auto")]
-    if field.data_type == "datetime":
-        return [Step("parse_datetime_auto")]
-    if field.data_type == "string" and "email" in field.name:
-        return [Step("normalize_email")]
-    if field.data_type == "string" and "phone" in field.name:
-        return [Step("normalize_phone")]
-    return [Step("trim")]
+    need = need_of(field)
+    return [Step(need.add if need and need.certain else "trim")]
 
 
 def plain_number(c: Column) -> Column:
@@ -58,30 +89,15 @@ def column_facts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def plan_steps(field: Field, facts: dict, proposed: list[Step]) -> list[Step]:
-    """Put the steps a target type needs before the proposed ones."""
-    steps = list(proposed)
-
-    def lacks(*operations: str) -> bool:
-        return all(s.operation not in operations for s in steps)
-
-    if field.data_type == "date" and lacks("parse_date", "parse_date_auto"):
-        steps.insert(0, Step("parse_date_auto"))
-    if field.data_type == "datetime" and lacks("parse_date", "parse_date_auto", "parse_datetime_auto"):
-        steps.insert(0, Step("parse_datetime_auto"))
-    if field.data_type in ("integer", "number") and facts.get("noisy_number"):
-        if lacks("normalize_integer", "normalize_decimal", "extract_number"):
-            steps.insert(0, Step("normalize_integer" if field.data_type == "integer" else "normalize_decimal"))
-    if field.data_type == "boolean" and lacks("normalize_boolean", "map_value"):
-        steps.insert(0, Step("normalize_boolean"))
-    if field.data_type == "array" and lacks("split"):
-        seen = [ch for ch, name in ((";", "has_semicolon"), (",", "has_comma"), ("|", "has_pipe")) if facts.get(name)]
-        if seen:
-            steps.insert(0, Step("split", {"separator": seen[0]}))
-    if field.data_type == "string" and "email" in field.name and lacks("normalize_email"):
-        steps.insert(0, Step("normalize_email"))
-    elif field.data_type == "string" and "phone" in field.name and lacks("normalize_phone"):
-        steps.insert(0, Step("normalize_phone"))
-    return steps or [Step("trim")]
+    """The proposed steps, after the one that the field needs and none of them brings."""
+    need = need_of(field)
+    shown = dict(facts)
+    separator = next((sign for fact, sign in SEPARATORS.items() if facts.get(fact)), None)
+    shown["separator"] = separator
+    open_need = need and need.met_by.isdisjoint(s.operation for s in proposed) and (need.fact is None or shown.get(need.fact))
+    if open_need:
+        return [Step(need.add, {"separator": separator} if need.fact == "separator" else {}), *proposed]
+    return list(proposed) or [Step("trim")]
 
 
 def enum_tiers(value: Column, allowed: list[str], existing: dict[str, str] | None = None) -> tuple[Column, Column]:

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcemeld.functions.text import filled, sql_text
 from sourcemeld.sources.readers import data_columns
 
-SAMPLE_ROWS = 100
 SAMPLES = 5
 
 # Shapes that tell the type of a text.
-INTEGER = r"^[+-]?(0|[1-9][0-9]{0,17})$"
+INTEGER = r"^[+-]?(0|[1-9][0-9]*)$"
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 DATE = r"^([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}|[A-Za-z]{3,9} [0-9]{1,2},? [0-9]{4}|[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4})"
 CLOCK = r"[T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
@@ -82,19 +81,24 @@ def column_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def column_samples(df: DataFrame) -> DataFrame:
-    """First five non-null values of each column, taken from the first 100 rows of a file."""
-    head = df.where(F.col("source_row_number") <= SAMPLE_ROWS + 1)
+    """First five non-null values of each column over all rows of a file.
+
+    The rank limit is applied before the shuffle, so every task sends five values per column at the most.
+    """
+    order = Window.partitionBy("source_file", "column").orderBy("source_row_number")
     return (
-        column_values(head)
+        column_values(df)
         .where(F.col("value").isNotNull())
+        .withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= SAMPLES)
         .groupBy("source_file", "column")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("source_row_number", "value"))), 1, SAMPLES).alias("first"))
+        .agg(F.array_sort(F.collect_list(F.struct("source_row_number", "value"))).alias("first"))
         .select("source_file", "column", F.col("first.value").alias("samples"))
     )
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """File profile: types and counts over all rows, samples over the head of each file."""
+    """File profile: types and counts over all rows, the first samples of each file."""
     return column_types(df).join(column_samples(df), ["source_file", "column"], "left")
 
 

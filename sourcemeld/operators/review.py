@@ -95,13 +95,22 @@ def with_review_id(items: DataFrame) -> DataFrame:
 
 
 def review_queue(items: DataFrame) -> DataFrame:
-    """One open review per signature: its first item and the number of items behind it."""
+    """One open review per signature: its first item, the number of items behind it and all their unresolved values.
+
+    The values are the distinct ones of an enumerated column that nothing settles.
+    """
     signed = items if "review_id" in items.columns else with_review_id(items)
     order = F.struct(F.coalesce("source_file", F.lit("")), F.coalesce("record_id", F.lit("")), F.coalesce("record_key", F.lit("")))
     return (
         signed.groupBy("review_id")
-        .agg(F.min_by(F.struct(*REVIEW_COLUMNS), order).alias("item"), F.count(F.lit(1)).alias("n_items"))
-        .select("review_id", "item.*", "n_items")
+        .agg(
+            F.min_by(F.struct(*REVIEW_COLUMNS), order).alias("item"),
+            F.count(F.lit(1)).alias("n_items"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("unresolved_values")))).alias("all_unresolved"),
+        )
+        .select("review_id", "item.*", "n_items", "all_unresolved")
+        .withColumn("unresolved_values", F.when(F.size("all_unresolved") > 0, F.col("all_unresolved")).otherwise(F.col("unresolved_values")))
+        .drop("all_unresolved")
     )
 
 
@@ -205,8 +214,19 @@ def split_decisions(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("problem is null").drop("problem"), checked.where("problem is not null")
 
 
-def open_reviews(queue: DataFrame, accepted: DataFrame) -> DataFrame:
-    return queue.join(accepted.select("review_id").distinct(), "review_id", "left_anti")
+def open_reviews(queue: DataFrame, accepted: DataFrame, members: DataFrame) -> DataFrame:
+    """Reviews of the queue that nobody, or nobody for one of their records, has answered.
+
+    ``members`` (review_id, record_key, ...) are the records behind the reviews. An answer closes its
+    review for its own record; an answer without a record closes it for all. A review without
+    records is closed by any answer.
+    """
+    answered = accepted.select("review_id", "record_key").distinct()
+    records = members.where("record_key is not null").select("review_id", "record_key").distinct()
+    waiting = records.join(answered, ["review_id", "record_key"], "left_anti").select("review_id")
+    bare = queue.join(records, "review_id", "left_anti").join(answered, "review_id", "left_anti").select("review_id")
+    closed = answered.where("record_key is null").select("review_id")
+    return queue.join(waiting.unionByName(bare).distinct(), "review_id", "left_semi").join(closed, "review_id", "left_anti")
 
 
 def review_states(earlier: DataFrame, queue: DataFrame, accepted: DataFrame) -> DataFrame:

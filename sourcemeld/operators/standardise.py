@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from sourcemeld.contract import Entity
 from sourcemeld.functions.steps import Chain, Step, error_reason, run_chains
 from sourcemeld.functions.text import blank_to_null, strip
-from sourcemeld.operators.skew import sized_join
-from sourcemeld.settings import IN_REVIEW, TRANSFORMED
+from sourcemeld.operators.skew import lookup_join, sized_join
+from sourcemeld.settings import IN_REVIEW, LIMITS, TRANSFORMED
 
 
 @dataclass(frozen=True)
@@ -43,8 +43,7 @@ def standardise_source(df: DataFrame, entity: Entity, mapping: list[Mapped]) ->
     """One narrow pass over a source; every contract field is a canonical text column.
 
     Rows with a failed step get status CONSULTANT_REVIEW and carry their errors; the failed
-    value is not kept. Value maps too large for a literal are joined, broadcast within the
-    limit.
+    value is not kept. Value maps are joined: broadcast within the limit, shuffled beyond it.
     """
     chains = [Chain(f"c{i}", F.col(f"`{m.source_column}`"), m.steps) for i, m in enumerate(mapping)]
     out = run_chains(df, chains, skip_missing=True)
@@ -79,18 +78,30 @@ def standardise_source(df: DataFrame, entity: Entity, mapping: list[Mapped]) ->
 
 
 def _join_value_map(df: DataFrame, name: str, mapped: Mapped) -> DataFrame:
+    """The trimmed value as it is, then without case; anything else is ``unmapped_value``, a missing value stays missing."""
     lookup = mapped.value_map.where("target is not null").select(
         F.col("value").alias(f"{name}__key"), F.col("target").alias(f"{name}__to")
     )
     keyed = df.withColumn(f"{name}__key", blank_to_null(strip(F.col(f"{name}__value"))))
-    joined = sized_join(keyed, lookup, f"{name}__key", mapped.value_map_rows)
-    missed = F.col(f"{name}__error").isNull() & F.col(f"{name}__key").isNotNull() & F.col(f"{name}__to").isNull()
+    folded = lookup.groupBy(F.lower(f"{name}__key").alias(f"{name}__low")).agg(F.min_by(f"{name}__to", f"{name}__key").alias(f"{name}__near"))
+    keyed = keyed.withColumn(f"{name}__low", F.lower(f"{name}__key"))
+    joined = _looked_up(_looked_up(keyed, lookup, f"{name}__key", mapped.value_map_rows), folded, f"{name}__low", mapped.value_map_rows)
+    target = F.coalesce(f"{name}__to", f"{name}__near")
+    fine = F.col(f"{name}__error").isNull() & F.col(f"{name}__key").isNotNull()
     return joined.withColumns(
         {
-            f"{name}__error": F.when(missed, F.lit("unmapped_value")).otherwise(F.col(f"{name}__error")),
-            f"{name}__value": F.when(missed, F.col(f"{name}__value")).otherwise(F.col(f"{name}__to")),
+            f"{name}__value": F.when(F.col(f"{name}__error").isNotNull() | (fine & target.isNull()), F.col(f"{name}__value")).otherwise(target),
+            f"{name}__applied": F.when(fine & target.isNotNull(), F.array_append(f"{name}__applied", F.lit("map_value"))).otherwise(F.col(f"{name}__applied")),
+            f"{name}__error": F.when(fine & target.isNull(), F.lit("unmapped_value")).otherwise(F.col(f"{name}__error")),
         }
-    ).drop(f"{name}__key", f"{name}__to")
+    ).drop(f"{name}__key", f"{name}__to", f"{name}__low", f"{name}__near")
+
+
+def _looked_up(df: DataFrame, lookup: DataFrame, key: str, rows: int) -> DataFrame:
+    """Left join with a value map; most rows may hold one value, so beyond the broadcast limit hot values are split off."""
+    if rows <= LIMITS.broadcast_rows:
+        return sized_join(df, lookup, key, rows)
+    return lookup_join(df, lookup, key)
 
 
 def step_error_rows(records: DataFrame) -> DataFrame:

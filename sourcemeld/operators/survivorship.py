@@ -51,6 +51,9 @@ def merge_groups(members: DataFrame, entity: Entity, source_order: list[str] | N
             F.max(form).alias(f"hi{i}"),
             F.bool_and(F.when(filled(F.col(name)), F.col("__listed"))).alias(f"listed{i}"),
         ]
+    failed = "step_errors" in members.columns
+    if failed:  # as many names as the contract has fields
+        measures.append(F.array_distinct(F.flatten(F.collect_set(F.col("step_errors")["target_field"]))).alias("open_errors"))
     merged = ready.groupBy("group_id").agg(*measures)
     conflicts = F.array_compact(
         F.array(
@@ -64,7 +67,7 @@ def merge_groups(members: DataFrame, entity: Entity, source_order: list[str] | N
         )
     ).cast(CONFLICT)
     fields = [F.col(f"v{i}").alias(name) for i, name in enumerate(entity.names)]
-    out = merged.select("group_id", *fields, "n_members", "primary_id", "source_files", conflicts.alias("conflicts"))
+    out = merged.select("group_id", *fields, "n_members", "primary_id", "source_files", conflicts.alias("conflicts"), *(["open_errors"] if failed else []))
     return out.withColumn(
         "record_key", F.coalesce(record_key(entity, entity.names), F.col("primary_id"))
     ).withColumn("open_conflicts", F.filter("conflicts", lambda c: ~c["silent"])["field"])
@@ -107,6 +110,7 @@ def apply_corrections(merged: DataFrame, corrections: DataFrame, entity: Entity)
     return joined.withColumns(
         {n: F.coalesce(F.col(f"fix_{n}"), F.col(n)) for n in entity.names}
         | {"corrected": fixed, "open_conflicts": F.array_except("open_conflicts", fixed)}
+        | ({"open_errors": F.array_except("open_errors", fixed)} if "open_errors" in joined.columns else {})
     ).drop(*[f"fix_{n}" for n in entity.names])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sourcemeld.contract import Entity, Field
 from sourcemeld.functions.text import is_missing
+from sourcemeld.operators.profile import NUMBER
 from sourcemeld.settings import IN_REVIEW, READY
 
 VIOLATION = "array<struct<field:string,code:string,message:string>>"
@@ -20,7 +21,7 @@ def type_ok(c: Column, data_type: str) -> Column:
     if data_type == "integer":
         return c.rlike("^[+-]?[0-9]+$") & c.try_cast("bigint").isNotNull()
     if data_type == "number":
-        return c.try_cast("double").isNotNull()
+        return c.rlike(NUMBER) & c.try_cast("double").isNotNull()
     if data_type == "boolean":
         return c.isin("true", "false")
     if data_type == "date":
@@ -67,6 +68,8 @@ def quarantine(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def group_status(validated: DataFrame) -> DataFrame:
     held = (F.size("open_conflicts") > 0) | (F.size("violations") > 0)
+    if "open_errors" in validated.columns:  # a field whose step failed, and that no correction has settled
+        held = held | (F.size("open_errors") > 0)
     return validated.withColumn("group_status", F.when(held, IN_REVIEW).otherwise(READY))
 
 

@@ -71,15 +71,22 @@ def run(
     written once, because identity, survivorship and reviews all read them.
     """
     decisions = decisions or Decisions()
+    _check_names(contract)
     scratch = Scratch(spark)
     typed = [profile.column_types(s).withColumn("frame", F.lit(i)) for i, s in enumerate(sources)]
     catalog = scratch.write(reduce(DataFrame.unionByName, typed), "catalog")
+    twice = catalog.groupBy("source_file").agg(F.count_distinct("frame").alias("n")).where("n > 1").select("source_file").limit(5).collect()
+    if twice:
+        raise ValueError(f"several sources hold files named {[r.source_file for r in twice]}; read them together, so that their folders tell them apart")
     fields = contract_fields(spark, contract)
     scores = scratch.write(matching.label_scores(matching.distinct_labels(catalog), contract), "scores")
     entities = scratch.write(
         matching.detect_entities(catalog, contract, scores, choices=decisions.entity_choices), "entities"
     )
-    overrides = None if decisions.accepted is None else review.mapping_overrides(decisions.accepted)
+    overrides = None
+    if decisions.accepted is not None:  # a target that the contract lacks overrides nothing
+        told = review.mapping_overrides(decisions.accepted)
+        overrides = told.join(F.broadcast(fields.select("entity", F.col("field").alias("target_field"))), ["entity", "target_field"], "left_semi").select(*told.columns)
     mapping = scratch.write(
         matching.decide_fields(
             matching.column_candidates(catalog, entities, matching.match_candidates(scores, contract)),
@@ -151,6 +158,20 @@ def run(
     return out
 
 
+#: Columns that the engine keeps beside the contract's fields.
+ENGINE_COLUMNS = frozenset(
+    "record_id source_file source_row_number step_errors status arrival group_id method record_key n_members primary_id source_files "
+    "conflicts open_conflicts corrected violations group_status open_errors".split()
+)
+
+
+def _check_names(contract: Contract) -> None:
+    """A contract field named like an engine column would be overwritten unseen."""
+    clashes = sorted(f"{e.name}.{n}" for e in contract.entities for n in e.names if n in ENGINE_COLUMNS and n not in ("record_id",))
+    if clashes:
+        raise ValueError(f"contract fields {clashes} have names that the engine uses; rename them in the contract and keep the old name as an alias")
+
+
 def _shapes(catalog: DataFrame, mapping: DataFrame) -> DataFrame:
     """(frame, source_file, entity, shape_id, columns): which columns of a file feed which fields.
 
@@ -214,12 +235,7 @@ def _plan_source(source, name, entity, rows, decisions, scratch, unresolved) ->
         plan = scratch.write(planning.enum_plan(values, list(target.enum_values), answers=told), "values")
         size = plan.count()
         unresolved.append(planning.unresolved_reviews(plan, entity.name, name, r.source_column, r.target_field))
-        if size <= 1000:
-            literal = {v.value: v.target for v in plan.where("target is not null").collect()}
-            steps = before + (Step("map_value", {"mapping": literal}),)
-            mapped.append(Mapped(r.source_column, r.target_field, steps))
-        else:
-            mapped.append(Mapped(r.source_column, r.target_field, before, plan, size))
+        mapped.append(Mapped(r.source_column, r.target_field, before, plan, size))
     return mapped
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ def clean_missing(c: Column) -> Column:
 
 def record_id(source_file: Column, row_number: Column) -> Column:
     """A stable, collision-free id that sorts like the rows of a file."""
-    return F.concat(source_file, F.lit("#"), F.lpad(row_number.cast("string"), 12, "0"))
+    return F.concat(source_file, F.lit("#"), F.lpad(row_number.cast("string"), F.greatest(F.length(row_number.cast("string")), F.lit(12)), F.lit("0")))
 
 
 def with_lineage(df: DataFrame, source_file: Column, row_number: Column) -> DataFrame:
@@ -52,6 +54,8 @@ def with_lineage(df: DataFrame, source_file: Column, row_number: Column) -> Data
 def read_csv(spark: SparkSession, paths: str | list[str], multi_line: bool = True, **options) -> DataFrame:
     """CSV files of one header as text columns with ``source_file`` and ``source_row_number``.
 
+    A file whose header differs from the first one's fails the job; read such files apart. Files of
+    equal names in several folders keep their folders in ``source_file`` and in their ids.
     The first data row is row 2. ``multi_line`` keeps quoted line ends together and reads a
     file in one task; switch it off for big files known to have none, which are then split.
     Row numbers come from one counting pass over the splits, not from a shuffle of rows: a
@@ -62,14 +66,14 @@ def read_csv(spark: SparkSession, paths: str | list[str], multi_line: bool = Tru
     """
     _pin_splits(spark)
     raw = (
-        spark.read.options(header=True, multiLine=multi_line, escape='"', encoding="UTF-8", **options)
+        spark.read.options(header=True, multiLine=multi_line, escape='"', encoding="UTF-8", enforceSchema=False, **options)
         .csv(paths)
     )
     names = raw.columns
     placed = raw.select(
         *[clean_missing(F.col(f"`{n}`")).alias(n) for n in names],
         F.col("_metadata.file_path").alias("__path"),
-        F.url_decode(F.col("_metadata.file_name")).alias("source_file"),
+        _file_of(raw).alias("source_file"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__place"),
     )
@@ -90,6 +94,18 @@ def read_csv(spark: SparkSession, paths: str | list[str], multi_line: bool = Tru
     )
 
 
+def _file_of(raw: DataFrame) -> Column:
+    """Path of a row's file below the folder that all files share: its bare name, unless folders tell files apart."""
+    folders = {f.rsplit("/", 1)[0] for f in raw.inputFiles()}
+    shared = os.path.commonpath(folders) if len(folders) > 1 else next(iter(folders), "")
+    path = F.url_decode(F.col("_metadata.file_path"))
+    if len(folders) < 2:
+        return F.element_at(F.split(path, "/"), -1)
+    steps = len(shared.replace("://", ":/").replace(":///", ":/").strip("/").split("/"))
+    parts = F.split(F.regexp_replace(path, "/+", "/"), "/")
+    return F.array_join(F.slice(parts, steps + 1, F.size(parts)), "/")
+
+
 def _pin_splits(spark: SparkSession) -> None:
     """Fix the parallelism that split planning starts from, unless the session has done so."""
     name = "spark.sql.files.minPartitionNum"
@@ -103,7 +119,7 @@ def read_parquet(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     raw = spark.read.parquet(*paths)
     texts = [clean_missing(F.col(f"`{n}`").cast("string")).alias(n) for n in raw.columns]
     placed = raw.select(
-        *texts, F.url_decode(F.col("_metadata.file_name")).alias("__file"), F.col("_metadata.row_index").alias("__row")
+        *texts, _file_of(raw).alias("__file"), F.col("_metadata.row_index").alias("__row")
     )
     return with_lineage(placed, F.col("__file"), F.col("__row") + 2).drop("__file", "__row")
 

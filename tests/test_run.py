@@ -236,3 +236,28 @@ def test_stream_delivers_once(spark, tmp_path):
         assert query.exception() is None
     assert store.current(entity).count() == 15 and store.ledger(entity).count() == 20
     assert store.changes(entity).count() == 20
+
+
+def test_names_of_the_engine_are_refused(spark):
+    payload = {"entities": [{"entity_name": "e", "fields": [field("status", required=True), field("name")]}]}
+    with pytest.raises(ValueError, match="e.status"):
+        run(spark, [], load_contract("c.json", json.dumps(payload)))
+
+
+@pytest.mark.parametrize("rows", [1, 10**9])
+def test_value_maps_answer_alike_at_every_size(spark, rows):
+    from sourcemeld.contract import Entity, Field
+
+    values = ["qqq", "QQQ", " qqq ", "", None, "zzz"]
+    df = spark.createDataFrame([(str(i), "f", i, v) for i, v in enumerate(values)], "record_id string, source_file string, source_row_number long, raw string")
+    answers = spark.createDataFrame([("qqq", "A"), ("other", None)], "value string, target string")
+    out = standardise_source(df, Entity("e", (Field("level", "string"),)), [Mapped("raw", "level", (Step("trim"),), answers, rows)])
+    got = {r.record_id: (r.level, [e.error for e in r.step_errors]) for r in out.collect()}
+    assert got == {"0": ("A", []), "1": ("A", []), "2": ("A", []), "3": (None, []), "4": (None, []), "5": (None, ["unmapped_value"])}
+
+
+def test_a_failed_optional_step_holds_the_group(spark, tmp_path):
+    (tmp_path / "legacy_hr.csv").write_text(LEGACY.replace("15/07/1998", "no date at all"))
+    done = run(spark, [read_csv(spark, str(tmp_path / "legacy_hr.csv"))], employee_contract())
+    status = {r.employee_id: r.group_status for r in done.by_entity["employee"].merged.collect()}
+    assert status["E1024"] == "CONSULTANT_REVIEW" and status["E1025"] == "READY_TO_PUSH"

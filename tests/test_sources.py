@@ -56,3 +56,23 @@ def test_samples_are_the_first_non_null_values(spark):
     df = spark.createDataFrame([("f", i + 2, None if i % 2 else str(i)) for i in range(300)], "source_file string, source_row_number long, v string")
     row = profile(df.repartition(3)).first()
     assert row.samples == ["0", "2", "4", "6", "8"] and (row.n_rows, row.n_nulls) == (300, 150)
+
+
+def test_samples_reach_beyond_the_head_of_a_file(spark):
+    df = spark.createDataFrame([("f", i + 2, None if i < 250 else str(i)) for i in range(300)], "source_file string, source_row_number long, v string")
+    assert profile(df.repartition(3)).first().samples == ["250", "251", "252", "253", "254"]
+
+
+def test_equal_file_names_keep_their_folders(spark, tmp_path):
+    for folder, rows in (("x", "1,a\n2,b\n"), ("y", "3,c\n4,d\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "crm.csv").write_text("id,name\n" + rows)
+    got = read_csv(spark, [str(tmp_path / "x"), str(tmp_path / "y")]).collect()
+    assert sorted((r.id, r.record_id) for r in got) == [(str(i), f"{'xxyy'[i - 1]}/crm.csv#{2 + (i - 1) % 2:012d}") for i in range(1, 5)]
+
+
+def test_unequal_headers_are_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,ann\n")
+    (tmp_path / "b.csv").write_text("name,id\nbob,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(tmp_path), multi_line=False).collect()

@@ -11,8 +11,10 @@ from sourcemeld.functions.text import meaningful_list, meaningful_map, meaningfu
 from sourcemeld.functions.policy import mapping_decision, step_decision, value_decision
 from sourcemeld.operators.planning import column_facts
 from sourcemeld.operators.profile import distinct_values, file_manifest, profile
-from sourcemeld.operators.standardise import last_success
-from sourcemeld.sources.readers import read_parquet, stack_sources, to_json_rows
+from sourcemeld.contract import Entity, Field
+from sourcemeld.operators.standardise import Mapped, last_success, standardise_source
+from sourcemeld.session import Scratch
+from sourcemeld.sources.readers import read_csv, read_parquet, stack_sources, to_json_rows
 from workload.party import table
 
 QUERIES, SQL = {}, {}
@@ -44,7 +46,7 @@ def _profile_sql(name: str, columns: list[tuple[str, str]], key: str) -> str:
             f"when count(*) filter (regexp_matches({v}, '^[+-]?(0|[1-9][0-9]*)$')) = count({c}) then 'integer' "
             f"when count(*) filter (regexp_matches({v}, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$')) = count({c}) then 'number' "
             f"else 'string' end as inferred_type, count(*) as n_rows, count(*) - count({c}) as n_nulls, "
-            f"(select string_agg(x, '|' order by k) from (select {v} as x, {key} as k from {name} where {c} is not null and {key} < 100 order by {key} limit 5)) as samples "
+            f"(select string_agg(x, '|' order by k) from (select {v} as x, {key} as k from {name} where {c} is not null order by {key} limit 5)) as samples "
             f"from {name}"
         )
     return " union all ".join(parts)
@@ -375,3 +377,59 @@ def json_rows(spark, sf_dir):
     n = table(spark, sf_dir, "nation").withColumn("n_name", F.when(F.col("n_nationkey") % 4 != 0, F.col("n_name")))
     joined = n.join(counts, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return to_json_rows(joined.select("n_nationkey", "n_name", "n_regionkey", "n_customers"))
+
+
+@query(
+    "exact_numbers",
+    """select l_orderkey, l_linenumber, round((l_orderkey || '.' || lpad((l_partkey % 1000)::varchar, 3, '0') || '4999999999')::decimal(38,16), 3)::double as rounded,
+    l_orderkey || '.' || lpad((l_partkey % 1000)::varchar, 3, '0') || '49' as shown,
+    case when l_linenumber = 1 then 'Number out of range in ''' || l_orderkey || repeat('0', 20) || '''' end as problem
+    from lineitem""",
+)
+def exact_numbers(spark, sf_dir):
+    """Digits after the tenth place decide a rounding once; long texts stay as they are; overflow is told as such."""
+    part = "concat(l_orderkey, '.', lpad(cast(l_partkey % 1000 as string), 3, '0'))"
+    df = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", f"concat({part}, '4999999999') as long", f"concat({part}, '49') as short",
+        "case when l_linenumber = 1 then concat(l_orderkey, repeat('0', 20)) end as huge",
+    )
+    out = run_chains(df, [Chain("short", F.col("short"), (Step("extract_number"),)), Chain("huge", F.col("huge"), (Step("normalize_integer"),))])
+    rounded = apply(F.col("long"), "normalize_decimal", decimals=3)[0]
+    return out.select("l_orderkey", "l_linenumber", rounded.alias("rounded"), F.col("short__value").alias("shown"), F.col("huge__error").alias("problem"))
+
+
+@query(
+    "value_map_paths",
+    """with m as (select o_orderkey, case when o_orderkey % 5 = 0 then '' when o_orderkey % 5 = 1 then lower(o_orderpriority)
+      when o_orderkey % 5 = 2 then 'QQQ' else ' ' || o_orderpriority || ' ' end as raw from orders)
+    select o_orderkey, case when trim(raw) = '' then null when lower(trim(raw)) in ('1-urgent', '2-high') then 'top' when lower(trim(raw)) = 'qqq' then 'odd' end as value,
+      case when trim(raw) = '' or lower(trim(raw)) in ('1-urgent', '2-high', 'qqq') then null else 'unmapped_value' end as error
+    from m""",
+)
+def value_map_paths(spark, sf_dir):
+    """A value map answers trimmed values, then values without case; blanks are missing, the rest is unmapped."""
+    df = table(spark, sf_dir, "orders").selectExpr(
+        "cast(o_orderkey as string) as record_id", "'orders' as source_file", "cast(o_orderkey as bigint) as source_row_number",
+        "case when o_orderkey % 5 = 0 then '' when o_orderkey % 5 = 1 then lower(o_orderpriority) "
+        "when o_orderkey % 5 = 2 then 'QQQ' else concat(' ', o_orderpriority, ' ') end as raw",
+    )
+    answers = spark.createDataFrame([("1-URGENT", "top"), ("2-HIGH", "top"), ("qqq", "odd"), ("4-none", None)], "value string, target string")
+    entity = Entity("orders", (Field("level", "string"),))
+    out = standardise_source(df, entity, [Mapped("raw", "level", (Step("trim"),), answers, 4)])
+    return out.select(F.col("source_row_number").alias("o_orderkey"), F.col("level").alias("value"), F.get("step_errors", F.lit(0))["error"].alias("error"))
+
+
+@query(
+    "csv_folders",
+    """select 'zone=' || c_nationkey % 5 as folder, count(*) as n_rows, count(*) as n_ids, sum(c_custkey)::bigint as keys, count(*) as n_places from customer group by 1""",
+)
+def csv_folders(spark, sf_dir):
+    """Files of equal names in several folders, written and read back: no id and no row number meets twice."""
+    root = Scratch(spark).root + "/csv"
+    df = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", "concat('zone=', c_nationkey % 5) as folder")
+    df.withColumn("place", F.col("folder")).coalesce(1).write.partitionBy("place").csv(root, header=True)
+    back = read_csv(spark, root, multi_line=False)
+    return back.groupBy("folder").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("record_id").alias("n_ids"), F.sum(F.col("c_custkey").cast("bigint")).alias("keys"),
+        F.count_distinct("source_file", "source_row_number").alias("n_places"),
+    )

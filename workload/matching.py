@@ -168,7 +168,7 @@ SCORES_SQL = (
     + f""", labels as (select distinct lower(trim(translate(col, '_-', '  '))) as query from catalog),
 pairs as (select query, entity, entity_ordinal, field, field_ordinal, {_NORMAL.format('query')} as a, {_NORMAL.format('label_text')} as b from labels, contract),
 {scored_sql('pairs', 'sc')},
-scores as (select query, entity, entity_ordinal, field, field_ordinal, max(score) as raw_score, bool_or(a = b) as exact from sc group by all)"""
+scores as materialized (select query, entity, entity_ordinal, field, field_ordinal, max(score) as raw_score, bool_or(a = b) as exact from sc group by all)"""
 )
 
 
@@ -263,7 +263,7 @@ lowered as (select *, raw_score * (case when len(mine) > 0 and len(theirs) > 0 a
   * (case when list_contains(mine, 'name') and is_part and not list_has_any(words, ['first', 'last', 'given', 'surname', 'family', 'fname']) then 0.55::double else 1 end)
   * (case when {_AGAINST} then 0.42::double else 1 end) as s from judged),
 adjusted as (select *, round((case when {_AGREED} then least(1.0::double, s + 0.08::double) else s end)::decimal(38, 20), 4)::double as score from lowered),
-candidates as (select *, row_number() over w as rank, score - coalesce(lead(score) over w, 0) as margin
+candidates as materialized (select *, row_number() over w as rank, score - coalesce(lead(score) over w, 0) as margin
   from adjusted window w as (partition by query, entity order by score desc, raw_rank)),
 choices as (select c.source_file, c.col as source_column, c.ordinal, c.inferred_type, x.*
   from catalog c join entities e on c.source_file = e.source_file and e.entity is not null
@@ -311,7 +311,7 @@ def field_match(spark, sf_dir):
     "proposal_admission",
     f"""with {CANDIDATES_SQL}, proposed(entity, source_column, target_field, needs_review) as (values ('customer', 'Telephone', 'email', false), ('customer', 'Company Name', 'last_name', false),
       ('orders', 'Total Amount', 'status', true), ('orders', 'Order State', 'invented', false), ('part', 'Kind', 'brand', false)),
-    proposals as (select p.* from proposed p where exists (select 1 from customer where c_custkey > 0)),
+    proposals as (select p.* from proposed p),
     valid as (select c.entity, c.source_file, c.source_column, min(p.target_field) as target from proposals p join choices c
       on p.entity = c.entity and p.source_column = c.source_column and p.target_field = c.field where not needs_review group by all)
     select s.entity, s.source_file, s.source_column, case when stage = 'undecided' then coalesce(v.target, field) when stage = 'auto' then field end as target_field, score as confidence, match,

@@ -429,12 +429,15 @@ def decision_checks(spark, sf_dir):
 
 @query(
     "open_after_decisions",
-    with_sql(_DECISION_SQL, "select distinct review_id, reason_code from items where review_id not in (select review_id from decided where problem is null)"),
+    with_sql(_DECISION_SQL, """select distinct review_id, reason_code from items i where not exists
+      (select 1 from decided d where d.problem is null and d.review_id = i.review_id and d.record_key = i.record_key)"""),
 )
 def open_after_decisions(spark, sf_dir):
-    queue, checked = _decided(spark, sf_dir)
-    accepted, _ = V.split_decisions(checked)
-    return V.open_reviews(queue, accepted).select("review_id", "reason_code")
+    """A review of many records stays open until each of them is answered."""
+    items = Scratch(spark).write(_items(spark, sf_dir), "items")
+    queue = V.review_queue(items)
+    accepted, _ = V.split_decisions(V.check_decisions(_decisions(items), queue))
+    return V.open_reviews(queue, accepted, V.review_members(items)).select("review_id", "reason_code")
 
 
 @query(
