@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from sourcemeld.llm.batches import text_slices
 from sourcemeld.llm.vocabulary import PieceSplitter, Vocabulary
 
-_PIECES = 400_000  # remembered pieces per task; beyond that the memory starts anew
+_PIECES = 150_000  # remembered pieces per task; beyond that the memory starts anew
 
 
 class PerfectHash:

@@ -20,7 +20,7 @@ from sourcemeld.llm.batches import byte_lengths, text_slices
 from sourcemeld.llm.bpe_codec import byte_pairs, merge
 from sourcemeld.llm.vocabulary import PieceSplitter, Vocabulary
 
-_PIECES = 400_000  # remembered pieces per task; beyond that the memory starts anew
+_PIECES = 150_000  # remembered pieces per task; beyond that the memory starts anew
 _JOINTS = 2_000_000  # remembered pairs of neighbouring tokens
 
 

@@ -63,30 +63,44 @@ class PieceSplitter:
     white space around a blank are split as a whole.
     """
 
-    def __init__(self, pattern: str, value_of, join, limit: int = 400_000) -> None:
+    def __init__(self, pattern: str, value_of, join, limit: int = 250_000) -> None:
         self.find = regex.compile(pattern).findall
         self.value_of, self.join, self.limit = value_of, join, limit
+        self.simple = pattern == PATTERN
         self.chunks: dict[str, object] = {}
+        self.older: dict[str, object] = {}  # what was known before; chunks still in use come back from there
+
+    def _pieces(self, chunk: str) -> list[str]:
+        """Pieces of ``" " + chunk``; plain words need no pattern."""
+        if self.simple:
+            if chunk.isalpha():
+                return [" " + chunk]
+            if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+                return [" " + chunk[:-1], chunk[-1]]
+        return self.find(" " + chunk)
 
     def _chunk(self, chunk: str):
         """The joined value of ``" " + chunk``, or None if blanks around it are not safe cuts."""
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+        if chunk in self.older:
+            value = self.older[chunk]
+        elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
             value = None
         else:
-            value = self.join([self.value_of(p) for p in self.find(" " + chunk)])
+            value = self.join([self.value_of(p) for p in self._pieces(chunk)])
         if len(self.chunks) >= self.limit:
-            self.chunks.clear()
-        self.chunks[chunk] = value
+            self.older, self.chunks = self.chunks, {}
+        if len(chunk) <= 256:
+            self.chunks[chunk] = value
         return value
 
     def parts(self, text: str) -> list:
         """Values of consecutive parts of the text; joined they are the value of the whole."""
         first, *rest = text.split(" ")
         if first and not first[-1].isspace():
-            known, chunk = self.chunks, self._chunk
+            chunk = self._chunk
             values = []
             for c in rest:
-                v = known.get(c, self)
+                v = self.chunks.get(c, self)
                 if v is self:
                     v = chunk(c)
                 if v is None:
