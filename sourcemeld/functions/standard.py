@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sourcemeld.functions.text import filled, squeeze, strip
+from sourcemeld.settings import SAY_NO_BOOLEAN, SAY_NO_DATE, SAY_NO_DATETIME, SAY_NO_NUMBER
 
 TEXT, LONG, DOUBLE, BOOLEAN, ARRAY = "text", "long", "double", "boolean", "array"
 
@@ -127,7 +128,7 @@ def _number_text(value: Value) -> Column:
 def _number_outcome(value: Value, number: Column, kind: str) -> Outcome:
     text = as_text(value)
     some = F.coalesce(_number_text(value), F.lit("")) != ""
-    problem = F.when(some, _message("Number out of range in", text)).otherwise(_message("No number found in", text))
+    problem = F.when(some, _message("Number out of range in", text)).otherwise(_message(SAY_NO_NUMBER, text))
     return Outcome(number, kind, F.when(filled(text) & number.isNull(), problem))
 
 
@@ -249,7 +250,7 @@ def parse_date_auto(value: Value, output_format: str = "%Y-%m-%d") -> Outcome:
     shown = (
         date.cast("string") if output_format == "%Y-%m-%d" else F.date_format(date, date_pattern(output_format, True))
     )
-    return Outcome(shown, TEXT, F.when(filled(text) & date.isNull(), _message("Unable to parse date", text)))
+    return Outcome(shown, TEXT, F.when(filled(text) & date.isNull(), _message(SAY_NO_DATE, text)))
 
 
 @standardiser("parse_datetime_auto")
@@ -265,7 +266,7 @@ def parse_datetime_auto(value: Value, output_format: str = "%Y-%m-%dT%H:%M:%S")
         F.concat(date.cast("string"), F.lit(" "), hour.cast("string"), rest).try_cast("timestamp_ntz")
     )
     shown = F.date_format(moment, date_pattern(output_format, padded=True))
-    return Outcome(shown, TEXT, F.when(filled(text) & moment.isNull(), _message("Unable to parse datetime", text)))
+    return Outcome(shown, TEXT, F.when(filled(text) & moment.isNull(), _message(SAY_NO_DATETIME, text)))
 
 
 def literal_map(mapping: dict[str, str]) -> Column:
@@ -326,7 +327,7 @@ def normalize_boolean(value: Value, true_values=None, false_values=None) -> Outc
     yes = [str(w).lower() for w in (true_values or TRUE_WORDS)]
     no = [str(w).lower() for w in (false_values or FALSE_WORDS)]
     flag = F.when(word.isin(yes), F.lit(True)).when(word.isin(no), F.lit(False))
-    return Outcome(flag, BOOLEAN, F.when(flag.isNull(), _message("Unable to normalize boolean value", as_text(value))))
+    return Outcome(flag, BOOLEAN, F.when(flag.isNull(), _message(SAY_NO_BOOLEAN, as_text(value))))
 
 
 # Other spellings of step parameters, tried in this order.
@@ -341,7 +342,7 @@ PARAMETER_ALIASES = {
 def standardise(value: Value, operation: str, params: dict | None = None) -> Outcome:
     """Apply one named step. Unknown names and wrong parameters raise ``StepError``."""
     if operation not in REGISTRY:
-        raise StepError(f"Unsupported transformation: {operation}")
+        raise StepError(f"no step is called {operation!r}")
     given = dict(params or {})
     for name, spellings in PARAMETER_ALIASES.get(operation, {}).items():
         spelling = next((s for s in spellings if s in given), None)
@@ -350,4 +351,4 @@ def standardise(value: Value, operation: str, params: dict | None = None) -> Out
     try:
         return REGISTRY[operation](value, **given)
     except TypeError as exc:
-        raise StepError(f"Invalid parameters for transformation '{operation}': {exc}") from exc
+        raise StepError(f"{operation} does not take these parameters: {exc}") from exc

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sourcemeld.contract import Entity, Field
 from sourcemeld.functions.text import is_missing
 from sourcemeld.operators.profile import NUMBER
-from sourcemeld.settings import IN_REVIEW, READY
+from sourcemeld.settings import IN_REVIEW, READY, SAY_ENUM, SAY_REQUIRED, SAY_TYPE
 
 VIOLATION = "array<struct<field:string,code:string,message:string>>"
 
@@ -41,10 +41,10 @@ def violation(field: Field) -> Column:
     def found(code: str, message: str) -> Column:
         return F.struct(F.lit(field.name).alias("field"), F.lit(code).alias("code"), F.lit(message).alias("message"))
 
-    check = F.when(is_missing(c), found("required", "Required field is missing") if field.required else F.lit(None))
+    check = F.when(is_missing(c), found("required", SAY_REQUIRED) if field.required else F.lit(None))
     if field.enum_values:
-        check = check.when(~c.isin(*field.enum_values), found("enum", f"Value must be one of {list(field.enum_values)}"))
-    return check.when(~type_ok(c, field.data_type), found("type", f"Value does not match type {field.data_type}"))
+        check = check.when(~c.isin(*field.enum_values), found("enum", f"{SAY_ENUM} {list(field.enum_values)}"))
+    return check.when(~type_ok(c, field.data_type), found("type", f"{SAY_TYPE} {field.data_type}"))
 
 
 def validate(df: DataFrame, entity: Entity) -> DataFrame:

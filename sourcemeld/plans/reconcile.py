@@ -18,8 +18,17 @@ from sourcemeld.session import Scratch
 from sourcemeld.settings import (
     AMBIGUOUS_MAPPING,
     AMBIGUOUS_MATCH,
+    ASK_CONFLICT,
+    ASK_ENTITY,
+    ASK_INVALID,
+    ASK_MAPPING,
+    ASK_MATCH,
+    ASK_MISSING,
+    ASK_REQUIRED,
+    ASK_STEP,
     CONFLICTING_VALUES,
     INVALID_RECORD,
+    NO_SAFE_SOURCE,
     UNMAPPED_VALUE,
 )
 
@@ -100,14 +109,14 @@ def run(
         review.review_items(
             entities.where("entity is null"),
             reason_code=AMBIGUOUS_MAPPING,
-            title=F.concat(F.lit("Choose the target entity for "), F.col("source_file")),
+            title=F.concat(F.lit(ASK_ENTITY), F.col("source_file")),
             source_file=F.col("source_file"),
         ),
         review.review_items(
             gaps,
             reason_code=AMBIGUOUS_MAPPING,
             entity=F.col("entity"),
-            title=F.concat(F.lit("Required target field "), F.col("target_field"), F.lit(" has no safe source mapping")),
+            title=F.concat(F.lit(ASK_REQUIRED), F.col("target_field"), F.lit(NO_SAFE_SOURCE)),
             target_field=F.col("target_field"),
             available_source_fields=F.col("available_source_fields"),
         ),
@@ -122,7 +131,7 @@ def run(
             judged.where("not suppressed"),
             reason_code=AMBIGUOUS_MAPPING,
             entity=F.col("entity"),
-            title=F.concat(F.lit("No safe automatic mapping for "), F.col("source_column")),
+            title=F.concat(F.lit(ASK_MAPPING), F.col("source_column")),
             source_file=F.col("source_file"),
             source_field=F.col("source_column"),
             candidates=F.col("candidates"),
@@ -256,7 +265,7 @@ def _reconcile(records, entity, decisions, scratch, items, audit, names, exacts)
                 errors,
                 reason_code=F.col("reason_code"),
                 entity=entity.name,
-                title=F.concat(F.lit("Transformation requires approval for "), F.col("source_field")),
+                title=F.concat(F.lit(ASK_STEP), F.col("source_field")),
                 record_id=F.col("record_id"),
                 source_file=F.col("source_file"),
                 source_field=F.col("source_field"),
@@ -277,7 +286,7 @@ def _reconcile(records, entity, decisions, scratch, items, audit, names, exacts)
     items.append(
         review.enrich(
             review.review_items(
-                unsure, reason_code=AMBIGUOUS_MATCH, entity=entity.name, title="Record match requires review",
+                unsure, reason_code=AMBIGUOUS_MATCH, entity=entity.name, title=ASK_MATCH,
                 record_id=F.col("record_id"), candidates=F.array("partner"),
             ),
             known,
@@ -305,7 +314,7 @@ def _reconcile(records, entity, decisions, scratch, items, audit, names, exacts)
         review.review_items(
             checked.where(F.size("open_conflicts") > 0).select("*", F.explode("open_conflicts").alias("conflict")),
             reason_code=CONFLICTING_VALUES, entity=entity.name,
-            title=F.concat(F.lit("Conflicting values for "), F.col("conflict")),
+            title=F.concat(F.lit(ASK_CONFLICT), F.col("conflict")),
             record_id=F.col("primary_id"), record_key=F.col("record_key"), field=F.col("conflict"),
             source_file=F.element_at("source_files", 1), summary=summary,
         )
@@ -315,8 +324,8 @@ def _reconcile(records, entity, decisions, scratch, items, audit, names, exacts)
             checked.where((F.size("open_conflicts") == 0) & (F.size("violations") > 0)),
             reason_code=INVALID_RECORD, entity=entity.name,
             title=F.concat(
-                F.when(F.size(validation.missing_fields(F.col("violations"))) > 0, "Missing required field for ").otherwise(
-                    "Validation failed for "
+                F.when(F.size(validation.missing_fields(F.col("violations"))) > 0, ASK_MISSING).otherwise(
+                    ASK_INVALID
                 ),
                 F.col("record_key"),
             ),

@@ -68,3 +68,21 @@ class Limits:
 
 
 LIMITS = Limits()
+
+# Wording of review titles, violations and step errors, which readers of the output rely on.
+ASK_ENTITY = "Choose the target entity for "
+ASK_REQUIRED = "Required target field "
+NO_SAFE_SOURCE = " has no safe source mapping"
+ASK_MAPPING = "No safe automatic mapping for "
+ASK_STEP = "Transformation requires approval for "
+ASK_MATCH = "Record match requires review"
+ASK_CONFLICT = "Conflicting values for "
+ASK_MISSING = "Missing required field for "
+ASK_INVALID = "Validation failed for "
+SAY_REQUIRED = "Required field is missing"
+SAY_ENUM = "Value must be one of"
+SAY_TYPE = "Value does not match type"
+SAY_NO_NUMBER = "No number found in"
+SAY_NO_DATE = "Unable to parse date"
+SAY_NO_DATETIME = "Unable to parse datetime"
+SAY_NO_BOOLEAN = "Unable to normalize boolean value"

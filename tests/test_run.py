@@ -17,6 +17,7 @@ from sourcemeld.sources.readers import read_csv
 from sourcemeld.sources.sinks import AuditTrail, TargetStore
 from sourcemeld.streaming.feed import push_stream
 
+# Two messy files and the records they must give.
 LEGACY = """Emp ID,First Name,Last Name,Email Address,DOB,DOJ,Dept,Status
 E1024,John,Smith,john.smith@abc.com,15/07/1998,01/08/2022,Engineering,Active
 E1025,Ana,Patel,ana.patel@abc.com,02/03/1997,12/09/2021,Finance,Active

@@ -97,7 +97,7 @@ def test_unknown_proposed_and_bad_parameters(spark):
     ]
     row = run_chains(df, chains).select("*", *[error_reason(F.col(f"{n}__error")).alias(n) for n in "abc"]).first()
     assert (row.a, row.b, row.c) == ("unsupported_operation", "new_transformation", "invalid_record")
-    assert row.c__error.startswith("Invalid parameters for transformation 'parse_date'")
+    assert row.c__error.startswith("parse_date does not take these parameters")
     with pytest.raises(StepError):
         standardise(Value(F.col("x")), "split", {"separator": ""})
     with pytest.raises(StepError):

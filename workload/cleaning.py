@@ -10,7 +10,7 @@ from sourcemeld.functions.steps import Chain, Step, error_reason, run_chains
 from sourcemeld.functions.text import meaningful_list, meaningful_map, meaningful_text
 from sourcemeld.functions.policy import mapping_decision, step_decision, value_decision
 from sourcemeld.operators.planning import column_facts
-from sourcemeld.operators.profile import distinct_values, file_manifest, profile
+from sourcemeld.operators.profile import column_types, distinct_values, file_manifest, profile
 from sourcemeld.contract import Entity, Field
 from sourcemeld.operators.standardise import Mapped, last_success, standardise_source
 from sourcemeld.session import Scratch
@@ -433,3 +433,26 @@ def csv_folders(spark, sf_dir):
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("record_id").alias("n_ids"), F.sum(F.col("c_custkey").cast("bigint")).alias("keys"),
         F.count_distinct("source_file", "source_row_number").alias("n_places"),
     )
+
+
+@query(
+    "type_kinds",
+    """with m as (select case when o_orderkey % 2 = 0 then strftime(o_orderdate, '%Y-%m-%d') else strftime(o_orderdate, '%d/%m/%Y') end as day,
+      strftime(o_orderdate, '%Y-%m-%d') || case when o_orderkey % 3 = 0 then '' else 'T10:30:00' end as moment,
+      case when o_orderstatus = 'F' then 'True' else 'false' end as flag, case when o_orderkey % 7 = 0 then 'none' else strftime(o_orderdate, '%Y-%m-%d') end as loose from orders),
+    t as (select unnest([('day', day), ('moment', moment), ('flag', flag), ('loose', loose)]) as c from m),
+    k as (select c[1] as column_name, case when regexp_matches(c[2], '^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})$') then 'date'
+      when regexp_matches(c[2], '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}$') then 'datetime' when lower(c[2]) in ('true', 'false') then 'boolean' else 'string' end as kind from t)
+    select column_name, case when bool_and(kind = 'date') then 'date' when bool_and(kind in ('date', 'datetime')) then 'datetime' when bool_and(kind = 'boolean') then 'boolean' else 'string' end as inferred_type,
+      count(*) as n_rows from k group by 1""",
+)
+def type_kinds(spark, sf_dir):
+    """Dates, moments and flags are told from texts over all rows."""
+    df = table(spark, sf_dir, "orders").selectExpr(
+        "'orders.csv' as source_file", "o_orderkey as source_row_number",
+        "date_format(o_orderdate, case when o_orderkey % 2 = 0 then 'yyyy-MM-dd' else 'dd/MM/yyyy' end) as day",
+        "concat(date_format(o_orderdate, 'yyyy-MM-dd'), case when o_orderkey % 3 = 0 then '' else 'T10:30:00' end) as moment",
+        "case when o_orderstatus = 'F' then 'True' else 'false' end as flag",
+        "case when o_orderkey % 7 = 0 then 'none' else date_format(o_orderdate, 'yyyy-MM-dd') end as loose",
+    )
+    return column_types(df).select(F.col("column").alias("column_name"), "inferred_type", "n_rows")
