@@ -74,10 +74,14 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.where(agreed >= MATCHES).select("a", "b")
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs confirmed on the whole sets of their texts."""
+def _links(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs confirmed on the whole sets of their texts.
+
+    The texts in question are written, so that both joins shuffle for themselves and a head with very many
+    partners is split at run time.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = texts.join(wanted.hint("shuffle_hash"), "node", "left_semi")
+    texts = scratch.write(texts.join(wanted.hint("shuffle_hash"), "node", "left_semi"), "texts")
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
 
     def run(batches):
@@ -142,7 +146,7 @@ def components(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: s
     led = postings.join(heads, "item").where((F.col("node") != F.col("head.node")) & _sizes_fit("n", "head.n"))
     first = led.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
     first = scratch.write(first, "pairs")
-    links = scratch.write(_links(scratch.write(_agreeing(first, reps), "agreeing"), texts), "links")
+    links = scratch.write(_links(scratch.write(_agreeing(first, reps), "agreeing"), texts, scratch), "links")
 
     groups = scratch.write(connected_components(links, scratch), "groups")
     grouped = postings.join(groups.select("node", F.col("root").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -155,7 +159,7 @@ def components(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: s
     apart = (F.col("x.item") == F.col("y.item")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit("x.n", "y.n")
     second = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = scratch.write(_agreeing(second, reps), "agreeing")
-    links = links.unionByName(scratch.write(_links(second, texts), "links"))
+    links = links.unionByName(scratch.write(_links(second, texts, scratch), "links"))
 
     tiles = F.ceil(F.col("members") / TILE).cast("int")
     tile = F.pmod(F.xxhash64("node"), tiles).cast("int")
