@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from sourcemeld.llm.batches import text_slices
 from sourcemeld.llm.vocabulary import PieceSplitter, Vocabulary
 
-_PIECES = 150_000  # remembered pieces per task; beyond that the memory starts anew
+_PIECES = 100_000  # remembered pieces per task; beyond that the memory starts anew
 
 
 class PerfectHash:
@@ -69,54 +69,66 @@ class PerfectHash:
         return slot if self.slots[slot] == key else -1
 
 
-def byte_pairs(ranks: dict[bytes, int]) -> list[int]:
-    """Rank of every pair of bytes, -1 where they don't join; the place of (a, b) is 256 * a + b."""
-    return [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+class Merges:
+    """What merging needs of a vocabulary: ids of single bytes and the id that each pair of ids joins to.
 
+    A pair stands for its bytes, so every split of a token into two tokens is an entry. A lower id merges first.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.bytes = [ranks[bytes((b,))] for b in range(256)]
+        self.shift = max(ranks.values()).bit_length()
+        self.first = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]  # by 256 * a + b
+        self.joined = {
+            ranks[token[:cut]] << self.shift | ranks[token[cut:]]: rank
+            for token, rank in ranks.items()
+            for cut in range(1, len(token))
+            if token[:cut] in ranks and token[cut:] in ranks
+        }
 
-def merge(piece: bytes, ranks: dict[bytes, int], longest: int, pairs: list[int]) -> list[int]:
-    """Ids of a piece: join the adjacent pair of lowest rank, leftmost first, until none is left.
 
-    A heap entry is one integer of rank, start and end, so entries compare by rank, then start.
+def merge(piece: bytes, merges: Merges) -> list[int]:
+    """Ids of a piece: join the adjacent pair of lowest id, leftmost first, until none is left.
+
+    Parts are a linked list over the bytes. ``joins`` holds what a part and its neighbour join to now; a
+    heap entry is that id and the part's place in one integer, and is stale once the two differ.
     """
     n = len(piece)
+    ids = [merges.bytes[b] for b in piece]
     if n == 1:
-        return [ranks[piece]]
-    bits = n.bit_length()
-    ends, starts = (1 << bits) - 1, 2 * bits
-    after = list(range(1, n + 1))  # start of the next part; 0 for starts that were joined
-    before = list(range(-1, n))
-    heap = []
-    for i in range(n - 1):
-        rank = pairs[piece[i] << 8 | piece[i + 1]]
-        if rank >= 0:
-            heap.append(rank << starts | i << bits | i + 2)
+        return ids
+    first, get, shift, bits = merges.first, merges.joined.get, merges.shift, n.bit_length()
+    after, before = list(range(1, n + 1)), list(range(-1, n))
+    joins = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]
+    heap = [join << bits | i for i, join in enumerate(joins) if join >= 0]
+    joins.append(-1)
     heapify(heap)
-    get = ranks.get
+    places = (1 << bits) - 1
     while heap:
         entry = heappop(heap)
-        start, end = entry >> bits & ends, entry & ends
-        middle = after[start]
-        if not middle or middle >= n or after[middle] != end:
-            continue  # one of the two parts has changed
-        after[start], after[middle] = end, 0
+        i, new = entry & places, entry >> bits
+        if joins[i] != new:
+            continue
+        gone = after[i]
+        end = after[gone]
+        ids[i], after[i], joins[gone] = new, end, -1
+        join = -1
         if end < n:
-            before[end] = start
-            stop = after[end]
-            if stop - start <= longest:
-                rank = get(piece[start:stop])
-                if rank is not None:
-                    heappush(heap, rank << starts | start << bits | stop)
-        left = before[start]
-        if left >= 0 and end - left <= longest:
-            rank = get(piece[left:end])
-            if rank is not None:
-                heappush(heap, rank << starts | left << bits | end)
-    ids, start = [], 0
-    while start < n:
-        ids.append(ranks[piece[start : after[start]]])
-        start = after[start]
-    return ids
+            before[end] = i
+            join = get(new << shift | ids[end], -1)
+            if join >= 0:
+                heappush(heap, join << bits | i)
+        joins[i] = join
+        left = before[i]
+        if left >= 0:
+            join = joins[left] = get(ids[left] << shift | new, -1)
+            if join >= 0:
+                heappush(heap, join << bits | left)
+    out, i = [], 0
+    while i < n:
+        out.append(ids[i])
+        i = after[i]
+    return out
 
 
 def _joined(parts: list[tuple[int, ...]]) -> tuple[int, ...]:
@@ -128,8 +140,7 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.ranks = vocabulary.ranks
-        self.longest = max(map(len, self.ranks))
-        self.pairs = byte_pairs(self.ranks)
+        self.merges = Merges(self.ranks)
         self.whole = PerfectHash(sorted(self.ranks, key=self.ranks.get))
         self.slot_ids = [(self.ranks[k],) for k in self.whole.slots]
         self.token_bytes = {i: k for k, i in self.ranks.items()}
@@ -141,11 +152,14 @@ class Codec:
         if ids is None:
             raw = piece.encode()
             slot = self.whole.find(raw)
-            ids = self.slot_ids[slot] if slot >= 0 else tuple(merge(raw, self.ranks, self.longest, self.pairs))
-            if len(self.known) >= _PIECES:
-                self.known.clear()
-            if len(piece) <= 256:
-                self.known[piece] = ids
+            if slot >= 0:
+                return self.slot_ids[slot]
+            ids = tuple(merge(raw, self.merges))
+            if piece[0] != " ":  # words after a blank are remembered by the splitter
+                if len(self.known) >= _PIECES:
+                    self.known.clear()
+                if len(piece) <= 256:
+                    self.known[piece] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:

@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from sourcemeld.llm.batches import byte_lengths, text_slices
-from sourcemeld.llm.bpe_codec import byte_pairs, merge
+from sourcemeld.llm.bpe_codec import Merges, merge
 from sourcemeld.llm.vocabulary import PieceSplitter, Vocabulary
 
-_PIECES = 150_000  # remembered pieces per task; beyond that the memory starts anew
+_PIECES = 100_000  # remembered pieces per task; beyond that the memory starts anew
 _JOINTS = 2_000_000  # remembered pairs of neighbouring tokens
 
 
@@ -29,8 +29,7 @@ class PrefixCounter:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.ranks = vocabulary.ranks
-        self.longest = max(map(len, self.ranks))
-        self.pairs = byte_pairs(self.ranks)
+        self.merges = Merges(self.ranks)
         self.token_bytes = {i: k for k, i in self.ranks.items()}
         self.shift = max(self.token_bytes).bit_length()
         self.joints: dict[int, bool] = {}
@@ -46,14 +45,14 @@ class PrefixCounter:
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
             for token, i in self.ranks.items():
-                if merge(token, self.ranks, self.longest, self.pairs) == [i]:  # tokens no merge reaches never occur
+                if merge(token, self.merges) == [i]:  # tokens no merge reaches never occur
                     self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
             self.automaton.make_automaton()
         return self.automaton.iter(piece)
 
     def _apart(self, left: int, right: int) -> bool:
         both = self.token_bytes[left] + self.token_bytes[right]
-        found = merge(both, self.ranks, self.longest, self.pairs) == [left, right]
+        found = merge(both, self.merges) == [left, right]
         if len(self.joints) >= _JOINTS:
             self.joints.clear()
         self.joints[left << self.shift | right] = found

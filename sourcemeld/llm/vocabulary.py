@@ -60,51 +60,51 @@ class PieceSplitter:
 
     A single blank between two characters that are no white space always starts a piece, so such
     chunks can be split apart from their surroundings and remembered. Texts with longer runs of
-    white space around a blank are split as a whole.
+    white space around a blank are split as a whole. Values must add up with ``+``.
     """
 
-    def __init__(self, pattern: str, value_of, join, limit: int = 250_000) -> None:
+    def __init__(self, pattern: str, value_of, join, limit: int = 600_000) -> None:
         self.find = regex.compile(pattern).findall
         self.value_of, self.join, self.limit = value_of, join, limit
-        self.simple = pattern == PATTERN
-        self.chunks: dict[str, object] = {}
+        self.ends = frozenset(".,;:!?") if pattern == PATTERN else frozenset()  # pieces of their own after a letter
+        self.known: dict[str, object] = {}
         self.older: dict[str, object] = {}  # what was known before; chunks still in use come back from there
 
-    def _pieces(self, chunk: str) -> list[str]:
-        """Pieces of ``" " + chunk``; plain words need no pattern."""
-        if self.simple:
-            if chunk.isalpha():
-                return [" " + chunk]
-            if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-                return [" " + chunk[:-1], chunk[-1]]
-        return self.find(" " + chunk)
+    def _remember(self, chunk: str, value) -> None:
+        if len(self.known) >= self.limit:
+            self.older, self.known = self.known, {}
+        if len(chunk) <= 256:
+            self.known[chunk] = value
 
     def _chunk(self, chunk: str):
-        """The joined value of ``" " + chunk``, or None if blanks around it are not safe cuts."""
-        if chunk in self.older:
-            value = self.older[chunk]
-        elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            value = None
-        else:
-            value = self.join([self.value_of(p) for p in self._pieces(chunk)])
-        if len(self.chunks) >= self.limit:
-            self.older, self.chunks = self.chunks, {}
-        if len(chunk) <= 256:
-            self.chunks[chunk] = value
+        """The joined value of ``" " + chunk``, or None if blanks around it are not safe cuts.
+
+        A word with a mark at its end is put together from the word, so only the word is remembered.
+        """
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            return None
+        value = self.known.get(chunk)
+        if value is not None:
+            return value
+        if chunk[-1] in self.ends and chunk[-2:-1].isalpha():
+            return self._chunk(chunk[:-1]) + self.value_of(chunk[-1])
+        value = self.older.get(chunk)
+        if value is None:
+            value = self.join([self.value_of(p) for p in self.find(" " + chunk)])
+        self._remember(chunk, value)
         return value
 
     def parts(self, text: str) -> list:
         """Values of consecutive parts of the text; joined they are the value of the whole."""
         first, *rest = text.split(" ")
         if first and not first[-1].isspace():
-            chunk = self._chunk
             values = []
             for c in rest:
-                v = self.chunks.get(c, self)
-                if v is self:
-                    v = chunk(c)
+                v = self.known.get(c)
                 if v is None:
-                    break
+                    v = self._chunk(c)
+                    if v is None:
+                        break
                 values.append(v)
             else:
                 return [self.value_of(p) for p in self.find(first)] + values
