@@ -328,17 +328,3 @@ def fuzzy_identity(
         F.lit(AMBIGUOUS_MATCH).alias("reason_code"),
     )
     return groups, reviews
-
-
-def pair_score(left: dict[str, Column], right: dict[str, Column], names: list[str], exacts: list[str], ratio) -> Column:
-    """Score of two records as an expression, for pairs that are already joined."""
-    parts = []
-    for f in names:
-        a, b = blank_to_null(left[f]), blank_to_null(right[f])
-        parts.append(F.when(a.isNotNull() & b.isNotNull(), ratio(a, b)))
-    for f in exacts:
-        a, b = match_key(left[f]), match_key(right[f])
-        parts.append(F.when(a.isNotNull() & b.isNotNull(), (a == b).cast("double")))
-    known = F.array_compact(F.array(*parts))
-    total = F.aggregate(known, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(known) > 0, total / F.size(known)).otherwise(0.0)

@@ -20,10 +20,6 @@ def natural_key(fields: list[str], key_fields=NATURAL_KEYS) -> Column:
     return F.coalesce(*named, hashed)
 
 
-def default_idempotency_key(entity: str, key: Column) -> Column:
-    return F.sha2(F.concat(F.lit(f"{entity}:"), key), 256)
-
-
 def run_idempotency_key(run_id: str, record_id: Column) -> Column:
     return F.concat(F.lit(f"{run_id}:"), record_id)
 
@@ -101,10 +97,6 @@ def failure_reviews(outcomes: DataFrame, entity: str) -> DataFrame:
     )
 
 
-def retryable(status: DataFrame) -> DataFrame:
-    return status.where(F.col("status") == PUSH_FAILED)
-
-
 def rollback_keys(status: DataFrame) -> DataFrame:
     """Target keys that the run has written."""
     return status.where((F.col("status") == PUSHED) & F.col("target_key").isNotNull()).select(

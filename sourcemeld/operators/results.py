@@ -52,11 +52,6 @@ def source_table(rows: DataFrame) -> DataFrame:
     return rows.orderBy("source_file", "source_row_number")
 
 
-def target_table(records: DataFrame, entity: str) -> DataFrame:
-    """What reached the target for one entity."""
-    return records.where((F.col("status") == PUSHED) & (F.col("entity") == entity))
-
-
 def target_counts(records: DataFrame) -> DataFrame:
     return records.where(F.col("status") == PUSHED).groupBy("entity").agg(F.count(F.lit(1)).alias("n_rows"))
 

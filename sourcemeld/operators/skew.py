@@ -11,13 +11,14 @@ from sourcemeld.settings import LIMITS
 def lookup_join(big: DataFrame, lookup: DataFrame, key: str, rows: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """Left join of ``big`` with a lookup that has one row per key.
 
-    Keys with at least ``hot_rows`` rows in ``big`` are looked up by broadcast: there can be
-    no more than rows / hot_rows of them, whatever the data. All other keys go through an
-    ordinary shuffle join. ``rows`` is the known size of ``big``; below ``hot_rows`` no key
-    can be hot and the split is left out.
+    Keys with at least ``hot_rows`` rows in ``big`` are looked up by broadcast. ``hot_rows`` is raised
+    with the size of ``big``, so that no more than ``broadcast_rows`` keys can be hot. All other
+    keys go through an ordinary shuffle join. ``rows`` is the size of ``big`` if it is known;
+    below ``hot_rows`` no key can be hot and the split is left out.
     """
-    hot_rows = hot_rows or LIMITS.hot_rows
-    if rows is not None and rows < hot_rows:
+    rows = big.count() if rows is None else rows
+    hot_rows = hot_rows or max(LIMITS.hot_rows, -(-rows // LIMITS.broadcast_rows))
+    if rows < hot_rows:
         return big.join(lookup, key, "left")
     hot = big.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= hot_rows).select(key)
     hot_lookup = hot.join(lookup, key, "left")

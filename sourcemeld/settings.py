@@ -21,7 +21,6 @@ TOP_CANDIDATES = 5
 TYPES = ("string", "integer", "number", "boolean", "date", "datetime", "array", "object")
 
 # Record status.
-INGESTED = "INGESTED"
 TRANSFORMED = "TRANSFORMED"
 IN_REVIEW = "CONSULTANT_REVIEW"
 READY = "READY_TO_PUSH"

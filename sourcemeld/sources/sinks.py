@@ -99,13 +99,6 @@ class TargetStore:
         return version
 
 
-def save_derived(df: DataFrame, root: str, name: str, run_id: str) -> str:
-    """Write a derived table of a run; running again replaces it, other runs stay."""
-    path = f"{root.rstrip('/')}/{name}/run_id={run_id}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
 AUDIT_SCHEMA = (
     "run_id string, created_at timestamp_ntz, record_id string, actor string, action string, reason string, data string"
 )
