@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Text handled at once inside a task, so that memory does not follow the size of a batch.
 SLICE_BYTES = 8 << 20
+#: The same for work that keeps several 8-byte numbers for each byte of text.
+HASH_SLICE = 1 << 20
 
 #: Base of the polynomial hashes and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -94,7 +96,7 @@ def _powers(base: int, n: int) -> np.ndarray:
             step = min(done, n - done)
             np.multiply(known[:step], np.uint64(pow(base, done, 1 << 64)), out=known[done : done + step])
             done += step
-        if n <= SLICE_BYTES + 1:
+        if n <= HASH_SLICE + 1:
             _POWERS[base] = known
     return known[:n]
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcemeld.llm.batches import SpanHash, flat_bytes, mix, text_slices
+from sourcemeld.llm.batches import HASH_SLICE, SpanHash, flat_bytes, mix, text_slices
 from sourcemeld.session import Scratch
 
 WINDOW = 8  # template tokens
@@ -129,7 +129,7 @@ def _template_windows(texts: DataFrame, widths, test=None) -> DataFrame:
     tokens of a text; ``test`` keeps the windows with certain hashes."""
 
     def run(batches):
-        for batch in text_slices(batches, "text", 4 << 20):
+        for batch in text_slices(batches, "text", HASH_SLICE):
             found = Templates(batch.column("text"))
             sizes = np.bincount(found.rows, minlength=found.count)
             begins = np.cumsum(sizes) - sizes

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcemeld.llm.batches import mix, text_slices
+from sourcemeld.llm.batches import HASH_SLICE, mix, text_slices
 from sourcemeld.llm.shingles import multipliers, shingle_sets, signatures
 from sourcemeld.operators.components import connected_components
 from sourcemeld.session import Scratch
@@ -35,7 +35,7 @@ def shingle_signatures(docs: DataFrame, id: str, text: str) -> DataFrame:
     factors = multipliers(COORDINATES)
 
     def run(batches):
-        for batch in text_slices(batches, "text", 4 << 20):
+        for batch in text_slices(batches, "text", HASH_SLICE):
             hashes, offsets = shingle_sets(batch.column("text"), WORDS)
             sizes = np.diff(offsets)
             signs = signatures(hashes, offsets, factors).view(np.int64)
@@ -85,7 +85,7 @@ def _links(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
 
     def run(batches):
-        for batch in text_slices(text_slices(batches, "text_a", 4 << 20), "text_b", 4 << 20):
+        for batch in text_slices(text_slices(batches, "text_a", HASH_SLICE), "text_b", HASH_SLICE):
             (left, lo), (right, ro) = (shingle_sets(batch.column(c), WORDS) for c in ("text_a", "text_b"))
             linked = []
             for i in range(batch.num_rows):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourcemeld.llm.batches import SpanHash, flat_bytes, lowered, text_slices, word_spans
+from sourcemeld.llm.batches import HASH_SLICE, SpanHash, flat_bytes, lowered, text_slices, word_spans
 from sourcemeld.llm.language_id import held_out
 from sourcemeld.session import Scratch
 
@@ -125,7 +125,7 @@ def measure(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str
     """(doc_id, stats) per row, written once: the texts are read for this alone."""
 
     def run(batches):
-        for batch in text_slices(batches, "text", 4 << 20):
+        for batch in text_slices(batches, "text", HASH_SLICE):
             stats = statistics(batch.column("text")).astype(np.float32)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), STATISTICS).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "stats"])

@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourcemeld.llm.batches import SpanHash, flat_bytes, text_slices
+from sourcemeld.llm.batches import HASH_SLICE, SpanHash, flat_bytes, text_slices
 from sourcemeld.llm.run_index import RunIndex
 from sourcemeld.session import Scratch
 
 #: Bytes of text whose fragments share a bucket, on average.
 BUCKET_BYTES = 2 << 20
-_SLICE = 1 << 20
+_SLICE = HASH_SLICE
 _ANCHOR = 12  # bytes of the short strings; they fit ``length`` - 11 times into a window
 _MOST_WINDOWS = 64  # per fragment, so that periodic text makes no long ones
 _SPANS = "array<struct<start:int,end:int>>"
