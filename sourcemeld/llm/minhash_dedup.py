@@ -106,10 +106,11 @@ def _list_links(table: pa.Table) -> pa.Table:
     present = np.zeros(int(vocabulary.max()) + 1 if len(vocabulary) else 1, np.int64)
     group = np.unique(comps, return_inverse=True)[1]
     members = np.bincount(group)
+    met = group == members.argmax()  # one largest group as it is now: all others meet it, so its own members need not start
     a, b = [], []
     for i in np.argsort(members[group], kind="stable"):
-        if members[group[i]] == members.max() and (group == group[i]).sum() == members.max():
-            continue  # the largest group is met from the other side
+        if met[i]:
+            continue
         mine = vocabulary[offsets[i] : offsets[i + 1]]
         present[mine] = 1
         sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(present[vocabulary])))

@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from samples import words
 
@@ -74,6 +76,19 @@ def test_drifting_copies_and_long_lists(spark, scratch, monkeypatch):
     assert found(minhash_dedup.components(docs, scratch)) == want
 
 
+@pytest.mark.parametrize("comps", [[0, 1, 2, 3], [0, 0, 2, 2], [0, 0, 2, 3]])
+def test_one_tile_links_groups_of_equal_size(comps):
+    """All singletons, two groups of equal size, and one largest group."""
+    base = words(5, 60).split()
+    texts = [" ".join(base[:k] + [f"w{k}"] + base[k + 1 :]) for k in (0, 59, 0, 59)]  # near copies of each other
+    tile = pa.table({"node": [0, 1, 2, 3], "comp": comps, "text": texts})
+    out = minhash_dedup._list_links(tile)
+    root = list(comps)
+    for x, y in zip(out["a"].to_pylist(), out["b"].to_pylist()):
+        root = [root[y] if r == root[x] else r for r in root]
+    assert len(set(root)) == 1
+
+
 def brute_repeats(rows, length):
     first = {}
     for i, t in rows:
