@@ -31,7 +31,7 @@ LONG_LIST, TILE = 128, 1024
 
 
 def shingle_signatures(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, fingerprint of the set (two longs) and signature (array; null for an empty set) per row."""
+    """doc_id, hash of the text, n_shingles, fingerprint of the set (two longs) and signature (array; null for an empty set) per row."""
     factors = multipliers(COORDINATES)
 
     def run(batches):
@@ -44,10 +44,10 @@ def shingle_signatures(docs: DataFrame, id: str, text: str) -> DataFrame:
             filled = sizes > 0
             places = np.concatenate((np.zeros(1, np.int32), np.cumsum(np.where(filled, COORDINATES, 0)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(places, pa.array(signs[filled].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), *prints, lists], names=["doc_id", "n", "p1", "p2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), pa.array(sizes), *prints, lists], names=["doc_id", "print", "n", "p1", "p2", "sig"])
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, n long, p1 long, p2 long, sig array<long>"
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("print")).mapInArrow(
+        run, "doc_id long, print long, n long, p1 long, p2 long, sig array<long>"
     )
 
 
@@ -74,14 +74,20 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.where(agreed >= MATCHES).select("a", "b")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def _texts_of(nodes: DataFrame, names: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the sets in question; an id may have several texts, so the text's hash tells which is meant."""
+    wanted = names.join(nodes, "node")
+    return texts.join(wanted.hint("shuffle_hash"), ["doc_id", "print"]).select("node", "text")
+
+
+def _links(pairs: DataFrame, names: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs confirmed on the whole sets of their texts.
 
     The texts in question are written, so that both joins shuffle for themselves and a head with very many
     partners is split at run time.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = scratch.write(texts.join(wanted.hint("shuffle_hash"), "node", "left_semi"), "texts")
+    texts = scratch.write(_texts_of(wanted, names, texts), "texts")
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
 
     def run(batches):
@@ -137,17 +143,20 @@ def components(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: s
     """
     rows = scratch.write(shingle_signatures(docs, id, text), "signatures")
     known = rows.where("doc_id is not null and n > 0")
-    classes = scratch.write(known.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("node")), "classes")
-    reps = rows.join(classes.hint("shuffle_hash"), ["n", "p1", "p2"]).where("doc_id = node").select("node", "n", "sig").dropDuplicates(["node"])
+    classes = known.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("first"), F.min_by("print", "doc_id").alias("print"))
+    classes = scratch.write(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # one id may stand for several texts
+    own = classes.withColumnRenamed("print", "own").hint("shuffle_hash")
+    reps = rows.join(own, ["n", "p1", "p2"]).where("doc_id = first and print = own").select("node", "n", "sig").dropDuplicates(["node"])
     reps = scratch.write(reps, "reps")
     postings = scratch.write(_postings(reps), "postings")
-    texts = docs.select(F.col(id).cast("long").alias("node"), F.col(text).alias("text"))
+    names = scratch.write(classes.select("node", F.col("first").alias("doc_id"), "print"), "names")
+    texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
 
     heads = postings.groupBy("item").agg(F.max(F.struct("weight", F.negative("node").alias("order"), "node", "n")).alias("head"))
     led = postings.join(heads, "item").where((F.col("node") != F.col("head.node")) & _sizes_fit("n", "head.n"))
     first = led.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
     first = scratch.write(first, "pairs")
-    links = scratch.write(_links(scratch.write(_agreeing(first, reps), "agreeing"), texts, scratch), "links")
+    links = scratch.write(_links(scratch.write(_agreeing(first, reps), "agreeing"), names, texts, scratch), "links")
 
     groups = scratch.write(connected_components(links, scratch), "groups")
     grouped = postings.join(groups.select("node", F.col("root").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -160,18 +169,20 @@ def components(docs: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: s
     apart = (F.col("x.item") == F.col("y.item")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit("x.n", "y.n")
     second = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = scratch.write(_agreeing(second, reps), "agreeing")
-    links = links.unionByName(scratch.write(_links(second, texts, scratch), "links"))
+    links = links.unionByName(scratch.write(_links(second, names, texts, scratch), "links"))
 
     tiles = F.ceil(F.col("members") / TILE).cast("int")
     tile = F.pmod(F.xxhash64("node"), tiles).cast("int")
     long = left.where(F.col("members") > LONG_LIST).select("item", "node", "comp", tile.alias("tile"), tiles.alias("tiles"))
     long = long.select("item", "node", "comp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     units = long.select("item", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "comp")
-    located = units.join(texts.join(units.select("node").distinct().hint("shuffle_hash"), "node", "left_semi"), "node")
+    located = units.join(_texts_of(units.select("node").distinct(), names, texts), "node")
     links = links.unionByName(located.groupBy("item", "i", "j").applyInArrow(_list_links, "a long, b long"))
 
     groups = scratch.write(connected_components(links, scratch), "groups")
-    root = classes.join(groups, "node", "left").select("n", "p1", "p2", F.coalesce("root", "node").alias("component"))
+    smallest = scratch.write(groups.join(names, "node").groupBy("root").agg(F.min("doc_id").alias("component")), "smallest")
+    named = groups.join(smallest, "root").select("node", "component")
+    root = classes.join(named, "node", "left").select("n", "p1", "p2", F.coalesce("component", "first").alias("component"))
     judged = rows.select("doc_id", "n", "p1", "p2").join(root.hint("shuffle_hash"), ["n", "p1", "p2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return judged.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

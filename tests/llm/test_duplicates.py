@@ -76,6 +76,17 @@ def test_drifting_copies_and_long_lists(spark, scratch, monkeypatch):
     assert found(minhash_dedup.components(docs, scratch)) == want
 
 
+def test_several_texts_of_one_id(spark, scratch):
+    """Each text of a repeated id has its own near copies, whichever of them comes first."""
+    near = lambda seed: words(seed, 80) + " end"
+    rows = [(5, words(k, 80)) for k in range(60, 66)] + [(10 + k, near(k)) for k in range(60, 66)] + [(3, near(61)), (200, words(99, 80)), (5, words(62, 80))]
+    want = {(3, 3), (200, 200)} | {(10 + k, 3 if k == 61 else 5) for k in range(60, 66)}
+    for parts in (1, 4):
+        out = minhash_dedup.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), scratch).collect()
+        assert len(out) == len(rows) and {(r["doc_id"], r["component_id"]) for r in out if r["doc_id"] != 5} == want
+        assert sorted(r["component_id"] for r in out if r["doc_id"] == 5) == [3, 5, 5, 5, 5, 5, 5]
+
+
 @pytest.mark.parametrize("comps", [[0, 1, 2, 3], [0, 0, 2, 2], [0, 0, 2, 3]])
 def test_one_tile_links_groups_of_equal_size(comps):
     """All singletons, two groups of equal size, and one largest group."""
