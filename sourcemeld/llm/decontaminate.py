@@ -2,16 +2,21 @@
 
 Texts become templates: numbers, names and units turn into typed placeholders, all other words are
 lower-cased. Windows of ``WINDOW`` template tokens are joined by hash with those of the benchmark.
-A document holds an item if enough windows match at one offset and the fillers of the placeholders
-map one to one between item and document, so a question with other numbers is found, and a
+A document holds an item if enough windows match at offsets that are in order and the fillers of the
+placeholders map one to one between item and document, so a question with other numbers is found, and a
 chance likeness of frames is not.
 
+Every text is read in two forms, each matched with itself: capitalised starts of sentences as plain words, and the
+same starts as names.
+
 Before the join, windows are tested against a bitmap of the benchmark's hashes whose size is a
 constant; windows that pass by chance find no partner in the join.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,10 +26,10 @@ from sourcemeld.llm.batches import HASH_SLICE, SpanHash, flat_bytes, mix, text_s
 from sourcemeld.session import Scratch
 
 WINDOW = 8  # template tokens
-SHORTEST = 5  # items with fewer tokens are too general to look for; up to 7 they are one window
+SHORTEST = 5  # items with fewer template tokens are looked for by their words only; up to 7 tokens are one window
 LITERALS = 3  # words in a window that are no placeholders
-ENOUGH = 6  # matching windows at one offset (13 tokens in a row), or
-COVERAGE = 0.5  # this share of the item's windows
+ENOUGH = 6  # matching template windows (13 tokens in a row), or
+COVERAGE = 0.5  # this share of the item's windows that can match
 _BITS = 22  # of the bitmap: 512 KiB
 
 #: Words that are units or numbers in any text.
@@ -45,6 +50,7 @@ _UPPER = (_BYTES >= 65) & (_BYTES <= 90)
 _WORD = _DIGIT | _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
 _BREAK = np.isin(_BYTES, [ord(c) for c in '.!?:;\n"'])
 _LITERAL, _NUMBER, _NAME, _UNIT = range(4)
+_PLAIN, _NAMED, _WORDS = range(3)  # the forms of a text
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
@@ -60,9 +66,13 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """Tokens of the texts of a column: row, kind, hash of the template token, hash of the word itself."""
+    """Tokens of the texts of a column in one form: row, kind, hash of the template token, hash of the words themselves.
+
+    Placeholders of one kind with a blank or hyphen between them are one token ("forty five", "New York").
+    """
 
-    def __init__(self, column: pa.Array) -> None:
+    def __init__(self, column: pa.Array, form: int = _PLAIN) -> None:
+        self.form = form
         data, offsets = flat_bytes(column)
         n = len(data)
         self.count = len(column)
@@ -90,7 +100,8 @@ class Templates:
         accented = np.zeros(n, bool)  # capital letters of Latin-1: 0xC3 and 0x80-0x9E
         accented[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
         lower[accented] += 32
-        words = SpanHash(lower).of(starts, ends)
+        spans = SpanHash(lower)
+        words = spans.of(starts, ends)
         numeric = np.concatenate(([0], np.cumsum(digit | point)))
         number = numeric[ends] - numeric[starts] == ends - starts
         capital = _UPPER[data] | np.append(accented[1:], False)
@@ -99,21 +110,35 @@ class Templates:
         before = np.concatenate(([0], ends[:-1]))
         sentence = breaks[starts] > breaks[before]
         sentence[np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))] = True
-        name = capital[starts] & (capitals[ends] - capitals[starts] == 1) & (ends - starts > 1) & ~sentence
+        name = capital[starts] & (capitals[ends] - capitals[starts] == 1) & (ends - starts > 1)
+        if form == _PLAIN:
+            name &= ~sentence
         kinds = np.where(number | _among(words, _NUMBER_HASHES), _NUMBER, np.where(_among(words, _UNIT_HASHES), _UNIT, np.where(name, _NAME, _LITERAL)))
+        if form == _WORDS:
+            kinds = np.full(len(words), _LITERAL)
+        else:
+            gap = np.isin(data[np.minimum(before, n - 1)], (0x20, 0x2D)) & (starts - before == 1)
+            again = gap & (kinds != _LITERAL)
+            again[1:] &= (kinds[1:] == kinds[:-1]) & (rows[1:] == rows[:-1])
+            again[:1] = False
+            first = np.flatnonzero(~again)
+            last = np.append(first[1:], len(kinds))[: len(first)] - 1
+            rows, kinds, words = rows[first], kinds[first], spans.of(starts[first], ends[last])
         self.rows, self.kinds, self.words = rows, kinds, words
         self.tokens = np.where(kinds == _LITERAL, words, mix(kinds.astype(np.uint64)))
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the first token, hash) of the windows with enough literal words."""
+        """(index of the first token, hash) of the windows with enough literal words, or of all windows of bare words."""
         n = len(self.tokens) - width + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        hashes = np.full(n, width, np.uint64)
+        hashes = np.full(n, width + 16 * self.form, np.uint64)
         for k in range(width):
             hashes = mix(hashes + self.tokens[k : k + n] * np.uint64(2 * k + 3))
         literal = np.concatenate(([0], np.cumsum(self.kinds == _LITERAL)))
-        ok = (self.rows[width - 1 :] == self.rows[:n]) & (literal[width:] - literal[:n] >= LITERALS)
+        ok = self.rows[width - 1 :] == self.rows[:n]
+        if self.form != _WORDS:
+            ok &= literal[width:] - literal[:n] >= LITERALS
         return np.flatnonzero(ok), hashes[ok]
 
     def fillers(self, firsts: np.ndarray, width: int) -> pa.ListArray:
@@ -125,44 +150,87 @@ class Templates:
 
 
 def _template_windows(texts: DataFrame, widths, test=None) -> DataFrame:
-    """(id, hash, pos, total, fillers): one row per window. ``widths`` picks the window widths from the number of
-    tokens of a text; ``test`` keeps the windows with certain hashes."""
+    """(id, form, width, hash, pos, total, fillers): one row per window, with the number of windows of its text that can match.
+    ``widths`` picks the windows by form, width and the number of tokens of a text; ``test`` keeps those with certain hashes."""
 
     def run(batches):
         for batch in text_slices(batches, "text", HASH_SLICE):
-            found = Templates(batch.column("text"))
-            sizes = np.bincount(found.rows, minlength=found.count)
-            begins = np.cumsum(sizes) - sizes
-            for width in range(SHORTEST, WINDOW + 1):
-                firsts, hashes = found.windows(width)
-                rows = found.rows[firsts]
-                ok = widths(width, sizes[rows])
-                if test is not None:
-                    ok = ok & test(hashes)
-                firsts, hashes, rows = firsts[ok], hashes[ok], rows[ok]
-                columns = [
-                    batch.column("id").take(pa.array(rows)),
-                    pa.array(hashes.view(np.int64)),
-                    pa.array((firsts - begins[rows]).astype(np.int32)),
-                    pa.array((sizes[rows] - width + 1).astype(np.int32)),
-                    found.fillers(firsts, width),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "hash", "pos", "total", "fillers"])
-
-    return texts.mapInArrow(run, "id long, hash long, pos int, total int, fillers array<long>")
+            for form in (_PLAIN, _NAMED):
+                found = Templates(batch.column("text"), form)
+                sizes = np.bincount(found.rows, minlength=found.count)
+                begins = np.cumsum(sizes) - sizes
+                for width in range(1 if form == _WORDS else SHORTEST, WINDOW + 1):
+                    wanted = widths(form, width, sizes)
+                    if not wanted.any():
+                        continue
+                    firsts, hashes = found.windows(width)
+                    rows = found.rows[firsts]
+                    totals = np.bincount(rows, minlength=found.count)
+                    ok = wanted[rows]
+                    if test is not None:
+                        ok = ok & test(hashes)
+                    firsts, hashes, rows = firsts[ok], hashes[ok], rows[ok]
+                    columns = [
+                        batch.column("id").take(pa.array(rows)),
+                        pa.array(np.full(len(rows), form, np.int32)),
+                        pa.array(np.full(len(rows), width, np.int32)),
+                        pa.array(hashes.view(np.int64)),
+                        pa.array((firsts - begins[rows]).astype(np.int32)),
+                        pa.array(totals[rows].astype(np.int32)),
+                        found.fillers(firsts, width),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "form", "width", "hash", "pos", "total", "fillers"])
+
+    return texts.mapInArrow(run, "id long, form int, width int, hash long, pos int, total int, fillers array<long>")
+
+
+def _one_to_one(slots: set) -> bool:
+    return len({i for i, _ in slots}) == len(slots) == len({d for _, d in slots})
+
+
+def _best_chain(runs: list[dict], total: int) -> tuple[int, set]:
+    """(windows, fillers) of the best sequence of offsets in order, among those at most an item apart."""
+    runs = sorted(runs, key=lambda r: r["offset"])
+    offsets = [r["offset"] for r in runs]
+    slots = [{(s["item"], s["doc"]) for s in r["slots"]} for r in runs]
+    best = (0, set())
+    for start, r in enumerate(runs):
+        near = range(bisect_left(offsets, r["offset"] - total - WINDOW), bisect_right(offsets, r["offset"] + total + WINDOW))
+        n, held, last = r["n"], slots[start], r
+        for k in sorted(near, key=lambda k: runs[k]["low"]):
+            x = runs[k]
+            if x["low"] > last["high"] and x["low"] + x["offset"] > last["high"] + last["offset"] and _one_to_one(held | slots[k]):
+                n, held, last = n + x["n"], held | slots[k], x
+        if n > best[0]:
+            best = n, held
+    return best
+
+
+def _chains(found: DataFrame) -> DataFrame:
+    """(doc_id, item_id, form, total, n_windows, n_slots, reworded) from the runs of each document and item."""
+
+    def run(batches):
+        for batch in batches:
+            best = [_best_chain(r, t) for r, t in zip(batch.column("runs").to_pylist(), batch.column("total").to_pylist())]
+            more = [pa.array([n for n, _ in best], pa.int64()), pa.array([len(s) for _, s in best], pa.int64()), pa.array([any(i != d for i, d in s) for _, s in best], pa.bool_())]
+            kept = ["doc_id", "item_id", "form", "total"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more], names=[*kept, "n_windows", "n_slots", "reworded"])
+
+    return found.mapInArrow(run, "doc_id long, item_id long, form int, total int, n_windows long, n_slots long, reworded boolean")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, coverage, n_slots, reworded) for every document that holds an item.
 
-    ``coverage`` is the share of the item's windows found at the best offset, ``n_slots`` the different
+    ``coverage`` is the share of the item's windows found in the best form, ``n_slots`` the different
     fillers in them, ``reworded`` tells whether any differs from the item's. Null and empty texts hold
     nothing; rows that share an id count as one document, a null id as an id of its own. Items with fewer than
-    five tokens are not looked for, and repeated items are found each.
+    five template tokens are found as exact copies of their words, and repeated items are found each.
     """
     items = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text"))
-    wanted = scratch.write(_template_windows(items, lambda width, sizes: width == np.minimum(sizes, WINDOW)), "items")
+    wanted = scratch.write(_template_windows(items, lambda form, width, sizes: width == np.minimum(sizes, WINDOW)), "items")
     filled = np.zeros(1 << _BITS, bool)
+    used = {(r["form"], r["width"]) for r in wanted.select("form", "width").distinct().collect()}  # at most 16 rows
     places = wanted.select(F.shiftrightunsigned("hash", 64 - _BITS).cast("int").alias("place")).distinct()
     filled[[r["place"] for r in places.collect()]] = True  # at most as many rows as bits
     bitmap = docs.sparkSession.sparkContext.broadcast(np.packbits(filled))
@@ -171,25 +239,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, id: s
         place = (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
         return (bitmap.value[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)
 
-    found = _template_windows(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), lambda width, sizes: sizes >= width, test)
+    found = _template_windows(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), lambda form, width, sizes: (sizes >= width) & ((form, width) in used), test)
     met = found.select(F.col("id").alias("doc_id"), "hash", F.col("pos").alias("at"), F.col("fillers").alias("own")).join(
-        wanted.select(F.col("id").alias("item_id"), "hash", "pos", "total", "fillers"), "hash"
+        wanted.select(F.col("id").alias("item_id"), "form", "hash", "pos", "total", "fillers"), "hash"
     )
     pairs = F.arrays_zip(F.col("fillers").alias("item"), F.col("own").alias("doc"))
-    at_offset = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("offset")).agg(
-        F.countDistinct("pos").alias("n_windows"), F.first("total").alias("total"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
+    at_offset = met.groupBy("doc_id", "item_id", "form", (F.col("at") - F.col("pos")).alias("offset")).agg(
+        F.countDistinct("pos").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.first("total").alias("total"),
+        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
     )
     kinds = F.size("slots")
     one_to_one = (F.size(F.array_distinct("slots.item")) == kinds) & (F.size(F.array_distinct("slots.doc")) == kinds)
-    held = at_offset.where(one_to_one & ((F.col("n_windows") >= ENOUGH) | (F.col("n_windows") >= COVERAGE * F.col("total"))))
-    best = held.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("n_windows", "total", kinds.alias("n_slots"), F.exists("slots", lambda s: s["item"] != s["doc"]).alias("reworded"))).alias("best")
-    )
+    runs = at_offset.where(one_to_one).groupBy("doc_id", "item_id", "form").agg(F.first("total").alias("total"), F.collect_list(F.struct("offset", "low", "high", "n", "slots")).alias("runs"))
+    copied = F.col("n_windows") >= F.col("total")  # bare words count as exact copies only
+    alike = (F.col("form") != _WORDS) & ((F.col("n_windows") >= ENOUGH) | (F.col("n_windows") >= COVERAGE * F.col("total")))
+    held = _chains(runs).where(copied | alike)
+    best = held.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "total", "n_slots", "reworded")).alias("best"))
     return best.select(
         "doc_id",
         "item_id",
         F.col("best.n_windows").alias("n_windows"),
         (F.col("best.n_windows") / F.col("best.total")).alias("coverage"),
-        F.col("best.n_slots").cast("long").alias("n_slots"),
+        F.col("best.n_slots").alias("n_slots"),
         F.col("best.reworded").alias("reworded"),
     )

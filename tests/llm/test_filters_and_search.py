@@ -115,6 +115,19 @@ def test_reworded_questions(spark, odd, none, scratch):
     assert find_leaks(none, items, scratch).collect() == [] and find_leaks(docs, items.limit(0), scratch).collect() == []
 
 
+def leaks(spark, scratch, text, item):
+    docs, items = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(2, item)], "item_id long, text string")
+    return [r["reworded"] for r in find_leaks(docs, items, scratch).collect()]
+
+
+def test_names_at_sentence_starts_and_slots_of_other_length(spark, scratch):
+    tom = "Tom has 12 apples. Anna gives Tom 7 apples. How many apples does Tom have now?"
+    assert leaks(spark, scratch, "Bob has 30 apples. Mary gives Bob 4 apples. How many apples does Bob have now?", tom) == [True]
+    trip = "we drive 40 km from Rome to the sea in 3 hours"
+    assert leaks(spark, scratch, "we drive forty five km from New York to the sea in 8 hours", trip) == [True]
+    assert leaks(spark, scratch, words(51, 40), tom) == []
+
+
 def test_given_items_are_found(spark, scratch):
     """All documents that share eight words in a row with an item, as a plain scan finds them."""
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
