@@ -6,8 +6,8 @@ A document holds an item if enough windows match at offsets that are in order an
 placeholders map one to one between item and document, so a question with other numbers is found, and a
 chance likeness of frames is not.
 
-Every text is read in two forms, each matched with itself: capitalised starts of sentences as plain words, and the
-same starts as names.
+Every text is read in three forms, each matched with itself: capitalised starts of sentences as plain words, the
+same starts as names, and the bare words, which find exact copies of items that are short or full of placeholders.
 
 Before the join, windows are tested against a bitmap of the benchmark's hashes whose size is a
 constant; windows that pass by chance find no partner in the join.
@@ -155,7 +155,7 @@ def _template_windows(texts: DataFrame, widths, test=None) -> DataFrame:
 
     def run(batches):
         for batch in text_slices(batches, "text", HASH_SLICE):
-            for form in (_PLAIN, _NAMED):
+            for form in (_PLAIN, _NAMED, _WORDS):
                 found = Templates(batch.column("text"), form)
                 sizes = np.bincount(found.rows, minlength=found.count)
                 begins = np.cumsum(sizes) - sizes

@@ -128,6 +128,13 @@ def test_names_at_sentence_starts_and_slots_of_other_length(spark, scratch):
     assert leaks(spark, scratch, words(51, 40), tom) == []
 
 
+def test_dense_and_short_items_are_found_as_they_are(spark, scratch):
+    items = ["Evaluate 3 + 5 - 8 + 13 - 21 + 34", "Add 12 cm, 7 cm, 30 cm and 4 cm", "too short an item", "Solve for Tom Smith now please"]
+    docs = spark.createDataFrame([(i, f"{words(52, 20)}, {t}, {words(53, 20)}") for i, t in enumerate(items)], "doc_id long, text string")
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["reworded"]) for r in find_leaks(docs, table, scratch).collect()) == [(i, i, False) for i in range(4)]
+
+
 def test_given_items_are_found(spark, scratch):
     """All documents that share eight words in a row with an item, as a plain scan finds them."""
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
