@@ -21,8 +21,10 @@ from sourcemeld.llm.batches import byte_lengths, flat_bytes, text_slices
 
 WINDOW = 256  # bytes a window holds; the last one of a text is filled up with zeros
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 8
-#: Bounds of the training sample: languages, documents of each and windows of each document.
-MAX_LANGUAGES, SAMPLE_DOCS, SAMPLE_WINDOWS = 64, 400, 4
+#: Bounds of the training sample: documents of each language and windows of each document.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 4
+#: Training steps; beyond so many languages they grow with the languages.
+STEPS, STEP_LANGUAGES = 500, 64
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -132,7 +134,7 @@ def learn(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str
     """
     usable = docs.where(F.col(id).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0) & ~held_out(F.col(id)))
     usable = usable.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().orderBy("lang").collect()  # all languages
     if not counts:
         return None
     languages = sorted(r["lang"] for r in counts)
@@ -156,7 +158,8 @@ def learn(docs: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str
         return None
     windows = np.frombuffer(b"".join(sample["window"]), np.uint8).reshape(-1, WINDOW)
     place = {x: i for i, x in enumerate(languages)}
-    return train(windows, sample["lang"].map(place).to_numpy(), languages)
+    steps = STEPS * max(STEP_LANGUAGES, len(languages)) // STEP_LANGUAGES
+    return train(windows, sample["lang"].map(place).to_numpy(), languages, steps=steps)
 
 
 def identify(docs: DataFrame, network: Network | None, *, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:

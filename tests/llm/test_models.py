@@ -33,6 +33,13 @@ def test_language_of_odd_documents(spark, odd, none):
     assert {r["lang_pred"] for r in language_id.identify(odd, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "STEPS", 5, raising=False)
+    rows = [(i, words(i, 8), f"l{i % 70:02d}") for i in range(700)]
+    network = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert network.languages == [f"l{i:02d}" for i in range(70)]
+
+
 def test_every_window_counts():
     data = np.arange(1, 1 + 600, dtype=np.uint64).astype(np.uint8)
     windows, rows = language_id._windows(data, np.array([0, 0, 256, 599, 600]))
