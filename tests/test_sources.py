@@ -76,3 +76,21 @@ def test_unequal_headers_are_an_error(spark, tmp_path):
     (tmp_path / "b.csv").write_text("name,id\nbob,2\n")
     with pytest.raises(Exception, match="(?i)header"):
         read_csv(spark, str(tmp_path), multi_line=False).collect()
+
+
+def test_csv_folders_are_written_by_many_tasks(spark, tmp_path):
+    """Names clash between folders although several tasks write."""
+    from collections import Counter
+    from pathlib import Path
+
+    from sourcemeld.session import scratch_root
+    from workload.cleaning import QUERIES
+
+    rows = spark.range(200).selectExpr("id as c_custkey", "concat('n', id) as c_name", "cast(id % 25 as int) as c_nationkey")
+    rows.repartition(4).write.parquet(f"{tmp_path}/customer.parquet")
+    seen = set(Path(scratch_root(spark)).glob("*/csv"))
+    out = QUERIES["csv_folders"](spark, str(tmp_path)).collect()
+    assert sorted((r["folder"], r["n_rows"], r["n_ids"], r["n_places"]) for r in out) == [(f"zone={k}", 40, 40, 40) for k in range(5)]
+    (root,) = set(Path(scratch_root(spark)).glob("*/csv")) - seen
+    names = Counter(p.name for p in root.glob("*/*.csv"))
+    assert len(names) > 1 and max(names.values()) > 1

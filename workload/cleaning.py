@@ -427,7 +427,7 @@ def csv_folders(spark, sf_dir):
     """Files of equal names in several folders, written and read back: no id and no row number meets twice."""
     root = Scratch(spark).root + "/csv"
     df = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", "concat('zone=', c_nationkey % 5) as folder")
-    df.withColumn("place", F.col("folder")).coalesce(1).write.partitionBy("place").csv(root, header=True)
+    df.withColumn("place", F.col("folder")).write.partitionBy("place").csv(root, header=True)
     back = read_csv(spark, root, multi_line=False)
     return back.groupBy("folder").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("record_id").alias("n_ids"), F.sum(F.col("c_custkey").cast("bigint")).alias("keys"),
