@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcemeld.llm.bpe_codec import encode
+from sourcemeld.llm.centroid_clusters import clusters
 from sourcemeld.llm.decontaminate import find_leaks
+from sourcemeld.llm.exact_dedup import find_copies
+from sourcemeld.llm.integers import long_sum
 from sourcemeld.llm.language_id import held_out, identify, learn
 from sourcemeld.llm.minhash_dedup import components
 from sourcemeld.llm.quality import fit, measure, score
@@ -16,8 +19,11 @@ from sourcemeld.llm.sharding import TABLE_SIZE, fill_table, place
 from sourcemeld.llm.token_counts import count_tokens
 from sourcemeld.llm.top_k import nearest
 from sourcemeld.llm.url_filter import filter_urls
+from sourcemeld.llm.vector_codes import compress
 from sourcemeld.llm.vocabulary import load_vocabulary
+from sourcemeld.operators.skew import lookup_join, sized_join
 from sourcemeld.session import Scratch
+from sourcemeld.settings import LIMITS
 
 QUERIES, SQL = {}, {}
 
@@ -195,3 +201,104 @@ def op2_top_k(spark, sf_dir):
     usable = vectors.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     whole = usable.select("vec_id", F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("v"))
     return nearest(whole.where("vec_id % 50 = 0"), whole, k=5)
+
+
+def _rounds(n: int, assign: str, update: str) -> str:
+    """Steps of an iteration, written out: assignment i by the state before it, then state i + 1."""
+    steps = [assign.format(i=0)]
+    for i in range(n):
+        steps += [update.format(i=i, j=i + 1), assign.format(i=i + 1)]
+    return ", ".join(steps)
+
+
+WHOLE_SQL = """
+  select vec_id, label, embedding from embeddings
+  where embedding is not null and len(embedding) {size} and len([x for x in embedding if x is not null and isfinite(x)]) = len(embedding)
+"""
+# Floor of a quotient: the division of whole numbers rounds towards zero.
+FLOOR_SQL = "((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*))::bigint"
+
+CLUSTER_ROUND_SQL = """a{i} as (
+  select vec_id, arg_min(c, (far, c)) as c, min(far) as far from (
+    select vec_id, c, sum((p.v - k.v) * (p.v - k.v))::bigint as far from parts p join c{i} k using (d) group by vec_id, c
+  ) group by vec_id
+)"""
+CLUSTER_NEXT_SQL = """c{j} as (
+  select k.c, k.d, coalesce(n.v, k.v) as v from c{i} k left join (select c, d, FLOOR as v from a{i} join parts using (vec_id) group by c, d) n on k.c = n.c and k.d = n.d
+)""".replace("FLOOR", FLOOR_SQL)
+
+CLUSTER_SQL = f"""
+with whole as ({WHOLE_SQL.format(size="= 64")}), parts as (
+  select vec_id, unnest(range(1, 65)) as d, unnest([floor(64 * x::double)::bigint for x in embedding]) as v from whole
+), seeds as (
+  select vec_id, row_number() over (order by sha256('1:' || vec_id)) - 1 as c from whole qualify c < 16
+), c0 as (select c, d, v from seeds join parts using (vec_id)),
+{_rounds(3, CLUSTER_ROUND_SQL, CLUSTER_NEXT_SQL)}, printed as (
+  select c, sha256(string_agg(v::varchar, ',' order by d)) as print from c3 group by c
+)
+select vec_id, c::integer as cluster, far as distance, sum(far) over (partition by c)::bigint as cluster_inertia, sum(far) over ()::bigint as inertia, print as centroid_sha256
+from a3 join printed using (c)
+"""
+
+
+@query("op11_centroid_clusters", CLUSTER_SQL)
+def op11_centroid_clusters(spark, sf_dir):
+    found, centroids = clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), Scratch(spark), k=16, rounds=3, scale=64, width=64)
+    inertia = found.groupBy("cluster").agg(long_sum("distance").alias("cluster_inertia"))  # a row per centroid
+    total = inertia.agg(long_sum("cluster_inertia").alias("inertia"))
+    prints = spark.createDataFrame([(i, ",".join(map(str, c))) for i, c in enumerate(centroids)], "cluster int, centroid string")
+    told = inertia.join(prints, "cluster").join(F.broadcast(total)).withColumn("centroid_sha256", F.sha2("centroid", 256))
+    return found.select("vec_id", "cluster", "distance").join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+COPIES_SQL = r"""
+with normal as (
+  select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as body from documents
+)
+select doc_id, min(doc_id) over (partition by body) as keep_id, count(*) over (partition by body) as group_size,
+  row_number() over (partition by body order by doc_id) = 1 as kept, sha256(body) as text_sha256
+from normal
+"""
+
+
+@query("op12_exact_dedup", COPIES_SQL)
+def op12_exact_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_copies(docs, Scratch(spark), content=F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+CODES_ROUND_SQL = """a{i} as (
+  select vec_id, p, arg_min(e, (far, e)) as e, min(far) as far from (
+    select vec_id, x.p, e, sum((x.v - k.v) * (x.v - k.v))::bigint as far from parts x join c{i} k on x.p = k.p and x.d = k.d group by vec_id, x.p, e
+  ) group by vec_id, p
+)"""
+CODES_NEXT_SQL = """c{j} as (
+  select k.p, k.e, k.d, coalesce(n.v, k.v) as v from c{i} k left join (
+    select p, e, d, FLOOR as v from a{i} join parts using (vec_id, p) group by p, e, d
+  ) n on k.p = n.p and k.e = n.e and k.d = n.d
+)""".replace("FLOOR", FLOOR_SQL)
+
+CODES_SQL = f"""
+with whole as ({WHOLE_SQL.format(size="= 64")}), parts as (
+  select vec_id, unnest(range(0, 64)) // 8 as p, unnest(range(0, 64)) % 8 as d, unnest([floor(4096 * x::double)::bigint for x in embedding]) as v from whole
+), seeds as (select vec_id, row_number() over (order by vec_id) - 1 as e from whole qualify e < 16),
+c0 as (select p, e, d, v from seeds join parts using (vec_id)),
+{_rounds(6, CODES_ROUND_SQL, CODES_NEXT_SQL)}, coded as (
+  select vec_id, string_agg(printf('%02x', e), '' order by p) as code, sum(far)::bigint as error from a6 group by vec_id
+), books as (select sha256(string_agg(v::varchar, ',' order by p, e, d)) as print from c6)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, print as codebooks_sha256 from coded join whole using (vec_id), books
+"""
+
+
+@query("op13_vector_codes", CODES_SQL)
+def op13_vector_codes(spark, sf_dir):
+    coded, books = compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), Scratch(spark))
+    prints = books.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("part", "entry", "numbers"))).alias("all"))
+    prints = prints.select("dim", F.sha2(F.array_join(F.flatten("all.numbers"), ","), 256).alias("codebooks_sha256"))
+    code = F.array_join(F.transform("codes", lambda e: F.lower(F.lpad(F.hex(e), 2, "0"))), "")
+    rows = coded.select("vec_id", "dim", code.alias("code"), "error", F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit("")).alias("own"))
+    labels = rows.groupBy("own").agg(long_sum("error").alias("label_error"))
+    many = labels.count()
+    met = sized_join(rows, labels, "own", many) if many <= LIMITS.broadcast_rows else lookup_join(rows, labels, "own")
+    return met.join(F.broadcast(prints), "dim").select("vec_id", "code", "error", "label_error", "codebooks_sha256")

@@ -27,4 +27,4 @@ def test_repeat_removal_over_the_given_table(spark):
 def test_all_are_registered():
     names = set(entry_point.queries())
     assert set(QUERIES) <= names
-    assert {f"op{n}_" for n in range(1, 11)} == {x.split("_")[0] + "_" for x in QUERIES} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {x.split("_")[0] + "_" for x in QUERIES} and "pipeline" in names
