@@ -204,7 +204,7 @@ dpairs as (select source_file, entity, entity_ordinal, {_NORMAL.format('text')}
 {scored_sql('dpairs', 'dsc')},
 top2 as (select source_file, entity, score, row_number() over w as rn, score - coalesce(lead(score) over w, 0) as margin
   from (select * replace (round(score::decimal(38, 20), 4)::double as score) from dsc) window w as (partition by source_file order by score desc, entity_ordinal)),
-entities as (select source_file, entity, score, margin, 'auto' as decision from top1 where rn = 1 and (score >= 0.86 or margin >= 0.08)
+entities as materialized (select source_file, entity, score, margin, 'auto' as decision from top1 where rn = 1 and (score >= 0.86 or margin >= 0.08)
   union all select source_file, case when score >= 0.6 then entity end, score, margin,
     case when score >= 0.6 and margin >= 0.06 then 'described' when score >= 0.6 then 'fallback' else 'review' end from top2 where rn = 1)"""
 )
@@ -265,12 +265,12 @@ lowered as (select *, raw_score * (case when len(mine) > 0 and len(theirs) > 0 a
 adjusted as (select *, round((case when {_AGREED} then least(1.0::double, s + 0.08::double) else s end)::decimal(38, 20), 4)::double as score from lowered),
 candidates as materialized (select *, row_number() over w as rank, score - coalesce(lead(score) over w, 0) as margin
   from adjusted window w as (partition by query, entity order by score desc, raw_rank)),
-choices as (select c.source_file, c.col as source_column, c.ordinal, c.inferred_type, x.*
+choices as materialized (select c.source_file, c.col as source_column, c.ordinal, c.inferred_type, x.*
   from catalog c join entities e on c.source_file = e.source_file and e.entity is not null
   join candidates x on x.query = lower(trim(translate(c.col, '_-', '  '))) and x.entity = e.entity),
 fit as (select *, inferred_type in ('unknown', 'string') or inferred_type = data_type or (inferred_type in ('integer', 'number') and data_type in ('integer', 'number'))
   or (inferred_type = 'date' and data_type in ('date', 'datetime')) as fits from choices where rank = 1),
-staged as (select *, case when match <> 'similarity' or (score >= 0.86 and margin >= 0.08 and fits) then 'auto'
+staged as materialized (select *, case when match <> 'similarity' or (score >= 0.86 and margin >= 0.08 and fits) then 'auto'
   when score >= 0.4 and fits and (margin < 0.15 or score < 0.86) then 'undecided' else 'dropped' end as stage from fit)"""
 )
 
@@ -312,7 +312,7 @@ def field_match(spark, sf_dir):
     f"""with {CANDIDATES_SQL}, proposed(entity, source_column, target_field, needs_review) as (values ('customer', 'Telephone', 'email', false), ('customer', 'Company Name', 'last_name', false),
       ('orders', 'Total Amount', 'status', true), ('orders', 'Order State', 'invented', false), ('part', 'Kind', 'brand', false)),
     proposals as (select p.* from proposed p),
-    valid as (select c.entity, c.source_file, c.source_column, min(p.target_field) as target from proposals p join choices c
+    valid as materialized (select c.entity, c.source_file, c.source_column, min(p.target_field) as target from proposals p join choices c
       on p.entity = c.entity and p.source_column = c.source_column and p.target_field = c.field where not needs_review group by all)
     select s.entity, s.source_file, s.source_column, case when stage = 'undecided' then coalesce(v.target, field) when stage = 'auto' then field end as target_field, score as confidence, match,
     case when stage = 'undecided' and v.target is not null then 'proposed' when stage = 'undecided' then 'fallback' else stage end as decision
