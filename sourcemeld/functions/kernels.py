@@ -99,8 +99,10 @@ def _two_best(frame: pd.DataFrame) -> pd.DataFrame:
 def best_partners(names: int, exacts: int, floor: float):
     """Arrow-batch operator over rows sorted by (block, tile_a, tile_b).
 
-    Every group is bounded by the tile size. All its pairs are compared here and at most two
-    partners per record and group leave, so pairs never become rows.
+    Every group is bounded by the tile size. Its pairs are compared here and at most two partners per record and
+    group leave, so pairs never become rows. ``both`` is the set of names that the two have in common, -1 for any. At
+    least one of them is a ``seeker``, and only pairs that can reach the score ``known`` to be passed by
+    one of their seekers are scored.
     """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,6 +119,9 @@ def best_partners(names: int, exacts: int, floor: float):
         copies = pdf["copies"].to_numpy()
         apart = pdf["apart"].to_numpy()
         some_apart = pdf["apart"].notna().to_numpy()
+        wanted = pdf["both"].to_numpy()
+        seeker = pdf["seeker"].to_numpy(dtype=bool)
+        known = np.where(seeker, pdf["known"].to_numpy(dtype=float), np.inf)
         exact = [pd.factorize(pdf[f"e{k}"])[0] for k in range(exacts)]
         name = [pd.factorize(pdf[f"n{k}"], use_na_sentinel=True) for k in range(names)]
         width = [np.array([len(t) for t in texts], dtype=np.int64) for _, texts in name]
@@ -124,6 +129,7 @@ def best_partners(names: int, exacts: int, floor: float):
         for left, right in _pair_chunks(starts, sizes):
             ok = (emask[left] & emask[right]) == common[left]
             ok &= ~(across[left] & (tile[left] == tile[right]))
+            ok &= (seeker[left] | seeker[right]) & ((wanted[left] < 0) | ((nmask[left] & nmask[right]) == wanted[left]))
             left, right = left[ok], right[ok]
             same = np.zeros(len(left), dtype=np.int64)
             for k in range(exacts):
@@ -132,7 +138,7 @@ def best_partners(names: int, exacts: int, floor: float):
             left, right = left[ok], right[ok]
             both = nmask[left] & nmask[right]
             parts = _popcount(both) + _popcount(common[left])
-            need = floor * parts - _popcount(agree[left])
+            need = np.maximum(floor, np.minimum(known[left], known[right])) * parts - _popcount(agree[left])
             bound = np.zeros(len(left))
             for k in range(names):
                 on = ((both >> k) & 1).astype(bool)

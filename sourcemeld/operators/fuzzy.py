@@ -7,10 +7,12 @@ how many exact fields must agree, so records meet in a block per agreeing combin
 that can score without any agreeing exact field meet through rare letters of their names
 (prefix filter). No qualifying pair is missed.
 
-Equal records are collapsed first, so copies cost one row. A big block (a phone number that a
-third of all rows share) is first cut by the rare letters its pairs must have in common, then
-into tiles that are compared pairwise; a task sees two tiles at most and returns two partners
-per record.
+Equal records are collapsed first, so copies cost one row. A block of at most one tile is compared
+as a whole. A big block (a phone number that a third of all rows share) is split by the names its
+pairs have in common and searched from near to far: records whose names differ by a letter or two meet
+through the texts that are left when letters are dropped; whoever then has two partners
+that nobody not met yet can beat is done, and only the others are compared with all of the block, tile by tile.
+A task sees two tiles at most and returns two partners per record.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ from sourcemeld.settings import AMBIGUOUS_MATCH, LIMITS, PAIR_MARGIN, PAIR_REVIE
 # Fields compared by similarity and by equality.
 NAME_FIELDS = ("first_name", "last_name")
 EXACT_FIELDS = ("email", "phone", "date_of_birth")
-# Below this name ratio shared letters say too little to cut a block by them.
-NARROW_FROM = 0.7
+# Letters dropped on each side in the rounds over big blocks, and the longest name that takes part in them.
+NEAR_ROUNDS = (1, 2)
+NEAR_LENGTH = 40
 # Fixed value: letters from rare to common.
 RARE_LETTERS = "zqxjkvbpygfwmucldrhsnioate "
 
@@ -49,10 +52,9 @@ def _bits(mask: int) -> int:
 
 @dataclass
 class Entrants:
-    """Who enters a block kind, and the ratio that at least one name of a qualifying pair has."""
+    """Who enters a block kind."""
 
     masks: set[tuple[int, int]]
-    name_ratio: float = 1.0
 
 
 def block_plan(masks: list[tuple[int, int]], floor: float = PAIR_REVIEW_SCORE) -> dict[Block, Entrants]:
@@ -68,8 +70,6 @@ def block_plan(masks: list[tuple[int, int]], floor: float = PAIR_REVIEW_SCORE) -
             if (names + _bits(agree)) / parts >= floor - 1e-12:
                 entrants = plan.setdefault(Block(common, agree), Entrants(set()))
                 entrants.masks.update((left, right))
-                needed = (floor * parts - _bits(agree)) / names if names else 0.0
-                entrants.name_ratio = min(entrants.name_ratio, needed)
             if agree == 0:
                 break
             agree = (agree - 1) & common
@@ -77,10 +77,11 @@ def block_plan(masks: list[tuple[int, int]], floor: float = PAIR_REVIEW_SCORE) -
 
 
 def letter_keys(text: Column, floor: float = PAIR_REVIEW_SCORE) -> Column:
-    """Pairs of rare letters such that texts with ratio >= floor share at least one pair.
+    """Rare letters, or pairs of them, such that texts with ratio >= floor share at least one key.
 
-    ratio >= t needs t * n / (2 - t) letters of a text of length n in common, so two letters
-    among its first n - that + 2 in a fixed order. A repeated letter counts as a new one.
+    ratio >= t needs t * n / (2 - t) letters of a text of length n in common, so one of them is
+    among its first n - that + 1 in a fixed order, and two among one letter more. Two are asked for where
+    two letters must agree in any text of two letters and more (t above 2/3). A repeated letter counts as a new one.
     """
     letters = F.filter(F.split(text, ""), lambda c: c != "")
     order = F.split(F.lit(RARE_LETTERS), "")
@@ -93,9 +94,12 @@ def letter_keys(text: Column, floor: float = PAIR_REVIEW_SCORE) -> Column:
         )
 
     n = F.length(text)
+    together = 2 if floor > 2 / 3 else 1
     needed = F.ceil(n * F.lit(floor / (2 - floor)) - 1e-9)
-    prefix = F.slice(F.array_sort(F.transform(letters, numbered)), F.lit(1), F.greatest(F.lit(1), (n - needed + 2).cast("int")))
+    prefix = F.slice(F.array_sort(F.transform(letters, numbered)), F.lit(1), F.greatest(F.lit(1), (n - needed + together).cast("int")))
     marks = F.transform(prefix, lambda m: F.concat(m["letter"], m["nth"].cast("string")))
+    if together == 1:
+        return marks
     pairs = F.flatten(
         F.transform(
             marks,
@@ -155,27 +159,6 @@ def _name_keys(names: list[str], ratio: float, tag: str) -> Column:
     )
 
 
-def _narrower(plan: dict[Block, Entrants], names: list[str]) -> Column:
-    """Keys that cut a big block by the letters its pairs must share; blocks that ask little stay whole."""
-    keys = F.array(F.col("block"))
-    for spec, entrants in plan.items():
-        if spec.agree and entrants.name_ratio >= NARROW_FROM:
-            own = F.array_distinct(_name_keys(names, entrants.name_ratio, ""))
-            mine = (F.col("common") == spec.common) & (F.col("agree") == spec.agree)
-            keys = F.when(mine, F.transform(own, lambda x: F.concat_ws("\u0003", F.col("block"), x))).otherwise(keys)
-    return keys
-
-
-def _tiles(keyed: DataFrame, tile_rows: int) -> DataFrame:
-    """(block, tiles) of every block with at least two rows."""
-    return (
-        keyed.groupBy("block")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("block", F.ceil(F.col("n") / tile_rows).cast("int").alias("tiles"))
-    )
-
-
 def _block_keys(plan: dict[Block, Entrants], names: list[str], floor: float) -> Column:
     """Array of (common, agree, block) a profile enters."""
     mask = F.concat_ws(":", "emask", "nmask")
@@ -193,6 +176,132 @@ def _block_keys(plan: dict[Block, Entrants], names: list[str], floor: float) ->
     return F.flatten(F.array(*entries))
 
 
+_TOP = "array<struct<order:double,other:string,other_copies:bigint>>"
+
+
+def _compared(blocks: DataFrame, names: int, exacts: int, floor: float) -> DataFrame:
+    """(pid, other, other_copies, score): up to two partners of each record per pair of tiles of its block.
+
+    ``blocks`` has a row per record and block with the block's tiles. Seekers of a big block have tiles of their own; they
+    meet all tiles, and two tiles without a seeker never meet.
+    """
+    spot = F.xxhash64("pid")
+    among_others = F.col("seek_tiles") + F.pmod(spot, F.greatest("other_tiles", F.lit(1)))
+    place = F.when(F.col("seeker"), F.pmod(spot, F.col("seek_tiles"))).when(F.col("other_tiles") > 0, among_others).otherwise(0)
+    meets = F.col("seek_tiles") + F.when(F.col("seeker"), F.col("other_tiles")).otherwise(0)
+    tiled = (
+        blocks.withColumns({"tile": place.cast("int"), "against": F.explode(F.sequence(F.lit(0), meets - 1))})
+        .withColumns({"tile_a": F.least("tile", "against"), "tile_b": F.greatest("tile", "against")})
+        .drop("n", "seek_tiles", "other_tiles", "against")
+    )
+    group = ["block", "tile_a", "tile_b"]
+    return (
+        spread(tiled.withColumns({c: F.col(c).cast("bigint") for c in ("emask", "nmask", "both")}), *group)
+        .sortWithinPartitions(*group, "pid")
+        .mapInArrow(kernels.best_partners(names, exacts, floor), "pid string, other string, other_copies bigint, score double")
+    )
+
+
+def _sized(keyed: DataFrame, tile_rows: int) -> DataFrame:
+    """(block, n, seek_tiles, other_tiles) of every block in which a seeker can meet somebody."""
+    seekers = F.count_if("seeker")
+    return (
+        keyed.groupBy("block")
+        .agg(F.count(F.lit(1)).alias("n"), seekers.alias("__s"))
+        .where("n > 1 and __s > 0")
+        .select(
+            "block", "n", F.when(F.col("n") <= tile_rows, 1).otherwise(F.ceil(F.col("__s") / tile_rows)).cast("int").alias("seek_tiles"),
+            F.when(F.col("n") <= tile_rows, 0).otherwise(F.ceil((F.col("n") - F.col("__s")) / tile_rows)).cast("int").alias("other_tiles"),
+        )
+    )
+
+
+def _top(found: DataFrame) -> DataFrame:
+    """(pid, top): the two best partners; equal scores by the smaller id."""
+    entry = F.struct((-F.col("score")).alias("order"), "other", "other_copies")
+    return found.groupBy("pid").agg(F.slice(F.array_sort(F.collect_set(entry)), 1, 2).cast(_TOP).alias("top"))
+
+
+def dropped(text: Column, letters: int) -> Column:
+    """The text and all that is left of it when up to ``letters`` letters are dropped."""
+    kept = F.array(text)
+    for _ in range(letters):
+        fewer = F.transform(
+            kept, lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+        )
+        kept = F.array_distinct(F.concat(kept, F.flatten(F.filter(fewer, lambda x: F.size(x) > 0))))
+    return kept
+
+
+def _best_unmet(length: Column, lengths: Column, letters: int) -> Column:
+    """Largest ratio of a text to one of the given lengths from which it differs by more than ``letters`` letters on a side."""
+
+    def ratio(other: Column) -> Column:
+        low, high = F.least(length, other), F.greatest(length, other)
+        shared = F.when(high - low <= letters, high - letters - 1).otherwise(low)
+        return 2.0 * F.greatest(shared, F.lit(0)) / (length + other)
+
+    return F.array_max(F.transform(lengths, ratio))
+
+
+def _by_names(big: DataFrame, scratch: Scratch, names: int) -> DataFrame:
+    """Rows of big blocks, once per set of names that a pair can have in common.
+
+    Adds ``both`` (that set), the number of ``shared`` names, of ``parts`` that count and of exact fields that ``agreed``, ``chosen`` (the name
+    among them with the most different values in the block) and the ``lengths`` that it takes there.
+    """
+    sets = F.array(*[F.lit(m) for m in range(1 << names)])
+    inside = F.filter(sets, lambda m: m.bitwiseAND(F.col("nmask").cast("int")) == m)
+    parted = big.withColumn("both", F.explode(inside)).withColumn("block", F.concat_ws("\u0004", "block", F.col("both").cast("string")))
+    options = []
+    for k in range(names):
+        name = F.when(F.col("both").bitwiseAND(1 << k) != 0, F.col(f"n{k}"))
+        sizes = F.collect_set(F.least(F.length(name), F.lit(NEAR_LENGTH + 1)))  # NEAR_LENGTH + 1 entries at the most
+        options.append(F.struct(F.approx_count_distinct(name).alias("values"), F.lit(k).alias("k"), sizes.alias("lengths")))
+    best = F.array_max(F.array(*options)) if options else F.lit(None).cast("struct<values:bigint,k:int,lengths:array<int>>")
+    facts = scratch.write(parted.groupBy("block").agg(best.alias("best")).select("block", "best.k", "best.lengths"), "names")
+    chosen = F.lit(None).cast("string")
+    for k in range(names):
+        chosen = F.when((F.col("k") == k) & (F.col("both") > 0), F.col(f"n{k}")).otherwise(chosen)
+    shared = F.bit_count(F.col("both").cast("bigint"))
+    counts = {"chosen": chosen, "shared": shared, "agreed": F.bit_count("agree"), "parts": shared + F.bit_count("common")}
+    return lookup_join(parted, facts, "block").withColumns(counts).where("parts > 0").drop("k")
+
+
+def _seeking(rows: DataFrame, top: DataFrame, letters: int, floor: float) -> DataFrame:
+    """Marks the records that somebody whom the round of ``letters`` has not brought to them may still suit better."""
+    second = F.coalesce(-F.try_element_at("top", F.lit(2))["order"], F.lit(0.0))
+    length = F.length("chosen")
+    near = _best_unmet(length, F.col("lengths"), letters)
+    reach = F.when(length <= NEAR_LENGTH - letters, near).otherwise(1.0)
+    reach = F.when(F.col("both") > 0, reach + F.col("shared") - 1).otherwise(0.0)
+    unmet = (reach + F.col("agreed")) / F.col("parts")
+    joined = rows.drop("seeker", "known").join(top, "pid", "left")
+    open_ = (F.col("parts") > 0) & (unmet >= floor - 1e-9) & (second <= unmet + 1e-9)
+    return joined.withColumns({"seeker": open_, "known": second}).drop("top")
+
+
+def _search_big(big: DataFrame, found: DataFrame, scratch: Scratch, names: int, exacts: int, floor: float, tile_rows: int) -> DataFrame:
+    """``found`` and the partners inside big blocks: rounds over near names first, then whoever is left against all."""
+    state = scratch.write(_by_names(big, scratch, names).withColumns({"seeker": F.lit(True), "known": F.lit(0.0)}), "big-blocks")
+    inner = ("chosen", "lengths", "parts", "shared", "agreed")
+    for letters in (*NEAR_ROUNDS, None):
+        if letters is None:
+            keyed = state.drop(*inner)
+        else:
+            near = state.where(F.col("chosen").isNotNull() & (F.length("chosen") <= NEAR_LENGTH))
+            near = near.withColumn("key", F.explode(dropped(F.col("chosen"), letters)))
+            keyed = scratch.write(near.withColumn("block", F.concat_ws("\u0005", "block", "key")).drop("key", *inner), "near")
+        sizes = scratch.write(_sized(keyed, tile_rows), "sizes")
+        met = lookup_join(keyed, sizes, "block").where("n is not null")
+        found = found.unionByName(scratch.write(_compared(met, names, exacts, floor), "found"))
+        if letters is not None:
+            state = scratch.write(_seeking(state, _top(found), letters, floor), "seeking")
+            if state.where("seeker").isEmpty():
+                break
+    return found
+
+
 def best_candidates(
     records: DataFrame,
     scratch: Scratch,
@@ -210,40 +319,19 @@ def best_candidates(
     plan = block_plan(masks, floor)
     values = [*[f"n{k}" for k in range(len(names))], *[f"e{k}" for k in range(len(exacts))]]
     carried = ["pid", "copies", "emask", "nmask", "apart", *values]
-    top_type = "array<struct<order:double,other:string,other_copies:bigint>>"
     if plan:
         entered = profiles.select(*carried, F.explode(_block_keys(plan, names, floor)).alias("k")).select(*carried, "k.*")
-        keyed = scratch.write(entered.dropDuplicates(["pid", "block"]), "blocks")
-        sizes = scratch.write(_tiles(keyed, tile_rows), "sizes")
-        met = lookup_join(keyed, sizes, "block", keyed.count()).where("tiles is not null")
-        if not sizes.where("tiles > 1").isEmpty():
-            big = met.where("tiles > 1").drop("tiles").withColumn("block", F.explode(_narrower(plan, names)))
-            big = scratch.write(big, "big-blocks")
-            cut = lookup_join(big, _tiles(big, tile_rows), "block", big.count()).where("tiles is not null")
-            met = met.where("tiles = 1").unionByName(cut)
-        tiled = (
-            met.withColumn("tile", F.pmod(F.xxhash64("pid"), F.col("tiles")).cast("int"))
-            .withColumn("against", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-            .withColumns({"tile_a": F.least("tile", "against"), "tile_b": F.greatest("tile", "against")})
-            .drop("tiles", "against")
-        )
-        group = ["block", "tile_a", "tile_b"]
-        found = (
-            spread(tiled.withColumns({"emask": F.col("emask").cast("bigint"), "nmask": F.col("nmask").cast("bigint")}), *group)
-            .sortWithinPartitions(*group, "pid")
-            .mapInArrow(
-                kernels.best_partners(len(names), len(exacts), floor),
-                "pid string, other string, other_copies bigint, score double",
-            )
-        )
-        # At most two rows per record and tile pair arrive here.
-        top = found.groupBy("pid").agg(
-            F.slice(
-                F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("order"), "other", "other_copies"))), 1, 2
-            ).cast(top_type).alias("top")
-        )
+        roles = {"both": F.lit(-1), "seeker": F.lit(True), "known": F.lit(0.0)}
+        keyed = scratch.write(entered.dropDuplicates(["pid", "block"]).withColumns(roles), "blocks")
+        sizes = scratch.write(_sized(keyed, tile_rows), "sizes")
+        met = lookup_join(keyed, sizes, "block", keyed.count()).where("n is not null")
+        found = _compared(met.where(F.col("n") <= tile_rows), len(names), len(exacts), floor)
+        if not sizes.where(F.col("n") > tile_rows).isEmpty():
+            big = met.where(F.col("n") > tile_rows).drop("n", "seek_tiles", "other_tiles", *roles)
+            found = _search_big(big, scratch.write(found, "found"), scratch, len(names), len(exacts), floor, tile_rows)
+        top = _top(found)
     else:
-        top = profiles.select("pid", F.lit(None).cast(top_type).alias("top")).limit(0)
+        top = profiles.select("pid", F.lit(None).cast(_TOP).alias("top")).limit(0)
     known = profiles.select("pid", "last_id", "copies", *values, "apart").join(top, "pid", "left")
     near = F.coalesce(-F.col("top")[0]["order"], F.lit(0.0))
     after = F.coalesce(-F.try_element_at("top", F.lit(2))["order"], F.lit(0.0))
@@ -267,19 +355,17 @@ def best_candidates(
             )
         )
     )
-    crowd = per_profile.where("copies > 2").select(*values, "pid", "last_id")
-    same = [F.col(f"r.{v}").eqNullSafe(F.col(f"p.{v}")) for v in values]
+    # One text for all values, so that a crowd of equal records is a hot key of one lookup.
+    whole = F.to_json(F.struct(*values), {"ignoreNullFields": "false"}).alias("whole")
+    crowd = per_profile.where("copies > 2").select(whole, "pid", "last_id").groupBy("whole").agg(F.min("pid").alias("pid"), F.max("last_id").alias("last_id"))
     shown = records.select(
         "record_id",
         *[blank_to_null(F.col(f)).alias(f"n{k}") for k, f in enumerate(names)],
         *[match_key(F.col(f)).alias(f"e{k}") for k, f in enumerate(exacts)],
-    )
-    condition = same[0]
-    for s in same[1:]:
-        condition = condition & s
+    ).select("record_id", whole)
     copies = (
-        shown.alias("r")
-        .join(crowd.alias("p"), condition)
+        lookup_join(shown, crowd, "whole")
+        .where("pid is not null")
         .select(
             "record_id",
             F.when(F.col("record_id") == F.col("pid"), F.col("last_id")).otherwise(F.col("pid")).alias("partner"),

@@ -119,7 +119,7 @@ def test_lcs_kernel_against_plain_programme():
     assert ratios(["", "ab"], ["", "ba"]).tolist() == [1.0, 0.5]
 
 
-def brute_force(rows):
+def brute_force(rows, floor=0.72):
     def score(a, b):
         parts = []
         for k in range(5):
@@ -131,9 +131,9 @@ def brute_force(rows):
     best = {}
     for a in rows:
         ranked = sorted((score(a, b) for b in rows if b is not a), reverse=True)
-        if ranked[0] >= 0.72 - 1e-12:
+        if ranked[0] >= floor - 1e-12:
             partners = {b[0] for b in rows if b is not a and abs(score(a, b) - ranked[0]) < 1e-9}
-            best[a[0]] = (round(ranked[0], 6), round(ranked[1], 6) if ranked[1] >= 0.72 - 1e-12 else 0.0, partners)
+            best[a[0]] = (round(ranked[0], 6), round(ranked[1], 6) if ranked[1] >= floor - 1e-12 else 0.0, partners)
     return best
 
 
@@ -162,6 +162,34 @@ def test_fuzzy_candidates_equal_brute_force(spark, scratch, seed, tile):
         assert found[record].partner in partners
 
 
+@pytest.mark.parametrize("floor, tile", [(0.4, 2000), (0.5, 7), (0.6, 7), (0.7, 7)])
+def test_low_floors_equal_brute_force(spark, scratch, floor, tile):
+    rng = random.Random(int(floor * 10))
+    first = ["ab", "ba", "bc", "a", "abcd", "Jon", "John", "x" * 50, "x" * 49 + "y", None, None]
+    rows = [(f"r{i:04d}", rng.choice(first), rng.choice(["Li", "L", "Lo", "Smith", None]), None, rng.choice(["1", "1", "2", None]), rng.choice(["d", None])) for i in range(60)]
+    expected = brute_force(rows, floor)
+    found = {r.record_id: r for r in best_candidates(spark.createDataFrame(rows, SCHEMA), scratch, list(NAME_FIELDS), list(EXACT_FIELDS), floor=floor, tile_rows=tile).collect()}
+    assert {k: (round(r.score, 6), round(r.second, 6)) for k, r in found.items()} == {k: v[:2] for k, v in expected.items()}
+    assert all(found[k].partner in v[2] for k, v in expected.items())
+
+
+def test_rows_of_a_hot_block_grow_with_its_records(spark, scratch, monkeypatch):
+    """One phone on a third of all customers, whose names are much alike: rows that leave the tiles, per record."""
+    left, compared = [], fuzzy._compared
+    monkeypatch.setattr(fuzzy, "_compared", lambda *a: (out := scratch.write(compared(*a), "left"), left.append(out.count()))[0])
+    share = []
+    for sf in ("sf0.01", "sf0.1"):
+        left.clear()
+        customers = spark.read.parquet(f"/root/testdata/{sf}/customer.parquet").where("c_custkey % 3 = 0")
+        people = customers.selectExpr(
+            "concat('r', lpad(c_custkey, 9, '0')) as record_id", "c_name as first_name", "c_mktsegment as last_name", "'0' as phone",
+        )
+        n = people.count()
+        assert best_candidates(people, scratch, ["first_name", "last_name"], ["phone"], tile_rows=100).count() == n
+        share.append(sum(left) / n)
+    assert share[1] < 1.6 * share[0], share
+
+
 def test_fuzzy_pairs_copies_and_apart(spark, scratch):
     rows = [
         ("a1", "Katherine", "Jones", None, "555", None), ("a2", "Kathrine", "Jones", None, "555", None),
@@ -192,3 +220,24 @@ def test_letter_keys_miss_no_pair(spark):
         for b in keys:
             if a < b and ratios([a], [b])[0] >= 0.72:
                 assert keys[a] & keys[b], (a, b)
+
+
+def test_single_letters_serve_low_ratios(spark):
+    rng = random.Random(5)
+    words = {"".join(rng.choice("abcé Z") for _ in range(rng.randrange(1, 7))) for _ in range(80)}
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for floor in (0.4, 0.55, 0.66):
+        keys = {r.w: set(r.k) for r in df.select("w", fuzzy.letter_keys(F.col("w"), floor).alias("k")).collect()}
+        assert all(keys[a] & keys[b] for a in keys for b in keys if a < b and ratios([a], [b])[0] >= floor)
+
+
+def test_near_texts_share_what_is_left(spark):
+    rng = random.Random(6)
+    words = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 7))) for _ in range(60)}
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for letters in (1, 2):
+        keys = {r.w: set(r.k) for r in df.select("w", fuzzy.dropped(F.col("w"), letters).alias("k")).collect()}
+        for a in keys:
+            for b in keys:
+                lcs = lcs_lengths([a], [b])[0]
+                assert bool(keys[a] & keys[b]) == (max(len(a), len(b)) - lcs <= letters), (a, b)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sourcemeld.operators import push as P
 from sourcemeld.operators import results as R
 from sourcemeld.operators import review as V
-from sourcemeld.operators.fuzzy import fuzzy_identity
+from sourcemeld.operators.fuzzy import best_candidates, fuzzy_identity
 from sourcemeld.operators.identity import exact_identity, group_evidence, orphans, record_key, record_summary
 from sourcemeld.operators.survivorship import (
     apply_corrections,
@@ -155,6 +155,25 @@ def ambiguous_matches(spark, sf_dir):
     return fuzzy_identity(_twins(spark, sf_dir), Scratch(spark))[1]
 
 
+_HOT_SQL = f"""people as (select lpad(c_custkey::varchar, 9, '0') as record_id, 'p' || (c_custkey * 7919 % 100000) as first_name, c_mktsegment as last_name,
+    case when c_custkey % 3 = 0 then '000' else 'x' || c_custkey // 2 end as phone from customer),
+pairs as (select a.record_id as a, b.record_id as b, a.first_name as fa, b.first_name as fb, a.last_name as la, b.last_name as lb from people a join people b on a.record_id <> b.record_id and a.phone = b.phone),
+fs as (select fa, fb, {ratio_sql('fa', 'fb')} as r from (select distinct fa, fb from pairs)), ls as (select la, lb, {ratio_sql('la', 'lb')} as r from (select distinct la, lb from pairs)),
+scored as (select a, b, (fs.r + ls.r + 1) / 3 as s from pairs join fs using (fa, fb) join ls using (la, lb)),
+tops as (select a, b, s, coalesce(lead(s) over w, 0) as second, row_number() over w as rn from scored where s >= 0.72 window w as (partition by a order by s desc, b))"""
+
+
+@query("hot_phone_matches", f"with {_HOT_SQL} select a as record_id, b as partner, round(s, 6) as score, round(second, 6) as second from tops where rn = 1")
+def hot_phone_matches(spark, sf_dir):
+    """One phone on a third of all customers, all of them different."""
+    people = table(spark, sf_dir, "customer").selectExpr(
+        "lpad(c_custkey, 9, '0') as record_id", "concat('p', c_custkey * 7919 % 100000) as first_name", "c_mktsegment as last_name",
+        "case when c_custkey % 3 = 0 then '000' else concat('x', c_custkey div 2) end as phone",
+    )
+    found = best_candidates(people, Scratch(spark), ["first_name", "last_name"], ["phone"], tile_rows=200)
+    return found.select("record_id", "partner", F.round("score", 6).alias("score"), F.round("second", 6).alias("second"))
+
+
 @query(
     "record_keys",
     with_sql(
