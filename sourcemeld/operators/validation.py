@@ -75,21 +75,25 @@ def group_status(validated: DataFrame) -> DataFrame:
 
 TYPE_NAMES = {
     "string": "string", "integer": "bigint", "number": "double", "boolean": "boolean", "date": "date",
-    "datetime": "timestamp_ntz",
+    "datetime": "timestamp_ntz", "array": "array<string>", "object": "variant",
 }
 
 
+def as_typed(df: DataFrame, field: Field) -> Column:
+    """A contract field in its own type: read from canonical text, or cast where it is no text."""
+    c = F.col(f"`{field.name}`") if field.name in df.columns else F.lit(None).cast("string")
+    kind = TYPE_NAMES[field.data_type]
+    if field.name in df.columns and df.schema[field.name].dataType.simpleString() not in ("string", "void"):
+        return c if df.schema[field.name].dataType.simpleString() == kind else c.try_cast(kind)
+    if field.data_type == "array":
+        return F.from_json(c, kind)
+    if field.data_type == "object":
+        return F.try_parse_json(c)
+    if field.data_type == "datetime":
+        c = F.regexp_replace(c, r"(Z|[+-][0-9]{2}:[0-9]{2})$", "")
+    return c.try_cast(kind)
+
+
 def typed(df: DataFrame, entity: Entity, *others: str) -> DataFrame:
     """Contract fields as typed columns; call it on valid records."""
-
-    def column(f: Field) -> Column:
-        c = F.col(f.name)
-        if f.data_type == "array":
-            return F.from_json(c, "array<string>")
-        if f.data_type == "object":
-            return F.try_parse_json(c)
-        if f.data_type == "datetime":
-            c = F.regexp_replace(c, r"(Z|[+-][0-9]{2}:[0-9]{2})$", "")
-        return c.try_cast(TYPE_NAMES[f.data_type])
-
-    return df.select(*others, *[column(f).alias(f.name) for f in entity.fields])
+    return df.select(*others, *[as_typed(df, f).alias(f.name) for f in entity.fields])

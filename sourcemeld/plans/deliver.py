@@ -20,7 +20,7 @@ from sourcemeld.operators.results import delivered_status
 from sourcemeld.plans.reconcile import EntityRun
 from sourcemeld.session import Scratch
 from sourcemeld.settings import PUSH_FAILED, PUSHED, READY, ROLLED_BACK
-from sourcemeld.sources.sinks import AuditTrail, TargetStore
+from sourcemeld.sources.sinks import AuditTrail, Conflict, TargetStore
 
 
 @dataclass
@@ -45,9 +45,8 @@ def _deliver(done: EntityRun, status, pushable, store, run_id, key_fields, rejec
             }
         )
     )
-    # Written before the target changes, so that outcomes stay what they were.
-    outcomes = scratch.write(push_outcomes(payload, store.ledger(entity), reject), "outcomes")
-    store.write(entity, outcomes.where("outcome = 'accepted'"))
+    payload = scratch.write(payload, "payload")
+    outcomes = push_batch(payload, store, entity, scratch, reject)
     after = scratch.write(pushed_status(status, outcomes), "status")
     failed = after.agg(F.count_if(F.col("status") == PUSH_FAILED).alias("n"))
     run_status = failed.select(delivered_status(F.col("n"))).first()[0]
@@ -63,6 +62,25 @@ def _deliver(done: EntityRun, status, pushable, store, run_id, key_fields, rejec
     return Delivery(after, outcomes, run_status)
 
 
+def push_batch(payload: DataFrame, store: TargetStore, entity, scratch: Scratch, reject: Column | None = None) -> DataFrame:
+    """Outcomes of a batch, and its accepted records in the target.
+
+    Outcomes are written before the target changes, so that they stay what they were. If another writer has
+    touched the same keys in between, they are worked out anew.
+    """
+    while True:
+        seen = store.version(entity)
+        outcomes = scratch.write(push_outcomes(payload, store.ledger(entity, payload), reject), "outcomes")
+        accepted = outcomes.where("outcome = 'accepted'")
+        if accepted.isEmpty():
+            return outcomes
+        try:
+            store.write(entity, accepted, base=seen)
+            return outcomes
+        except Conflict:
+            scratch.drop(outcomes)
+
+
 def _event(spark, run_id: str, actor: str, action: str, reason: str) -> DataFrame:
     return spark.range(1).select(
         F.lit(run_id).alias("run_id"), F.current_timestamp().cast("timestamp_ntz").alias("created_at"),

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from sourcemeld.contract import Entity
-from sourcemeld.operators.push import natural_key, push_outcomes, run_idempotency_key
+from sourcemeld.operators.push import natural_key, run_idempotency_key
+from sourcemeld.plans.deliver import push_batch
+from sourcemeld.session import Scratch
 from sourcemeld.sources.sinks import TargetStore
 
 
@@ -34,7 +36,8 @@ def push_stream(
                 "idem_key": run_idempotency_key(run_id, F.col("record_id")),
             }
         )
-        outcomes = push_outcomes(keyed, store.ledger(entity), reject() if reject else None)
-        store.write(entity, outcomes.where("outcome = 'accepted'"))
+        scratch = Scratch(batch.sparkSession)
+        push_batch(scratch.write(keyed, "batch"), store, entity, scratch, reject() if reject else None)
+        scratch.close()
 
     return records.writeStream.foreachBatch(deliver)

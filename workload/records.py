@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sourcemeld.contract import Contract, Entity, Field
 from sourcemeld.operators import push as P
 from sourcemeld.operators import results as R
 from sourcemeld.operators import review as V
@@ -19,8 +20,10 @@ from sourcemeld.operators.survivorship import (
     merge_groups,
 )
 from sourcemeld.operators.validation import group_status, missing_fields, typed, validate, violation_rows
+from sourcemeld.plans.deliver import push_batch
 from sourcemeld.plans.reconcile import run
 from sourcemeld.session import Scratch
+from sourcemeld.sources.sinks import RunTables, TargetStore
 from workload.matching import ratio_sql
 from workload.party import CANON_SQL, GROUPS_SQL, MERGED_SQL, SEGMENTS, canonical, members, party_contract, sources, table, with_sql
 
@@ -627,6 +630,114 @@ def rollback_status(spark, sf_dir):
     return counts.withColumn("run_status", R.delivered_status(F.when(F.col("status") == "PUSH_FAILED", F.col("n_records")).otherwise(0)))
 
 
+# --- the target store -------------------------------------------------------------------
+
+SITE = Entity("site", (Field("name"), Field("amount", "number"), Field("day", "date")))
+
+_SITE_SQL = """ready as (select lpad(c_custkey::varchar, 12, '0') as record_id, 'C-' || c_custkey as record_key, 'run:' || c_custkey as idem_key, upper(c_name) as name, c_acctbal::double as amount, null::date as day from customer
+  union all select 'o' || lpad(o_orderkey::varchar, 12, '0'), 'C-' || o_custkey, 'order:' || o_orderkey, 'order ' || o_orderkey, o_totalprice::double, o_orderdate::date from orders),
+early as (select 'C-' || c_custkey as record_key, 'run:' || c_custkey as idem_key, c_name as name, c_acctbal::double as amount from customer where c_custkey % 4 = 1),
+outcomes as (select *, case when record_key like '%7' then 'rejected' when idem_key in (select idem_key from early) then 'idempotent_replay' else 'accepted' end as outcome from ready)"""
+_SITE_AFTER = """select record_key, arg_max({name: name, amount: amount, day: day}, age) as p from
+  (select record_key, name, amount, null::date as day, '0' as age from early union all select record_key, name, amount, day, '1' || record_id from outcomes where %s) group by 1"""
+_SITE_SHOWN = "record_key, p.name as name, p.amount as amount, strftime(p.day, '%Y-%m-%d') as day"
+
+
+def _site_batches(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """What an earlier run wrote, and the batch of this one, as canonical texts."""
+    c = table(spark, sf_dir, "customer")
+    early = c.where("c_custkey % 4 = 1").selectExpr(
+        "lpad(c_custkey, 12, '0') as record_id", "concat('C-', c_custkey) as record_key", "concat('run:', c_custkey) as idem_key",
+        "c_name as name", "cast(c_acctbal as string) as amount", "cast(null as string) as day",
+    )
+    mine = c.selectExpr(
+        "lpad(c_custkey, 12, '0') as record_id", "concat('C-', c_custkey) as record_key", "concat('run:', c_custkey) as idem_key",
+        "upper(c_name) as name", "cast(c_acctbal as string) as amount", "cast(null as string) as day",
+    )
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "concat('o', lpad(o_orderkey, 12, '0')) as record_id", "concat('C-', o_custkey) as record_key", "concat('order:', o_orderkey) as idem_key",
+        "concat('order ', o_orderkey) as name", "cast(o_totalprice as string) as amount", "date_format(o_orderdate, 'yyyy-MM-dd') as day",
+    )
+    return early, mine.unionByName(orders)
+
+
+def _site_store(spark, sf_dir):
+    """(store, batch, outcomes) after an earlier run and one push that refuses some keys."""
+    scratch = Scratch(spark)
+    store = TargetStore(spark, f"{scratch.root}/target", buckets=8)
+    early, batch = (scratch.write(b, "batch") for b in _site_batches(spark, sf_dir))
+    push_batch(early, store, SITE, scratch)
+    return store, batch, push_batch(batch, store, SITE, scratch, _reject()), scratch
+
+
+def _site_rows(store) -> DataFrame:
+    return store.current(SITE).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("store_push", f"with {_SITE_SQL} select {_SITE_SHOWN} from ({_SITE_AFTER % "outcome = 'accepted'"})")
+def store_push(spark, sf_dir):
+    """Typed rows of the target after two pushes through the store."""
+    store, *_ = _site_store(spark, sf_dir)
+    return _site_rows(store)
+
+
+@query("store_replay", f"with {_SITE_SQL} select case when outcome = 'rejected' then outcome else 'idempotent_replay' end as outcome, count(*) as n_records, count(*) filter (outcome = 'accepted') as n_first from outcomes group by 1")
+def store_replay(spark, sf_dir):
+    """The same batch again writes nothing: the ledger knows what the first push accepted."""
+    store, batch, first, scratch = _site_store(spark, sf_dir)
+    again = push_batch(batch, store, SITE, scratch, _reject()).select("record_id", "outcome")
+    accepted = first.select("record_id", (F.col("outcome") == "accepted").alias("first"))
+    return again.join(accepted, "record_id").groupBy("outcome").agg(F.count(F.lit(1)).alias("n_records"), F.count_if("first").alias("n_first"))
+
+
+@query("store_retry", f"with {_SITE_SQL} select {_SITE_SHOWN} from ({_SITE_AFTER % "outcome <> 'idempotent_replay'"})")
+def store_retry(spark, sf_dir):
+    """What was refused goes through under its old keys, and files are merged in between."""
+    store, batch, first, scratch = _site_store(spark, sf_dir)
+    store.compact(SITE)
+    failed = batch.join(first.where("outcome = 'rejected'").select("record_id"), "record_id", "left_semi")
+    push_batch(scratch.write(failed, "failed"), store, SITE, scratch)
+    return _site_rows(store)
+
+
+@query(
+    "store_rollback",
+    f"""with {_SITE_SQL} select {_SITE_SHOWN}, (select count(*) from early where record_key not in (select record_key from outcomes where outcome <> 'rejected')) as n_ledger
+    from ({_SITE_AFTER % 'false'}) where record_key not in (select record_key from outcomes where outcome <> 'rejected')""",
+)
+def store_rollback(spark, sf_dir):
+    """The keys that the run has written are gone, their ledger entries with them."""
+    store, batch, first, _ = _site_store(spark, sf_dir)
+    store.delete(SITE, first.where("outcome <> 'rejected'").select(F.col("target_key").alias("record_key")))
+    ledger = store.ledger(SITE).agg(F.count(F.lit(1)).alias("n_ledger"))
+    return _site_rows(store).join(F.broadcast(ledger))
+
+
+@query("store_listing", "select 'site' as entity, count(*) as n_rows from customer where c_custkey % 4 = 1 union all select 'nation', count(*) from nation")
+def store_listing(spark, sf_dir):
+    """All entities of a target with their rows."""
+    scratch = Scratch(spark)
+    store = TargetStore(spark, f"{scratch.root}/target", buckets=4)
+    nation = Entity("nation", (Field("n_name"), Field("n_regionkey", "integer")))
+    push_batch(scratch.write(_site_batches(spark, sf_dir)[0], "batch"), store, SITE, scratch)
+    rows = table(spark, sf_dir, "nation").selectExpr("n_name", "n_regionkey", "cast(n_nationkey as string) as record_id", "n_name as record_key", "n_name as idem_key")
+    push_batch(scratch.write(rows, "batch"), store, nation, scratch)
+    return R.union_table([t.groupBy().agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("entity"), "n_rows") for n, t in store.listing(Contract((SITE, nation))).items()])
+
+
+@query(
+    "derived_tables",
+    "select 'run-a' as run_id, 'second' as attempt, c_nationkey, count(*) as n_rows from customer where c_custkey % 2 = 0 group by 3 union all select 'run-b', 'first', c_nationkey, count(*) from customer group by 3",
+)
+def derived_tables(spark, sf_dir):
+    """A run's second attempt replaces the rows of its first; other runs keep theirs."""
+    c = table(spark, sf_dir, "customer")
+    tables = RunTables(spark, f"{Scratch(spark).root}/runs")
+    for run_id, attempt, rows in (("run-a", "first", c), ("run-b", "first", c), ("run-a", "second", c.where("c_custkey % 2 = 0"))):
+        tables.save(run_id, {"records": rows.withColumn("attempt", F.lit(attempt))})
+    return tables.read("records").groupBy("run_id", "attempt", "c_nationkey").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 # --- results ----------------------------------------------------------------------------
 
 
