@@ -119,47 +119,74 @@ def enum_tiers(value: Column, allowed: list[str], existing: dict[str, str] | Non
     return F.coalesce(mapped, equal, by_word), tier
 
 
-def enum_plan(
-    values: DataFrame, allowed: list[str], existing: dict[str, str] | None = None, answers: DataFrame | None = None
-) -> DataFrame:
-    """(value, target, tier, score) for distinct values; tier ``unresolved`` has no target.
+def _settled(keys: DataFrame, by: list[str], cheap: tuple[Column, Column], options: Column, answers: DataFrame | None) -> DataFrame:
+    """``keys`` (the columns ``by``, value among them) with target, tier and score.
 
-    Only values that no cheap tier settles are scored. ``answers`` (value, target) come from
-    outside and count only when the target is an allowed value.
+    Only values that no cheap tier settles are scored. ``answers`` (``by`` and target) come from outside and are usable ones.
     """
-    keys = values.select(strip(F.col("value")).alias("value")).where(filled(F.col("value"))).distinct()
-    target, tier = enum_tiers(F.col("value"), allowed, existing)
-    cheap = keys.withColumns({"target": target, "tier": tier, "score": F.lit(None).cast("double")})
-    open_values = spread(cheap.where("tier is null").select("value"), "value")
-    options = F.array(*[F.struct(F.lit(a).alias("option"), F.lit(i).alias("place")) for i, a in enumerate(allowed)])
+    found = keys.withColumns({"target": cheap[0], "tier": cheap[1], "score": F.lit(None).cast("double")})
+    open_values = spread(found.where("tier is null").select(*by), "value")
     scored = (
-        open_values.select("value", F.inline(options))
+        open_values.select(*by, F.inline(options))
         .withColumn("s", lexical_score(label(F.col("value")), label(F.col("option"))))
-        .groupBy("value")
+        .groupBy(*by)
         .agg(F.max_by("option", F.struct("s", -F.col("place"))).alias("option"), F.max("s").alias("score"))
     )
-    if answers is None:
-        answer = F.lit(None).cast("string")
-    else:
-        usable = answers.where(F.col("target").isin(allowed)).groupBy("value").agg(F.max("target").alias("answer"))
-        scored = scored.join(usable, "value", "left")
+    answer = F.lit(None).cast("string")
+    if answers is not None:
+        scored = scored.join(answers.groupBy(*by).agg(F.max("target").alias("answer")), by, "left")
         answer = F.col("answer")
     near = F.col("score") >= FALLBACK_SCORE
     settled = scored.select(
-        "value",
+        *by,
         F.when(near, F.col("option")).otherwise(answer).alias("target"),
         F.when(near, "lexical").when(answer.isNotNull(), "answered").otherwise("unresolved").alias("tier"),
         F.round("score", 4).alias("score"),
     )
-    return cheap.where("tier is not null").unionByName(settled)
+    return found.where("tier is not null").unionByName(settled)
 
 
-def unresolved_reviews(plan: DataFrame, entity: str, source_file: str, source_field: str, target_field: str) -> DataFrame:
-    """One row per unresolved value; the review itself carries only their number."""
-    return plan.where("tier = 'unresolved'").select(
-        F.lit(entity).alias("entity"),
-        F.lit(source_file).alias("source_file"),
-        F.lit(source_field).alias("source_field"),
-        F.lit(target_field).alias("target_field"),
-        F.col("value").alias("unresolved_value"),
-    )
+def _options(allowed: list[str]) -> Column:
+    return F.array(*[F.struct(F.lit(a).alias("option"), F.lit(i).alias("place")) for i, a in enumerate(allowed)])
+
+
+def enum_plan(
+    values: DataFrame, allowed: list[str], existing: dict[str, str] | None = None, answers: DataFrame | None = None
+) -> DataFrame:
+    """(value, target, tier, score) for distinct values; tier ``unresolved`` has no target.
+
+    ``answers`` (value, target) come from outside and count only when the target is an allowed value.
+    """
+    keys = values.select(strip(F.col("value")).alias("value")).where(filled(F.col("value"))).distinct()
+    usable = None if answers is None else answers.where(F.col("target").isin(allowed))
+    return _settled(keys, ["value"], enum_tiers(F.col("value"), allowed, existing), _options(allowed), usable)
+
+
+def enum_plans(values: DataFrame, allowed: dict[int, list[str]], answers: DataFrame | None = None) -> DataFrame:
+    """(owner, value, target, tier, score) for the distinct values of many columns at once.
+
+    An owner is a mapped column, given by a number; ``allowed`` has the values of its field. ``answers`` are (owner, value, target).
+    """
+    keys = values.select("owner", strip(F.col("value")).alias("value")).where(filled(F.col("value"))).distinct()
+    lists: dict[tuple[str, ...], list[int]] = {}
+    for owner, choices in allowed.items():
+        lists.setdefault(tuple(choices), []).append(owner)
+    target = tier = F.lit(None).cast("string")
+    options, right = F.lit(None).cast("array<struct<option:string,place:int>>"), F.lit(False)
+    for choices, owners in lists.items():
+        mine = F.col("owner").isin(owners)
+        to, how = enum_tiers(F.col("value"), list(choices))
+        target, tier = F.when(mine, to).otherwise(target), F.when(mine, how).otherwise(tier)
+        options = F.when(mine, _options(list(choices))).otherwise(options)
+        right = right | (mine & F.col("target").isin(list(choices)))
+    usable = None if answers is None else answers.where(right)
+    return _settled(keys, ["owner", "value"], (target, tier), options, usable)
+
+
+def unresolved_reviews(plan: DataFrame, owners: dict[int, tuple[str, str, str, str]]) -> DataFrame:
+    """One row per unresolved value of a column; ``owners``: entity, file, source and target field of each."""
+    names = ("entity", "source_file", "source_field", "target_field")
+    told = F.lit(None).cast("struct<entity:string,source_file:string,source_field:string,target_field:string>")
+    for owner, of in owners.items():
+        told = F.when(F.col("owner") == owner, F.struct(*[F.lit(v).alias(n) for n, v in zip(names, of)])).otherwise(told)
+    return plan.where("tier = 'unresolved'").select(told.alias("of"), "value").select("of.*", F.col("value").alias("unresolved_value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourcemeld.functions.text import filled, sql_text
+from sourcemeld.functions.text import filled
 from sourcemeld.sources.readers import data_columns
 
 SAMPLES = 5
@@ -36,39 +36,59 @@ def file_manifest(df: DataFrame) -> DataFrame:
     return df.groupBy("source_file").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def column_types(df: DataFrame) -> DataFrame:
-    """(source_file, column, ordinal, inferred_type, n_rows, n_nulls) in one pass over all rows.
+def value_facts(name: str) -> dict[str, str]:
+    """What the texts of a column show beside their type, as conditions on one of them.
+
+    ``noisy_number``: digits among other signs than one point and one minus; the others: a separator of lists.
+    """
+    raw = f"`{name}`"
+    t = f"regexp_replace({raw}, '(?U)^\\\\s+|\\\\s+$', '')"
+
+    def at_most_one(sign: str) -> str:
+        return f"length(replace({t}, '{sign}', '')) >= length({t}) - 1"
+
+    plain = f"({t} rlike '^[0-9.-]*[0-9][0-9.-]*$' and {at_most_one('.')} and {at_most_one('-')})"
+    return {
+        "noisy_number": f"{raw} <> '' and {raw} rlike '[0-9]' and not {plain}",
+        "has_semicolon": f"contains({raw}, ';')",
+        "has_comma": f"contains({raw}, ',')",
+        "has_pipe": f"contains({raw}, '|')",
+    }
+
+
+FACTS = ("noisy_number", "has_semicolon", "has_comma", "has_pipe")
 
-    Counts per type are summed map-side; no value leaves its partition.
+
+def source_profile(df: DataFrame) -> DataFrame:
+    """(source_file, column, ordinal, inferred_type, n_rows, n_nulls and the ``FACTS``) in one pass over all rows.
+
+    Counts per type are summed map-side, so what is shuffled follows files and columns, not rows. The plan is the same for three columns
+    and for three hundred.
     """
-    names = data_columns(df)
-    kinds = df.select("source_file", *[value_type(n).alias(f"k{i}") for i, n in enumerate(names)])
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("value")) for i, n in enumerate(data_columns(df))]
+    )
+    shown = value_facts("value")
+    kinds = df.select("source_file", F.inline(cells)).withColumn("kind", value_type("value"))
     types = ("integer", "number", "boolean", "date", "datetime")
-    counts = [F.count(F.lit(1)).alias("n_rows")]
-    for i in range(len(names)):
-        counts.append(F.count(f"k{i}").alias(f"k{i}_filled"))
-        counts += [F.expr(f"count_if(k{i} = '{t}')").alias(f"k{i}_{t}") for t in types]
-    summed = kinds.groupBy("source_file").agg(*counts)
-
-    def inferred(i: int) -> str:
-        k = f"k{i}"
-        return (
-            f"case when {k}_filled = 0 then 'unknown' when {k}_integer = {k}_filled then 'integer' "
-            f"when {k}_integer + {k}_number = {k}_filled then 'number' when {k}_boolean = {k}_filled then 'boolean' "
-            f"when {k}_date = {k}_filled then 'date' when {k}_date + {k}_datetime = {k}_filled then 'datetime' "
-            "else 'string' end"
-        )
-
-    rows = F.expr(
-        "array("
-        + ", ".join(
-            f"named_struct('column', {sql_text(n)}, 'ordinal', {i}, 'inferred_type', {inferred(i)}, "
-            f"'n_rows', n_rows, 'n_nulls', n_rows - k{i}_filled)"
-            for i, n in enumerate(names)
-        )
-        + ")"
+    counted = kinds.groupBy("source_file", "column", "ordinal").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count("kind").alias("filled"),
+        *[F.expr(f"count_if(kind = '{t}')").alias(f"n_{t}") for t in types],
+        *[F.expr(f"coalesce(bool_or({shown[fact]}), false)").alias(fact) for fact in FACTS],
+    )
+    inferred = F.expr(
+        "case when filled = 0 then 'unknown' when n_integer = filled then 'integer' when n_integer + n_number = filled then 'number' "
+        "when n_boolean = filled then 'boolean' when n_date = filled then 'date' when n_date + n_datetime = filled then 'datetime' else 'string' end"
     )
-    return summed.select("source_file", F.inline(rows))
+    return counted.select(
+        "source_file", "column", "ordinal", inferred.alias("inferred_type"), "n_rows", (F.col("n_rows") - F.col("filled")).alias("n_nulls"), *FACTS
+    )
+
+
+def column_types(df: DataFrame) -> DataFrame:
+    """(source_file, column, ordinal, inferred_type, n_rows, n_nulls) in one pass over all rows."""
+    return source_profile(df).drop(*FACTS)
 
 
 def column_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -82,8 +82,10 @@ def run(
     decisions = decisions or Decisions()
     _check_names(contract)
     scratch = Scratch(spark)
-    typed = [profile.column_types(s).withColumn("frame", F.lit(i)) for i, s in enumerate(sources)]
-    catalog = scratch.write(reduce(DataFrame.unionByName, typed), "catalog")
+    # Each source is derived once; all later passes read its columns from the written table.
+    sources = [scratch.write(s, f"source-{i}") for i, s in enumerate(sources)]
+    seen = [profile.source_profile(s).withColumn("frame", F.lit(i)) for i, s in enumerate(sources)]
+    catalog = scratch.write(reduce(DataFrame.unionByName, seen), "catalog")
     twice = catalog.groupBy("source_file").agg(F.count_distinct("frame").alias("n")).where("n > 1").select("source_file").limit(5).collect()
     if twice:
         raise ValueError(f"several sources hold files named {[r.source_file for r in twice]}; read them together, so that their folders tell them apart")
@@ -144,24 +146,24 @@ def run(
         )
     ]
     shapes = scratch.write(_shapes(catalog, mapping), "shapes")
-    unresolved: list[DataFrame] = []
-    out = Run(catalog, entities, mapping, None, None, None)
-    records: dict[str, list[DataFrame]] = {}
-    for shape in _distinct_shapes(catalog, shapes):
-        source, entity = sources[shape.frame], contract.entity(shape.entity)
+    found = _distinct_shapes(catalog, shapes)
+    framed = []
+    for shape in found:
+        source = sources[shape.frame]
         if shape.n_files < shape.all_files:
             files = shapes.where((F.col("frame") == shape.frame) & (F.col("shape_id") == shape.shape_id))
             source = sized_join(source, files.select("source_file"), "source_file", shape.n_files, "left_semi")
-        mapped = _plan_source(source, shape.first_file, entity, shape.columns, decisions, scratch, unresolved)
+        framed.append(source)
+    plans, unresolved = _plan_columns(spark, found, framed, contract, decisions, scratch)
+    out = Run(catalog, entities, mapping, None, None, unresolved)
+    records: dict[str, list[DataFrame]] = {}
+    for shape, source, mapped in zip(found, framed, plans):
+        entity = contract.entity(shape.entity)
         frame = standardise_source(source, entity, mapped).withColumn("arrival", F.lit(shape.frame))
         records.setdefault(entity.name, []).append(frame)
     for name, frames in records.items():
         stacked = scratch.write(reduce(DataFrame.unionByName, frames), f"records-{name}")
         out.by_entity[name] = _reconcile(stacked, contract.entity(name), decisions, scratch, items, audit, names, exacts)
-    empty = spark.createDataFrame(
-        [], "entity string, source_file string, source_field string, target_field string, unresolved_value string"
-    )
-    out.unresolved = reduce(DataFrame.unionByName, unresolved, empty)
     out.reviews = review.stack_reviews(items)
     out.audit = reduce(DataFrame.unionByName, audit)
     return out
@@ -182,70 +184,88 @@ def _check_names(contract: Contract) -> None:
 
 
 def _shapes(catalog: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(frame, source_file, entity, shape_id, columns): which columns of a file feed which fields.
+    """(frame, source_file, entity, shape_id, columns, facts): which columns of a file feed which fields.
 
     Files of one header and mapping share a shape, so a folder of a million files is one plan.
     """
     column = F.struct("ordinal", "source_column", "target_field")
+    known = catalog.select("source_file", F.col("column").alias("source_column"), "frame", *profile.FACTS)
     return (
         mapping.where("target_field is not null")
-        .join(catalog.select("source_file", "frame").distinct(), "source_file")
+        .join(known, ["source_file", "source_column"])
         .groupBy("frame", "source_file", "entity")
-        .agg(F.array_sort(F.collect_list(column)).alias("columns"))
+        .agg(
+            F.array_sort(F.collect_list(column)).alias("columns"),
+            F.array_sort(F.collect_list(F.struct("ordinal", "source_column", "target_field", *profile.FACTS))).alias("facts"),
+        )
         .withColumn("shape_id", F.sha2(F.to_json("columns"), 256))
     )
 
 
 def _distinct_shapes(catalog: DataFrame, shapes: DataFrame) -> list:
-    """Distinct shapes with their number of files; as many as there are headers, not files."""
+    """Distinct shapes with their number of files and their facts; as many as there are headers, not files."""
     all_files = catalog.groupBy("frame").agg(F.count_distinct("source_file").alias("all_files"))
+    key = ["frame", "entity", "shape_id"]
+    shown = [F.bool_or(f"fact.{name}").alias(name) for name in profile.FACTS]
+    facts = shapes.select(*key, F.explode("facts").alias("fact")).groupBy(*key, F.col("fact.source_column").alias("source_column")).agg(*shown)
+    facts = facts.groupBy(*key).agg(F.collect_list(F.struct("source_column", *profile.FACTS)).alias("facts"))
     return (
-        shapes.groupBy("frame", "entity", "shape_id")
+        shapes.groupBy(*key)
         .agg(F.min("columns").alias("columns"), F.min("source_file").alias("first_file"), F.count(F.lit(1)).alias("n_files"))
         .join(all_files, "frame")
-        .orderBy("frame", "entity", "shape_id")
+        .join(facts, key)
+        .orderBy(*key)
         .collect()
     )
 
 
-def _plan_source(source, name, entity, rows, decisions, scratch, unresolved) -> list[Mapped]:
-    """Steps of every mapped column of one source; facts and enum values come from all rows."""
-    needs_facts = [
-        r.source_column for r in rows if entity.field(r.target_field).data_type in ("integer", "number", "array")
-    ]
-    facts = {}
-    if needs_facts:
-        facts = {r["column"]: r.asDict() for r in planning.column_facts(source, needs_facts).collect()}
-    approved, answers = {}, None
+def _plan_columns(spark, shapes, sources, contract, decisions, scratch) -> tuple[list[list[Mapped]], DataFrame]:
+    """Steps of every mapped column of every shape, and the enumerated values that nothing settles.
+
+    Facts come with the shapes. The distinct values of all enumerated columns are gathered in one job over the written
+    sources and planned in one more, however many columns there are.
+    """
+    approved = {}
+    if decisions.accepted is not None:  # as many as people have typed in
+        for r in review.step_overrides(decisions.accepted).collect():
+            approved[r.entity, r.source_column] = [Step(s.operation, dict(s.params or {})) for s in r.steps]
+    plans, owners, allowed, staged = [], {}, {}, []
+    for shape, source in zip(shapes, sources):
+        entity = contract.entity(shape.entity)
+        facts = {f.source_column: f.asDict() for f in shape.facts}
+        mapped, chains = [], {}
+        for r in shape.columns:
+            target = entity.field(r.target_field)
+            proposed = approved.get((entity.name, r.source_column)) or planning.default_steps(target)
+            steps = tuple(planning.plan_steps(target, facts[r.source_column], proposed))
+            owner = None
+            if target.enum_values:
+                steps = tuple(s for s in steps if s.operation != "map_value")
+                owner = len(owners)
+                owners[owner] = entity.name, shape.first_file, r.source_column, r.target_field
+                allowed[owner] = list(target.enum_values)
+                chains[owner] = Chain(f"v{owner}", F.col(f"`{r.source_column}`"), steps)
+            mapped.append((r.source_column, r.target_field, steps, owner))
+        plans.append(mapped)
+        if chains:
+            done = run_chains(source, list(chains.values()), skip_missing=True)
+            cells = [F.struct(F.lit(o).alias("owner"), F.when(F.col(f"v{o}__error").isNull(), F.col(f"v{o}__value")).alias("value")) for o in chains]
+            staged.append(done.select(F.inline(F.array(*cells))).where("value <> ''").distinct())
+    if not staged:
+        nothing = "entity string, source_file string, source_field string, target_field string, unresolved_value string"
+        return [[Mapped(c, t, s) for c, t, s, _ in mapped] for mapped in plans], spark.createDataFrame([], nothing)
+    answers = None
     if decisions.accepted is not None:
-        mine = decisions.accepted.where(F.col("entity") == entity.name)
-        approved = {
-            r.source_column: [Step(s.operation, dict(s.params or {})) for s in r.steps]
-            for r in review.step_overrides(mine).collect()
-        }
-        answers = review.value_answers(mine)
-    mapped = []
-    for r in rows:
-        target = entity.field(r.target_field)
-        proposed = approved.get(r.source_column) or planning.default_steps(target)
-        steps = planning.plan_steps(target, facts.get(r.source_column, {}), proposed)
-        if not target.enum_values:
-            mapped.append(Mapped(r.source_column, r.target_field, tuple(steps)))
-            continue
-        before = tuple(s for s in steps if s.operation != "map_value")
-        staged = run_chains(
-            source.select(F.col(f"`{r.source_column}`").alias("raw")), [Chain("v", F.col("raw"), before)], skip_missing=True
-        ).where("v__error is null")
-        values = profile.distinct_values(
-            staged.select(F.lit(name).alias("source_file"), F.lit(0).alias("source_row_number"), F.col("v__value").alias("value")),
-            ["value"],
-        ).select("value")
-        told = None if answers is None else answers.where(F.col("source_column") == r.source_column).select("value", "target")
-        plan = scratch.write(planning.enum_plan(values, list(target.enum_values), answers=told), "values")
-        size = plan.count()
-        unresolved.append(planning.unresolved_reviews(plan, entity.name, name, r.source_column, r.target_field))
-        mapped.append(Mapped(r.source_column, r.target_field, before, plan, size))
-    return mapped
+        told = review.value_answers(decisions.accepted)
+        asked = spark.createDataFrame([(o, e, c) for o, (e, _, c, _) in owners.items()], "owner int, entity string, source_column string")
+        answers = told.join(F.broadcast(asked), ["entity", "source_column"]).select("owner", "value", "target")
+    plan = scratch.write(planning.enum_plans(reduce(DataFrame.unionByName, staged), allowed, answers), "values")
+    sizes = {r.owner: r["count"] for r in plan.groupBy("owner").count().collect()}
+    out = [
+        [Mapped(c, t, s) if o is None else Mapped(c, t, s, plan.where(F.col("owner") == o).drop("owner"), sizes.get(o, 0)) for c, t, s, o in mapped]
+        for mapped in plans
+    ]
+    return out, planning.unresolved_reviews(plan, owners)
 
 
 def _reconcile(records, entity, decisions, scratch, items, audit, names, exacts) -> EntityRun:

@@ -479,4 +479,4 @@ def enum_answers(spark, sf_dir):
 )
 def unresolved_values(spark, sf_dir):
     plan = enum_plan(_enum_values(spark, sf_dir), _ALLOWED, _EXISTING)
-    return unresolved_reviews(plan, "orders", "orders.csv", "prio", "priority").select("source_file", "unresolved_value")
+    return unresolved_reviews(plan.withColumn("owner", F.lit(0)), {0: ("orders", "orders.csv", "prio", "priority")}).select("source_file", "unresolved_value")
