@@ -5,9 +5,14 @@ id. All windows of ``length`` bytes are split over buckets by content: the small
 strings inside a window names its bucket, so equal windows meet, wherever they are. Neighbouring
 windows with the same smallest hash travel as one fragment (about ``length`` + 20 bytes). Equal
 fragments are merged before the shuffle, so a passage that a third of all documents share costs one
-fragment per slice of input. A bucket builds a run-length index over its distinct fragments
-that may repeat and streams the later ones through it (``run_index``). The removed spans, a small
-table, then meet the documents again. Nothing is sampled and no bucket sees whole documents.
+fragment per slice of input. A short string that stands in very many different windows, as a sample tells, names
+a bucket only where a window has nothing else, so that it does not draw them all into one; the sample decides where windows go,
+never what is found.
+
+What is shuffled are groups of buckets: a group takes enough fragments from a slice, or from several slices at a time if there are
+very many groups, to be packed well. A task splits its group into the buckets; each builds a run-length index over
+its distinct fragments that may repeat and streams the later ones through it (``run_index``). The removed spans, a small
+table, then meet the documents again. No bucket sees whole documents.
 """
 
 from __future__ import annotations
@@ -23,9 +28,15 @@ from sourcemeld.llm.batches import HASH_SLICE, SpanHash, flat_bytes, text_slices
 from sourcemeld.llm.run_index import RunIndex
 from sourcemeld.session import Scratch
 
-#: Bytes of text whose fragments share a bucket, on average.
-BUCKET_BYTES = 2 << 20
+#: Bytes of text whose fragments share a bucket, and a group of buckets, on average.
+BUCKET_BYTES, GROUP_BYTES = 2 << 20, 32 << 20
+#: Bytes of text whose anchors are counted, and the share of them at least; anchors that are set back at the most, and the
+#: bytes of text that an anchor may draw into one bucket before it is.
+SAMPLE_BYTES, SAMPLE_SHARE, HOT_MOST, HOT_BYTES = 64 << 20, 1 / 30_000, 100_000, 4 << 20
 _SLICE = HASH_SLICE
+_PER_FRAME = 500  # groups that find some hundred fragments each in a megabyte of text
+_GATHER_MOST = 64 << 20  # text whose fragments a task holds back for packing
+_NEVER = np.uint64(2**64 - 1)
 _ANCHOR = 12  # bytes of the short strings; they fit ``length`` - 11 times into a window
 _MOST_WINDOWS = 64  # per fragment, so that periodic text makes no long ones
 _SPANS = "array<struct<start:int,end:int>>"
@@ -70,7 +81,22 @@ def _merged(owner: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return owner[first], starts[first], reach[last] - owner[first] * high
 
 
-def _fragments(batch: pa.RecordBatch, length: int):
+class HotAnchors:
+    """Hashes of short strings that name a bucket only where nothing else can."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.unique(np.asarray(hashes, np.uint64))
+        self.marked = np.zeros(1 << 16, bool)
+        self.marked[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def set_back(self, short: np.ndarray) -> np.ndarray:
+        if len(self.hashes):
+            maybe = np.flatnonzero(self.marked[(short & np.uint64(0xFFFF)).astype(np.int64)])
+            short[maybe[np.isin(short[maybe], self.hashes)]] = _NEVER
+        return short
+
+
+def _fragments(batch: pa.RecordBatch, length: int, hot: HotAnchors):
     """Fragments of a slice that have to be shipped, as (data, starts, lengths, rows, places, smallest hashes), and
     the spans (row, start, end) that an earlier document of the slice settles."""
     data, offsets = flat_bytes(batch.column("text"))
@@ -80,7 +106,7 @@ def _fragments(batch: pa.RecordBatch, length: int):
     if len(data) < length:
         return None
     hashes = SpanHash(data)
-    low = _sliding_min(hashes.windows(_ANCHOR), length - _ANCHOR + 1)
+    low = _sliding_min(hot.set_back(hashes.windows(_ANCHOR)), length - _ANCHOR + 1)
     edge = np.zeros(len(low) + 1, np.int32)
     long = (np.diff(offsets) >= length) & known
     np.add.at(edge, offsets[:-1][long], 1)
@@ -116,37 +142,173 @@ def _bucket_of(low: np.ndarray, buckets: int) -> np.ndarray:
     return ((low >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _split(buckets: int, length: int):
-    """Slices of documents -> per bucket, packed fragments, and packed spans that the slice settles itself."""
+def _gathered(batches, length: int, hot: HotAnchors, limit: int):
+    """(ids, prints, fragments, settled spans) of some ``limit`` bytes of text at a time; rows count through all of it."""
+    held, size = [], 0
+    for batch in text_slices(batches, "text", _SLICE):
+        found = _fragments(batch, length, hot)
+        if found is not None:
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            prints = batch.column("print").fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint32)
+            held.append((ids, prints, *found))
+            size += len(found[0][0])
+        if size >= limit:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list):
+    if len(held) == 1:
+        return held[0]
+    ids, prints, fragments, done = zip(*held)
+    rows = np.cumsum([0, *map(len, ids)])
+    bytes_before = np.cumsum([0, *(len(f[0]) for f in fragments)])
+    data, starts, lengths, of, places, low = zip(*fragments)
+    shifted = (np.concatenate([s + b for s, b in zip(starts, bytes_before)]), np.concatenate(lengths), np.concatenate([r + b for r, b in zip(of, rows)]))
+    spans = (np.concatenate([d[0] + b for d, b in zip(done, rows)]), np.concatenate([d[1] for d in done]), np.concatenate([d[2] for d in done]))
+    return np.concatenate(ids), np.concatenate(prints), (np.concatenate(data), *shifted, np.concatenate(places), np.concatenate(low)), spans
+
+
+def _split(groups: int, length: int, hot: HotAnchors):
+    """Slices of documents -> per group of buckets, packed fragments, and packed spans that the slices settle themselves."""
     schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
+    limit = min(_GATHER_MOST, -(-groups // _PER_FRAME) * _SLICE)
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=3)
+        for ids, prints, (data, starts, lengths, rows, places, low), done in _gathered(batches, length, hot, limit):
+
+            def owners(r: np.ndarray) -> list[np.ndarray]:
+                """Ids and prints of the rows and how many entries each has; rows ascend."""
+                own, counts = np.unique(r, return_counts=True)
+                return [np.diff(ids[own], prepend=0), prints[own], counts.astype(np.uint32)]
+
+            def frames():
+                for b, (s, n, r, p) in _pack(_bucket_of(low, groups), groups, [starts, lengths, rows, places]):
+                    yield b, [_gather(data, s, n), n.astype(np.uint8), p.astype(np.uint32), np.zeros(0, np.uint32), *owners(r)]
+                if len(done[0]):
+                    for b, (r, s, e) in _pack(done[0] % groups, groups, list(done)):
+                        yield b, [np.zeros(0, np.uint8), np.zeros(0, np.uint8), s.astype(np.uint32), e.astype(np.uint32), *owners(r)]
+
+            out, size = [], 0
+            for b, columns in frames():
+                out.append((b, press.compress(_dump(columns))))
+                size += len(out[-1][1])
+                if size >= _SLICE:
+                    yield _batch(out, schema)
+                    out, size = [], 0
+            if out:
+                yield _batch(out, schema)
+
+    return run
+
+
+def _batch(rows: list[tuple[int, bytes]], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=schema)
+
+
+def _counted(length: int):
+    """Slices of a sample -> (anchor, number of its fragments) and, as anchor null, the number of all."""
+
+    def run(batches):
+        nobody = HotAnchors(np.zeros(0, np.uint64))
         for batch in text_slices(batches, "text", _SLICE):
-            found = _fragments(batch, length)
-            if found is None:
+            found = _fragments(batch, length, nobody)
+            if found is None or not len(found[0][5]):
                 continue
-            (data, starts, lengths, rows, places, low), done = found
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            prints = batch.column("print").fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint32)
+            anchors, counts = np.unique(found[0][5], return_counts=True)
+            some = counts > 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*anchors[some].astype(np.int64).tolist(), None], pa.int64()), pa.array([*counts[some].tolist(), int(counts.sum())], pa.int64())],
+                names=["anchor", "n"],
+            )
+
+    return run
+
+
+def _hot_anchors(docs: DataFrame, size: int, length: int) -> HotAnchors:
+    """Anchors that would draw more than ``HOT_BYTES`` of text into a bucket, by a sample of the documents; at most ``HOT_MOST``."""
+    whole = max(SAMPLE_BYTES, size * SAMPLE_SHARE)
+    if size <= HOT_BYTES:
+        return HotAnchors(np.zeros(0, np.uint64))
+    every = max(1, int(size // whole))
+    counts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(_counted(length), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    most = counts.where("n >= 8").orderBy(F.desc("n"), "anchor").limit(HOT_MOST + 1).collect()
+    total = next((r["n"] for r in most if r["anchor"] is None), 0)
+    return HotAnchors(np.array([r["anchor"] for r in most if r["anchor"] is not None and r["n"] >= total * HOT_BYTES / size], np.int64).astype(np.uint64))
+
+
+def _split(groups: int, length: int, hot: HotAnchors):
+    """Slices of documents -> per group of buckets, packed fragments, and packed spans that the slices settle themselves."""
+    schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
+    limit = min(_GATHER_MOST, -(-groups // _PER_FRAME) * _SLICE)
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for ids, prints, (data, starts, lengths, rows, places, low), done in _gathered(batches, length, hot, limit):
 
             def owners(r: np.ndarray) -> list[np.ndarray]:
                 """Ids and prints of the rows and how many entries each has; rows ascend."""
                 own, counts = np.unique(r, return_counts=True)
                 return [np.diff(ids[own], prepend=0), prints[own], counts.astype(np.uint32)]
 
-            out = []
-            for b, (s, n, r, p) in _pack(_bucket_of(low, buckets), buckets, [starts, lengths, rows, places]):
-                out.append((b, [_gather(data, s, n), n.astype(np.uint8), p.astype(np.uint32), np.zeros(0, np.uint32), *owners(r)]))
-            if len(done[0]):
-                for b, (r, s, e) in _pack(done[0] % buckets, buckets, list(done)):
-                    out.append((b, [np.zeros(0, np.uint8), np.zeros(0, np.uint8), s.astype(np.uint32), e.astype(np.uint32), *owners(r)]))
-            packed = [press.compress(_dump(x)) for _, x in out]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array(packed, pa.binary())], schema=schema)
+            def frames():
+                for b, (s, n, r, p) in _pack(_bucket_of(low, groups), groups, [starts, lengths, rows, places]):
+                    yield b, [_gather(data, s, n), n.astype(np.uint8), p.astype(np.uint32), np.zeros(0, np.uint32), *owners(r)]
+                if len(done[0]):
+                    for b, (r, s, e) in _pack(done[0] % groups, groups, list(done)):
+                        yield b, [np.zeros(0, np.uint8), np.zeros(0, np.uint8), s.astype(np.uint32), e.astype(np.uint32), *owners(r)]
+
+            out, size = [], 0
+            for b, columns in frames():
+                out.append((b, press.compress(_dump(columns))))
+                size += len(out[-1][1])
+                if size >= _SLICE:
+                    yield _batch(out, schema)
+                    out, size = [], 0
+            if out:
+                yield _batch(out, schema)
 
     return run
 
 
+def _batch(rows: list[tuple[int, bytes]], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=schema)
+
+
+def _counted(length: int):
+    """Slices of a sample -> (anchor, number of its fragments) and, as anchor null, the number of all."""
+
+    def run(batches):
+        nobody = HotAnchors(np.zeros(0, np.uint64))
+        for batch in text_slices(batches, "text", _SLICE):
+            found = _fragments(batch, length, nobody)
+            if found is None or not len(found[0][5]):
+                continue
+            anchors, counts = np.unique(found[0][5], return_counts=True)
+            some = counts > 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*anchors[some].astype(np.int64).tolist(), None], pa.int64()), pa.array([*counts[some].tolist(), int(counts.sum())], pa.int64())],
+                names=["anchor", "n"],
+            )
+
+    return run
+
+
+def _hot_anchors(docs: DataFrame, size: int, length: int) -> HotAnchors:
+    """Anchors that would draw more than ``HOT_BYTES`` of text into a bucket, by a sample of the documents; at most ``HOT_MOST``."""
+    whole = max(SAMPLE_BYTES, size * SAMPLE_SHARE)
+    if size <= HOT_BYTES:
+        return HotAnchors(np.zeros(0, np.uint64))
+    every = max(1, int(size // whole))
+    counts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(_counted(length), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    total = (counts.where("anchor is null").first() or {"n": 0})["n"]
+    hot = counts.where(F.col("anchor").isNotNull() & (F.col("n") >= max(8, total * HOT_BYTES / size))).orderBy(F.desc("n"), "anchor").limit(HOT_MOST)
+    return HotAnchors(np.array([r["anchor"] for r in hot.select("anchor").collect()], np.int64).astype(np.uint64))
+
+
 _KINDS = (np.uint8, np.uint8, np.uint32, np.uint32, np.int64, np.uint32, np.uint32)
 
 
@@ -167,8 +329,8 @@ def _load(packed: bytes) -> list[np.ndarray]:
     return out
 
 
-def _resolve(length: int):
-    """All fragments of a bucket -> spans of its documents."""
+def _resolve(length: int, buckets: int, hot: HotAnchors):
+    """All fragments of a group of ``buckets`` -> spans of its documents."""
 
     def run(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
@@ -181,7 +343,7 @@ def _resolve(length: int):
             else:
                 spans.append((ids, prints, places.astype(np.int64), ends.astype(np.int64)))
         if parts:
-            spans += _bucket_spans([np.concatenate(x) for x in zip(*parts)], length)
+            spans += _group_spans([np.concatenate(x) for x in zip(*parts)], length, buckets, hot)
         ids, prints, starts, ends = [np.concatenate(x) for x in zip(*spans)] if spans else [np.zeros(0, np.int64)] * 4
         order = np.lexsort((prints, ids))
         ids, prints = ids[order], prints[order]
@@ -196,7 +358,7 @@ def _resolve(length: int):
     return run
 
 
-def _anchors(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray, length: int, hot: HotAnchors) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each fragment: content hash, smallest hash, and the context hashes (left, right) around its place.
 
     A window of ``length`` bytes that holds the place has at least half of the other bytes on one side of
@@ -204,7 +366,7 @@ def _anchors(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray, length: i
     short on a side, or with several places, get no filter there (context 0).
     """
     hashes = SpanHash(data)
-    short = hashes.windows(_ANCHOR)
+    short = hot.set_back(hashes.windows(_ANCHOR))
     reach = length - _ANCHOR + 1
     edges = np.stack((begin, begin + reach), axis=1).ravel()
     low = np.minimum.reduceat(np.append(short, np.full(_ANCHOR, np.uint64(2**64 - 1))), edges)[::2]
@@ -225,13 +387,21 @@ def _anchors(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray, length: i
     return hashes.of(begin, begin + lengths), low, np.stack((left, right)), several
 
 
-def _bucket_spans(columns: list[np.ndarray], length: int) -> list[tuple[np.ndarray, ...]]:
+def _group_spans(columns: list[np.ndarray], length: int, buckets: int, hot: HotAnchors) -> list[tuple[np.ndarray, ...]]:
+    """Spans of all buckets of a group, one bucket after the other."""
     data, lengths, ids, prints, places = columns
     begin = np.cumsum(lengths) - lengths
     step = np.searchsorted(begin, np.arange(0, len(data), _SLICE))  # hashes of a slice at a time
     blocks = [(i, j) for i, j in zip(step, np.append(step[1:], len(begin))) if i < j]
-    hashed = [_anchors(data[begin[i] : begin[j - 1] + lengths[j - 1]], begin[i:j] - begin[i], lengths[i:j], length) for i, j in blocks]
+    hashed = [_anchors(data[begin[i] : begin[j - 1] + lengths[j - 1]], begin[i:j] - begin[i], lengths[i:j], length, hot) for i, j in blocks]
     content, low, context, several = (np.concatenate(x, axis=-1) for x in zip(*hashed))
+    spans = []
+    for _, found in _pack(((low >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64), buckets, [begin, lengths, ids, prints, places, content, low, *context, several]):
+        spans += _bucket_spans(data, *found[:7], np.stack(found[7:9]), found[9], length)
+    return spans
+
+
+def _bucket_spans(data, begin, lengths, ids, prints, places, content, low, context, several, length: int) -> list[tuple[np.ndarray, ...]]:
     # Equal fragments of several slices: all but those of the smallest id are settled.
     order = np.lexsort((ids, content))
     first = np.ones(len(order), bool)
@@ -318,9 +488,11 @@ def remove_repeats(
     """
     narrow = docs.select(docs[id].cast("long").alias("doc_id"), docs[text].alias("text"), F.crc32(docs[text]).alias("print"))
     size = narrow.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = max(-(-size // BUCKET_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    fragments = narrow.mapInArrow(_split(buckets, length), "bucket int, packed binary")
-    spans = fragments.groupBy("bucket").applyInArrow(_resolve(length), f"doc_id long, print long, spans {_SPANS}")
+    groups = max(-(-size // GROUP_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(1, -(-size // (groups * BUCKET_BYTES)))
+    hot = _hot_anchors(narrow, size, length)
+    fragments = narrow.mapInArrow(_split(groups, length, hot), "bucket int, packed binary")
+    spans = fragments.groupBy("bucket").applyInArrow(_resolve(length, buckets, hot), f"doc_id long, print long, spans {_SPANS}")
     spans = scratch.write(spans, "spans")
     spans = spans.groupBy("doc_id", "print").agg(F.flatten(F.collect_list("spans")).alias("__spans"))  # bounded by one text
     keep = [c for c in docs.columns if c not in (removed, kept)]

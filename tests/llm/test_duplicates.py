@@ -10,6 +10,7 @@ import pytest
 from samples import words
 
 from sourcemeld.llm import minhash_dedup, repeat_removal
+from sourcemeld.llm.batches import SpanHash
 from sourcemeld.llm.run_index import RunIndex
 
 
@@ -147,6 +148,57 @@ def test_repeats_over_many_slices_and_buckets(spark, scratch, monkeypatch):
         bytes(r["kept"]).decode()  # whole characters only
 
 
+def marked_texts(n, length=400):
+    """Texts in which one string of twelve bytes, of a very small hash, stands in every window, between words that differ."""
+    rng = random.Random(9)
+    letters = "".join(chr(97 + k) for k in range(26))
+    tried = [f"<m{k:09d}>" for k in range(20_000)]
+    hashes = SpanHash(np.frombuffer("".join(tried).encode(), np.uint8)).windows(12)[::12]
+    marker = tried[int(hashes.argmin())]
+    return ["".join(marker + "".join(rng.choice(letters) for _ in range(24)) for _ in range(length // 36)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("hot_bytes", [200, 4 << 20])
+def test_repeats_around_a_string_that_is_everywhere(spark, scratch, monkeypatch, hot_bytes):
+    monkeypatch.setattr(repeat_removal, "HOT_BYTES", hot_bytes)
+    monkeypatch.setattr(repeat_removal, "GROUP_BYTES", 3000)
+    monkeypatch.setattr(repeat_removal, "BUCKET_BYTES", 500)
+    texts = marked_texts(40)
+    rows = [(i, t + texts[(7 * i) % 13][50:150] + t[:12] * (i % 5)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert spans_of(repeat_removal.remove_repeats(docs, scratch)) == brute_repeats(rows, 50)
+
+
+def shipped(texts, groups, hot):
+    """Packed bytes per group."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(range(len(texts)))], names=["doc_id", "text", "print"])
+    sizes = {}
+    for out in repeat_removal._split(groups, 50, hot)([batch]):
+        for b, x in zip(out.column("bucket").to_pylist(), out.column("packed")):
+            sizes[b] = sizes.get(b, 0) + len(x.as_buffer())
+    return sizes
+
+
+def test_a_string_in_every_window_does_not_fill_one_group(spark, monkeypatch):
+    texts = marked_texts(2000, 1000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "doc_id as print")
+    size = sum(map(len, texts))
+    monkeypatch.setattr(repeat_removal, "HOT_BYTES", size // 100)
+    hot = repeat_removal._hot_anchors(docs, size, 50)
+    assert 1 <= len(hot.hashes) < 10
+    before = shipped(texts, 64, repeat_removal.HotAnchors(np.zeros(0, np.uint64)))
+    after = shipped(texts, 64, hot)
+    assert max(before.values()) > 0.2 * size and max(after.values()) < 0.06 * sum(after.values())
+
+
+def test_packing_does_not_suffer_from_the_number_of_groups():
+    texts = [words(i, 700) for i in range(1200)]
+    nobody = repeat_removal.HotAnchors(np.zeros(0, np.uint64))
+    few = sum(shipped(texts, 200, nobody).values())  # half a gigabyte
+    assert sum(shipped(texts, 960, nobody).values()) < 1.15 * few  # 30 GB
+    assert sum(shipped(texts, 2500, nobody).values()) < 1.2 * few  # five megabytes of text at a time
+
+
 def test_matching_statistics():
     rng = random.Random(3)
     for trial in range(40):
