@@ -1,8 +1,11 @@
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from sourcemeld.operators.profile import column_types, profile
-from sourcemeld.sources.readers import admission, manifest, read_csv, read_parquet
+from sourcemeld.sources.readers import Quotes, admission, manifest, read_csv, read_folder, read_parquet
 
 
 def test_csv_rows_lineage_and_missing_tokens(spark, tmp_path):
@@ -67,10 +70,104 @@ def test_equal_file_names_keep_their_folders(spark, tmp_path):
     for folder, rows in (("x", "1,a\n2,b\n"), ("y", "3,c\n4,d\n")):
         (tmp_path / folder).mkdir()
         (tmp_path / folder / "crm.csv").write_text("id,name\n" + rows)
-    got = read_csv(spark, [str(tmp_path / "x"), str(tmp_path / "y")]).collect()
+    with pytest.raises(ValueError, match="crm.csv"):
+        read_csv(spark, [str(tmp_path / "x"), str(tmp_path / "y")])
+    got = read_csv(spark, [str(tmp_path / "x"), str(tmp_path / "y")], root=str(tmp_path)).collect()
     assert sorted((r.id, r.record_id) for r in got) == [(str(i), f"{'xxyy'[i - 1]}/crm.csv#{2 + (i - 1) % 2:012d}") for i in range(1, 5)]
 
 
+def test_ids_do_not_depend_on_what_is_read_along(spark, tmp_path):
+    for day in ("day1", "day2"):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "crm.csv").write_text(f"id,name\n1,{day}\n")
+    (tmp_path / "day2" / "hr.csv").write_text("id,name\n9,z\n")
+    root = str(tmp_path)
+    alone = {r.record_id for r in read_csv(spark, f"{root}/day1/crm.csv", root=root).collect()}
+    for paths, more in (([f"{root}/day1", f"{root}/day2"], {}), (f"{root}/*/*.csv", {}), (root, {"recursiveFileLookup": True})):
+        for multi_line in (None, True):
+            ids = {r.record_id for r in read_csv(spark, paths, multi_line, root=root, **more).collect()}
+            assert alone < ids and ids == {f"{f}#000000000002" for f in ("day1/crm.csv", "day2/crm.csv", "day2/hr.csv")}
+    own = {r.record_id for r in read_csv(spark, f"{root}/day2").collect()}
+    assert own == {"crm.csv#000000000002", "hr.csv#000000000002"}
+    assert {r.record_id for r in read_csv(spark, f"{root}/day2/hr.csv").collect()} < own
+
+
+def quoted_file(rng, rows, names):
+    """A CSV text with line ends, quotes and separators inside quotes, and what a reader makes of it."""
+    pieces = ["a", "bc", "", " ", ",", "\n", "\n\n", '"', "\r\n", "5\" pipe", "ü", '","', "x" * 40]
+    want, out = [], io.StringIO()
+    out.write(",".join(names) + "\n")
+    for _ in range(rows):
+        cells = ["".join(rng.choice(pieces) for _ in range(rng.randrange(4))) for _ in names]
+        cells[0] = cells[0] or "k"
+        want.append(cells)
+        plain = lambda c: not set(c) & set(',\n\r') and not c.startswith('"')
+        out.write(",".join(c if plain(c) and rng.random() < 0.7 else '"' + c.replace('"', '""') + '"' for c in cells))
+        out.write(rng.choice(["\n", "\n", "\n\n", "\r\n"]))
+    return out.getvalue(), want
+
+
+@pytest.mark.parametrize("split", [60, 300, 100_000])
+def test_quoted_line_ends_over_many_splits(spark, tmp_path, split):
+    rng = random.Random(split)
+    want = {}
+    for name, names in (("a.csv", ["id", "x", "y"]), ("b.csv", ["id", "x", "y"]), ("sub/c.csv", ["u", "v"]), ("empty.csv", None), ("head.csv", ["u", "v"])):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        text, rows = ("", []) if names is None else quoted_file(rng, 0 if name == "head.csv" else 40, names)
+        (tmp_path / name).write_bytes(("\ufeff" * (name == "a.csv") + text).encode())
+        want |= {(name, i + 2): [c or None for c in row] for i, row in enumerate(rows)}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, str(split))
+        frames = read_folder(spark, [str(tmp_path), str(tmp_path / "sub")], root=str(tmp_path))
+        assert sorted(f.columns[:-3] for f in frames) == [["id", "x", "y"], ["u", "v"]]
+        got = {(r.source_file, r.source_row_number): list(r)[:-3] for f in frames for r in f.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == want
+
+
+def test_lines_know_where_they_end():
+    def plain(text, inside):
+        start, i = not inside, 0
+        while i < len(text):
+            c = text[i]
+            if inside:
+                if c == '"' and text[i + 1 : i + 2] == '"':
+                    i += 1
+                elif c == '"':
+                    inside, start = False, False
+            elif c == '"' and start:
+                inside = True
+            start = c == "," and not inside
+            i += 1
+        return inside
+
+    rng = random.Random(8)
+    for _ in range(300):
+        texts = ["".join(rng.choice('a,"" ') for _ in range(rng.randrange(9))) for _ in range(12)]
+        for begin, got in zip((False, True), Quotes().states(texts)):
+            state = begin
+            for t, g in zip(texts, got):
+                state = plain(t, state)
+                assert state == g, (texts, begin)
+
+
+def test_a_large_quoted_file_is_read_by_many_tasks(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("id,note\n" + "".join(f'{i},"two\nlines {i}"\n' for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        df = read_csv(spark, str(tmp_path / "big.csv"))
+        assert df.where("note <> concat('two\nlines ', id) or source_row_number <> id + 2").count() == 0
+        assert df.count() == 3000
+        assert spark.read.text(str(tmp_path / "big.csv")).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_unequal_headers_are_an_error(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,name\n1,ann\n")
     (tmp_path / "b.csv").write_text("name,id\nbob,2\n")

@@ -14,7 +14,7 @@ from sourcemeld.operators.profile import column_types, distinct_values, file_man
 from sourcemeld.contract import Entity, Field
 from sourcemeld.operators.standardise import Mapped, last_success, standardise_source
 from sourcemeld.session import Scratch
-from sourcemeld.sources.readers import read_csv, read_parquet, stack_sources, to_json_rows
+from sourcemeld.sources.readers import data_columns, read_csv, read_folder, read_parquet, stack_sources, to_json_rows
 from workload.party import table
 
 QUERIES, SQL = {}, {}
@@ -435,6 +435,33 @@ def csv_folders(spark, sf_dir):
     )
 
 
+@query(
+    "mixed_folder",
+    """with files as (select 'account,note,name' as header, c_custkey as key, 'line one' || chr(10) || 'said "' || c_mktsegment || '", then' || chr(10) || c_custkey as note, c_name as name from customer
+      union all select 'part number,note', p_partkey, p_brand || ',' || chr(10) || p_type, null from part)
+    select header, count(*) as n_rows, count(*) as n_ids, 0::bigint as n_gaps, sum(key)::bigint as keys, sum(length(note))::bigint as n_chars, min(note) as first_note, max(name) as last_name from files group by 1""",
+)
+def mixed_folder(spark, sf_dir):
+    """Files of two headers with line ends, quotes and separators inside quotes, in one folder: a frame for each header."""
+    root = Scratch(spark).root + "/csv"
+    customers = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as account", "concat('line one\n', 'said \"', c_mktsegment, '\", then\n', c_custkey) as note", "c_name as name"
+    )
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey as `part number`", "concat(p_brand, ',\n', p_type) as note")
+    for folder, rows in (("a", customers), ("b", parts)):
+        rows.write.csv(f"{root}/{folder}", header=True, quoteAll=True, escape='"')
+    out = []
+    for frame in read_folder(spark, root, recursiveFileLookup=True):
+        names = data_columns(frame)
+        files = frame.groupBy("source_file").agg((F.max("source_row_number") - F.count(F.lit(1)) - 1).alias("gaps"))
+        summed = frame.agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count_distinct("record_id").alias("n_ids"), F.sum(F.col(f"`{names[0]}`").cast("bigint")).alias("keys"),
+            F.sum(F.length("note")).alias("n_chars"), F.min("note").alias("first_note"), (F.max("name") if "name" in names else F.lit(None).cast("string")).alias("last_name"),
+        )
+        out.append(summed.join(F.broadcast(files.agg(F.sum("gaps").alias("n_gaps")))).withColumn("header", F.lit(",".join(names))))
+    return stack_sources(out)
+
+
 @query(
     "type_kinds",
     """with m as (select case when o_orderkey % 2 = 0 then strftime(o_orderdate, '%Y-%m-%d') else strftime(o_orderdate, '%d/%m/%Y') end as day,
