@@ -29,10 +29,10 @@ from sourcemeld.llm.run_index import RunIndex
 from sourcemeld.session import Scratch
 
 #: Bytes of text whose fragments share a bucket, and a group of buckets, on average.
-BUCKET_BYTES, GROUP_BYTES = 2 << 20, 32 << 20
+BUCKET_BYTES, GROUP_BYTES = 2 << 20, 8 << 20
 #: Bytes of text whose anchors are counted, and the share of them at least; anchors that are set back at the most, and the
 #: bytes of text that an anchor may draw into one bucket before it is.
-SAMPLE_BYTES, SAMPLE_SHARE, HOT_MOST, HOT_BYTES = 64 << 20, 1 / 30_000, 100_000, 4 << 20
+SAMPLE_BYTES, SAMPLE_SHARE, HOT_MOST, HOT_BYTES = 64 << 20, 1 / 30_000, 100_000, 16 << 20
 _SLICE = HASH_SLICE
 _PER_FRAME = 500  # groups that find some hundred fragments each in a megabyte of text
 _GATHER_MOST = 64 << 20  # text whose fragments a task holds back for packing
