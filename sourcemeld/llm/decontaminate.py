@@ -9,8 +9,8 @@ chance likeness of frames is not.
 Every text is read in three forms, each matched with itself: capitalised starts of sentences as plain words, the
 same starts as names, and the bare words, which find exact copies of items that are short or full of placeholders.
 
-Before the join, windows are tested against a bitmap of the benchmark's hashes whose size is a
-constant; windows that pass by chance find no partner in the join.
+Before the join, windows are tested against a bitmap of the benchmark's hashes of bounded size; windows that pass by chance
+find no partner in the join.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ SHORTEST = 5  # items with fewer template tokens are looked for by their words o
 LITERALS = 3  # words in a window that are no placeholders
 ENOUGH = 6  # matching template windows (13 tokens in a row), or
 COVERAGE = 0.5  # this share of the item's windows that can match
-_BITS = 22  # of the bitmap: 512 KiB
+_BITS, _MOST_BITS = 22, 26  # of the bitmap: 512 KiB, and more for a benchmark of very many windows, up to 8 MiB
 
 #: Words that are units or numbers in any text.
 UNITS = (
@@ -150,7 +150,7 @@ class Templates:
 
 
 def _template_windows(texts: DataFrame, widths, test=None) -> DataFrame:
-    """(id, form, width, hash, pos, total, fillers): one row per window, with the number of windows of its text that can match.
+    """(id, print, form, width, hash, pos, total, fillers): one row per window, with the number of windows of its text that can match.
     ``widths`` picks the windows by form, width and the number of tokens of a text; ``test`` keeps those with certain hashes."""
 
     def run(batches):
@@ -172,6 +172,7 @@ def _template_windows(texts: DataFrame, widths, test=None) -> DataFrame:
                     firsts, hashes, rows = firsts[ok], hashes[ok], rows[ok]
                     columns = [
                         batch.column("id").take(pa.array(rows)),
+                        batch.column("print").take(pa.array(rows)),
                         pa.array(np.full(len(rows), form, np.int32)),
                         pa.array(np.full(len(rows), width, np.int32)),
                         pa.array(hashes.view(np.int64)),
@@ -179,9 +180,9 @@ def _template_windows(texts: DataFrame, widths, test=None) -> DataFrame:
                         pa.array(totals[rows].astype(np.int32)),
                         found.fillers(firsts, width),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "form", "width", "hash", "pos", "total", "fillers"])
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "print", "form", "width", "hash", "pos", "total", "fillers"])
 
-    return texts.mapInArrow(run, "id long, form int, width int, hash long, pos int, total int, fillers array<long>")
+    return texts.mapInArrow(run, "id long, print long, form int, width int, hash long, pos int, total int, fillers array<long>")
 
 
 def _one_to_one(slots: set) -> bool:
@@ -207,54 +208,59 @@ def _best_chain(runs: list[dict], total: int) -> tuple[int, set]:
 
 
 def _chains(found: DataFrame) -> DataFrame:
-    """(doc_id, item_id, form, total, n_windows, n_slots, reworded) from the runs of each document and item."""
+    """(doc_id, print, item_id, form, total, n_windows, n_slots, reworded) from the runs of each document and item."""
 
     def run(batches):
         for batch in batches:
             best = [_best_chain(r, t) for r, t in zip(batch.column("runs").to_pylist(), batch.column("total").to_pylist())]
             more = [pa.array([n for n, _ in best], pa.int64()), pa.array([len(s) for _, s in best], pa.int64()), pa.array([any(i != d for i, d in s) for _, s in best], pa.bool_())]
-            kept = ["doc_id", "item_id", "form", "total"]
+            kept = ["doc_id", "print", "item_id", "form", "total"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more], names=[*kept, "n_windows", "n_slots", "reworded"])
 
-    return found.mapInArrow(run, "doc_id long, item_id long, form int, total int, n_windows long, n_slots long, reworded boolean")
+    return found.mapInArrow(run, "doc_id long, print long, item_id long, form int, total int, n_windows long, n_slots long, reworded boolean")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_windows, coverage, n_slots, reworded) for every document that holds an item.
+    """(doc_id, item_id, n_windows, coverage, n_slots, reworded, print) for every document that holds an item.
 
     ``coverage`` is the share of the item's windows found in the best form, ``n_slots`` the different
     fillers in them, ``reworded`` tells whether any differs from the item's. Null and empty texts hold
-    nothing; rows that share an id count as one document, a null id as an id of its own. Items with fewer than
+    nothing; a document is an id, null or not, with its text, so rows that share an id are judged by their own texts and ``print``, the xxhash64
+    of the text, tells them apart. Items with fewer than
     five template tokens are found as exact copies of their words, and repeated items are found each.
     """
-    items = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text"))
+    printed = lambda c: F.xxhash64(c).alias("print")
+    items = benchmark.select(F.col(item).cast("long").alias("id"), F.col(item_text).alias("text"), printed(item_text))
     wanted = scratch.write(_template_windows(items, lambda form, width, sizes: width == np.minimum(sizes, WINDOW)), "items")
-    filled = np.zeros(1 << _BITS, bool)
     used = {(r["form"], r["width"]) for r in wanted.select("form", "width").distinct().collect()}  # at most 16 rows
-    places = wanted.select(F.shiftrightunsigned("hash", 64 - _BITS).cast("int").alias("place")).distinct()
-    filled[[r["place"] for r in places.collect()]] = True  # at most as many rows as bits
-    bitmap = docs.sparkSession.sparkContext.broadcast(np.packbits(filled))
+    bits = min(_MOST_BITS, max(_BITS, (16 * wanted.count()).bit_length()))
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    # Bits are set in the engine; what comes here are words of 64 of them.
+    words = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))")).alias("set")).toPandas()
+    filled = np.zeros(1 << (bits - 6), np.uint64)
+    filled[words["word"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64).view(np.uint64)
+    bitmap = docs.sparkSession.sparkContext.broadcast(filled)
 
     def test(hashes: np.ndarray) -> np.ndarray:
-        place = (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
-        return (bitmap.value[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)
+        place = hashes >> np.uint64(64 - bits)
+        return (bitmap.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-    found = _template_windows(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), lambda form, width, sizes: (sizes >= width) & ((form, width) in used), test)
-    met = found.select(F.col("id").alias("doc_id"), "hash", F.col("pos").alias("at"), F.col("fillers").alias("own")).join(
+    found = _template_windows(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), printed(text)), lambda form, width, sizes: (sizes >= width) & ((form, width) in used), test)
+    met = found.select(F.col("id").alias("doc_id"), "print", "hash", F.col("pos").alias("at"), F.col("fillers").alias("own")).join(
         wanted.select(F.col("id").alias("item_id"), "form", "hash", "pos", "total", "fillers"), "hash"
     )
     pairs = F.arrays_zip(F.col("fillers").alias("item"), F.col("own").alias("doc"))
-    at_offset = met.groupBy("doc_id", "item_id", "form", (F.col("at") - F.col("pos")).alias("offset")).agg(
+    at_offset = met.groupBy("doc_id", "print", "item_id", "form", (F.col("at") - F.col("pos")).alias("offset")).agg(
         F.countDistinct("pos").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.first("total").alias("total"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
     )
     kinds = F.size("slots")
     one_to_one = (F.size(F.array_distinct("slots.item")) == kinds) & (F.size(F.array_distinct("slots.doc")) == kinds)
-    runs = at_offset.where(one_to_one).groupBy("doc_id", "item_id", "form").agg(F.first("total").alias("total"), F.collect_list(F.struct("offset", "low", "high", "n", "slots")).alias("runs"))
+    runs = at_offset.where(one_to_one).groupBy("doc_id", "print", "item_id", "form").agg(F.first("total").alias("total"), F.collect_list(F.struct("offset", "low", "high", "n", "slots")).alias("runs"))
     copied = F.col("n_windows") >= F.col("total")  # bare words count as exact copies only
     alike = (F.col("form") != _WORDS) & ((F.col("n_windows") >= ENOUGH) | (F.col("n_windows") >= COVERAGE * F.col("total")))
     held = _chains(runs).where(copied | alike)
-    best = held.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "total", "n_slots", "reworded")).alias("best"))
+    best = held.groupBy("doc_id", "print", "item_id").agg(F.max(F.struct("n_windows", "total", "n_slots", "reworded")).alias("best"))
     return best.select(
         "doc_id",
         "item_id",
@@ -262,4 +268,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *, id: s
         (F.col("best.n_windows") / F.col("best.total")).alias("coverage"),
         F.col("best.n_slots").alias("n_slots"),
         F.col("best.reworded").alias("reworded"),
+        "print",
     )

@@ -163,7 +163,7 @@ def op8_repeat_removal(spark, sf_dir):
 @query("op9_decontamination")
 def op9_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return find_leaks(docs, table(spark, sf_dir, "benchmark"), Scratch(spark))
+    return find_leaks(docs, table(spark, sf_dir, "benchmark"), Scratch(spark)).drop("print")
 
 
 @query("op10_language_id")

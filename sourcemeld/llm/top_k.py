@@ -30,12 +30,12 @@ class SortedLists:
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """(ids, scores, depth read) of the k largest products; equal scores by smaller id; ``own`` is left out.
 
-        Components must be so small that sums of products are exact in a double (below 2**53).
+        Components are whole numbers: doubles where sums of products stay exact in them (below 2**53), Python integers otherwise.
         """
         n = len(self.ids)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         met = self.ids == own
-        places, scores = np.zeros(0, np.int64), np.zeros(0)
+        places, scores = np.zeros(0, np.int64), np.zeros(0, self.vectors.dtype)
         depth = 0
         while depth < n:
             to = min(n, max(_FIRST_DEPTH, 2 * depth))
@@ -48,7 +48,7 @@ class SortedLists:
             met |= fresh
             new = np.flatnonzero(fresh)
             places, scores = np.concatenate((places, new)), np.concatenate((scores, self.vectors[new] @ query))
-            top = np.lexsort((places, -scores))[:k]
+            top = np.lexsort((places, -scores))[:k] if scores.dtype != object else sorted(range(len(scores)), key=lambda i: (-scores[i], places[i]))[:k]
             places, scores = places[top], scores[top]
             depth = to
             limit = self.sorted[n - depth][up] @ query[up] + self.sorted[depth - 1][down] @ query[down]
@@ -57,20 +57,27 @@ class SortedLists:
         return self.ids[places], scores, depth
 
 
+def _longs(scores: np.ndarray) -> np.ndarray:
+    """As 64-bit numbers; what is beyond them counts as the largest or smallest one."""
+    if scores.dtype != object:
+        return scores.astype(np.int64)
+    return np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in scores.tolist()], np.int64)
+
+
 def _meet(k: int):
     def run(table: pa.Table) -> pa.Table:
         asks = table.column("query").to_numpy(zero_copy_only=False).astype(bool)
         ids = table.column("vec_id").to_numpy()
-        vectors = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(float)
-        if len(ids) and np.abs(vectors).max() ** 2 * vectors.shape[1] >= 2**53:
-            raise ValueError("components are too large for exact products")
+        vectors = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        small = not len(ids) or float(np.abs(vectors.astype(float)).max()) ** 2 * vectors.shape[1] < 2**53
+        vectors = vectors.astype(float if small else object)
         lists = SortedLists(ids[~asks], vectors[~asks])
         found = [(q, *lists.best(v, q, k)[:2]) for q, v in zip(ids[asks], vectors[asks])]
         return pa.table(
             {
                 "query_id": pa.array(np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]).astype(np.int64)),
                 "vec_id": pa.array(np.concatenate([i for _, i, _ in found]) if found else np.zeros(0, np.int64), pa.int64()),
-                "score": pa.array(np.concatenate([s for _, _, s in found]).astype(np.int64) if found else np.zeros(0, np.int64)),
+                "score": pa.array(_longs(np.concatenate([s for _, _, s in found])) if found else np.zeros(0, np.int64)),
             }
         )
 
@@ -82,7 +89,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, *, k: int) -> DataFrame:
 
     Both tables hold vec_id (long) and v (array of whole numbers). A vector meets the queries of
     its own length whose id is another; null ids, null and empty vectors and those with a null component take no part.
-    Equal scores go by the smaller id; with fewer than k candidates all are returned.
+    Equal scores go by the smaller id; with fewer than k candidates all are returned. Scores are exact; one beyond a long
+    is given as the largest or smallest long.
     """
 
     def clean(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from samples import words
 
 from sourcemeld.llm import top_k
@@ -115,6 +116,20 @@ def test_reworded_questions(spark, odd, none, scratch):
     assert find_leaks(none, items, scratch).collect() == [] and find_leaks(docs, items.limit(0), scratch).collect() == []
 
 
+def test_documents_are_ids_with_their_texts(spark, scratch):
+    """Two halves of an item make no leak, whether their rows have no id or share one; a whole item in a row without id does."""
+    half = QUESTION.split()
+    halves = [" ".join(half[:12]), " ".join(half[12:])]
+    texts = [(None, halves[0]), (None, halves[1]), (7, halves[0]), (7, halves[1]), (None, f"{words(54, 20)} {QUESTION}")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    whole = {r["print"]: r["doc_id"] for r in find_leaks(docs, items, scratch).collect() if r["coverage"] == 1.0}
+    (row,) = docs.where(F.length("text") > len(QUESTION)).select(F.xxhash64("text").alias("print")).collect()
+    assert whole == {row["print"]: None}
+    apart = find_leaks(docs, items, scratch).where("coverage > 0.6")
+    assert apart.count() == 1
+
+
 def leaks(spark, scratch, text, item):
     docs, items = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(2, item)], "item_id long, text string")
     return [r["reworded"] for r in find_leaks(docs, items, scratch).collect()]
@@ -164,6 +179,20 @@ def test_top_k_with_ties_and_odd_vectors(spark, monkeypatch):
     assert top_k.nearest(queries.limit(0), vectors, k=5).collect() == [] and top_k.nearest(queries, vectors.limit(0), k=5).collect() == []
 
 
+@pytest.mark.parametrize("most", [10**6, 10**9, 2**62])
+def test_top_k_of_large_components(spark, most):
+    rng = random.Random(most)
+    rows = [(i, [rng.randint(-most, most) for _ in range(5)]) for i in range(40)] + [(50, [1, 0, -1, 2, 0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = {}
+    for r in top_k.nearest(vectors.where("vec_id in (3, 50)"), vectors, k=4).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in (3, 50):
+        exact = {i: sum(a * b for a, b in zip(dict(rows)[q], v)) for i, v in rows if i != q}
+        best = sorted(exact, key=lambda i: (-exact[i], i))[:4]
+        assert {(i, max(-(2**63), min(2**63 - 1, exact[i]))) for i in best} == set(got[q])
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(1)
     vectors = rng.integers(-20, 20, (3000, 2)).astype(float)

@@ -7,6 +7,7 @@ from samples import SCHEMA, odd_rows, words
 
 import corpus_pipeline
 from sourcemeld.llm import language_id, quality
+from sourcemeld.llm.language_id import held_out, identify, learn, least_score
 from sourcemeld.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -90,7 +91,7 @@ def corpus(spark, tmp_path_factory):
     given = given.select(*[F.col(c) if c in given.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in SCHEMA.split(", "))])
     item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").first()["text"]
     passage = words(77, 70)
-    planted = [(100_001, words(78, 90) + " " + item), (100_002, words(79, 90) + " " + passage), (100_003, words(80, 90) + " " + passage), (100_004, "12 34 56")]
+    planted = [(100_001, words(78, 90) + " " + item), (100_002, words(79, 90) + " " + passage), (100_003, words(80, 90) + " " + passage), (100_004, "12 34 56"), (None, words(81, 90) + " " + item)]
     planted = [(i, t, "en", "s", len(t), None, None, None, None, None, None, None, None) for i, t in planted]
     extra = spark.createDataFrame(planted + odd_rows(), SCHEMA)
     given.unionByName(extra).repartition(3).write.parquet(f"{folder}/documents.parquet")
@@ -111,11 +112,22 @@ def test_stages_keep_columns_and_decide(spark, corpus, scratch):
     assert {2, 3, 4} & set(seen["near_duplicates"]) == set() and 1 in seen["near_duplicates"]
     assert passage in seen["repeat_removal"][100_002] and passage[5:-5] not in seen["repeat_removal"][100_003]
     assert 100_001 not in seen["decontamination"] and {100_002, 100_003, 1} <= set(seen["decontamination"])
+    assert docs.where(F.contains("text", F.lit(read(spark, "benchmark").first()["text"]))).count() == 0  # rows without id included
     assert all(r["n_chars"] == len(r["text"]) for r in docs.where("doc_id = 100003").collect())
     coded = corpus_pipeline.STAGES[-1][1](spark, docs, corpus)
     assert sorted(x or 0 for x in seen["decontamination"]) == sorted({r["doc_id"] or 0 for r in coded.collect()})
 
 
+def test_least_score_follows_held_out_texts(spark, none):
+    docs = read(spark, "documents")
+    network = learn(docs)
+    least = least_score(docs, network)
+    right = identify(docs.where(held_out(F.col("doc_id"))), network).where("lang_pred = lang")
+    assert 0.9 / len(network.languages) <= least <= right.agg(F.min("score")).first()[0]
+    assert identify(docs, network).where(F.col("lang_pred") == F.col("lang")).where(F.col("score") < least).count() == 0
+    assert least_score(none, network) == 0.0 and least_score(docs, None) == 0.0
+
+
 def test_run_is_the_stages_in_turn(spark, corpus):
     docs = read(spark, "documents", corpus)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "repeat_removal", "decontamination", "encoding"]
