@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def sql_text(value: str) -> str:
     """A SQL string literal."""
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "'" + value.replace("\\", "\\").replace("'", "\\'") + "'"
 
 
 def is_missing(c: Column) -> Column:
@@ -71,3 +71,18 @@ def meaningful_map(c: Column) -> Column:
 
 def meaningful_list(c: Column) -> Column:
     return F.coalesce((F.size(c) > 0) & F.forall(c, meaningful_text), F.lit(False))
+
+
+# One JSON string, and one of blanks only between the signs that can stand around a string; texts come without blanks outside of strings.
+_JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+_JSON_BLANK = r'(?U)(?:^|[\[{,:])"(?:\s|\\[tnrf]|\\u(?:000[9a-dA-D]|001[c-fC-F]|0085|00[aA]0))*"(?:[,:\]}]|$)'
+
+
+def meaningful_value(c: Column) -> Column:
+    """A VARIANT says something if nothing in it, at any depth, is null, a blank text or key, or an empty list or map.
+
+    It is read as its JSON text, so the depth does not matter and nothing is unpacked.
+    """
+    text = F.to_json(c)
+    bare = F.regexp_replace(text, _JSON_STRING, "s")
+    return F.coalesce(~text.rlike(_JSON_BLANK) & ~bare.rlike(r"null|\{\}|\[\]"), F.lit(False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -219,6 +220,16 @@ def _distinct_shapes(catalog: DataFrame, shapes: DataFrame) -> list:
     )
 
 
+def _param(value: str | None):
+    """Lists and maps among the parameters come as JSON text."""
+    if value and value[0] in "[{":
+        try:
+            return json.loads(value)
+        except ValueError:
+            pass
+    return value
+
+
 def _plan_columns(spark, shapes, sources, contract, decisions, scratch) -> tuple[list[list[Mapped]], DataFrame]:
     """Steps of every mapped column of every shape, and the enumerated values that nothing settles.
 
@@ -228,7 +239,7 @@ def _plan_columns(spark, shapes, sources, contract, decisions, scratch) -> tuple
     approved = {}
     if decisions.accepted is not None:  # as many as people have typed in
         for r in review.step_overrides(decisions.accepted).collect():
-            approved[r.entity, r.source_column] = [Step(s.operation, dict(s.params or {})) for s in r.steps]
+            approved[r.entity, r.source_column] = [Step(s.operation, {k: _param(v) for k, v in (s.params or {}).items()}) for s in r.steps]
     plans, owners, allowed, staged = [], {}, {}, []
     for shape, source in zip(shapes, sources):
         entity = contract.entity(shape.entity)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sourcemeld.functions.standard import Value, standardise
 from sourcemeld.functions.steps import Chain, Step, error_reason, run_chains
-from sourcemeld.functions.text import meaningful_list, meaningful_map, meaningful_text
+from sourcemeld.functions.text import meaningful_list, meaningful_map, meaningful_text, meaningful_value
 from sourcemeld.functions.policy import mapping_decision, step_decision, value_decision
 from sourcemeld.operators.planning import column_facts
 from sourcemeld.operators.profile import column_types, distinct_values, file_manifest, profile
@@ -349,6 +349,24 @@ def meaningful_values(spark, sf_dir):
     )
 
 
+_NESTED = {  # remainder -> JSON, whether it says something
+    0: ('{"a":[1,{"b":"x"}]}', True), 1: ('{"a":[1,{"b":" \\t"}]}', False), 2: ('[[["",1]]]', False), 3: ('{"a":{}}', False), 4: ('{"a":[]}', False), 5: ('{" ":1}', False),
+    6: ("null", False), 7: ("0", True), 8: ("false", True), 9: ('"null {} [] \\"\\", "', True), 10: ('{"k\\"":["\\" ,"," :\\" "]}', True), 11: ('{"a":[{"b":[{"c":null}]}]}', False), 12: ('"\\u00a0"', False), 13: ("{}", False),
+}
+
+
+@query(
+    "meaningful_nested",
+    "select event_id, case event_id % " + str(len(_NESTED)) + " " + " ".join(f"when {i} then {str(ok).lower()}" for i, (_, ok) in _NESTED.items()) + " end as ok from events",
+)
+def meaningful_nested(spark, sf_dir):
+    """Whether values of any depth say something in each of their parts."""
+    text = F.lit(None).cast("string")
+    for i, (said, _) in _NESTED.items():
+        text = F.when(F.col("event_id") % len(_NESTED) == i, said).otherwise(text)
+    return table(spark, sf_dir, "events").select("event_id", meaningful_value(F.parse_json(text)).alias("ok"))
+
+
 @query(
     "policy_decisions",
     """select vec_id, case when (s >= 0.86 and m >= 0.08) or s >= 0.6 then 'auto' else 'escalate' end as mapping,

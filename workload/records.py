@@ -518,6 +518,83 @@ def value_answers(spark, sf_dir):
     return V.value_answers(d).select("source_column", "value", "target")
 
 
+# --- typed resolutions ------------------------------------------------------------------
+
+_RESOLUTIONS = {  # remainder of the key -> review, resolution, problem
+    0: ("closed", '{"target_field":"email"}', "review is not open"),
+    1: ("map", "{}", "decision is empty"),
+    2: ("map", '{"target_field":5}', "target is no text"),
+    3: ("map", '{"target_field":"email","transformations":{"operation":"trim"}}', "steps are no list"),
+    4: ("map", '{"target_field":"email","transformations":[{"operation":"trim"},{"params":{"a":[1]}}]}', "an operation is empty"),
+    5: ("map", '{"mappings":"email"}', "mappings are no list"),
+    6: ("map", '{"mappings":[{"source_field":"A","target_field":"email"},{"source_field":"B"}]}', "a mapping is incomplete"),
+    7: ("map", '{"mappings":[{"source_field":"A","target_field":"email","transformations":[{"params":{"s":{"t":1}}}]}]}', "an operation is empty"),
+    8: ("map", '{"target_field":"name","source_field":"A"}', "target is not a candidate"),
+    9: ("map", '{"target_field":"email","source_field":"Z"}', "source column is not on offer"),
+    10: ("llm", '{"source_field":"A"}', "a mapping is needed"),
+    11: ("bad", '{"target_field":"name"}', "a correction is needed"),
+    12: ("bad", '{"corrections":{"zip":"1"}}', "field is not failing"),
+    13: ("bad", '{"corrections":{"name":"n","age":7}}', None),
+    14: ("val", '{"transformations":[{"operation":"map_value","params":{"mapping":{"BUILDING":"X","MACHINERY":"Y"}}}]}', "a value has no allowed target"),
+    15: ("val", '{"transformations":[{"operation":"trim"},{"operation":"map_value","params":{"mapping":{%s}}}]}' % ",".join(f'"{s}":"{"XY"[i % 2]}"' for i, s in enumerate(SEGMENTS)), None),
+    16: ("map", '{"target_field":"email","source_field":"B","note":[[{"deep":{"deeper":"  "}}]]}', "decision is empty"),
+    17: ("llm", '{"mappings":[{"source_field":"A","target_field":"email"}]}', None),
+}
+
+
+def _resolutions(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Answers of every kind, the open reviews and the values they ask about: all segments of the customers."""
+    c = table(spark, sf_dir, "customer")
+    review, said = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (name, text, _) in _RESOLUTIONS.items():
+        mine = F.col("c_custkey") % len(_RESOLUTIONS) == i
+        review, said = F.when(mine, name).otherwise(review), F.when(mine, text).otherwise(said)
+    answers = c.select(
+        F.concat(F.lit("d"), "c_custkey").alias("decision_id"), review.alias("review_id"), F.lit(None).cast("string").alias("record_key"), F.lit("clerk").alias("actor"),
+        F.lit("2024-05-01 10:00:00").cast("timestamp_ntz").alias("decided_at"), F.parse_json(said).alias("resolution"),
+    )
+    shape = ", ".join(f"{n} {t}" for n, t in V.REVIEW_COLUMNS.items())
+    rows = [
+        {"reason_code": "ambiguous_mapping", "candidates": ["email", "phone"], "available_source_fields": ["A", "B"]}, {"reason_code": "llm_unavailable"},
+        {"reason_code": "invalid_record", "violations": [("name", "required", ""), ("age", "type", "")]}, {"reason_code": "unmapped_value", "allowed_values": ["X", "Y"]},
+    ]
+    rows = [tuple((row | {"entity": "party"}).get(n) for n in V.REVIEW_COLUMNS) for row in rows]
+    kinds = F.create_map(*[F.lit(x) for x in ("ambiguous_mapping", "map", "llm_unavailable", "llm", "invalid_record", "bad", "unmapped_value", "val")])
+    queue = spark.createDataFrame(rows, shape).withColumn("review_id", F.element_at(kinds, F.col("reason_code")))
+    return answers, queue, c.select(F.lit("val").alias("review_id"), F.col("c_mktsegment").alias("value")).distinct()
+
+
+@query(
+    "resolution_checks",
+    "select 'd' || c_custkey as decision_id, case c_custkey % " + str(len(_RESOLUTIONS)) + " " + " ".join(f"when {i} then '{p}'" for i, (_, _, p) in _RESOLUTIONS.items() if p) + " end as problem from customer",
+)
+def resolution_checks(spark, sf_dir):
+    """Every rule for typed answers, with nested lists and maps among them."""
+    return V.check_resolutions(*_resolutions(spark, sf_dir)).select("decision_id", "problem")
+
+
+@query(
+    "resolution_rows",
+    """select 'd' || c_custkey as decision_id, 'A' || c_nationkey as source_field, 'email' as target_field, 'split' as operation, ';' as separator, '["x",' || c_nationkey || ']' as keep from customer
+    union all select 'd' || c_custkey, 'B', 'phone', null, null, null from customer""",
+)
+def resolution_rows(spark, sf_dir):
+    """Several mappings in one answer, each with steps of its own whose parameters are texts and lists."""
+    said = F.concat(
+        F.lit('{"mappings":[{"source_field":"A'), "c_nationkey", F.lit('","target_field":"email","transformations":[{"operation":"split","params":{"separator":";","keep":["x",'),
+        "c_nationkey", F.lit(']}}]},{"source_field":"B","target_field":"phone"}]}'),
+    )
+    _, queue, values = _resolutions(spark, sf_dir)
+    answers = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("d"), "c_custkey").alias("decision_id"), F.lit("llm").alias("review_id"), F.lit(None).cast("string").alias("record_key"), F.lit("clerk").alias("actor"),
+        F.lit("2024-05-01 10:00:00").cast("timestamp_ntz").alias("decided_at"), F.parse_json(said).alias("resolution"),
+    )
+    accepted, _ = V.split_decisions(V.check_resolutions(answers, queue, values))
+    rows = V.decisions_of(accepted, queue).where("source_field is not null")
+    step = F.get("steps", F.lit(0))
+    return rows.select("decision_id", "source_field", "target_field", step["operation"].alias("operation"), F.try_element_at(step["params"], F.lit("separator")).alias("separator"), F.try_element_at(step["params"], F.lit("keep")).alias("keep"))
+
+
 # --- delivery ---------------------------------------------------------------------------
 
 
