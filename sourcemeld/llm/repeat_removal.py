@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourcemeld.llm.batches import HASH_SLICE, SpanHash, flat_bytes, text_slices
+from sourcemeld.llm.batches import HASH_SLICE, SpanHash, flat_bytes, mix, text_slices
 from sourcemeld.llm.run_index import RunIndex
 from sourcemeld.session import Scratch
 
@@ -318,10 +318,10 @@ def _dump(columns: list[np.ndarray]) -> bytes:
     return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
 
 
-def _load(packed: bytes) -> list[np.ndarray]:
-    sizes = np.frombuffer(packed, np.int64, len(_KINDS))
-    at, out = 8 * len(_KINDS), []
-    for kind, size in zip(_KINDS, sizes):
+def _load(packed: bytes, kinds: tuple = _KINDS) -> list[np.ndarray]:
+    sizes = np.frombuffer(packed, np.int64, len(kinds))
+    at, out = 8 * len(kinds), []
+    for kind, size in zip(kinds, sizes):
         width = np.dtype(kind).itemsize
         part = np.frombuffer(packed, np.uint8, int(size), at).reshape(width, -1)
         out.append(np.ascontiguousarray(part.T).view(kind).ravel())
@@ -329,8 +329,23 @@ def _load(packed: bytes) -> list[np.ndarray]:
     return out
 
 
-def _resolve(length: int, buckets: int, hot: HotAnchors):
-    """All fragments of a group of ``buckets`` -> spans of its documents."""
+#: What is packed of spans: ids, prints and numbers of spans of documents, then starts and ends.
+_SPAN_KINDS = (np.int64, np.uint32, np.uint32, np.int32, np.int32)
+
+
+def _owned(ids: np.ndarray, prints: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(ids, prints, numbers of spans, starts, ends) of documents: the union of their spans as maximal runs."""
+    order = np.lexsort((prints, ids))
+    ids, prints = ids[order], prints[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])
+    owner, starts, ends = _merged(np.cumsum(new) - 1, starts[order], ends[order])
+    first = np.flatnonzero(new)
+    return ids[first], prints[first], np.bincount(owner, minlength=len(first)), starts, ends
+
+
+def _resolve(length: int, buckets: int, hot: HotAnchors, shares: int):
+    """All fragments of a group of ``buckets`` -> spans of its documents, packed for ``shares`` parts of the documents."""
 
     def run(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
@@ -344,20 +359,30 @@ def _resolve(length: int, buckets: int, hot: HotAnchors):
                 spans.append((ids, prints, places.astype(np.int64), ends.astype(np.int64)))
         if parts:
             spans += _group_spans([np.concatenate(x) for x in zip(*parts)], length, buckets, hot)
-        ids, prints, starts, ends = [np.concatenate(x) for x in zip(*spans)] if spans else [np.zeros(0, np.int64)] * 4
-        order = np.lexsort((prints, ids))
-        ids, prints = ids[order], prints[order]
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])
-        owner, starts, ends = _merged(np.cumsum(new) - 1, starts[order], ends[order])
-        first = np.flatnonzero(new)
-        offsets = np.searchsorted(owner, np.arange(len(first) + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], ["start", "end"]))
-        return pa.table({"doc_id": pa.array(ids[first]), "print": pa.array(prints[first]), "spans": lists})
+        out = []
+        if spans:
+            ids, prints, counts, starts, ends = _owned(*(np.concatenate(x) for x in zip(*spans)))
+            press = zstandard.ZstdCompressor(level=3)
+            begin = np.cumsum(counts) - counts
+            for part, (i, p, n, b) in _pack((mix(ids.astype(np.uint64)) % np.uint64(shares)).astype(np.int64), shares, [ids, prints, counts, begin]):
+                own = _gather(np.arange(len(starts)), b, n)
+                out.append((part, press.compress(_dump([i, p.astype(np.uint32), n.astype(np.uint32), starts[own].astype(np.int32), ends[own].astype(np.int32)]))))
+        return pa.table({"part": pa.array([x for x, _ in out], pa.int32()), "packed": pa.array([x for _, x in out], pa.binary())})
 
     return run
 
 
+def _assembled(table: pa.Table) -> pa.Table:
+    """All packed spans of a part of the documents -> (doc_id, print, spans), one row per document."""
+    unpack = zstandard.ZstdDecompressor()
+    frames = [_load(unpack.decompress(x), _SPAN_KINDS) for x in table.column("packed").to_pylist()]
+    ids, prints, counts, starts, ends = (np.concatenate(x) for x in zip(*frames))
+    ids, prints, counts, starts, ends = _owned(np.repeat(ids, counts), np.repeat(prints.astype(np.int64), counts), starts.astype(np.int64), ends.astype(np.int64))
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))], ["start", "end"]))
+    return pa.table({"doc_id": pa.array(ids), "print": pa.array(prints), "spans": lists})
+
+
 def _anchors(data: np.ndarray, begin: np.ndarray, lengths: np.ndarray, length: int, hot: HotAnchors) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each fragment: content hash, smallest hash, and the context hashes (left, right) around its place.
 
@@ -492,9 +517,11 @@ def remove_repeats(
     buckets = max(1, -(-size // (groups * BUCKET_BYTES)))
     hot = _hot_anchors(narrow, size, length)
     fragments = narrow.mapInArrow(_split(groups, length, hot), "bucket int, packed binary")
-    spans = fragments.groupBy("bucket").applyInArrow(_resolve(length, buckets, hot), f"doc_id long, print long, spans {_SPANS}")
-    spans = scratch.write(spans, "spans")
-    spans = spans.groupBy("doc_id", "print").agg(F.flatten(F.collect_list("spans")).alias("__spans"))  # bounded by one text
+    shares = max(-(-groups // 8), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # About one group per task, so tasks stay as large as a group whatever the input.
+    packed = fragments.repartition(groups, "bucket").groupBy("bucket").applyInArrow(_resolve(length, buckets, hot, shares), "part int, packed binary")
+    spans = packed.groupBy("part").applyInArrow(_assembled, f"doc_id long, print long, spans {_SPANS}")
+    spans = scratch.write(spans, "spans").withColumnRenamed("spans", "__spans")
     keep = [c for c in docs.columns if c not in (removed, kept)]
     renamed = docs.select(*[docs[c].alias(f"__k{i}") for i, c in enumerate(keep)])
     key, body = f"__k{keep.index(id)}", f"__k{keep.index(text)}"
