@@ -24,9 +24,9 @@ def run_idempotency_key(run_id: str, record_id: Column) -> Column:
     return F.concat(F.lit(f"{run_id}:"), record_id)
 
 
-def push_gate(open_review_count: int, run_status: str) -> None:
-    """A run may be pushed only without open reviews and from a pushable status."""
-    if open_review_count:
+def push_gate(open_reviews: int | DataFrame, run_status: str) -> None:
+    """A run may be pushed only without open reviews, given as rows or as their number, and from a pushable status."""
+    if open_reviews if isinstance(open_reviews, int) else not open_reviews.isEmpty():
         raise ValueError("resolve all open reviews before pushing")
     if run_status not in (READY, "PARTIAL_FAILURE"):
         raise ValueError(f"a run cannot be pushed from status {run_status}")

@@ -92,7 +92,7 @@ def push(
     done: EntityRun,
     store: TargetStore,
     run_id: str,
-    open_reviews: int,
+    open_reviews: int | DataFrame,
     run_status: str = READY,
     key_fields=NATURAL_KEYS,
     reject: Column | None = None,

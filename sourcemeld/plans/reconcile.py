@@ -63,6 +63,10 @@ class Run:
     reviews: DataFrame
     audit: DataFrame
     unresolved: DataFrame
+    #: Where the run ended: PROFILING and MAPPING if questions of that stage are open, else VALIDATING.
+    stage: str = "VALIDATING"
+    #: (entity, record_key, field, source_file, value, n_rows): the values behind open conflicts.
+    conflict_values: DataFrame | None = None
     by_entity: dict[str, EntityRun] = field(default_factory=dict)
 
 
@@ -73,9 +77,13 @@ def run(
     decisions: Decisions | None = None,
     names: list[str] | None = None,
     exacts: list[str] | None = None,
+    gates: bool = False,
 ) -> Run:
     """A pure function of its inputs: running it again replays the decisions.
 
+    With ``gates`` the run stops after the choice of entities, and again after mapping and standardising, if that stage has
+    left questions open: what comes later would only ask about their consequences.
+
     ``sources`` are text frames with lineage columns, one per header. Only metadata comes to
     the driver: column types, mapping decisions and step plans. Standardised records are
     written once, because identity, survivorship and reviews all read them.
@@ -92,9 +100,19 @@ def run(
         raise ValueError(f"several sources hold files named {[r.source_file for r in twice]}; read them together, so that their folders tell them apart")
     fields = contract_fields(spark, contract)
     scores = scratch.write(matching.label_scores(matching.distinct_labels(catalog), contract), "scores")
-    entities = scratch.write(
-        matching.detect_entities(catalog, contract, scores, choices=decisions.entity_choices), "entities"
+    choices = _entity_choices(decisions)
+    entities = scratch.write(matching.detect_entities(catalog, contract, scores, choices=choices), "entities")
+    undecided = review.review_items(
+        entities.where("entity is null"),
+        reason_code=AMBIGUOUS_MAPPING,
+        title=F.concat(F.lit(ASK_ENTITY), F.col("source_file")),
+        source_file=F.col("source_file"),
+        source_field=F.col("source_file"),  # one question per file
+        candidates=F.array(*[F.lit(e.name) for e in contract.entities]),
     )
+    nothing = spark.createDataFrame([], "action string, reason string, record_key string, data string")
+    if gates and not entities.where("entity is null").isEmpty():
+        return Run(catalog, entities, None, undecided, nothing, None, stage="PROFILING")
     overrides = None
     if decisions.accepted is not None:  # a target that the contract lacks overrides nothing
         told = review.mapping_overrides(decisions.accepted)
@@ -109,12 +127,7 @@ def run(
     )
     gaps = matching.missing_required(mapping, fields, catalog, entities)
     items = [
-        review.review_items(
-            entities.where("entity is null"),
-            reason_code=AMBIGUOUS_MAPPING,
-            title=F.concat(F.lit(ASK_ENTITY), F.col("source_file")),
-            source_file=F.col("source_file"),
-        ),
+        undecided,
         review.review_items(
             gaps,
             reason_code=AMBIGUOUS_MAPPING,
@@ -162,14 +175,35 @@ def run(
         entity = contract.entity(shape.entity)
         frame = standardise_source(source, entity, mapped).withColumn("arrival", F.lit(shape.frame))
         records.setdefault(entity.name, []).append(frame)
-    for name, frames in records.items():
-        stacked = scratch.write(reduce(DataFrame.unionByName, frames), f"records-{name}")
-        out.by_entity[name] = _reconcile(stacked, contract.entity(name), decisions, scratch, items, audit, names, exacts)
+    stacked = {name: scratch.write(reduce(DataFrame.unionByName, frames), f"records-{name}") for name, frames in records.items()}
+    for name, rows in stacked.items():
+        items.append(_step_items(rows, contract.entity(name)))
+    if gates and not review.stack_reviews(items).isEmpty():
+        out.reviews, out.audit, out.stage = review.stack_reviews(items), reduce(DataFrame.unionByName, audit), "MAPPING"
+        return out
+    disputed = []
+    for name, rows in stacked.items():
+        done = out.by_entity[name] = _reconcile(rows, contract.entity(name), decisions, scratch, items, audit, names, exacts)
+        values = survivorship.conflict_values(done.members, done.merged, done.entity)
+        disputed.append(values.select(F.lit(name).alias("entity"), "record_key", "field", "source_file", "value", "n_rows"))
+    if disputed:
+        out.conflict_values = reduce(DataFrame.unionByName, disputed)
     out.reviews = review.stack_reviews(items)
     out.audit = reduce(DataFrame.unionByName, audit)
     return out
 
 
+def _entity_choices(decisions: Decisions) -> DataFrame | None:
+    """(source_file, entity): choices that were handed in and those among the accepted decisions, the latest of each file."""
+    if decisions.accepted is None:
+        return decisions.entity_choices
+    told = decisions.accepted.where((F.col("reason_code") == AMBIGUOUS_MAPPING) & F.col("entity").isNull() & F.col("target_field").isNotNull())
+    told = told.groupBy(F.col("source_field").alias("source_file")).agg(F.max_by("target_field", F.struct("decided_at", "decision_id")).alias("entity"))
+    if decisions.entity_choices is None:
+        return told
+    return told.unionByName(decisions.entity_choices.select("source_file", "entity").join(told, "source_file", "left_anti"))
+
+
 #: Columns that the engine keeps beside the contract's fields.
 ENGINE_COLUMNS = frozenset(
     "record_id source_file source_row_number step_errors status arrival group_id method record_key n_members primary_id source_files "
@@ -279,35 +313,40 @@ def _plan_columns(spark, shapes, sources, contract, decisions, scratch) -> tuple
     return out, planning.unresolved_reviews(plan, owners)
 
 
+def _known(records: DataFrame, entity: Entity) -> DataFrame:
+    """What tells a person which record a question is about."""
+    return records.select(
+        "record_id", "source_file",
+        F.coalesce(identity.record_key(entity, records.columns), F.col("record_id")).alias("record_key"),
+        identity.record_summary(entity, records.columns).alias("summary"),
+    )
+
+
+def _step_items(records: DataFrame, entity: Entity) -> DataFrame:
+    """Review items of failed steps."""
+    return review.enrich(
+        review.review_items(
+            step_error_rows(records),
+            reason_code=F.col("reason_code"),
+            entity=entity.name,
+            title=F.concat(F.lit(ASK_STEP), F.col("source_field")),
+            record_id=F.col("record_id"),
+            source_file=F.col("source_file"),
+            source_field=F.col("source_field"),
+            target_field=F.col("target_field"),
+            error=F.col("error"),
+            allowed_values=_allowed(entity),
+            unresolved_values=F.when(F.col("reason_code") == UNMAPPED_VALUE, F.array("value")),
+        ),
+        _known(records, entity),
+    )
+
+
 def _reconcile(records, entity, decisions, scratch, items, audit, names, exacts) -> EntityRun:
     spark = records.sparkSession
     rows = records.count()
     accepted = decisions.accepted
-    columns = records.columns
-    known = records.select(
-        "record_id", "source_file",
-        F.coalesce(identity.record_key(entity, columns), F.col("record_id")).alias("record_key"),
-        identity.record_summary(entity, columns).alias("summary"),
-    )
-    errors = step_error_rows(records)
-    items.append(
-        review.enrich(
-            review.review_items(
-                errors,
-                reason_code=F.col("reason_code"),
-                entity=entity.name,
-                title=F.concat(F.lit(ASK_STEP), F.col("source_field")),
-                record_id=F.col("record_id"),
-                source_file=F.col("source_file"),
-                source_field=F.col("source_field"),
-                target_field=F.col("target_field"),
-                error=F.col("error"),
-                allowed_values=_allowed(entity),
-                unresolved_values=F.when(F.col("reason_code") == UNMAPPED_VALUE, F.array("value")),
-            ),
-            known,
-        )
-    )
+    known = _known(records, entity)
     same, apart = _pairs(decisions, entity)
     exact = scratch.write(identity.exact_identity(records, entity, scratch, same, rows), "exact")
     alone = records.join(exact.where("method = 'single'").select("record_id"), "record_id", "left_semi")
