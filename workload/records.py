@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcemeld.contract import Contract, Entity, Field
+from sourcemeld.contract import Contract, Entity, Field, contract_fields, load_contract
 from sourcemeld.operators import push as P
 from sourcemeld.operators import results as R
 from sourcemeld.operators import review as V
@@ -21,11 +23,13 @@ from sourcemeld.operators.survivorship import (
 )
 from sourcemeld.operators.validation import group_status, missing_fields, typed, validate, violation_rows
 from sourcemeld.plans.deliver import push_batch
+from sourcemeld.plans.lifecycle import advance
 from sourcemeld.plans.reconcile import run
 from sourcemeld.session import Scratch
-from sourcemeld.sources.sinks import RunTables, TargetStore
+from sourcemeld.sources.readers import admission
+from sourcemeld.sources.sinks import AuditTrail, RunTables, TargetStore
 from workload.matching import ratio_sql
-from workload.party import CANON_SQL, GROUPS_SQL, MERGED_SQL, SEGMENTS, canonical, members, party_contract, sources, table, with_sql
+from workload.party import CANON_SQL, GROUPS_SQL, MERGED_SQL, SEGMENTS, canonical, crm, members, party_contract, sources, table, with_sql
 
 QUERIES, SQL = {}, {}
 FIELDS = ("party_id", "email", "name", "phone", "balance", "segment", "since", "active")
@@ -922,3 +926,113 @@ def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_key", *shown(), "n_members", codes.alias("violations"), F.array_join("open_conflicts", ",").alias("open_conflicts"),
         F.col("group_status").alias("status"),
     )
+
+
+@query(
+    "two_sittings",
+    """select 1 as sitting, 'MAPPING' as stage, 'CONSULTANT_REVIEW' as status, 1::bigint as n_open, null::bigint as n_ready, null as origins
+    union all select 2, 'VALIDATING', 'READY_TO_PUSH', 0, count(*), min('o' || c_custkey % 3) || '-' || max('o' || c_custkey % 3) from customer""",
+)
+def two_sittings(spark, sf_dir):
+    """A required field without a source is one question; the run stops there, and goes on with the answer."""
+    base = party_contract().entity("party")
+    contract = Contract((replace(base, fields=(*base.fields, Field("origin", required=True))),))
+    source = crm(spark, sf_dir)
+    source = source.withColumn("Zq", F.concat(F.lit("o"), F.regexp_extract("Cust No", "[0-9]+", 0).cast("int") % 3))
+    tables = RunTables(spark, f"{Scratch(spark).root}/runs")
+    first = advance(spark, tables, "run", [source], contract)
+    queue = tables.read("queue", ["run"])
+    told = {"decision_id": F.lit("d1"), "source_field": F.lit("Zq"), "actor": F.lit("clerk"), "decided_at": F.lit("2024-05-01 10:00:00")}
+    told |= {n: F.col(n) for n in ("review_id", "reason_code", "entity", "target_field")}
+    answers = queue.where("target_field = 'origin'").select(*[told.get(n, F.lit(None)).cast(t).alias(n) for n, t in V.DECISION_COLUMNS.items()])
+    n_first = queue.agg(F.count(F.lit(1)).alias("n_open")).withColumns({"n_ready": F.lit(None).cast("bigint"), "origins": F.lit(None).cast("string")})
+    shown = [Scratch(spark).write(n_first.select(F.lit(1).alias("sitting"), F.lit(first.stage).alias("stage"), F.lit(first.status).alias("status"), "*"), "first")]
+    second = advance(spark, tables, "run", [source], contract, answers)
+    waiting = tables.read("queue", ["run"]).agg(F.count(F.lit(1)).alias("n_open"))
+    ready = tables.read("canonical_party", ["run"]).where("group_status = 'READY_TO_PUSH'")
+    ready = ready.agg(F.count(F.lit(1)).alias("n_ready"), F.concat_ws("-", F.min("origin"), F.max("origin")).alias("origins"))
+    shown.append(waiting.join(F.broadcast(ready)).select(F.lit(2).alias("sitting"), F.lit(second.stage).alias("stage"), F.lit(second.status).alias("status"), "*"))
+    return R.union_table(shown)
+
+
+@query(
+    "enriched_items",
+    with_sql(
+        CANON_SQL,
+        """select record_id, source_file, coalesce(party_id, email, record_id) as record_key, coalesce(name, '') as shown_name, party_id as shown_id from canon""",
+    ),
+)
+def enriched_items(spark, sf_dir):
+    """Questions that name a record only get its file, key and summary from it."""
+    df = Scratch(spark).write(canonical(spark, sf_dir), "canonical")
+    known = df.select(
+        "record_id", "source_file", F.coalesce(record_key(entity(), df.columns), F.col("record_id")).alias("record_key"), record_summary(entity(), df.columns).alias("summary")
+    )
+    items = V.enrich(V.review_items(df.select("record_id"), reason_code="invalid_record", entity="party", record_id=F.col("record_id")), known)
+    said = lambda name: F.try_element_at("summary", F.lit(name))
+    return items.select("record_id", "source_file", "record_key", F.coalesce(said("name"), F.lit("")).alias("shown_name"), said("party_id").alias("shown_id"))
+
+
+@query(
+    "step_overrides",
+    """select event_type as source_column, arg_max('op' || user_id, event_id) as operation, arg_max('p' || event_id, event_id) as param from events where user_id % 3 <> 0 group by 1""",
+)
+def step_overrides(spark, sf_dir):
+    """Every event is a decision about the steps of a column, some without steps; the latest with steps counts."""
+    e = table(spark, sf_dir, "events")
+    given = {
+        "decision_id": F.lpad(F.col("event_id").cast("string"), 12, "0"), "reason_code": F.lit("new_transformation"), "entity": F.lit("party"), "source_field": F.col("event_type"),
+        "steps": F.when(F.col("user_id") % 3 != 0, F.array(F.struct(F.concat(F.lit("op"), "user_id").alias("operation"), F.create_map(F.lit("p"), F.concat(F.lit("p"), "event_id")).alias("params")))),
+        "decided_at": F.lit("2024-05-01 10:00:00"),
+    }
+    told = V.step_overrides(e.select(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in V.DECISION_COLUMNS.items()]))
+    step = F.element_at("steps", 1)
+    return told.select("source_column", step["operation"].alias("operation"), F.element_at(step["params"], "p").alias("param"))
+
+
+@query(
+    "audit_trail",
+    """select run_id, action, n_events, first_at from (select case when o_orderkey % 2 = 0 then 'even' else 'odd' end as run_id, o_orderstatus as action, count(*) as n_events,
+      strftime(min(o_orderdate), '%Y-%m-%d') as first_at from orders group by 1, 2)""",
+)
+def audit_trail(spark, sf_dir):
+    """Events of two runs, appended in two writes and read by run."""
+    audit = AuditTrail(spark, f"{Scratch(spark).root}/audit")
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "case when o_orderkey % 2 = 0 then 'even' else 'odd' end as run_id", "cast(o_orderdate as timestamp_ntz) as created_at", "cast(o_orderkey as string) as record_id",
+        "'agent' as actor", "o_orderstatus as action", "o_orderkey % 5 as part",
+    )
+    for part in ("part < 2", "part >= 2"):
+        audit.append(rows.where(part).drop("part"))
+    read = [audit.read(run_id) for run_id in ("even", "odd")]
+    return R.union_table([r.groupBy("run_id", "action").agg(F.count(F.lit(1)).alias("n_events"), F.date_format(F.min("created_at"), "yyyy-MM-dd").alias("first_at")) for r in read])
+
+
+@query(
+    "file_admission",
+    """select c_custkey, 'file_' || c_custkey || ['.csv', '.XLSX', '.json', '', '.csv.gz'][c_custkey % 5 + 1] as source_file, c_custkey % 5 < 2 as accepted, c_custkey % 5 = 0 as readable,
+    case c_custkey % 5 when 2 then 'Unsupported file type: .json' when 3 then 'Unsupported file type: unknown' when 4 then 'Unsupported file type: .gz' end as reason from customer""",
+)
+def file_admission(spark, sf_dir):
+    """Which of many files are taken in, and why others are not."""
+    suffix = F.element_at(F.array(*[F.lit(s) for s in (".csv", ".XLSX", ".json", "", ".csv.gz")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    files = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("/in/day/file_"), "c_custkey", suffix).alias("path"))
+    return admission(files).select("c_custkey", "source_file", "accepted", "readable", "reason")
+
+
+@query(
+    "contract_tables",
+    """select 'region_' || n_regionkey as entity, n_regionkey::integer as entity_ordinal, lower(n_name) as field, (row_number() over (partition by n_regionkey order by n_nationkey) - 1)::integer as ordinal,
+    case when n_nationkey % 2 = 0 then 'integer' else 'string' end as data_type, n_nationkey % 3 = 0 as required, 'the ' || lower(n_name) as alias from nation""",
+)
+def contract_tables(spark, sf_dir):
+    """A contract text of all regions with their nations as fields, loaded and shown as tables."""
+    fields = F.struct(
+        "n_nationkey", F.lower("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, "integer").otherwise("string").alias("data_type"),
+        (F.col("n_nationkey") % 3 == 0).alias("required"), F.array(F.concat(F.lit("the "), F.lower("n_name"))).alias("aliases"),
+    )
+    # Metadata typed in by people: one row per region.
+    regions = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(fields)).alias("fields")).orderBy("n_regionkey")
+    texts = [r["text"] for r in regions.select(F.to_json(F.struct(F.concat(F.lit("region_"), "n_regionkey").alias("entity_name"), "fields")).alias("text")).collect()]
+    loaded = load_contract("contract.json", '{"entities": [' + ", ".join(texts) + "]}")
+    return contract_fields(spark, loaded).select("entity", "entity_ordinal", "field", "ordinal", "data_type", "required", F.element_at("aliases", 1).alias("alias"))
