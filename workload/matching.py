@@ -186,8 +186,18 @@ def label_similarity(spark, sf_dir):
     return scores.select("query", "entity", "field", F.round("raw_score", 6).alias("raw_score"), "exact")
 
 
+def _described(e) -> str:
+    """Name, description, field names, their descriptions, their aliases."""
+    told = [e.name, e.description] + [f.name for f in e.fields]
+    for f in e.fields:
+        told += [f.description] if f.description else []
+    for f in e.fields:
+        told += list(f.aliases)
+    return " | ".join(told)
+
+
 _DESCRIPTIONS = ", ".join(
-    f"({_quote(e.name)}, {i}, {_quote(M.entity_description(e))})" for i, e in enumerate(trade_contract().entities)
+    f"({_quote(e.name)}, {i}, {_quote(_described(e))})" for i, e in enumerate(trade_contract().entities)
 )
 ENTITIES_SQL = (
     SCORES_SQL
@@ -239,17 +249,32 @@ def entity_choices(spark, sf_dir):
     return found.select("source_file", "entity", "decision")
 
 
+# Words of each domain, the pairs that speak against a match and the domains that speak for one.
+_DOMAINS = {
+    "identifier": "id identifier number no code key",
+    "name": "name given first last surname family fname",
+    "email": "email mail",
+    "phone": "phone mobile telephone tel contact",
+    "date": "date dob birth birthday joining doj hire start joined",
+    "status": "status state active inactive",
+    "type": "type kind category",
+    "organization": "department dept team org organisation division unit business",
+}
+_PAIRS_AGAINST = "name identifier, identifier name, email phone, phone email, date identifier, date status, type status"
+_DOMAINS_FOR = "identifier name email phone date organization status"
+
+
 def _domain_list(words: str) -> str:
     tests = ", ".join(
-        f"case when list_has_any({words}, [{', '.join(_quote(w) for w in vocabulary)}]) then '{d}' end"
-        for d, vocabulary in M.DOMAIN_WORDS.items()
+        f"case when list_has_any({words}, [{', '.join(_quote(w) for w in vocabulary.split())}]) then '{d}' end"
+        for d, vocabulary in _DOMAINS.items()
     )
     return f"list_filter([{tests}], lambda x: x is not null)"
 
 
 _SPLIT = "string_split(regexp_replace(trim(lower(translate({0}, '_-/', '   '))), '\\s+', ' ', 'g'), ' ')"
-_AGAINST = " or ".join(f"(list_contains(mine, '{a}') and list_contains(theirs, '{b}'))" for a, b in M.INCOMPATIBLE)
-_AGREED = " or ".join(f"(list_contains(mine, '{d}') and list_contains(theirs, '{d}'))" for d in M.ALIGNED)
+_AGAINST = " or ".join(f"(list_contains(mine, '{a}') and list_contains(theirs, '{b}'))" for a, b in (pair.split() for pair in _PAIRS_AGAINST.split(", ")))
+_AGREED = " or ".join(f"(list_contains(mine, '{d}') and list_contains(theirs, '{d}'))" for d in _DOMAINS_FOR.split())
 CANDIDATES_SQL = (
     ENTITIES_SQL
     + f""", facts as (select entity, field, any_value(data_type) as data_type, {_domain_list(_SPLIT.format('any_value(words)'))} as theirs,
