@@ -16,6 +16,18 @@ class ContractError(ValueError):
     pass
 
 
+#: Columns that the engine keeps beside the contract's fields.
+ENGINE_COLUMNS = frozenset(
+    "record_id source_file source_row_number step_errors status arrival group_id method record_key idem_key n_members primary_id source_files "
+    "conflicts open_conflicts corrected violations group_status open_errors".split()
+)
+
+
+def column(field: str) -> str:
+    """Column that holds a contract field: its name, set apart where the engine has a column of that name."""
+    return f"{field}__field" if field in ENGINE_COLUMNS else field
+
+
 @dataclass(frozen=True)
 class Field:
     name: str
@@ -50,6 +62,10 @@ class Entity:
     def names(self) -> list[str]:
         return [f.name for f in self.fields]
 
+    @property
+    def columns(self) -> list[str]:
+        return [column(f.name) for f in self.fields]
+
     @property
     def unique_fields(self) -> list[str]:
         return [f.name for f in self.fields if f.unique]

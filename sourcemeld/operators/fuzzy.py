@@ -23,6 +23,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sourcemeld.contract import column
 from sourcemeld.functions import kernels
 from sourcemeld.functions import similarity as _similarity  # noqa: F401  registers the kernels
 from sourcemeld.functions.text import blank_to_null, match_key
@@ -390,8 +391,8 @@ def fuzzy_identity(
     a lead of 0.08. Whoever stays single with a partner of at least 0.72 goes to review.
     ``apart`` (record_a, record_b) are approved decisions that two records differ.
     """
-    names = [f for f in (names or NAME_FIELDS) if f in records.columns]
-    exacts = [f for f in (exacts or EXACT_FIELDS) if f in records.columns]
+    names = [column(f) for f in (names or NAME_FIELDS) if column(f) in records.columns]
+    exacts = [column(f) for f in (exacts or EXACT_FIELDS) if column(f) in records.columns]
     ids = records.select("record_id")
     if not names and not exacts:
         none = ids.limit(0)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcemeld.contract import Entity
+from sourcemeld.contract import Entity, column
 from sourcemeld.functions.text import blank_to_null, filled, match_key, strip
 from sourcemeld.operators.components import connected_components
 from sourcemeld.operators.skew import lookup_join
@@ -21,7 +21,7 @@ GENERIC_SUMMARY_FIELDS = ("employee_id", "id", "record_id", "first_name", "last_
 
 def identity_keys(records: DataFrame, fields: list[str]) -> DataFrame:
     """(record_id, key) for every filled unique field; the field's place keeps fields apart."""
-    keys = F.array(*[F.concat(F.lit(f"{i}:"), match_key(F.col(f))) for i, f in enumerate(fields)])
+    keys = F.array(*[F.concat(F.lit(f"{i}:"), match_key(F.col(column(f)))) for i, f in enumerate(fields)])
     return records.select("record_id", F.explode(F.array_compact(keys)).alias("key"))
 
 
@@ -71,7 +71,7 @@ def group_evidence(members: DataFrame, entity: Entity) -> DataFrame:
     """
     sides, tests = [], []
     for i, name in enumerate(entity.unique_fields):
-        key = match_key(F.col(name))
+        key = match_key(F.col(column(name)))
         sides += [F.min(key).alias(f"lo{i}"), F.max(key).alias(f"hi{i}")]
         tests.append(F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.lit(name)))
     matched = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
@@ -89,20 +89,20 @@ def group_evidence(members: DataFrame, entity: Entity) -> DataFrame:
 
 def record_key(entity: Entity, columns: list[str]) -> Column:
     """First filled unique field, then a common id field; trimmed text."""
-    order = [f for f in entity.unique_fields if f in columns] + [k for k in FALLBACK_KEYS if k in columns and k in entity.names]
+    order = [f for f in entity.unique_fields if column(f) in columns] + [k for k in FALLBACK_KEYS if k in entity.names and column(k) in columns]
     if not order:
         return F.lit(None).cast("string")
-    return F.coalesce(*[strip(blank_to_null(F.col(c))) for c in order])
+    return F.coalesce(*[strip(blank_to_null(F.col(column(c)))) for c in order])
 
 
 def record_summary(entity: Entity, columns: list[str]) -> Column:
     """Short map that lets a person recognise a record; filled fields only."""
 
     def pick(names) -> Column:
-        names = list(dict.fromkeys(n for n in names if n in columns))
+        names = list(dict.fromkeys(n for n in names if (column(n) if n in entity.names else n) in columns))
         if not names:
             return F.create_map().cast("map<string,string>")
-        pairs = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])
+        pairs = F.create_map(*[x for n in names for x in (F.lit(n), F.col(column(n) if n in entity.names else n))])
         return F.map_filter(pairs, lambda _, v: filled(v))
 
     own = pick([*entity.unique_fields, *[n for n in SUMMARY_FIELDS if n in entity.names]])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sourcemeld.contract import column
 from sourcemeld.functions.text import blank_to_null, strip
 from sourcemeld.settings import PUSH_FAILED, PUSHED, READY, ROLLED_BACK, TARGET_FAILURE
 
@@ -14,9 +15,9 @@ NATURAL_KEYS = ("id", "employee_id", "customer_id", "department_id", "code", "nu
 
 def natural_key(fields: list[str], key_fields=NATURAL_KEYS) -> Column:
     """First filled key field, trimmed; else 20 hex digits over the sorted fields."""
-    payload = F.to_json(F.struct(*[F.col(f) for f in sorted(fields)]), {"ignoreNullFields": "false"})
+    payload = F.to_json(F.struct(*[F.col(column(f)).alias(f) for f in sorted(fields)]), {"ignoreNullFields": "false"})
     hashed = F.substring(F.sha2(payload, 256), 1, 20)
-    named = [strip(blank_to_null(F.col(f).cast("string"))) for f in key_fields if f in fields]
+    named = [strip(blank_to_null(F.col(column(f)).cast("string"))) for f in key_fields if f in fields]
     return F.coalesce(*named, hashed)
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcemeld.contract import Entity
+from sourcemeld.contract import Entity, column
 from sourcemeld.functions.steps import Chain, Step, error_reason, run_chains
 from sourcemeld.functions.text import blank_to_null, strip
 from sourcemeld.operators.skew import lookup_join, sized_join
@@ -71,7 +71,7 @@ def standardise_source(df: DataFrame, entity: Entity, mapping: list[Mapped]) ->
         feeding = [
             (F.col(f"c{i}__value"), F.col(f"c{i}__error")) for i, m in enumerate(mapping) if m.target_field == name
         ]
-        fields.append(blank_to_null(last_success(feeding)).alias(name))
+        fields.append(blank_to_null(last_success(feeding)).alias(column(name)))
     return out.select(
         "record_id", "source_file", "source_row_number", *fields, step_errors.alias("step_errors")
     ).withColumn("status", F.when(F.size("step_errors") > 0, IN_REVIEW).otherwise(TRANSFORMED))

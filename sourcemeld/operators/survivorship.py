@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcemeld.contract import Entity
+from sourcemeld.contract import Entity, column
 from sourcemeld.functions.text import conflict_key, filled, match_key
 from sourcemeld.operators.identity import record_key
 from sourcemeld.operators.skew import lookup_join
@@ -42,14 +42,15 @@ def merge_groups(members: DataFrame, entity: Entity, source_order: list[str] | N
         F.array_sort(F.collect_set("source_file")).alias("source_files"),
     ]
     for i, name in enumerate(entity.names):
-        value = F.when(filled(F.col(name)), F.col(name))
-        place = F.when(filled(F.col(name)), F.col("__order"))
+        held = F.col(column(name))
+        value = F.when(filled(held), held)
+        place = F.when(filled(held), F.col("__order"))
         form = conflict_key(value)
         measures += [
             F.min_by(value, place).alias(f"v{i}"),
             F.min(form).alias(f"lo{i}"),
             F.max(form).alias(f"hi{i}"),
-            F.bool_and(F.when(filled(F.col(name)), F.col("__listed"))).alias(f"listed{i}"),
+            F.bool_and(F.when(filled(held), F.col("__listed"))).alias(f"listed{i}"),
         ]
     failed = "step_errors" in members.columns
     if failed:  # as many names as the contract has fields
@@ -66,10 +67,10 @@ def merge_groups(members: DataFrame, entity: Entity, source_order: list[str] | N
             ]
         )
     ).cast(CONFLICT)
-    fields = [F.col(f"v{i}").alias(name) for i, name in enumerate(entity.names)]
+    fields = [F.col(f"v{i}").alias(name) for i, name in enumerate(entity.columns)]
     out = merged.select("group_id", *fields, "n_members", "primary_id", "source_files", conflicts.alias("conflicts"), *(["open_errors"] if failed else []))
     return out.withColumn(
-        "record_key", F.coalesce(record_key(entity, entity.names), F.col("primary_id"))
+        "record_key", F.coalesce(record_key(entity, entity.columns), F.col("primary_id"))
     ).withColumn("open_conflicts", F.filter("conflicts", lambda c: ~c["silent"])["field"])
 
 
@@ -79,7 +80,7 @@ def conflict_values(members: DataFrame, merged: DataFrame, entity: Entity, rows:
     Long form: a conflict over a huge group is as many rows as it has values, not one array.
     """
     disputed = merged.where(F.size("open_conflicts") > 0).select("group_id", "record_key", "open_conflicts")
-    cells = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("value")) for n in entity.names])
+    cells = F.array(*[F.struct(F.lit(n).alias("field"), F.col(column(n)).alias("value")) for n in entity.names])
     return (
         lookup_join(members, disputed, "group_id", rows)
         .where("open_conflicts is not null")
@@ -108,7 +109,7 @@ def apply_corrections(merged: DataFrame, corrections: DataFrame, entity: Entity)
         F.array(*[F.when(F.col(f"fix_{n}").isNotNull(), F.lit(n)) for n in entity.names])
     )
     return joined.withColumns(
-        {n: F.coalesce(F.col(f"fix_{n}"), F.col(n)) for n in entity.names}
+        {column(n): F.coalesce(F.col(f"fix_{n}"), F.col(column(n))) for n in entity.names}
         | {"corrected": fixed, "open_conflicts": F.array_except("open_conflicts", fixed)}
         | ({"open_errors": F.array_except("open_errors", fixed)} if "open_errors" in joined.columns else {})
     ).drop(*[f"fix_{n}" for n in entity.names])
@@ -116,7 +117,7 @@ def apply_corrections(merged: DataFrame, corrections: DataFrame, entity: Entity)
 
 def correction_audit(corrected: DataFrame, entity: Entity) -> DataFrame:
     """(record_key, field, value) of every correction that was applied."""
-    cells = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("value")) for n in entity.names])
+    cells = F.array(*[F.struct(F.lit(n).alias("field"), F.col(column(n)).alias("value")) for n in entity.names])
     return (
         corrected.where(F.size("corrected") > 0)
         .select("record_key", "corrected", F.inline(cells))
@@ -147,7 +148,7 @@ def duplicate_values(merged: DataFrame, entity: Entity) -> DataFrame:
 
     Exact identity rules this out except for values brought in by corrections.
     """
-    cells = F.array(*[F.struct(F.lit(n).alias("field"), match_key(F.col(n)).alias("value")) for n in entity.unique_fields])
+    cells = F.array(*[F.struct(F.lit(n).alias("field"), match_key(F.col(column(n))).alias("value")) for n in entity.unique_fields])
     return (
         merged.select(F.inline(cells))
         .where("value is not null")

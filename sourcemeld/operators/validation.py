@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcemeld.contract import Entity, Field
+from sourcemeld.contract import Entity, Field, column
 from sourcemeld.functions.text import is_missing
 from sourcemeld.operators.profile import NUMBER
 from sourcemeld.settings import IN_REVIEW, READY, SAY_ENUM, SAY_REQUIRED, SAY_TYPE
@@ -36,7 +36,7 @@ def type_ok(c: Column, data_type: str) -> Column:
 
 def violation(field: Field) -> Column:
     """At most one violation per field: required, then enum, then type."""
-    c = F.col(field.name)
+    c = F.col(column(field.name))
 
     def found(code: str, message: str) -> Column:
         return F.struct(F.lit(field.name).alias("field"), F.lit(code).alias("code"), F.lit(message).alias("message"))
@@ -81,10 +81,11 @@ TYPE_NAMES = {
 
 def as_typed(df: DataFrame, field: Field) -> Column:
     """A contract field in its own type: read from canonical text, or cast where it is no text."""
-    c = F.col(f"`{field.name}`") if field.name in df.columns else F.lit(None).cast("string")
+    name = column(field.name) if column(field.name) in df.columns else field.name
+    c = F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
     kind = TYPE_NAMES[field.data_type]
-    if field.name in df.columns and df.schema[field.name].dataType.simpleString() not in ("string", "void"):
-        return c if df.schema[field.name].dataType.simpleString() == kind else c.try_cast(kind)
+    if name in df.columns and df.schema[name].dataType.simpleString() not in ("string", "void"):
+        return c if df.schema[name].dataType.simpleString() == kind else c.try_cast(kind)
     if field.data_type == "array":
         return F.from_json(c, kind)
     if field.data_type == "object":

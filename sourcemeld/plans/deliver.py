@@ -36,7 +36,7 @@ def _deliver(done: EntityRun, status, pushable, store, run_id, key_fields, rejec
     entity = done.entity
     waiting = status.where(F.col("status").isin(*pushable)).select("record_id")
     payload = (
-        done.merged.select(F.col("primary_id").alias("record_id"), *entity.names)
+        done.merged.select(F.col("primary_id").alias("record_id"), *entity.columns)
         .join(waiting, "record_id", "left_semi")
         .withColumns(
             {

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcemeld.contract import Contract, Entity, contract_fields
+from sourcemeld.contract import Contract, Entity, column, contract_fields
 from sourcemeld.functions.steps import Chain, Step, run_chains
 from sourcemeld.operators import identity, matching, planning, profile, review, survivorship, validation
 from sourcemeld.operators.fuzzy import fuzzy_identity
@@ -204,18 +204,11 @@ def _entity_choices(decisions: Decisions) -> DataFrame | None:
     return told.unionByName(decisions.entity_choices.select("source_file", "entity").join(told, "source_file", "left_anti"))
 
 
-#: Columns that the engine keeps beside the contract's fields.
-ENGINE_COLUMNS = frozenset(
-    "record_id source_file source_row_number step_errors status arrival group_id method record_key n_members primary_id source_files "
-    "conflicts open_conflicts corrected violations group_status open_errors".split()
-)
-
-
 def _check_names(contract: Contract) -> None:
-    """A contract field named like an engine column would be overwritten unseen."""
-    clashes = sorted(f"{e.name}.{n}" for e in contract.entities for n in e.names if n in ENGINE_COLUMNS and n not in ("record_id",))
+    """Fields need columns of their own."""
+    clashes = sorted(f"{e.name}.{n}" for e in contract.entities for n in e.names if e.columns.count(column(n)) > 1)
     if clashes:
-        raise ValueError(f"contract fields {clashes} have names that the engine uses; rename them in the contract and keep the old name as an alias")
+        raise ValueError(f"contract fields {clashes} would share a column")
 
 
 def _shapes(catalog: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -379,7 +372,7 @@ def _reconcile(records, entity, decisions, scratch, items, audit, names, exacts)
             F.col("value").alias("data"),
         )
     )
-    summary = identity.record_summary(entity, entity.names)
+    summary = identity.record_summary(entity, entity.columns)
     items.append(
         review.review_items(
             checked.where(F.size("open_conflicts") > 0).select("*", F.explode("open_conflicts").alias("conflict")),

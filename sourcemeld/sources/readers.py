@@ -47,6 +47,11 @@ def clean_missing(c: Column) -> Column:
     return F.when(~c.isin(*NA_TOKENS), c)
 
 
+def data_name(name: str) -> str:
+    """Name of a source column: its own, with blanks for underscores if lineage has a column of that name - the same label."""
+    return name.replace("_", " ") if name in LINEAGE else name
+
+
 def record_id(source_file: Column, row_number: Column) -> Column:
     """A stable, collision-free id that sorts like the rows of a file."""
     return F.concat(source_file, F.lit("#"), F.lpad(row_number.cast("string"), F.greatest(F.length(row_number.cast("string")), F.lit(12)), F.lit("0")))
@@ -80,7 +85,7 @@ def read_csv(spark: SparkSession, paths: str | list[str], multi_line: bool | Non
         .csv(paths)
     )
     placed = raw.select(
-        *[clean_missing(F.col(f"`{n}`")).alias(n) for n in raw.columns],
+        *[clean_missing(F.col(f"`{n}`")).alias(data_name(n)) for n in raw.columns],
         F.col("_metadata.file_path").alias("__path"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__place"),
@@ -148,7 +153,7 @@ def read_folder(spark: SparkSession, paths: str | list[str], *, root: str | None
         own = spark.read.schema("source_file string, number bigint, text string, shape int").parquet(kept).where(F.col("shape") == i)
         parsed = F.from_csv("text", fields.simpleString()[7:-1].replace(":", " "), {"escape": '"', **{k: str(v) for k, v in options.items() if k not in found}})
         row = own.select("source_file", "number", parsed.alias("row"))
-        values = [clean_missing(F.col(f"row.c{k}")).alias(n) for k, n in enumerate(names)]
+        values = [clean_missing(F.col(f"row.c{k}")).alias(data_name(n)) for k, n in enumerate(names)]
         number = (F.col("number") + 1).alias("source_row_number")
         frames.append(row.select(*values, "source_file", number, record_id(F.col("source_file"), F.col("number") + 1).alias("record_id")))
     return frames
@@ -316,7 +321,7 @@ def read_parquet(spark: SparkSession, paths: str | list[str], *, root: str | Non
     """Parquet files as text columns; the format knows its row index, so no pass is needed. Files are named as in ``read_csv``."""
     listed = [paths] if isinstance(paths, str) else paths
     raw = spark.read.parquet(*listed)
-    texts = [clean_missing(F.col(f"`{n}`").cast("string")).alias(n) for n in raw.columns]
+    texts = [clean_missing(F.col(f"`{n}`").cast("string")).alias(data_name(n)) for n in raw.columns]
     placed = raw.select(
         *texts, file_below(spark, paths, root, F.col("_metadata.file_path")).alias("__file"), F.col("_metadata.row_index").alias("__row")
     )

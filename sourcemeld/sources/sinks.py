@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourcemeld.contract import Contract, Entity
+from sourcemeld.contract import Contract, Entity, column
 from sourcemeld.operators.validation import TYPE_NAMES, as_typed
 
 #: Commits after which the store merges its files by itself.
@@ -195,7 +195,8 @@ class TargetStore:
         keys = None
         if record_key is not None:
             keys = self.spark.createDataFrame([(record_key,)], "record_key string")
-        rows = self.alive(entity, keys).select("record_key", "payload.*") if entity.names else self.alive(entity, keys)
+        fields = [F.col("payload")[n].alias(column(n) if n == "record_key" else n) for n in entity.names]
+        rows = self.alive(entity, keys).select("record_key", *fields)
         return rows if record_key is None else rows.where(F.col("record_key") == record_key)
 
     def listing(self, contract: Contract) -> dict[str, DataFrame]:

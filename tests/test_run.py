@@ -239,10 +239,24 @@ def test_stream_delivers_once(spark, tmp_path):
     assert store.changes(entity).count() == 20
 
 
-def test_names_of_the_engine_are_refused(spark):
-    payload = {"entities": [{"entity_name": "e", "fields": [field("status", required=True), field("name")]}]}
-    with pytest.raises(ValueError, match="e.status"):
-        run(spark, [], load_contract("c.json", json.dumps(payload)))
+def test_fields_may_be_called_like_the_engines_columns(spark, tmp_path):
+    names = ["record_id", "status", "method", "group_id", "record_key"]
+    fields = [field("record_id", required=True, unique=True), field("status", required=True, enum_values=["ON", "OFF"]), field("method"), field("group_id", required=True), field("record_key")]
+    contract = load_contract("c.json", json.dumps({"entities": [{"entity_name": "thing", "fields": fields}]}))
+    (tmp_path / "a.csv").write_text("record_id,status,method,group_id,record_key\nT1,ON,post,g1,k1\nT2,off,mail,,k2\n")
+    (tmp_path / "b.csv").write_text("record_id,status,method,group_id\nT1,ON,fax,g1\n")
+    sources = [read_csv(spark, str(tmp_path / n)) for n in ("a.csv", "b.csv")]
+    done = run(spark, sources, contract)
+    asked = {(r.reason_code, r.record_key, r.field or r.violations[0].field) for r in done.reviews.collect()}
+    assert asked == {("conflicting_values", "T1", "method"), ("invalid_record", "T2", "group_id")}
+    assert {(r.field, r.value) for r in done.conflict_values.collect()} == {("method", "post"), ("method", "fax")}
+    fixes = decision(spark, decision_id="d1", review_id="x", reason_code="conflicting_values", entity="thing", record_key="T1", corrections={"method": "phone"})
+    fixes = fixes.unionByName(decision(spark, decision_id="d2", review_id="y", reason_code="invalid_record", entity="thing", record_key="T2", corrections={"group_id": "g2"}))
+    again = run(spark, sources, contract, Decisions(accepted=fixes))
+    thing, store = again.by_entity["thing"], TargetStore(spark, str(tmp_path / "target"))
+    assert again.reviews.count() == 0 and deliver.push(thing, store, "run", again.reviews, key_fields=("record_id",)).run_status == "COMPLETED"
+    rows = store.current(thing.entity).select("record_key", *[n if n != "record_key" else "record_key__field" for n in names]).collect()
+    assert sorted(map(tuple, rows)) == [("T1", "T1", "ON", "phone", "g1", "k1"), ("T2", "T2", "OFF", "mail", "g2", "k2")]
 
 
 @pytest.mark.parametrize("rows", [1, 10**9])
