@@ -251,9 +251,12 @@ def _by_names(big: DataFrame, scratch: Scratch, names: int) -> DataFrame:
     Adds ``both`` (that set), the number of ``shared`` names, of ``parts`` that count and of exact fields that ``agreed``, ``chosen`` (the name
     among them with the most different values in the block) and the ``lengths`` that it takes there.
     """
-    sets = F.array(*[F.lit(m) for m in range(1 << names)])
-    inside = F.filter(sets, lambda m: m.bitwiseAND(F.col("nmask").cast("int")) == m)
-    parted = big.withColumn("both", F.explode(inside)).withColumn("block", F.concat_ws("\u0004", "block", F.col("both").cast("string")))
+    # Only sets that two masks of the block leave in common; a record without a partner for a set would seek it in vain.
+    mask = F.col("nmask").cast("int")
+    masks = scratch.write(big.groupBy("block").agg(F.collect_set(mask).alias("masks")), "masks")  # 2^names entries at the most
+    inside = F.array_distinct(F.transform("masks", lambda m: m.bitwiseAND(mask)))
+    parted = lookup_join(big, masks, "block").withColumn("both", F.explode(inside)).drop("masks")
+    parted = parted.withColumn("block", F.concat_ws("\u0004", "block", F.col("both").cast("string")))
     options = []
     for k in range(names):
         name = F.when(F.col("both").bitwiseAND(1 << k) != 0, F.col(f"n{k}"))

@@ -190,6 +190,13 @@ def test_rows_of_a_hot_block_grow_with_its_records(spark, scratch, monkeypatch):
     assert share[1] < 1.6 * share[0], share
 
 
+def test_big_blocks_take_only_name_sets_that_a_pair_has(spark, scratch):
+    rows = [("a", 7, "Jon", "Li"), ("b", 7, "Joe", "Li"), ("c", 3, "Al", "Ek"), ("d", 3, "Ed", "Ek"), ("d", 1, "Ed", None)]
+    big = spark.createDataFrame([(b, m if m < 7 else 3, x, y, 1, 1) for b, m, x, y in rows], "block string, nmask int, n0 string, n1 string, common bigint, agree bigint")
+    found = {(r["block"][0], r["both"]) for r in fuzzy._by_names(big, scratch, 2).collect()}
+    assert found == {("a", 3), ("b", 3), ("c", 3), ("d", 3), ("d", 1)}
+
+
 def test_fuzzy_pairs_copies_and_apart(spark, scratch):
     rows = [
         ("a1", "Katherine", "Jones", None, "555", None), ("a2", "Kathrine", "Jones", None, "555", None),
