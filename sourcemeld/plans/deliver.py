@@ -30,7 +30,7 @@ class Delivery:
     run_status: str
 
 
-def _deliver(done: EntityRun, status, pushable, store, run_id, key_fields, reject, audit, actor) -> Delivery:
+def _deliver(done: EntityRun, status, pushable, store, run_id, key_fields, reject, audit, actor, failed=None) -> Delivery:
     spark = status.sparkSession
     scratch = Scratch(spark)
     entity = done.entity
@@ -46,7 +46,7 @@ def _deliver(done: EntityRun, status, pushable, store, run_id, key_fields, rejec
         )
     )
     payload = scratch.write(payload, "payload")
-    outcomes = push_batch(payload, store, entity, scratch, reject)
+    outcomes = push_batch(payload, store, entity, scratch, reject, failed)
     after = scratch.write(pushed_status(status, outcomes), "status")
     failed = after.agg(F.count_if(F.col("status") == PUSH_FAILED).alias("n"))
     run_status = failed.select(delivered_status(F.col("n"))).first()[0]
@@ -62,15 +62,17 @@ def _deliver(done: EntityRun, status, pushable, store, run_id, key_fields, rejec
     return Delivery(after, outcomes, run_status)
 
 
-def push_batch(payload: DataFrame, store: TargetStore, entity, scratch: Scratch, reject: Column | None = None) -> DataFrame:
+def push_batch(
+    payload: DataFrame, store: TargetStore, entity, scratch: Scratch, reject: Column | None = None, failed: Column | None = None
+) -> DataFrame:
     """Outcomes of a batch, and its accepted records in the target.
 
     Outcomes are written before the target changes, so that they stay what they were. If another writer has
-    touched the same keys in between, they are worked out anew.
+    touched the same keys in between, they are worked out anew. ``failed`` marks records that the target refused last time.
     """
     while True:
         seen = store.version(entity)
-        outcomes = scratch.write(push_outcomes(payload, store.ledger(entity, payload), reject), "outcomes")
+        outcomes = scratch.write(push_outcomes(payload, store.ledger(entity, payload), reject, failed), "outcomes")
         accepted = outcomes.where("outcome = 'accepted'")
         if accepted.isEmpty():
             return outcomes
@@ -107,8 +109,8 @@ def retry(
     done: EntityRun, status: DataFrame, store: TargetStore, run_id: str, key_fields=NATURAL_KEYS,
     reject: Column | None = None, audit: AuditTrail | None = None,
 ) -> Delivery:
-    """Failed records again under the same idempotency keys."""
-    return _deliver(done, status, (PUSH_FAILED,), store, run_id, key_fields, reject, audit, "consultant")
+    """Failed records again under the same idempotency keys, also where an older record was written under them."""
+    return _deliver(done, status, (PUSH_FAILED,), store, run_id, key_fields, reject, audit, "consultant", F.lit(True))
 
 
 def rollback(done: EntityRun, status: DataFrame, store: TargetStore, run_id: str, audit: AuditTrail | None = None) -> DataFrame:

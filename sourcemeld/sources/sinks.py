@@ -204,7 +204,7 @@ class TargetStore:
         return {e.name: self.current(e) for e in contract.entities}
 
     def ledger(self, entity: Entity, batch: DataFrame | None = None) -> DataFrame:
-        """(idem_key, record_key) of what was written and not deleted since; with ``batch`` (idem_key) of its buckets only."""
+        """(idem_key, record_key) of what was written last and not deleted since; with ``batch`` (idem_key) of its buckets only."""
         snapshot = self.snapshot(entity)
         buckets = None if batch is None else self._touched(batch, "idem_key", entity)
         entries = self._load(entity, "ledger", snapshot, buckets)
@@ -213,8 +213,8 @@ class TargetStore:
         return (
             entries.join(gone, "record_key", "left")
             .where(F.col("__gone").isNull() | (F.col("version") > F.col("__gone")))
-            .select("idem_key", "record_key")
-            .distinct()
+            .groupBy("idem_key")
+            .agg(F.max_by("record_key", F.struct("version", "record_key")).alias("record_key"))
         )
 
     # --- writing ---

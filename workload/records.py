@@ -777,7 +777,7 @@ def store_retry(spark, sf_dir):
     store, batch, first, scratch = _site_store(spark, sf_dir)
     store.compact(SITE)
     failed = batch.join(first.where("outcome = 'rejected'").select("record_id"), "record_id", "left_semi")
-    push_batch(scratch.write(failed, "failed"), store, SITE, scratch)
+    push_batch(scratch.write(failed, "failed"), store, SITE, scratch, failed=F.lit(True))
     return _site_rows(store)
 
 
