@@ -125,7 +125,7 @@ def test_a_second_attempt_replaces_the_tables_of_a_run(spark, tmp_path):
     assert sorted(r["key"] for r in tables.read("records", ["run1"]).collect()) == ["a"]
 
 
-@pytest.mark.parametrize("name", ["store_retry"])
+@pytest.mark.parametrize("name", ["retry_failed", "store_retry"])
 def test_a_refused_record_goes_through_whatever_the_ledger_knows(spark, tmp_path, name):
     """Customer 17 was written by an earlier run, is refused under the same key and has no order that would hide it."""
     for t in ("customer", "orders"):

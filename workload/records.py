@@ -687,7 +687,8 @@ def push_failures(spark, sf_dir):
 def retry_failed(spark, sf_dir):
     """Push, then push again: failures go through, everything else is a replay."""
     target, ledger, status, _ = _pushed(spark, sf_dir)
-    again = P.push_outcomes(status.where("status in ('PUSH_FAILED', 'PUSHED')").drop("target_key"), ledger)
+    pushed = status.where("status in ('PUSH_FAILED', 'PUSHED')").drop("target_key")
+    again = P.push_outcomes(pushed, ledger, failed=F.col("status") == "PUSH_FAILED")
     return P.upsert(target, again.where("outcome = 'accepted'"), ["name", "nation"])
 
 
