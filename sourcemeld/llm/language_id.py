@@ -26,6 +26,8 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 4
 #: Training steps; beyond so many languages they grow with the languages.
 STEPS, STEP_LANGUAGES = 500, 64
 UNKNOWN = "und"
+#: Steps in which scores are counted for the least one; as many rows go to the driver.
+SCORE_STEPS = 10_000
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -196,18 +198,22 @@ def identify(docs: DataFrame, network: Network | None, *, text: str = "text", la
 def least_score(docs: DataFrame, network: Network | None, *, id: str = "doc_id", text: str = "text", lang: str = "lang") -> float:
     """The score that all but a few of the held-out texts of a known language reach: below it, no learned language fits.
 
-    A thousandth of the right predictions on held-out labelled rows, about ``SAMPLE_DOCS`` of each language, may lie below
-    the score that is lowered by a tenth; it never is under the chance level by more than that. Without such rows it is 0.
+    A thousandth of the right predictions on all held-out labelled rows, at the most, may lie below the score that is lowered by a
+    tenth; it never is under the chance level by more than that. Scores are counted exactly in ``SCORE_STEPS`` equal
+    steps, and the lowest of the step in question is taken. Without such rows it is 0.
     """
     if network is None:
         return 0.0
     rows = docs.where(F.col(id).isNotNull() & F.col(lang).isin(network.languages) & (F.length(text) > 0) & held_out(F.col(id)))
-    rows = rows.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # learned languages only
-    if not counts:
-        return 0.0
-    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, SAMPLE_DOCS / n)])
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit(12)), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-    right = identify(picked, network).where(F.col("lang_pred") == F.col("lang"))
-    low = right.agg(F.percentile_approx("score", 0.001, 10_000).alias("low")).first()["low"]
-    return 0.9 * max(low or 0.0, 1 / len(network.languages))
+    rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    right = identify(rows, network).where(F.col("lang_pred") == F.col("lang"))
+    step = F.least(F.floor(F.col("score") * SCORE_STEPS), F.lit(SCORE_STEPS - 1)).alias("step")
+    steps = right.groupBy(step).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).orderBy("step").collect()
+    if not steps:
+        return 0.0 if rows.isEmpty() else 0.9 / len(network.languages)
+    allowed, low = sum(r["n"] for r in steps) // 1000, 0.0
+    for r in steps:
+        low, allowed = r["low"], allowed - r["n"]
+        if allowed < 0:
+            break
+    return 0.9 * max(low, 1 / len(network.languages))

@@ -128,6 +128,15 @@ def test_least_score_follows_held_out_texts(spark, none):
     assert least_score(none, network) == 0.0 and least_score(docs, None) == 0.0
 
 
+def test_least_score_sees_every_held_out_text(spark):
+    docs = read(spark, "documents", "/root/testdata/sf0.1")
+    network = learn(docs)
+    right = identify(docs.where(held_out(F.col("doc_id"))), network).where("lang_pred = lang")
+    scores = sorted(r["score"] for r in right.select("score").collect())
+    exact = max(scores[len(scores) // 1000], 1 / len(network.languages))
+    assert 0 <= 0.9 * exact - least_score(docs, network) < 1 / language_id.SCORE_STEPS
+
+
 def test_run_is_the_stages_in_turn(spark, corpus):
     docs = read(spark, "documents", corpus)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "repeat_removal", "decontamination", "encoding"]
