@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sourcemeld.contract import Entity, Field
 from sourcemeld.functions.kernels import lcs_lengths, ratios
-from sourcemeld.operators import fuzzy
+from sourcemeld.operators import components, fuzzy
 from sourcemeld.operators.components import connected_components
 from sourcemeld.operators.fuzzy import EXACT_FIELDS, NAME_FIELDS, best_candidates, block_plan, fuzzy_identity
 from sourcemeld.operators.identity import exact_identity, group_evidence, record_key
@@ -51,6 +51,29 @@ def test_components(spark, scratch, request, shape, hot):
     assert {r.node: r.root for r in connected_components(df, scratch).collect()} == union_find(edges)
 
 
+def test_near_chains_leave_little_to_the_rounds(spark, scratch, monkeypatch):
+    """Chains of 120 near ids: rounds see only what lies over the edges of tasks."""
+    seen, rounds = [], components._is_star_forest
+    monkeypatch.setattr(components, "_is_star_forest", lambda e: (seen.append(e.count()), rounds(e))[1])
+    nodes = spark.range(12_000).where("id % 120 > 0").select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    found = connected_components(nodes.repartition(7, "a"), scratch)
+    assert found.where("root <> node - node % 120").count() == 0 and found.count() == 12_000
+    assert max(seen, default=0) < 60, seen
+
+
+@pytest.mark.parametrize("size", [1, 7])
+def test_components_from_few_edges_at_a_time(spark, scratch, monkeypatch, size):
+    monkeypatch.setattr(components, "LOCAL_EDGES", size)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+    try:
+        rng = random.Random(5)
+        edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(130)]
+        found = connected_components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.node: r.root for r in found} == union_find(edges) and len(found) == len(union_find(edges))
+
+
 def test_components_do_not_depend_on_order_or_partitions(spark, scratch):
     rng = random.Random(9)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)]
