@@ -14,30 +14,29 @@ from sourcemeld.session import Scratch
 LOCAL_EDGES = 1 << 19
 
 
-def _local_stars(child: np.ndarray, parent: np.ndarray, nodes: int) -> np.ndarray:
-    """Smallest node of each node's component; nodes are numbers in their order.
-
-    Each round hooks the larger of two roots to the smaller one and then halves all paths until they are flat.
-    """
-    root = np.arange(nodes)
-    while True:
-        a, b = root[child], root[parent]
-        apart = a != b
-        if not apart.any():
-            return root
-        child, parent, a, b = child[apart], parent[apart], a[apart], b[apart]
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            shorter = root[root]
-            if np.array_equal(shorter, root):
-                break
-            root = shorter
-
-
 def _contracted(edges: DataFrame) -> DataFrame:
     """The same components with fewer hops: edges of near parents lie in one task, which ties their nodes to the smallest one it sees."""
     schema = edges.select("child", "parent").schema
 
+    def local_stars(child: np.ndarray, parent: np.ndarray, nodes: int) -> np.ndarray:
+        """Smallest node of each node's component; nodes are numbers in their order.
+
+        Each round hooks the larger of two roots to the smaller one and then halves all paths until they are flat.
+        """
+        root = np.arange(nodes)
+        while True:
+            a, b = root[child], root[parent]
+            apart = a != b
+            if not apart.any():
+                return root
+            child, parent, a, b = child[apart], parent[apart], a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                shorter = root[root]
+                if np.array_equal(shorter, root):
+                    break
+                root = shorter
+
     def stars(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
         both = pa.chunked_array([*table["child"].chunks, *table["parent"].chunks], type=table["child"].type).combine_chunks()
@@ -46,7 +45,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         codes = place[coded.indices.to_numpy()]
-        root = _local_stars(codes[: len(table)], codes[len(table) :], len(order))
+        root = local_stars(codes[: len(table)], codes[len(table) :], len(order))
         nodes = coded.dictionary.take(pa.array(order))
         inner = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([nodes.take(pa.array(inner)), nodes.take(pa.array(root[inner]))], names=["child", "parent"])
