@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from array import array
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,8 @@ from sourcemeld.llm.batches import text_slices
 from sourcemeld.llm.vocabulary import PieceSplitter, Vocabulary
 
 _PIECES = 100_000  # remembered pieces per task; beyond that the memory starts anew
+_CHUNKS = 150_000  # blank-separated chunks remembered per task, and as many older ones beside them
+_SLICE = 2 << 20  # bytes of text encoded at once
 
 
 class PerfectHash:
@@ -131,30 +132,30 @@ def merge(piece: bytes, merges: Merges) -> list[int]:
     return out
 
 
-def _joined(parts: list[tuple[int, ...]]) -> tuple[int, ...]:
-    return tuple(chain.from_iterable(parts))
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary."""
+    """Encoder and decoder of one vocabulary. Ids of remembered pieces and chunks are packed, four bytes each."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.ranks = vocabulary.ranks
         self.merges = Merges(self.ranks)
         self.whole = PerfectHash(sorted(self.ranks, key=self.ranks.get))
-        self.slot_ids = [(self.ranks[k],) for k in self.whole.slots]
+        self.slot_ids = [_packed([self.ranks[k]]) for k in self.whole.slots]
         self.token_bytes = {i: k for k, i in self.ranks.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.splitter = PieceSplitter(vocabulary.pattern, self._piece, _joined)
+        self.known: dict[str, bytes] = {}
+        self.splitter = PieceSplitter(vocabulary.pattern, self._piece, b"".join, _CHUNKS)
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
         ids = self.known.get(piece)
         if ids is None:
             raw = piece.encode()
             slot = self.whole.find(raw)
             if slot >= 0:
                 return self.slot_ids[slot]
-            ids = tuple(merge(raw, self.merges))
+            ids = _packed(merge(raw, self.merges))
             if piece[0] != " ":  # words after a blank are remembered by the splitter
                 if len(self.known) >= _PIECES:
                     self.known.clear()
@@ -162,8 +163,11 @@ class Codec:
                     self.known[piece] = ids
         return ids
 
+    def packed(self, text: str) -> bytes:
+        return b"".join(self.splitter.parts(text))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.splitter.parts(text)))
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
@@ -189,16 +193,16 @@ def encode(
 
     def run(batches):
         codec = shared.value
-        for batch in text_slices(batches, "__text"):
-            lists = [np.array(codec.encode(t), np.int32) if t else np.zeros(0, np.int32) for t in batch.column("__text").to_pylist()]
-            offsets = np.zeros(len(lists) + 1, np.int32)
-            np.cumsum([len(x) for x in lists], out=offsets[1:])
+        for batch in text_slices(batches, "__text", _SLICE):
+            coded = [codec.packed(t) if t else b"" for t in batch.column("__text").to_pylist()]
+            offsets = np.zeros(len(coded) + 1, np.int32)
+            np.cumsum([len(x) // 4 for x in coded], out=offsets[1:])
             columns = [batch.column(f"__k{i}") for i in range(len(keep))]
-            flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+            flat = np.frombuffer(b"".join(coded), np.int32)
             columns.append(pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())))
             names = [*keep, ids]
             if decoded:
-                columns.append(pa.array([codec.decode(x.tolist()) for x in lists], pa.binary()))
+                columns.append(pa.array([codec.decode(array("i", x)) for x in coded], pa.binary()))
                 names.append(decoded)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

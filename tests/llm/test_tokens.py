@@ -1,6 +1,8 @@
 """Encoding, decoding and counting against the public libraries."""
 
 import base64
+import sys
+from itertools import chain
 
 import public_tokenizers
 import pytest
@@ -60,6 +62,15 @@ def test_pieces_split_like_the_library(text, encoding):
     assert Codec(load_vocabulary(RANKS)).encode(text) == encoding.encode_ordinary(text)
 
 
+def test_codec_remembers_a_bounded_number_of_bytes():
+    codec = Codec(load_vocabulary(RANKS))
+    for start in range(0, 400_000, 1000):
+        codec.encode(" ".join(f"q{k:x}z" for k in range(start, start + 1000)))
+    memories = codec.splitter.known, codec.splitter.older, codec.known
+    held = sum(sys.getsizeof(m) + sum(map(sys.getsizeof, chain(m, m.values()))) for m in memories)
+    assert held < 60 << 20
+
+
 def test_counts_equal_the_library(odd, none, tokenizer):
     counted = count_tokens(odd, load_vocabulary(JSON))
     assert counted.columns == [c for c in odd.columns if c not in ("text", "n_tokens")] + ["n_bytes", "n_tokens"]
