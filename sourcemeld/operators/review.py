@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcemeld.functions.text import filled, meaningful_map, meaningful_text, meaningful_value, strip
-from sourcemeld.operators.skew import sized_join
+from sourcemeld.operators.skew import sized_join, spread
 from sourcemeld.settings import (
     AMBIGUOUS_MAPPING,
     AMBIGUOUS_MATCH,
@@ -268,7 +268,7 @@ def check_resolutions(resolutions: DataFrame, queue: DataFrame, values: DataFram
     map_steps = F.filter(steps, lambda x: _text(x, "operation") == "map_value")
     given = F.try_variant_get(F.element_at(map_steps, -1), "$.params.mapping", "map<string,string>")
     corrections = F.try_variant_get("resolution", "$.corrections", "map<string,variant>")
-    d = resolutions.join(context, "review_id", "left").withColumn("given", F.when(F.size(map_steps) > 0, given))
+    d = spread(resolutions, "decision_id").join(context, "review_id", "left").withColumn("given", F.when(F.size(map_steps) > 0, given))
     asked = d.where(F.col("kind") == UNMAPPED_VALUE).select("decision_id", "review_id", "allowed", F.coalesce("given", _empty("map")).alias("given"))
     d = d.join(_unanswered(asked, values).withColumn("unanswered", F.lit(True)), "decision_id", "left")
     target = F.coalesce(F.try_variant_get("resolution", "$.target_field", "string"), F.col("context_target"))
@@ -301,7 +301,8 @@ def decisions_of(accepted: DataFrame, queue: DataFrame) -> DataFrame:
     Parameters that are lists or maps are kept as their JSON text.
     """
     context = queue.select("review_id", "reason_code", "entity", "record_id", F.col("source_field").alias("asked_source"), F.col("target_field").alias("asked_target"), F.col("record_key").alias("asked_key"))
-    d = accepted.join(context, "review_id")
+    # Where all answers are to one review, the planner drops the key; a counted queue keeps that from pairing every partition with every other.
+    d = sized_join(accepted, context, "review_id", queue.count(), "inner")
 
     def steps(of: Column) -> Column:
         return F.transform(

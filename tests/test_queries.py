@@ -25,3 +25,8 @@ def test_query(spark, con, name):
 
 def test_entry_has_rows(spark):
     assert entry_point.entry(spark).count() > 0
+
+
+def test_answers_to_one_review_are_not_paired_with_partitions_of_the_queue(spark):
+    plan = entry_point.queries()["resolution_rows"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan
