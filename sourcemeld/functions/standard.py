@@ -220,9 +220,36 @@ DATE_SHAPES = (
 )
 
 
+# The shapes that most dates have, and a row of months in which a name's place tells its number.
+PLAIN_DATE = r"^(?:\d{4}(?:-\d{1,2}-|[/.]\d{1,2}[/.])\d{1,2}|\d{1,2}(?:-\d{1,2}-|[/.]\d{1,2}[/.])\d{4})$"
+SHORT_MONTH_DATE = r"^[A-Za-z]{3} \d{1,2},? \d{4}$"
+MONTH_ROW = "-" + "-".join(MONTHS) + "-"
+
+
 def _iso_dates(text: Column, day_first: bool) -> tuple[Column, Column]:
     """Read a date in any of the known shapes: (date, clock text).
 
+    The most frequent shapes are cut at their separators after one test; all others are rewritten.
+    """
+    t = strip(text)
+    part = F.translate(t, "/.", "--")
+    first, last = F.substring_index(part, "-", 1), F.substring_index(part, "-", -1)
+    middle = F.substring_index(F.substring_index(part, "-", 2), "-", -1)
+    day_month, month_day = (F.concat_ws("-", last, *order).try_cast("date") for order in ((middle, first), (first, middle)))
+    plain = F.coalesce(day_month, month_day) if day_first else F.coalesce(month_day, day_month)
+    plain = F.when(F.length(first) == 4, part.try_cast("date")).otherwise(plain)
+    place = F.position(F.concat(F.lit("-"), F.lower(F.substring(t, 1, 3)), F.lit("-")), F.lit(MONTH_ROW))
+    day = F.replace(F.substring_index(F.substring_index(t, " ", 2), " ", -1), F.lit(","), F.lit(""))
+    month = F.when(place > 0, ((place + 3) / 4).cast("int").cast("string"))
+    named = F.concat(F.substring_index(t, " ", -1), F.lit("-"), month, F.lit("-"), day).try_cast("date")
+    date, clock = _rewritten_dates(text, day_first)
+    is_plain, is_named = t.rlike(PLAIN_DATE), t.rlike(SHORT_MONTH_DATE)
+    return F.when(is_plain, plain).when(is_named, named).otherwise(date), clock
+
+
+def _rewritten_dates(text: Column, day_first: bool) -> tuple[Column, Column]:
+    """The same for all shapes.
+
     Each shape is rewritten to year-month-day by one replacement, so a value is parsed by a
     cast and no parser is tried in vain. Year-first text is never read day-first.
     """

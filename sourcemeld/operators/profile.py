@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourcemeld.functions.text import filled
+from sourcemeld.functions.text import BLANKS, filled, sql_text
 from sourcemeld.sources.readers import data_columns
 
 SAMPLES = 5
@@ -17,15 +17,23 @@ DATE = r"^([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0
 CLOCK = r"[T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
 
 
+def _stripped(raw: str) -> str:
+    return f"trim(both {sql_text(BLANKS)} from {raw})"
+
+
 def value_type(name: str) -> Column:
-    """Narrowest contract type one text of a column fits; NULL for a missing value."""
+    """Narrowest contract type one text of a column fits; NULL for a missing value.
+
+    Numbers, dates and times end in a digit, a point or Z; other texts meet no pattern.
+    """
     raw = f"`{name}`"
-    t = f"regexp_replace({raw}, '(?U)^\\\\s+|\\\\s+$', '')"
+    t = _stripped(raw)
     return F.expr(
         f"case when {raw} is null or {raw} = '' then null "
+        f"when lower({t}) in ('true', 'false') then 'boolean' "
+        f"when right({t}, 1) not in ('0', '1', '2', '3', '4', '5', '6', '7', '8', '9', '.', 'Z') then 'string' "
         f"when {t} rlike '{INTEGER}' then 'integer' "
         f"when {t} rlike '{NUMBER}' and not {t} rlike '^[+-]?0[0-9]+$' then 'number' "
-        f"when lower({t}) in ('true', 'false') then 'boolean' "
         f"when {t} rlike '{DATE}$' then 'date' "
         f"when {t} rlike '{DATE}{CLOCK}' then 'datetime' else 'string' end"
     )
@@ -42,7 +50,7 @@ def value_facts(name: str) -> dict[str, str]:
     ``noisy_number``: digits among other signs than one point and one minus; the others: a separator of lists.
     """
     raw = f"`{name}`"
-    t = f"regexp_replace({raw}, '(?U)^\\\\s+|\\\\s+$', '')"
+    t = _stripped(raw)
 
     def at_most_one(sign: str) -> str:
         return f"length(replace({t}, '{sign}', '')) >= length({t}) - 1"
