@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sourcemeld.functions import kernels
 from sourcemeld.functions.text import BLANKS, filled, sql_text
 from sourcemeld.sources.readers import data_columns
 
+# Executors need no copy of this package for the kernels.
+cloudpickle.register_pickle_by_value(kernels)
+
 SAMPLES = 5
 
 # Shapes that tell the type of a text.
@@ -111,13 +116,14 @@ def column_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def column_samples(df: DataFrame) -> DataFrame:
     """First five non-null values of each column over all rows of a file.
 
-    The rank limit is applied before the shuffle, so every task sends five values per column at the most.
+    Of every batch of rows only the first five values of each column and file go on, so no task sorts or holds its rows.
     """
+    names = data_columns(df)
+    cells = df.select("source_file", "source_row_number", *[F.col(f"`{n}`").cast("string").alias(f"c{i}") for i, n in enumerate(names)])
+    early = cells.mapInArrow(kernels.first_filled(names, SAMPLES), "source_file string, source_row_number bigint, column string, value string")
     order = Window.partitionBy("source_file", "column").orderBy("source_row_number")
     return (
-        column_values(df)
-        .where(F.col("value").isNotNull())
-        .withColumn("place", F.row_number().over(order))
+        early.withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= SAMPLES)
         .groupBy("source_file", "column")
         .agg(F.array_sort(F.collect_list(F.struct("source_row_number", "value"))).alias("first"))

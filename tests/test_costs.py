@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sourcemeld.functions import kernels
 from sourcemeld.functions.standard import PLAIN_DATE, Value, standardise
 from sourcemeld.functions.text import strip
+from sourcemeld.operators import profile
 from sourcemeld.session import METHOD_LIMIT, Scratch
 
 
@@ -52,3 +54,14 @@ def test_tables_are_written_by_methods_that_the_jvm_compiles(spark):
     before = spark.conf.get(METHOD_LIMIT)
     assert Scratch(spark).write(Frame(), "some").count() == 3
     assert seen[0] <= 8000 and spark.conf.get(METHOD_LIMIT) == before
+
+
+def test_first_samples_are_taken_without_sorting_all_rows(spark):
+    """Rows out of order, several files, nulls; what reaches the window is five values per batch, column and file."""
+    rows = [(f"f{k % 2}", k, None if k % 3 == 0 else f"v{k}", None) for k in range(4000, 0, -1)]
+    df = spark.createDataFrame(rows, "source_file string, source_row_number bigint, `a b` string, empty string").coalesce(1)
+    got = {(r.source_file, r.column): r.samples for r in profile.column_samples(df).collect()}
+    assert got == {(f, "a b"): [f"v{k}" for k in range(1, 40) if k % 3 and k % 2 == i][:5] for i, f in enumerate(("f0", "f1"))}
+    names = ["a b", "empty"]
+    early = df.mapInArrow(kernels.first_filled(names, 5), "source_file string, source_row_number bigint, column string, value string")
+    assert early.count() == 10
