@@ -21,7 +21,7 @@ from sourcemeld.llm.batches import text_slices
 from sourcemeld.llm.vocabulary import PieceSplitter, Vocabulary
 
 _PIECES = 100_000  # remembered pieces per task; beyond that the memory starts anew
-_CHUNKS = 150_000  # blank-separated chunks remembered per task, and as many older ones beside them
+_CHUNKS = 174_000  # blank-separated chunks remembered per task, and as many older ones beside them
 _SLICE = 2 << 20  # bytes of text encoded at once
 
 
@@ -78,14 +78,19 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.bytes = [ranks[bytes((b,))] for b in range(256)]
-        self.shift = max(ranks.values()).bit_length()
-        self.first = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]  # by 256 * a + b
-        self.joined = {
-            ranks[token[:cut]] << self.shift | ranks[token[cut:]]: rank
-            for token, rank in ranks.items()
-            for cut in range(1, len(token))
-            if token[:cut] in ranks and token[cut:] in ranks
-        }
+        self.first = [[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]  # by two bytes
+        none: dict[int, int] = {}
+        self.joined = [none] * (max(ranks.values()) + 1)  # by left id: right id -> id of both
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    if not self.joined[left]:
+                        self.joined[left] = {}
+                    self.joined[left][right] = rank
+
+
+_PLACES = list(range(-1, 258))
 
 
 def merge(piece: bytes, merges: Merges) -> list[int]:
@@ -95,41 +100,38 @@ def merge(piece: bytes, merges: Merges) -> list[int]:
     heap entry is that id and the part's place in one integer, and is stale once the two differ.
     """
     n = len(piece)
-    ids = [merges.bytes[b] for b in piece]
+    single, first, joined = merges.bytes, merges.first, merges.joined
+    ids = [single[b] for b in piece]
     if n == 1:
         return ids
-    first, get, shift, bits = merges.first, merges.joined.get, merges.shift, n.bit_length()
-    after, before = list(range(1, n + 1)), list(range(-1, n))
-    joins = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]
+    places = _PLACES if n <= 256 else list(range(-1, n + 1))
+    after, before, bits = places[2 : n + 2], places[:n], n.bit_length()
+    joins = [first[a][b] for a, b in zip(piece, piece[1:])]
     heap = [join << bits | i for i, join in enumerate(joins) if join >= 0]
     joins.append(-1)
     heapify(heap)
-    places = (1 << bits) - 1
+    place = (1 << bits) - 1
     while heap:
         entry = heappop(heap)
-        i, new = entry & places, entry >> bits
+        i, new = entry & place, entry >> bits
         if joins[i] != new:
             continue
         gone = after[i]
         end = after[gone]
-        ids[i], after[i], joins[gone] = new, end, -1
+        ids[i], after[i], joins[gone], ids[gone] = new, end, -1, -1
         join = -1
         if end < n:
             before[end] = i
-            join = get(new << shift | ids[end], -1)
+            join = joined[new].get(ids[end], -1)
             if join >= 0:
                 heappush(heap, join << bits | i)
         joins[i] = join
         left = before[i]
         if left >= 0:
-            join = joins[left] = get(ids[left] << shift | new, -1)
+            join = joins[left] = joined[ids[left]].get(new, -1)
             if join >= 0:
                 heappush(heap, join << bits | left)
-    out, i = [], 0
-    while i < n:
-        out.append(ids[i])
-        i = after[i]
-    return out
+    return [i for i in ids if i >= 0]
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -153,9 +155,7 @@ class Codec:
         if ids is None:
             raw = piece.encode()
             slot = self.whole.find(raw)
-            if slot >= 0:
-                return self.slot_ids[slot]
-            ids = _packed(merge(raw, self.merges))
+            ids = self.slot_ids[slot] if slot >= 0 else _packed(merge(raw, self.merges))
             if piece[0] != " ":  # words after a blank are remembered by the splitter
                 if len(self.known) >= _PIECES:
                     self.known.clear()

@@ -66,7 +66,8 @@ class PieceSplitter:
     def __init__(self, pattern: str, value_of, join, limit: int = 600_000) -> None:
         self.find = regex.compile(pattern).findall
         self.value_of, self.join, self.limit = value_of, join, limit
-        self.ends = frozenset(".,;:!?") if pattern == PATTERN else frozenset()  # pieces of their own after a letter
+        self.cuts = pattern == PATTERN
+        self.ends = frozenset(".,;:!?") if self.cuts else frozenset()  # pieces of their own after a letter
         self.known: dict[str, object] = {}
         self.older: dict[str, object] = {}  # what was known before; chunks still in use come back from there
 
@@ -79,15 +80,24 @@ class PieceSplitter:
     def _chunk(self, chunk: str):
         """The joined value of ``" " + chunk``, or None if blanks around it are not safe cuts.
 
-        A word with a mark at its end is put together from the word, so only the word is remembered.
+        A word with a mark at its end is put together from the word, so only the word is remembered. So is a
+        chunk with a line end inside: between characters that are no white space it is a piece of its own.
         """
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return None
+        if chunk[-1] in self.ends and chunk[-2:-1].isalpha():
+            return self._inner(chunk[:-1]) + self.value_of(chunk[-1])
+        return self._inner(chunk)
+
+    def _inner(self, chunk: str):
         value = self.known.get(chunk)
         if value is not None:
             return value
-        if chunk[-1] in self.ends and chunk[-2:-1].isalpha():
-            return self._chunk(chunk[:-1]) + self.value_of(chunk[-1])
+        if self.cuts and "\n" in chunk:
+            head, tail = chunk.split("\n", 1)
+            if not head[-1].isspace() and not tail[0].isspace():
+                rest = self.value_of(tail) if tail.isascii() and tail.isalpha() else self.join([self.value_of(p) for p in self.find(tail)])
+                return self._chunk(head) + self.value_of("\n") + rest
         value = self.older.get(chunk)
         if value is None:
             value = self.join([self.value_of(p) for p in self.find(" " + chunk)])
@@ -98,14 +108,12 @@ class PieceSplitter:
         """Values of consecutive parts of the text; joined they are the value of the whole."""
         first, *rest = text.split(" ")
         if first and not first[-1].isspace():
-            values = []
-            for c in rest:
-                v = self.known.get(c)
+            values = list(map(self.known.get, rest))
+            for i, v in enumerate(values):
                 if v is None:
-                    v = self._chunk(c)
+                    v = values[i] = self._chunk(rest[i])
                     if v is None:
                         break
-                values.append(v)
             else:
                 return [self.value_of(p) for p in self.find(first)] + values
         return [self.value_of(p) for p in self.find(text)]

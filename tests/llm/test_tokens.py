@@ -1,6 +1,7 @@
 """Encoding, decoding and counting against the public libraries."""
 
 import base64
+import random
 import sys
 from itertools import chain
 
@@ -9,6 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from sourcemeld.llm import bpe_codec
 from sourcemeld.llm.bpe_codec import Codec, PerfectHash, decode, encode
 from sourcemeld.llm.token_counts import PrefixCounter, count_tokens, truncate
 from sourcemeld.llm.vocabulary import load_vocabulary
@@ -71,6 +73,23 @@ def test_codec_remembers_a_bounded_number_of_bytes():
     assert held < 60 << 20
 
 
+def test_a_word_before_a_line_end_is_merged_once(monkeypatch, encoding):
+    merged = []
+    monkeypatch.setattr(bpe_codec, "merge", lambda piece, merges, own=bpe_codec.merge: merged.append(piece) or own(piece, merges))
+    codec = Codec(load_vocabulary(RANKS))
+    for text in ("x qwzzky, y", "x qwzzky.\nXqzzv y", "x qwzzky\nXqzzv?\nXqzzv y"):
+        assert codec.encode(text) == encoding.encode_ordinary(text)
+    assert sorted(merged) == sorted(set(merged))
+
+
+def test_line_ends_split_like_the_library(encoding):
+    codec, rng = Codec(load_vocabulary(RANKS)), random.Random(3)
+    parts = ["\n", "\n", "\n", " ", " ", " ", "a", "Word", "été", "中文", ".", "'s", "'", "12", "?!", "\t", "\r", "\x85", "\u3000", "\x1c", "🙂", "e\u0301"]
+    for _ in range(6000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 14)))
+        assert codec.encode(text) == encoding.encode_ordinary(text), repr(text)
+
+
 def test_counts_equal_the_library(odd, none, tokenizer):
     counted = count_tokens(odd, load_vocabulary(JSON))
     assert counted.columns == [c for c in odd.columns if c not in ("text", "n_tokens")] + ["n_bytes", "n_tokens"]
