@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcemeld.contract import Field
-from sourcemeld.functions.similarity import lexical_score
+from sourcemeld.functions.similarity import lexical_score, words
 from sourcemeld.functions.steps import Step
 from sourcemeld.functions.text import filled, label, strip
 from sourcemeld.operators.profile import column_values
@@ -122,14 +122,16 @@ def enum_tiers(value: Column, allowed: list[str], existing: dict[str, str] | Non
 def _settled(keys: DataFrame, by: list[str], cheap: tuple[Column, Column], options: Column, answers: DataFrame | None) -> DataFrame:
     """``keys`` (the columns ``by``, value among them) with target, tier and score.
 
-    Only values that no cheap tier settles are scored. ``answers`` (``by`` and target) come from outside and are usable ones.
+    Only values that no cheap tier settles are scored, beside the others, so the values are read and told apart once. ``answers`` (``by`` and target) come from outside and are usable ones.
     """
-    found = keys.withColumns({"target": cheap[0], "tier": cheap[1], "score": F.lit(None).cast("double")})
-    open_values = spread(found.where("tier is null").select(*by), "value")
+    found = spread(keys, "value").withColumns({"target": cheap[0], "tier": cheap[1], "a": label(F.col("value"))})
+    is_open = F.col("tier").isNull()
     scored = (
-        open_values.select(*by, F.inline(options))
-        .withColumn("s", lexical_score(label(F.col("value")), label(F.col("option"))))
-        .groupBy(*by)
+        found.select(*by, "target", "tier", F.when(is_open, F.col("a")).alias("a"), F.when(is_open, words(F.col("a"))).alias("aw"), options.alias("options"))
+        .select(*by, "target", "tier", "a", "aw", F.inline_outer(F.when(is_open, F.col("options"))))
+        .where("tier is not null or option is not null")
+        .withColumn("s", lexical_score(F.col("a"), F.col("b"), split=(F.col("aw"), F.col("bw"))))
+        .groupBy(*by, "target", "tier")
         .agg(F.max_by("option", F.struct("s", -F.col("place"))).alias("option"), F.max("s").alias("score"))
     )
     answer = F.lit(None).cast("string")
@@ -137,17 +139,22 @@ def _settled(keys: DataFrame, by: list[str], cheap: tuple[Column, Column], optio
         scored = scored.join(answers.groupBy(*by).agg(F.max("target").alias("answer")), by, "left")
         answer = F.col("answer")
     near = F.col("score") >= FALLBACK_SCORE
-    settled = scored.select(
+    return scored.select(
         *by,
-        F.when(near, F.col("option")).otherwise(answer).alias("target"),
-        F.when(near, "lexical").when(answer.isNotNull(), "answered").otherwise("unresolved").alias("tier"),
+        F.coalesce("target", F.when(near, F.col("option")).otherwise(answer)).alias("target"),
+        F.coalesce("tier", F.when(near, "lexical").when(answer.isNotNull(), "answered").otherwise("unresolved")).alias("tier"),
         F.round("score", 4).alias("score"),
     )
-    return found.where("tier is not null").unionByName(settled)
 
 
 def _options(allowed: list[str]) -> Column:
-    return F.array(*[F.struct(F.lit(a).alias("option"), F.lit(i).alias("place")) for i, a in enumerate(allowed)])
+    """The allowed values in order, with what is compared of them: label and words."""
+    return F.array(
+        *[
+            F.struct(F.lit(a).alias("option"), F.lit(i).alias("place"), label(F.lit(a)).alias("b"), words(label(F.lit(a))).alias("bw"))
+            for i, a in enumerate(allowed)
+        ]
+    )
 
 
 def enum_plan(
@@ -172,7 +179,7 @@ def enum_plans(values: DataFrame, allowed: dict[int, list[str]], answers: DataFr
     for owner, choices in allowed.items():
         lists.setdefault(tuple(choices), []).append(owner)
     target = tier = F.lit(None).cast("string")
-    options, right = F.lit(None).cast("array<struct<option:string,place:int>>"), F.lit(False)
+    options, right = F.lit(None).cast("array<struct<option:string,place:int,b:string,bw:array<string>>>"), F.lit(False)
     for choices, owners in lists.items():
         mine = F.col("owner").isin(owners)
         to, how = enum_tiers(F.col("value"), list(choices))

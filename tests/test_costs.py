@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from sourcemeld.functions import kernels
 from sourcemeld.functions.standard import PLAIN_DATE, Value, standardise
 from sourcemeld.functions.text import strip
+from sourcemeld.functions.similarity import lexical_score, ratio, token_set_ratio
 from sourcemeld.operators import profile
+from sourcemeld.operators.planning import enum_plan, enum_plans
 from sourcemeld.session import METHOD_LIMIT, Scratch
 
 
@@ -65,3 +67,28 @@ def test_first_samples_are_taken_without_sorting_all_rows(spark):
     names = ["a b", "empty"]
     early = df.mapInArrow(kernels.first_filled(names, 5), "source_file string, source_row_number bigint, column string, value string")
     assert early.count() == 10
+
+
+def test_enumerated_values_are_read_once_and_told_apart_as_distinct_values(spark, tmp_path):
+    values = [" High ", "high", "currently x", "left_1", "hgih", "Hight prio", "prio  high", "zz1", "", None, "low"]
+    spark.createDataFrame([(v,) for v in values * 3], "value string").write.parquet(str(tmp_path / "v"))
+    given = spark.read.parquet(str(tmp_path / "v"))
+    plan = enum_plan(given, ["HIGH", "LOW", "ACTIVE", "INACTIVE"], {"low": "LOW"})
+    got = {r.value: (r.target, r.tier, r.score) for r in plan.collect()}
+    assert got == {
+        "High": ("HIGH", "equal", None), "high": ("HIGH", "equal", None), "currently x": ("ACTIVE", "word", None), "left_1": ("INACTIVE", "word", None),
+        "hgih": ("HIGH", "lexical", 0.75), "Hight prio": (None, "unresolved", 0.5714), "prio  high": ("HIGH", "lexical", 1.0), "zz1": (None, "unresolved", 0.0),
+        "low": ("LOW", "existing", None),
+    }
+    shown = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("parquet") == 1
+    owned = enum_plans(given.selectExpr("1 as owner", "value").union(given.selectExpr("2 as owner", "value")), {1: ["HIGH"], 2: ["LOW", "HIGHT"]})
+    assert {(r.owner, r.target, r.tier) for r in owned.where("value = 'hgih'").collect()} == {(1, "HIGH", "lexical"), (2, "HIGHT", "lexical")}
+
+
+def test_texts_in_word_order_are_measured_once(spark):
+    pairs = [("a b", "a c"), ("b a", "a b c"), ("zz1", "urgent"), ("x x", "x"), ("", "a"), ("order date", "date of order")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    seen = df.select(lexical_score(a, b).alias("s"), F.greatest(ratio(a, b), token_set_ratio(a, b)).alias("t")).collect()
+    assert all(r.s == r.t for r in seen)
