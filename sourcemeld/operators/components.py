@@ -136,8 +136,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop(pairs)
     tops = scratch.write(_smallest_parent(current), "tops")
     parents = scratch.write(current.select("parent").distinct(), "parents")
-    many = tops.where("parents > 1").select("child", "top")
-    shared = lookup_join(current, many, "child").where("top is not null and parent <> top").select(F.col("parent").alias("child"), F.col("top").alias("parent"))
+    many = tops.where("parents > 1")
+    shared = lookup_join(current, many, "child", counted="parents").where("top is not null and parent <> top").select(F.col("parent").alias("child"), F.col("top").alias("parent"))
     inner = tops.join(parents.withColumnRenamed("parent", "child"), "child", "left_semi").select("child", F.col("top").alias("parent"))
     open_ = scratch.write(shared.unionByName(inner).distinct(), "open")
     highest = parents.join(tops.select(F.col("child").alias("parent")), "parent", "left_anti")

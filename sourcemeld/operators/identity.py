@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcemeld.contract import Entity, column
-from sourcemeld.functions.text import blank_to_null, filled, match_key, strip
+from sourcemeld.functions.text import blank_to_null, filled, match_key, match_text, strip
 from sourcemeld.operators.components import connected_components
 from sourcemeld.operators.skew import lookup_join
 from sourcemeld.session import Scratch
@@ -21,20 +21,16 @@ GENERIC_SUMMARY_FIELDS = ("employee_id", "id", "record_id", "first_name", "last_
 
 def identity_keys(records: DataFrame, fields: list[str]) -> DataFrame:
     """(record_id, key) for every filled unique field; the field's place keeps fields apart."""
-    keys = F.array(*[F.concat(F.lit(f"{i}:"), match_key(F.col(column(f)))) for i, f in enumerate(fields)])
-    return records.select("record_id", F.explode(F.array_compact(keys)).alias("key"))
+    keys = F.array(*[F.concat(F.lit(f"{i}:"), match_text(F.col(column(f)))) for i, f in enumerate(fields)])
+    return records.select("record_id", F.explode(keys).alias("key")).where("length(key) > instr(key, ':')")
 
 
-def star_edges(keys: DataFrame, rows: int | None = None) -> DataFrame:
+def star_edges(keys: DataFrame, scratch: Scratch, rows: int | None = None) -> DataFrame:
     """(a, b): each record of a shared key tied to the smallest record of that key, never all pairs."""
-    centres = (
-        keys.groupBy("key")
-        .agg(F.min("record_id").alias("centre"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("key", "centre")
-    )
+    shared = keys.groupBy("key").agg(F.min("record_id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    centres = scratch.write(shared, "centres")
     return (
-        lookup_join(keys, centres, "key", rows)
+        lookup_join(keys, centres, "key", rows, counted="n")
         .where("centre is not null and record_id <> centre")
         .select(F.col("record_id").alias("a"), F.col("centre").alias("b"))
     )
@@ -51,7 +47,7 @@ def exact_identity(
     edges = []
     if entity.unique_fields:
         known = None if rows is None else rows * len(entity.unique_fields)
-        edges.append(star_edges(identity_keys(records, entity.unique_fields), known))
+        edges.append(star_edges(identity_keys(records, entity.unique_fields), scratch, known))
     if same is not None:
         edges.append(same.select(F.col("record_a").alias("a"), F.col("record_b").alias("b")))
     if not edges:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sourcemeld.contract import Entity, Field
 from sourcemeld.functions.kernels import lcs_lengths, ratios
-from sourcemeld.operators import components, fuzzy
+from sourcemeld.operators import components, fuzzy, identity
 from sourcemeld.operators.components import connected_components
 from sourcemeld.operators.fuzzy import EXACT_FIELDS, NAME_FIELDS, best_candidates, block_plan, fuzzy_identity
 from sourcemeld.operators.identity import exact_identity, group_evidence, record_key
@@ -104,6 +104,26 @@ def test_exact_group_and_matched_fields(spark, scratch):
     assert evidence == {"r1": (3, []), "r4": (1, [])}
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_keys_are_not_counted_again_to_find_hot_ones(spark, scratch, tiny_limits, tmp_path, monkeypatch, hot):
+    rows = [(f"r{i:02d}", f"E{i // 2}", "A", "B", " \t" if i % 3 else f"m:{i}", "D") for i in range(12)]
+    rows += [(f"s{i}", None, "A", "B", "Hot:" if i % 2 else " hot: ", "D") for i in range(5 if hot else 2)]
+    people(spark, rows).write.parquet(str(tmp_path / "records"))
+    own, plans = identity.connected_components, []
+
+    def watched(edges, scratch):
+        plans.append(edges._jdf.queryExecution().optimizedPlan().toString())
+        return own(edges, scratch)
+
+    monkeypatch.setattr(identity, "connected_components", watched)
+    groups = exact_identity(spark.read.parquet(str(tmp_path / "records")), PERSON, scratch, rows=len(rows))
+    assert {r.record_id: r.group_id for r in groups.collect()} == {
+        r[0]: "s0" if r[0][0] == "s" else f"r{int(r[0][1:]) // 2 * 2:02d}" for r in rows
+    }
+    assert "Aggregate" not in plans[0]
+    assert hot or plans[0].count("Relation") == 2
+
+
 def test_same_names_with_other_keys_stay_apart(spark, scratch):
     df = people(spark, [("r1", "E1", "John", "Smith", "a@x", "D"), ("r2", "E2", "John", "Smith", "b@x", "D")])
     groups = exact_identity(df, PERSON, scratch)
